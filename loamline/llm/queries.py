@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import settled, shared_dir
 from .exact_dedup import exact_dedup, normalised_sha256
 from .line_dedup import line_dedup
 from .mixing import mix
+from .packing import pack
 from .quality_rules import default_rules, quality_rules, with_counts
+from .token_counts import KEYS, TokenRollup, count_tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is inserted with an estimate, revised to its exact count, and the revision is replayed."""
+    counted = settled(count_tokens(documents(spark, sf_dir), keep=("source", "lang")))
+    version = F.lit("byte_bpe_50k")
+    new = [F.col("source"), F.col("lang"), version.alias("tokenizer")]
+    old = [F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), version.alias("old_tokenizer")]
+    estimate = F.ceil(F.col("n_bytes") / 4).cast("long")
+    none = [F.lit(None).cast("string").alias(f"old_{k}") for k in KEYS]
+    inserts = counted.select(F.lit("insert").alias("op"), *new, estimate.alias("tokens"), *none, F.lit(None).cast("long").alias("old_tokens"))
+    revised = counted.select(F.lit("revise").alias("op"), *new, "tokens", *old, estimate.alias("old_tokens"))
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/loamline-rollup-{uuid.uuid4().hex}")
+    rollup.apply("estimates", inserts)
+    rollup.apply("exact", revised)
+    rollup.apply("exact", revised)
+    return rollup.totals()
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(documents(spark, sf_dir))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(documents(spark, sf_dir), host_col="source")
     return out.select("doc_id", "source", "n_lines", "n_dropped", "text")
@@ -39,6 +65,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op3_packing": op3_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_mixing": op9_mixing,
