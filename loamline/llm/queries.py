@@ -8,12 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_classifier, toxicity
 from .common import settled, shared_dir
 from .exact_dedup import exact_dedup, normalised_sha256
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack
 from .quality_rules import default_rules, quality_rules, with_counts
+from .subword import held_out
 from .token_counts import KEYS, TokenRollup, count_tokens
 
 
@@ -38,6 +40,28 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str, folds: int, fold: int) -> DataFrame:
+    """id, text and label of the documents that a model may learn from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(label).alias("label"))
+    learned = documents(spark, sf_dir).filter(~held_out("doc_id", folds, fold)).select("doc_id", "text")
+    return learned.join(labels, "doc_id").withColumnRenamed("doc_id", "id")
+
+
+def judged(scored: DataFrame, folds: int, fold: int, threshold: float) -> DataFrame:
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score", predicted)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality_classifier.fit(labelled(spark, sf_dir, "quality", 5, 0))
+    return judged(quality_classifier.score(documents(spark, sf_dir), model), 5, 0, 0.3)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(labelled(spark, sf_dir, "toxic", 3, 1))
+    return judged(toxicity.score(documents(spark, sf_dir), model), 3, 1, 0.7)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(documents(spark, sf_dir))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -66,6 +90,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_toxicity": op4_toxicity,
     "op3_packing": op3_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
