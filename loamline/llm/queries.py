@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier, toxicity
+from . import language_id, quality_classifier, toxicity
 from .common import settled, shared_dir
 from .exact_dedup import exact_dedup, normalised_sha256
 from .line_dedup import line_dedup
@@ -76,6 +76,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), carry={"text_sha256": normalised_sha256(F.col("text"))})
 
 
+def language_model(docs: DataFrame) -> language_id.LanguageModel:
+    """A model of the languages of docs, learned from four of five documents."""
+    known = docs.filter(~held_out("doc_id", 5, 0)).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
+    return language_id.fit(known)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language_id.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -95,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
