@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import language_id, quality_classifier, toxicity
 from .common import settled, shared_dir
 from .exact_dedup import exact_dedup, normalised_sha256
+from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack
@@ -67,6 +68,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join(documents(spark, sf_dir), words=4, threshold=85)
+    return joined.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(documents(spark, sf_dir), host_col="source")
     return out.select("doc_id", "source", "n_lines", "n_dropped", "text")
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_toxicity": op4_toxicity,
     "op3_packing": op3_packing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
