@@ -220,15 +220,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs without near copies: of each component the document with the smallest id stays.
 
-    Rows of equal id and text are one document, and one of them stays. Rows with a null id stay if their class has no id.
+    Rows of equal id and text are one document, and one of them stays; so is it if only their ids are equal. Rows with
+    a null id stay. Other columns pass through.
     """
-    joined = settled(jaccard_join(docs, id_col, text_col, words, threshold))
-    kept = joined.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("rows"))
-    kept = kept.select(F.col(id_col).alias("lm_kept"), "rows")
-    met = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["lm_kept"]))
-    single = met.filter((F.col("rows") == 1) | F.col("lm_kept").isNull())
-    repeated = met.filter((F.col("rows") > 1) & F.col("lm_kept").isNotNull()).dropDuplicates([id_col])
-    return single.unionByName(repeated).select(*[docs[f"`{c}`"] for c in docs.columns])
+    joined = jaccard_join(docs, id_col, text_col, words, threshold, broadcast_rows)
+    ids = joined.select(F.col(id_col).alias("lm_id"), "component_id").filter("lm_id IS NOT NULL")
+    facts = settled(ids.groupBy("lm_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("root")).filter("rows > 1 OR lm_id <> root"))
+    gone, again = facts.filter("lm_id <> root").select("lm_id"), facts.filter("rows > 1 AND lm_id = root").select("lm_id")
+    n_gone, n_again = gone.count(), again.count()
+    at = F.col(f"`{id_col}`") == F.col("lm_id")
+    stay = docs.join(maybe_broadcast(gone, n_gone, broadcast_rows), at, "left_anti")
+    if not n_again:
+        return stay
+    again = maybe_broadcast(again, n_again, broadcast_rows)
+    return stay.join(again, at, "left_anti").unionByName(stay.join(again, at, "left_semi").dropDuplicates([id_col]))

@@ -23,7 +23,7 @@ from .common import BROADCAST_ROWS, WORD, maybe_broadcast, settled, whole_text
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 #: Words of an output shard, and blocks of an average shard.
-SHARD_WORDS, BLOCKS_PER_SHARD, MIN_SHARDS, MAX_SHARDS = 50_000_000, 64, 4, 1 << 16
+SHARD_WORDS, BLOCKS_PER_SHARD, MIN_SHARDS, MAX_SHARDS = 4_000_000, 64, 4, 1 << 16
 U_BITS = 60
 
 
