@@ -36,6 +36,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def gathered(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df in one partition where its counted rows stay within the limit: what follows then needs no shuffle at all."""
+    return df.coalesce(1) if rows <= limit else df
+
+
 def lower_az(text: Column) -> Column:
     """Lower-cases A to Z and nothing else (SQL's lower() follows Unicode)."""
     return F.translate(text, UPPER, LOWER)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import BROADCAST_ROWS, gathered, settled
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -26,16 +26,17 @@ def _small_star(links: DataFrame) -> DataFrame:
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, small: int = BROADCAST_ROWS) -> DataFrame:
     """node, root: every node of links (u, v: long) that isn't its component's smallest, and that smallest node.
 
     Null ends and links of a node to itself are ignored; repeated links count once; no links give an empty table.
+    Tables of at most small rows are worked on in one partition.
     """
     now = settled(links.filter("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct())
     mark = None
     while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen["n"] == 0 or (seen["n"], seen["s"]) == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return gathered(now, seen["n"], small).select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = (seen["n"], seen["s"])
-        now = settled(_small_star(_large_star(now)))
+        now = settled(_small_star(_large_star(gathered(now, seen["n"], small))))

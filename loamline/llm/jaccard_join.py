@@ -9,7 +9,8 @@ if a partner may lie there. (A set with fewer non-empty partitions has one more
 Documents with equal sets are one class. Signatures of two classes name a pair. In larger buckets each class meets a
 hub first, and what is linked already is not compared again; then classes outside the hub's component meet the rest.
 A parity sketch of the sets, whose Hamming distance never exceeds d, is part of the join condition, so pairs that are
-too far apart are not even made. All pairs left are verified on their whole sets.
+too far apart are not even made. Pairs left are compared by counts of elements in cells, a bound of the same kind, and
+those that pass it on their whole sets.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, maybe_broadcast, settled
+from .common import BROADCAST_ROWS, gathered, maybe_broadcast, settled
 from .components import components
 from .subword import mix, word_hashes, worker_table
 from .tokens import bounded_batches
@@ -110,46 +111,66 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     return rows.mapInArrow(run, "doc long, n long, fa long, fb long, sigs array<long>, " + ", ".join(f"{c} long" for c in cells))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc and elements (binary) of the documents in ids (column doc)."""
+def counts(elements: np.ndarray) -> bytes:
+    """The size of a set and the numbers of its elements in about as many cells (at most 255 each): an eighth of it."""
+    n = len(elements)
+    bits = max(6, n.bit_length() - 1)
+    cells = np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.array([n], "<u4").tobytes() + np.minimum(cells, 255).astype(np.uint8).tobytes()
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc", "elements"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    met = rows.join(maybe_broadcast(ids, ids.count()), "doc", "left_semi")
-    return met.mapInArrow(run, "doc long, elements binary").groupBy("doc").agg(F.first("elements").alias("elements"))
+def counts_near(x: bytes, y: bytes, threshold: int) -> bool:
+    """Whether the counts of two sets leave room for similarity: they never differ by more than the sets do."""
+    (n,), (m,) = np.frombuffer(x[:4], "<u4"), np.frombuffer(y[:4], "<u4")
+    a, b = np.frombuffer(x[4:], np.uint8).astype(np.int64), np.frombuffer(y[4:], np.uint8).astype(np.int64)
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a = np.minimum(a.reshape(-1, 2).sum(axis=1), 255)
+        else:
+            b = np.minimum(b.reshape(-1, 2).sum(axis=1), 255)
+    return int(np.abs(a - b).sum()) <= furthest(int(n), int(m), threshold)
+
+
+def sets_near(x: bytes, y: bytes, threshold: int) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= threshold * (len(a) + len(b) - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Those of the pairs u, v whose sets are similar enough."""
+def _compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: int, make, near, broadcast_rows: int) -> DataFrame:
+    """Those of the pairs u, v that near() accepts, by what make() says of their texts' sets. Texts are read anew."""
 
     def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([make(shingles(t, size)) for t in b.column(1).to_pylist()], pa.binary())], ["doc", "made"])
+
+    def keep(batches):
         for b in batches:
             u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
-            good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both > 0 and 100 * both >= threshold * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, g in zip(u, good, strict=True) if g], pa.int64()), pa.array([a for a, g in zip(v, good, strict=True) if g], pa.int64())], ["u", "v"])
+            good = [near(x, y, threshold) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, g in zip(w, good, strict=True) if g], pa.int64()) for w in (u, v)], ["u", "v"])
 
-    of = lambda name: sets.select(F.col("doc").alias(name), F.col("elements").alias(f"of_{name}"))
-    return pairs.select("u", "v").join(of("v"), "v").join(of("u"), "u").select("u", "v", "of_u", "of_v").mapInArrow(run, "u long, v long")
+    n_pairs = pairs.count()
+    pairs = gathered(pairs, n_pairs, broadcast_rows)
+    named = settled(pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct())
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    met = rows.join(maybe_broadcast(named, named.count(), broadcast_rows), "doc", "left_semi")
+    made = settled(met.mapInArrow(run, "doc long, made binary").groupBy("doc").agg(F.first("made").alias("made")))
+    of = lambda name: made.select(F.col("doc").alias(name), F.col("made").alias(f"of_{name}"))
+    return settled(pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "of_u", "of_v").mapInArrow(keep, "u long, v long"))
 
 
 def _near(a: str, b: str, threshold: int) -> Column:
     """Whether two rows, by their sizes and sketches, may be similar enough. No similar pair fails."""
-    col = lambda t, c: F.col(f"{t}.{c}")
+    col = lambda t, c: F.col(f"{t}{c}")
     small, large = F.least(col(a, "n"), col(b, "n")), F.greatest(col(a, "n"), col(b, "n"))
     bits = sum((F.bit_count(col(a, f"k{i}").bitwiseXOR(col(b, f"k{i}"))) for i in range(1, SKETCH)), F.bit_count(col(a, "k0").bitwiseXOR(col(b, "k0"))))
     return (100 * small >= threshold * large) & ((100 + threshold) * bits <= (100 - threshold) * (small + large))
 
 
-def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, roots: DataFrame, broadcast_rows: int) -> DataFrame:
     """rows (column rep) with comp: the root of each rep, or itself."""
-    return rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+    return rows.join(maybe_broadcast(roots.withColumnRenamed("node", "rep"), roots.count(), broadcast_rows), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -166,6 +187,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = settled(all_rows.filter("n > 0").groupBy("fa", "fb").agg(F.min("doc").alias("rep"), F.count("*").alias("size")))
     cells = [f"k{i}" for i in range(SKETCH)]
     copies = classes.filter("size > 1").select("fa", "fb", "rep", "size")
+    n_copies = copies.count()
     # a class's smallest id represents it: all but the copies' other rows
     others = all_rows.filter("n > 0 AND doc IS NOT NULL")
     hot_above = all_rows.count() // HOT_SHARE
@@ -176,47 +198,48 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cold = copies.filter(F.col("size") <= hot_above).select(F.col("fa").alias("ca"), F.col("fb").alias("cb"), F.col("rep").alias("cold_rep"))
         met = rows.join(F.broadcast(hot), (F.col("fa") == F.col("ha")) & (F.col("fb") == F.col("hb")), "left")
         met = met.withColumn("ja", F.when(F.col("ha").isNotNull() | (F.col("n") == 0), F.xxhash64("doc")).otherwise(F.col("fa")))
-        met = met.join(cold, (F.col("ja") == F.col("ca")) & (F.col("fb") == F.col("cb")), "left")
+        met = met.join(maybe_broadcast(cold, n_copies, broadcast_rows), (F.col("ja") == F.col("ca")) & (F.col("fb") == F.col("cb")), "left")
         return met.withColumn("rep", F.coalesce("hot_rep", "cold_rep", "doc")).drop("ha", "hb", "hot_rep", "ja", "ca", "cb", "cold_rep")
 
     reps = with_class(others).filter("doc = rep").select("rep", "n", "sigs", *cells)
     rows = reps.select("rep", F.explode("sigs").alias("sig"))
     buckets = settled(rows.groupBy("sig").agg(F.count("*").alias("rows"), F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u < v"))
-    pairs = buckets.filter("rows = 2").select("u", "v").distinct()
     large = buckets.filter("rows > 2").select("sig", "rows")
-    in_large = reps.select("rep", "n", *cells, F.explode("sigs").alias("sig")).join(maybe_broadcast(large, large.count(), broadcast_rows), "sig")
-    members = settled(in_large.dropDuplicates(["sig", "rep"]))
-    named = pairs.select(F.col("u").alias("doc")).unionByName(pairs.select(F.col("v").alias("doc"))).unionByName(members.select(F.col("rep").alias("doc"))).distinct()
-    sets = settled(_sets(docs, settled(named), id_col, text_col, words))
-
-    links = _verified(pairs, sets, threshold)
-    roots = None
-    central = members.groupBy("rep").agg(F.sum("rows").alias("central"))
-    for turn in range(2):
-        # the hub of a bucket: first the class that most others share buckets with, then any
-        weight = F.col("central") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-        ranked = members.join(central, "rep") if turn == 0 else members
-        ranked = ranked.withColumn("comp", F.col("rep")) if roots is None else _labelled(ranked, roots)
-        hubs = ranked.groupBy("sig").agg(F.max(F.struct(weight.alias("weight"), "rep", "comp", "n", *cells)).alias("hub")).select("sig", "hub.rep", "hub.comp", "hub.n", *[f"hub.{c}" for c in cells])
-        plain = members.withColumn("comp", F.col("rep")) if roots is None else _labelled(members, roots)
-        met = plain.alias("a").join(settled(hubs).alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.comp") != F.col("b.comp")) & _near("a", "b", threshold))
-        found = _verified(met.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct(), sets, threshold)
-        known = links if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = components(known.unionByName(found))
+    in_large = rows.join(maybe_broadcast(large, large.count(), 10 * broadcast_rows), "sig").dropDuplicates(["sig", "rep"])
+    sizes = settled(reps.select("rep", "n", *cells))
+    members = settled(in_large.join(sizes, "rep"))
+    side = lambda name: sizes.select(*[F.col(c).alias(f"{name}_{c}") for c in sizes.columns])
+    pairs = buckets.filter("rows = 2").select("u", "v").distinct()
+    pairs = pairs.join(side("a"), F.col("u") == F.col("a_rep")).join(side("b"), F.col("v") == F.col("b_rep")).filter(_near("a_", "b_", threshold)).select("u", "v")
+
+    def verified(found: DataFrame) -> DataFrame:
+        for make, near in ((counts, counts_near), (np.ndarray.tobytes, sets_near)):
+            found = _compared(settled(found), docs, id_col, text_col, words, threshold, make, near, broadcast_rows)
+        return found
+
+    roots = components(verified(pairs), broadcast_rows)
+    # the hub of a bucket is the class that most others share buckets with
+    central = settled(members.groupBy("rep").agg(F.sum("rows").alias("central")))
+    plain = settled(_labelled(members, roots, broadcast_rows))
+    ranked = plain.join(maybe_broadcast(central, central.count(), broadcast_rows), "rep")
+    hubs = settled(ranked.groupBy("sig").agg(F.max(F.struct("central", "rep", "comp", "n", *cells)).alias("hub")).select("sig", "hub.rep", "hub.comp", "hub.n", *[f"hub.{c}" for c in cells]))
+    met = plain.alias("a").join(maybe_broadcast(hubs, hubs.count(), broadcast_rows).alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.comp") != F.col("b.comp")) & _near("a.", "b.", threshold))
+    found = verified(met.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct())
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found), broadcast_rows)
 
     # buckets that hold more than one component: whoever is outside the largest root's component meets all the rest
-    plain = settled(_labelled(members, roots))
+    plain = settled(_labelled(members, roots, broadcast_rows))
     split = plain.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.mode("comp", deterministic=True).alias("main")).filter("low <> high").select("sig", "main")
     split = settled(split)
     unresolved = plain.join(maybe_broadcast(split, split.count(), broadcast_rows), "sig")
     apart = unresolved.filter("comp <> main")
     once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep"))
-    met = apart.alias("a").join(unresolved.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.comp") != F.col("b.comp")) & once & _near("a", "b", threshold))
-    rest = _verified(met.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct(), sets, threshold)
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest))
+    met = apart.alias("a").join(unresolved.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.comp") != F.col("b.comp")) & once & _near("a.", "b.", threshold))
+    rest = verified(met.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct())
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest), broadcast_rows)
 
     classed = with_class(all_rows.select("doc", "n", "fa", "fb"))
-    out = classed.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    out = classed.join(maybe_broadcast(roots.withColumnRenamed("node", "rep"), roots.count(), broadcast_rows), "rep", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"))
 
 
