@@ -4,7 +4,552 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..functions import html, markdown, text, urls
+from ..operators import catalog, chunking, crawl, retrieval
+
+QUESTION = "Which ones are Licensed under CC BY-NC 4.0? pathetic loser, and the worthless"
+MAX_PAGES = 40
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Loops need a checkpoint folder; where the session names none, as in tests, a temporary one is set."""
+    import tempfile
+
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="loamline-"))
+
+
+# ---- corpus -------------------------------------------------------------------------------------------------------
+
+
+def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as pages of one resource a source; a source's first document stands for its llms.txt."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    first = Window.partitionBy("source").orderBy("doc_id")
+    n = F.row_number().over(first) - 1
+    d = d.withColumn("page_index", n.cast("long"))
+    name = F.when(F.col("page_index") == 0, F.lit("llms.txt")).otherwise(F.col("doc_id").cast("string"))
+    return d.select(
+        text.stable_id(F.concat(F.lit("docs:"), "source", F.lit(":"), "source")).alias("resource_id"),
+        F.lit("s0").alias("snapshot_id"),
+        F.col("source").alias("label"),
+        "page_index",
+        F.concat(F.lit("https://docs.example/"), "source", F.lit("/"), name).alias("url"),
+        F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"),
+        "doc_id",
+    )
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once: the chunk table and its tokens are an index, which every later step reads."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
+def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(chunking.chunk_pages(corpus_pages(spark, sf_dir)))
+
+
+def corpus_tokens(chunks: DataFrame) -> DataFrame:
+    search = chunking.search_content(F.col("label"), F.col("url"), F.array().cast("array<string>"), F.col("plain_text"), F.col("content"))
+    return stored(chunks.select("chunk_key", text.index_tokens(search).alias("tokens")))
+
+
+PAGES_CTE = r"""
+pages_c AS (SELECT doc_id, substr(sha256('docs:' || source || ':' || source), 1, 16) AS resource_id, 's0' AS snapshot_id, source AS label,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_index,
+  'https://docs.example/' || source || '/' || CASE WHEN row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 THEN 'llms.txt' ELSE doc_id::VARCHAR END AS url,
+  replace(text, chr(10), chr(10) || chr(10)) AS content FROM documents)"""
+CHUNKS_CTE = (
+    PAGES_CTE
+    + r""",
+paras AS (SELECT doc_id, list_filter(list_transform(string_split(content, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM pages_c),
+pack AS (SELECT doc_id, 1 AS i, strlen(ps[1]) + 2 AS size, 0 AS chunk FROM paras WHERE len(ps) > 0
+  UNION ALL SELECT p.doc_id, k.i + 1, CASE WHEN k.size + strlen(p.ps[k.i + 1]) + 2 > 2400 THEN strlen(p.ps[k.i + 1]) + 2 ELSE k.size + strlen(p.ps[k.i + 1]) + 2 END,
+    CASE WHEN k.size + strlen(p.ps[k.i + 1]) + 2 > 2400 THEN k.chunk + 1 ELSE k.chunk END
+  FROM pack k JOIN paras p ON p.doc_id = k.doc_id WHERE k.i < len(p.ps)),
+packed AS (SELECT k.doc_id, k.chunk AS page_chunk, string_agg(p.ps[k.i], chr(10) || chr(10) ORDER BY k.i) AS content FROM pack k JOIN paras p ON p.doc_id = k.doc_id GROUP BY k.doc_id, k.chunk),
+chunks_0 AS (SELECT g.resource_id, g.snapshot_id, g.label, g.page_index, g.url, g.doc_id, c.page_chunk, c.content,
+  row_number() OVER (PARTITION BY g.resource_id, g.snapshot_id ORDER BY g.page_index, c.page_chunk) - 1 AS chunk_index FROM packed c JOIN pages_c g ON g.doc_id = c.doc_id),
+chunks AS (SELECT *, trim(regexp_replace(content, '\s+', ' ', 'g')) AS plain_text, resource_id || ':' || snapshot_id || ':' || lpad(chunk_index::VARCHAR, 10, '0') AS chunk_key FROM chunks_0)"""
+)
+TOKENS_CTE = (
+    CHUNKS_CTE
+    + r""",
+toks AS (SELECT chunk_key, list_filter(regexp_split_to_array(strip_accents(lower(label || chr(10) || url || chr(10) || plain_text || chr(10) || content)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM chunks),
+lens AS (SELECT chunk_key, len(t) AS d FROM toks),
+stats AS (SELECT count(*) AS n, avg(d) AS avgdl FROM lens)"""
+)
+
+
+def _phrase_values(phrases: list[tuple[str, ...]]) -> str:
+    return "ph(p) AS (VALUES " + ", ".join("([" + ", ".join(f"'{w}'" for w in p) + "])" for p in phrases) + ")"
+
+
+#: The index phrases of QUESTION, spelled out for the SQL.
+PHRASES = [("which",), ("ones",), ("are",), ("licensed",), ("under",), ("cc",), ("by", "nc"), ("4", "0"), ("pathetic",), ("loser",), ("and",), ("the",), ("worthless",)]
+TERMS = ["which", "ones", "are", "licensed", "under", "cc", "by-nc", "4.0", "pathetic", "loser", "and", "the", "worthless"]
+
+
+def _bm25_cte(phrases: list[tuple[str, ...]]) -> str:
+    return (
+        TOKENS_CTE
+        + ", "
+        + _phrase_values(phrases)
+        + r""",
+tf AS (SELECT chunk_key, w AS phrase, count(*) AS tf FROM (SELECT chunk_key, unnest(t) AS w FROM toks) JOIN ph ON len(p) = 1 AND p[1] = w GROUP BY ALL
+  UNION ALL SELECT chunk_key, array_to_string(p, ' ') AS phrase, len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i:i + len(p) - 1] = p)) AS tf FROM toks JOIN ph ON len(p) > 1 AND list_contains(t, p[1])),
+tfs AS (SELECT * FROM tf WHERE tf > 0),
+dfs AS (SELECT phrase, count(*) AS df FROM tfs GROUP BY phrase),
+idf AS (SELECT phrase, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM dfs, stats),
+bm AS (SELECT chunk_key, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * d / avgdl))), 6) AS score FROM tfs JOIN idf USING (phrase) JOIN lens USING (chunk_key), stats GROUP BY chunk_key),
+lex AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_key) AS lexical_rank FROM bm QUALIFY lexical_rank <= 500)"""
+    )
+
+
+def lexical(spark: SparkSession, sf_dir: str, chunks: DataFrame | None = None, question: str = QUESTION) -> DataFrame:
+    chunks = corpus_chunks(spark, sf_dir) if chunks is None else chunks
+    terms = spark.range(1).select(text.tokenize_query(F.lit(question)).alias("t")).first()["t"]
+    scored = retrieval.bm25(corpus_tokens(chunks), retrieval.phrases_of(terms, spark))
+    return retrieval.top(scored, retrieval.candidate_limit(retrieval.TOP_K), "lexical_rank")
+
+
+def vectors(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
+    """The stored vector of a document, on its first chunk."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return chunks.filter("page_chunk = 0").select("chunk_key", "doc_id").join(e, "doc_id").select("chunk_key", "embedding")
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"])
+
+
+def fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks = corpus_chunks(spark, sf_dir)
+    scored = retrieval.cosine_scores(vectors(spark, sf_dir, chunks), query_vector(spark, sf_dir))
+    both = retrieval.fuse(lexical(spark, sf_dir, chunks), retrieval.top(scored, retrieval.candidate_limit(retrieval.TOP_K), "vector_rank"))
+    facts = chunks.select("chunk_key", "resource_id", "snapshot_id", "url", "label", "chunk_index", "plain_text")
+    return chunks, retrieval.with_prior(both.join(facts, "chunk_key"))
+
+
+VECTOR_CTE = r""",
+vec_0 AS (SELECT c.chunk_key, round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score
+  FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id WHERE c.page_chunk = 0 AND len(e.embedding) > 0),
+vec AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_key) AS vector_rank FROM vec_0 QUALIFY vector_rank <= 500),
+rrf AS (SELECT coalesce(l.chunk_key, v.chunk_key) AS chunk_key, lexical_rank, vector_rank, coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0) AS rrf
+  FROM lex l FULL JOIN vec v ON l.chunk_key = v.chunk_key),
+cand AS (SELECT r.*, c.resource_id, c.snapshot_id, c.url, c.label, c.chunk_index, c.plain_text, CASE WHEN c.url LIKE '%/llms.txt' THEN 0.002::DOUBLE ELSE 0 END AS source_prior,
+  round(r.rrf + CASE WHEN c.url LIKE '%/llms.txt' THEN 0.002::DOUBLE ELSE 0 END, 6) AS score FROM rrf r JOIN chunks c USING (chunk_key))"""
+ANCHOR_CTE = (
+    r""",
+over AS (SELECT *, len(list_filter("""
+    + "["
+    + ", ".join(f"'{t}'" for t in TERMS)
+    + r"""], lambda t: contains(translate(label || '  ' || plain_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), t))) AS overlap FROM cand),
+tier AS (SELECT *, CASE WHEN lexical_rank IS NOT NULL AND overlap > 0 THEN 0 WHEN lexical_rank IS NOT NULL THEN 1 ELSE 2 END AS tier FROM over),
+best AS (SELECT *, min(tier) OVER (PARTITION BY resource_id, snapshot_id, url) AS best FROM tier),
+anch AS (SELECT *, row_number() OVER (PARTITION BY resource_id, snapshot_id, url ORDER BY CASE WHEN tier = 0 THEN overlap ELSE 0 END DESC,
+  CASE WHEN tier = 0 THEN lexical_rank ELSE 0 END, score DESC, chunk_key) AS nth FROM best WHERE tier = best QUALIFY nth <= 3),
+grp AS (SELECT resource_id, snapshot_id, url, round(sum(score), 6) AS group_score, list(chunk_index ORDER BY chunk_index) AS a, min(chunk_index) AS low, max(chunk_index) AS high
+  FROM anch GROUP BY ALL),
+topg AS (SELECT *, row_number() OVER (ORDER BY group_score DESC, resource_id, snapshot_id, url) AS rank FROM grp QUALIFY rank <= 5),
+ev AS (SELECT g.rank, c.url, c.chunk_index, c.content, CASE WHEN list_contains(g.a, c.chunk_index) THEN 'match' WHEN c.chunk_index < g.low THEN 'context-before'
+  WHEN c.chunk_index > g.high THEN 'context-after' ELSE 'context-between' END AS evidence FROM chunks c JOIN topg g USING (resource_id, snapshot_id, url)
+  WHERE len(list_filter(g.a, lambda x: abs(x - c.chunk_index) <= 2)) > 0),
+cost AS (SELECT rank, sum(((strlen(content) + 3) // 4)) AS tokens FROM ev GROUP BY rank),
+bud AS (SELECT rank, sum(tokens) OVER (ORDER BY rank)::BIGINT AS total FROM cost)"""
+)
+
+
+def anchored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks, candidates = fused(spark, sf_dir)
+    counted = candidates.withColumn("overlap", retrieval.overlap(TERMS, F.col("label"), F.array().cast("array<string>"), F.col("plain_text")))
+    return chunks, retrieval.anchors(counted)
+
+
+def agent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, anchor = anchored(spark, sf_dir)
+    evidence = retrieval.context(retrieval.groups(anchor), chunks)
+    kept = retrieval.within_budget(evidence)
+    mode = F.lit("rrf_hybrid").alias("retrieval_mode")
+    return kept.select("rank", "url", "label", "group_score", "chunk_index", "evidence", "content", F.col("total").alias("tokens_so_far"), mode)
+
+
+# ---- URLs, HTML and links -----------------------------------------------------------------------------------------
+
+INPUTS = """https://github.com/o/r https://github.com/o https://arxiv.org/abs/2401.00001v2 https://www.arxiv.org/pdf/2401.00001.pdf
+https://arxiv.org/list/cs https://Docs.Example.com:8080/a?b#c https://www.example.org file:///tmp/a.md notes.md ftp://x/y http://h/p/llms.txt/?q http://h/a.PNG""".split()
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.createDataFrame([(u,) for u in INPUTS], "url string")
+    return table(spark, sf_dir, "pages").select("url").unionByName(given)
+
+
+INPUTS_CTE = "inp AS (SELECT url FROM pages UNION ALL SELECT unnest([" + ", ".join(f"'{u}'" for u in INPUTS) + "]))"
+PARTS_CTE = (
+    INPUTS_CTE
+    + r""",
+parts AS (SELECT url, translate(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scheme,
+  translate(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM inp)"""
+)
+
+
+def input_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return inputs(spark, sf_dir).select("url", urls.input_kind(u).alias("kind"), urls.arxiv_id(u).alias("paper_id"))
+
+
+def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return inputs(spark, sf_dir).select("url", urls.canonical_url(u).alias("canonical"), urls.default_label(u).alias("label"), urls.is_llms_txt(u).alias("llms"), urls.is_asset(u).alias("asset"))
+
+
+def llms_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(urls.llms_candidates(F.col("url"))).alias("pos", "candidate"))
+
+
+def html_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", "<[^>]*>", "")).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", html.looks_like_html(raw).alias("is_html"))
+
+
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    found = F.array_distinct(F.concat(html.html_links(F.col("html"), F.col("url")), html.text_links(F.col("html"))))
+    return p.select("page_id", F.posexplode(found).alias("pos", "link"))
+
+
+def link_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = F.regexp_replace("url", r"/[^/]*$", "")
+    rows = table(spark, sf_dir, "pages").select("page_id", seed.alias("seed"), F.explode(html.html_links(F.col("html"), F.col("url"))).alias("link"))
+    return rows.select("page_id", "link", urls.in_scope(F.col("seed"), F.col("link")).alias("in_scope"))
+
+
+# ---- crawl --------------------------------------------------------------------------------------------------------
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    name = lambda c: F.concat(F.lit("p"), F.lpad(c.cast("string"), 10, "0"))
+    ids = table(spark, sf_dir, "pages").select(F.col("page_id").alias("i"))
+    to = F.array(2 * F.col("i") + 1, 2 * F.col("i") + 2, F.floor(F.col("i") / 2))
+    edges = ids.select(name(F.col("i")).alias("src"), F.explode(to).alias("j")).select("src", name(F.col("j")).alias("dst"))
+    return ids.select(name(F.col("i")).alias("url")), edges, spark.range(1).select(name(F.col("id")).alias("url"))
+
+
+def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoints(spark)
+    nodes, edges, seed = _graph(spark, sf_dir)
+    return crawl.bounded_bfs(nodes, edges, seed, 1 << 30)
+
+
+def crawl_bfs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoints(spark)
+    nodes, edges, seed = _graph(spark, sf_dir)
+    return crawl.bounded_bfs(nodes, edges, seed, MAX_PAGES)
+
+
+BFS_SQL = r"""
+WITH RECURSIVE t AS (SELECT 0::BIGINT AS i, 0 AS level UNION ALL SELECT unnest([2 * i + 1, 2 * i + 2]), level + 1 FROM t WHERE 2 * i + 1 <= (SELECT max(page_id) FROM pages)),
+o AS (SELECT i, level, row_number() OVER (ORDER BY level, i) - 1 AS page_order FROM t JOIN pages ON page_id = i)
+SELECT 'p' || lpad(i::VARCHAR, 10, '0') AS url, level, page_order FROM o"""
+
+
+# ---- Markdown -----------------------------------------------------------------------------------------------------
+
+PLAIN_TURN = r"(?m)^\s*(?:[#>`~=|]|[-*+]|\d+[.)]\s)|[*_`\[\]<>~\\&]"
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").filter(~F.col("text").rlike(PLAIN_TURN) & (F.trim("text") != ""))
+
+
+def notes(spark: SparkSession, sf_dir: str, numbered: bool) -> DataFrame:
+    """One Markdown note for each conversation, a heading for each turn."""
+    head = F.concat(F.lit("## "), F.col("turn").cast("string"), F.lit(" "), "role") if numbered else F.concat(F.lit("## "), "role")
+    one = F.sort_array(F.collect_list(F.struct("turn", F.concat(head, F.lit("\n\n"), "text").alias("t"))))
+    body = F.array_join(F.transform(one, lambda x: x.t), "\n\n")
+    return turns(spark, sf_dir).groupBy("conv_id").agg(F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"), body).alias("markdown"))
+
+
+def md_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = notes(spark, sf_dir, True).select("conv_id", F.inline(markdown.section_markdown(F.col("markdown"))))
+    return s.select("conv_id", "section_index", F.array_join("heading_path", " > ").alias("path"), "level", "parent", "previous", "next", "anchor", "plain_text", "content_hash")
+
+
+def md_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes(spark, sf_dir, False).select("conv_id", F.inline(markdown.section_markdown(F.col("markdown")))).select("conv_id", "section_index", "anchor")
+
+
+TURNS_CTE = r"t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations WHERE NOT regexp_matches(text, '" + PLAIN_TURN.replace("(?m)", "") + r"', 'm') AND trim(text) <> '')"
+
+# ---- catalog and summaries ----------------------------------------------------------------------------------------
+
+
+def snapshots(spark: SparkSession, sf_dir: str, name: str, change: bool) -> DataFrame:
+    p = corpus_pages(spark, sf_dir).withColumn("snapshot_id", F.lit(name))
+    if change:
+        p = p.withColumn("content", F.when(F.col("doc_id") % 10 == 0, F.concat("content", F.lit(" changed"))).otherwise(F.col("content")))
+        p = p.filter("label <> 'src1'").unionByName(corpus_pages(spark, sf_dir).withColumn("snapshot_id", F.lit(name)).filter("label = 'src1'"))
+    return catalog.snapshot_hash(p)
+
+
+def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "documents").select("source").distinct()
+    ident = text.stable_id(F.concat(F.lit("docs:"), "source", F.lit(":"), "source"))
+    return s.select(ident.alias("id"), F.col("source").alias("label"), F.lit("docs").alias("kind"), F.concat(F.lit("https://docs.example/"), "source").alias("url"), F.when(F.col("source") == "src2", F.lit(None)).otherwise(F.lit("s1")).alias("current"), F.lit(1).alias("updated_at"), F.lit(None).cast("string").alias("reason"))
+
+
+HASH_CTE = (
+    PAGES_CTE
+    + r""",
+pages_1 AS (SELECT * REPLACE ('s1' AS snapshot_id, CASE WHEN doc_id % 10 = 0 AND label <> 'src1' THEN content || ' changed' ELSE content END AS content) FROM pages_c),
+snaps AS (SELECT resource_id, snapshot_id, count(*) AS page_count, sha256(string_agg(url || chr(10) || content || chr(10), '' ORDER BY page_index)) AS content_hash
+  FROM (SELECT * FROM pages_c UNION ALL BY NAME SELECT * FROM pages_1) GROUP BY ALL),
+res AS (SELECT DISTINCT substr(sha256('docs:' || source || ':' || source), 1, 16) AS id, source AS label, 'docs' AS kind, 'https://docs.example/' || source AS url,
+  CASE WHEN source = 'src2' THEN NULL ELSE 's1' END AS current FROM documents)"""
+)
+
+
+def snapshot_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots(spark, sf_dir, "s0", False).unionByName(snapshots(spark, sf_dir, "s1", True))
+
+
+def catalog_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.listing(resources(spark, sf_dir), snapshot_hash(spark, sf_dir))
+
+
+def update_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.changed(snapshots(spark, sf_dir, "s0", False), snapshots(spark, sf_dir, "s1", True))
+
+
+def update_noop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.changed(snapshots(spark, sf_dir, "s0", False), snapshots(spark, sf_dir, "s0", False))
+
+
+def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = resources(spark, sf_dir)
+    new = r.filter("label < 'src2'").withColumn("current", F.lit("s9")).withColumn("updated_at", F.lit(2))
+    return catalog.upsert(r, new, ["id"], "updated_at").select("id", "label", "current", "updated_at")
+
+
+def remove_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.removed(snapshot_hash(spark, sf_dir), resources(spark, sf_dir).filter("label IN ('src0', 'src3')")).select("resource_id", "snapshot_id", "page_count")
+
+
+def target_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = resources(spark, sf_dir)
+    return catalog.find_target(r, "src4").unionByName(catalog.find_target(r, "https://docs.example/src5")).unionByName(catalog.find_target(r, "nothing")).select("id", "label", "url")
+
+
+def trusted_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = resources(spark, sf_dir)
+    links = r.select("id", F.when(F.col("label") < "src2", F.lit("mine")).alias("reason"))
+    return catalog.trusted(links, r.withColumn("reason", F.lit("known"))).select("id", "kind", "url", "current", "reason")
+
+
+def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("value")
+    return e.agg(*[catalog.nearest_rank(e, "value", p / 100).alias(f"p{p}") for p in (50, 90, 99)])
+
+
+def stress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    r = lambda c, n: F.round(c, 4).alias(n)
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), r(F.avg(v), "mean"), r(F.stddev_pop(v), "pstdev"), r(F.max(v), "longest"), r(F.sum(v), "total"))
+
+
+def slowest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(10)
+
+
+def status_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    err = text.ascii_lower(F.concat_ws(" ", "event_type", F.coalesce("props", F.lit(""))))
+    status = F.when(F.col("value") > 180, "timeout").when(~err.contains("error"), "ok").when(err.contains("429"), "rate_limited").when(err.contains("403"), "blocked").otherwise("failed")
+    return table(spark, sf_dir, "events").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def must_include(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each benchmark item, whether some document holds its words; the first three words are its answer terms."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.split(F.lower("text"), " "), 1, 3).alias("terms"))
+    d = table(spark, sf_dir, "documents").select(F.lower("text").alias("doc"))
+    hit = d.join(F.broadcast(b), F.forall("terms", lambda t: F.contains(F.col("doc"), t)))  # a fixed list of cases
+    return b.select("item_id").join(hit.groupBy("item_id").agg(F.count("*").alias("documents")), "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
+
+
+def resource_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resources(spark, sf_dir).select("id", "label", "url")
+
+
+VERSIONS = [("1.2.3", "1.2.3"), ("1.2.3", "1.10.0"), ("2.0.0-rc1", "1.9.9"), ("1.2", "1.2.0"), ("x.1.2", "1.0.0"), ("1.0.0+b", "1.0.0")]
+
+
+def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def triple(c: str):
+        parts = F.split(F.regexp_extract(c, "^([^-+]*)", 1), r"\.")
+        numbers = F.transform(parts, lambda p: p.try_cast("int"))
+        return F.when((F.size(parts) == 3) & F.forall(numbers, lambda n: n.isNotNull()), numbers)
+
+    a, b = triple("a"), triple("b")
+    order = F.when(a.isNull() | b.isNull(), "unknown").when(a < b, "older").when(a == b, "same").otherwise("newer")
+    return spark.createDataFrame(VERSIONS, "a string, b string").select("a", "b", order.alias("status"))
+
+
+def chunk_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_chunks(spark, sf_dir).select("chunk_key", "url", "chunk_index", "content_hash")
+
+
+def search_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus_chunks(spark, sf_dir)
+    s = chunking.search_content(F.col("label"), F.col("url"), F.array().cast("array<string>"), F.col("plain_text"), F.col("content"))
+    return c.select("chunk_key", F.sha2(s, 256).alias("search_hash"))
+
+
+def tokenize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.tokenize_query(F.col("text")), " ").alias("terms"))
+
+
+def fts_fold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.array_join(text.index_tokens(F.col("text")), " "), 256).alias("tokens"))
+
+
+def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = corpus_tokens(corpus_chunks(spark, sf_dir)).select(F.size("tokens").alias("d"))
+    return t.agg(F.count("*").alias("n"), F.sum("d").alias("tokens"), F.round(F.avg("d"), 6).alias("avgdl"))
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical(spark, sf_dir)
+
+
+def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical(spark, sf_dir, question="by-nc 4.0")
+
+
+def _scoped(spark: SparkSession, sf_dir: str, early: bool) -> DataFrame:
+    chunks = corpus_chunks(spark, sf_dir)
+    allowed = chunks.filter("label IN ('src1', 'src2')").select("chunk_key")
+    phrases = retrieval.phrases_of(TERMS, spark)
+    scored = retrieval.bm25(corpus_tokens(chunks), phrases)
+    if early:
+        return retrieval.top(scored.join(allowed, "chunk_key", "left_semi"), 50, "lexical_rank")
+    kept = retrieval.top(scored, 50, "first_rank").join(allowed, "chunk_key", "left_semi")
+    return kept.select("chunk_key", "score", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first_rank")).alias("lexical_rank"))
+
+
+def scope_post_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scoped(spark, sf_dir, False)
+
+
+def scope_pre_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scoped(spark, sf_dir, True)
+
+
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 10, "0").alias("chunk_key"), "embedding")
+    return retrieval.top(retrieval.cosine_scores(e, query_vector(spark, sf_dir)), 100, "vector_rank")
+
+
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused(spark, sf_dir)[1].select("chunk_key", "lexical_rank", "vector_rank", F.round("rrf", 8).alias("rrf"), "source_prior", "score")
+
+
+def anchor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchored(spark, sf_dir)[1].select("chunk_key", "overlap", "tier", "nth", "score")
+
+
+def top_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = retrieval.groups(anchored(spark, sf_dir)[1])
+    return g.select("rank", "url", "group_score", F.array_join(F.transform("anchor_chunks", lambda x: x.cast("string")), ",").alias("anchors"), "low", "high")
+
+
+def catalogue_sql(ctes: str, select: str) -> str:
+    return f"WITH RECURSIVE {ctes}\n{select}"
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        agent_query, input_classify, url_canonical, llms_candidates, html_sniff, html_to_text, page_links, link_scope, crawl_bfs, crawl_bfs_capped, md_sections, md_anchor,
+        snapshot_hash, catalog_list, update_changed, update_noop, catalog_upsert, remove_cascade, target_lookup, trusted_resolve, percentiles, stress_summary, slowest,
+        status_classify, must_include, resource_ids, version_compare, chunk_number, search_content, tokenize_query, fts_fold_tokens, bm25_stats, bm25_topk, bm25_phrase,
+        scope_post_limit, scope_pre_limit, cosine_topk, rrf_fuse, anchor_rows, top_groups,
+    )
+}
+
+_BM25 = _bm25_cte(PHRASES)
+_TEXT_OF = r"""replace(replace(replace(replace({}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"""
+_BODY = r"regexp_replace(regexp_replace(regexp_replace(html, '^.*?</head>', '', 's'), '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs')"
+_HREFS = r"""p AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS origin, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages),
+l AS (SELECT page_id, url, list_transform(hrefs, lambda h: regexp_replace(origin || h, '[?#].*$', '')) AS links FROM p)"""
+ORACLES: dict[str, str] = {
+    "agent_query": catalogue_sql(_BM25 + VECTOR_CTE + ANCHOR_CTE, "SELECT e.rank, e.url, g.group_score, c.label, e.chunk_index, e.evidence, e.content, b.total AS tokens_so_far, 'rrf_hybrid' AS retrieval_mode FROM ev e JOIN bud b USING (rank) JOIN topg g ON g.rank = e.rank JOIN (SELECT DISTINCT url, label FROM chunks) c ON c.url = e.url WHERE e.rank = 1 OR b.total <= 20000"),
+    "input_classify": catalogue_sql(PARTS_CTE, r"""
+SELECT url, CASE WHEN scheme IN ('http', 'https') AND host = 'github.com' THEN CASE WHEN regexp_matches(path, '^/[^/]+/[^/]+') THEN 'source' END
+  WHEN scheme IN ('http', 'https') AND host IN ('arxiv.org', 'www.arxiv.org') THEN CASE WHEN regexp_matches(path, '^/(abs|html|pdf)/[A-Za-z0-9./_-]+$') THEN 'research_paper' END
+  WHEN scheme IN ('http', 'https') THEN 'docs' WHEN scheme = 'file' THEN 'notes' END AS kind,
+  CASE WHEN path LIKE '/pdf/%' THEN regexp_replace(regexp_extract(path, '^/(?:abs|html|pdf)/([A-Za-z0-9./_-]+)$', 1), '\.pdf$', '') ELSE regexp_extract(path, '^/(?:abs|html|pdf)/([A-Za-z0-9./_-]+)$', 1) END AS paper_id FROM parts"""),
+    "url_canonical": catalogue_sql(PARTS_CTE, r"""
+SELECT url, CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+$') THEN regexp_replace(url, '[?#].*$', '') || '/' ELSE regexp_replace(url, '[?#].*$', '') END AS canonical,
+  translate(regexp_replace(host, '^www\.', ''), '.:', '--') AS label, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') LIKE '%/llms.txt' AS llms,
+  regexp_matches(lower(path), '\.(png|jpg|jpeg|gif|webp|svg|ico|css|js|mjs|map|pdf|zip|tar|gz|mp4|webm|woff|woff2|ttf)$') AS asset FROM parts"""),
+    "llms_candidates": r"""
+WITH b AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o FROM pages),
+c AS (SELECT page_id, [regexp_replace(u, '/+$', '') || '/llms.txt', CASE WHEN u = o THEN o || '/llms.txt' ELSE regexp_replace(u, '[^/]*$', '') || 'llms.txt' END, o || '/llms.txt'] AS c FROM b),
+e AS (SELECT page_id, unnest(c) AS candidate, unnest([1, 2, 3]) AS i FROM c), f AS (SELECT page_id, candidate, min(i) AS i FROM e GROUP BY ALL)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, candidate FROM f""",
+    "html_sniff": "SELECT page_id, page_id % 3 <> 0 AS is_html FROM pages",
+    "html_to_text": "WITH t AS (SELECT page_id, list_filter(list_transform(string_split_regex(" + _BODY + ", '<[^>]*>'), lambda x: trim(" + _TEXT_OF.format("x") + ", ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') AS x FROM pages) SELECT page_id, array_to_string(x, chr(10)) || chr(10) AS text FROM t",
+    "page_links": "WITH " + _HREFS + ", e AS (SELECT page_id, unnest(links) AS link, generate_subscripts(links, 1) AS i FROM l), f AS (SELECT page_id, link, min(i) AS i FROM e GROUP BY ALL) SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, link FROM f",
+    "link_scope": "WITH " + _HREFS + r""", s AS (SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS seed, unnest(links) AS link FROM l),
+r AS (SELECT *, regexp_extract(seed, '^([a-z]+://[^/]*)', 1) AS o, regexp_replace(regexp_replace(seed, '^[a-z]+://[^/]*', ''), '/*$', '/') AS root, regexp_replace(link, '^[a-z]+://[^/]*', '') AS path FROM s)
+SELECT page_id, link, (starts_with(path, root) OR path = rtrim(root, '/')) AND NOT regexp_matches(lower(path), '\.(png|jpg|jpeg|gif|webp|svg|ico|css|js|mjs|map|pdf|zip|tar|gz|mp4|webm|woff|woff2|ttf)$') AS in_scope FROM r""",
+    "crawl_bfs": BFS_SQL,
+    "crawl_bfs_capped": BFS_SQL + f" WHERE page_order < {MAX_PAGES}",
+    "md_sections": "WITH " + TURNS_CTE + r""", s AS (SELECT DISTINCT conv_id, k FROM t), b AS (SELECT *, '## ' || turn || ' ' || role || chr(10) || chr(10) || trim(text, ' ' || chr(10)) AS md FROM t)
+SELECT conv_id, 0 AS section_index, 'Conversation ' || conv_id AS path, 1 AS level, NULL::INT AS parent, NULL::INT AS previous, 1 AS next, 'conversation-' || conv_id AS anchor, 'Conversation ' || conv_id AS plain_text, sha256('# Conversation ' || conv_id) AS content_hash FROM s
+UNION ALL SELECT conv_id, n, 'Conversation ' || conv_id || ' > ' || turn || ' ' || role, 2, 0, n - 1, CASE WHEN n < k THEN n + 1 END, turn || '-' || role, trim(regexp_replace(turn || ' ' || role || ' ' || text, '\s+', ' ', 'g')), sha256(md) FROM b""",
+    "md_anchor": "WITH " + TURNS_CTE + """, s AS (SELECT DISTINCT conv_id FROM t), r AS (SELECT conv_id, n, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY n) AS m FROM t)
+SELECT conv_id, 0 AS section_index, 'conversation-' || conv_id AS anchor FROM s UNION ALL SELECT conv_id, n, CASE WHEN m = 1 THEN role ELSE role || '-' || m END FROM r""",
+    "snapshot_hash": catalogue_sql(HASH_CTE, "SELECT resource_id, snapshot_id, page_count, content_hash FROM snaps"),
+    "catalog_list": catalogue_sql(HASH_CTE, "SELECT id, label, kind, url, current, count(snapshot_id) AS snapshots, max(CASE WHEN snapshot_id = current THEN page_count END) AS page_count, max(CASE WHEN snapshot_id = current THEN content_hash END) AS content_hash FROM res LEFT JOIN snaps ON id = resource_id GROUP BY ALL"),
+    "update_changed": catalogue_sql(HASH_CTE, "SELECT a.resource_id, a.content_hash, a.content_hash <> b.content_hash AS changed FROM snaps a JOIN snaps b USING (resource_id) WHERE a.snapshot_id = 's1' AND b.snapshot_id = 's0'"),
+    "update_noop": catalogue_sql(HASH_CTE, "SELECT resource_id, content_hash, false AS changed FROM snaps WHERE snapshot_id = 's0'"),
+    "catalog_upsert": catalogue_sql(HASH_CTE, "SELECT id, label, CASE WHEN label < 'src2' THEN 's9' ELSE current END AS current, CASE WHEN label < 'src2' THEN 2 ELSE 1 END AS updated_at FROM res"),
+    "remove_cascade": catalogue_sql(HASH_CTE, "SELECT resource_id, snapshot_id, page_count FROM snaps WHERE resource_id NOT IN (SELECT id FROM res WHERE label IN ('src0', 'src3'))"),
+    "target_lookup": catalogue_sql(HASH_CTE, "SELECT id, label, url FROM res WHERE label IN ('src4', 'src5')"),
+    "trusted_resolve": catalogue_sql(HASH_CTE, "SELECT id, kind, url, current, CASE WHEN label < 'src2' THEN 'mine' ELSE 'known' END AS reason FROM res"),
+    "percentiles": "WITH o AS (SELECT value, row_number() OVER (ORDER BY value, event_id) - 1 AS i, count(*) OVER () AS n FROM events) SELECT " + ", ".join(f"max(CASE WHEN i = round_even((n - 1) * {p / 100}::DOUBLE, 0) THEN value END) AS p{p}" for p in (50, 90, 99)) + " FROM o",
+    "stress_summary": "SELECT event_type AS status, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS pstdev, round(max(value), 4) AS longest, round(sum(value), 4) AS total FROM events GROUP BY event_type",
+    "slowest": "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10",
+    "status_classify": "WITH e AS (SELECT value, lower(event_type || ' ' || coalesce(props, '')) AS x FROM events) SELECT CASE WHEN value > 180 THEN 'timeout' WHEN NOT contains(x, 'error') THEN 'ok' WHEN contains(x, '429') THEN 'rate_limited' WHEN contains(x, '403') THEN 'blocked' ELSE 'failed' END AS status, count(*) AS n FROM e GROUP BY 1",
+    "must_include": "WITH b AS (SELECT item_id, string_split(lower(text), ' ')[1:3] AS t FROM benchmark) SELECT item_id, (SELECT count(*) FROM documents d WHERE len(list_filter(b.t, lambda x: contains(lower(d.text), x))) = len(b.t)) AS documents FROM b",
+    "resource_ids": catalogue_sql(HASH_CTE, "SELECT id, label, url FROM res"),
+    "version_compare": "SELECT * FROM (VALUES ('1.2.3', '1.2.3', 'same'), ('1.2.3', '1.10.0', 'older'), ('2.0.0-rc1', '1.9.9', 'newer'), ('1.2', '1.2.0', 'unknown'), ('x.1.2', '1.0.0', 'unknown'), ('1.0.0+b', '1.0.0', 'same')) v(a, b, status)",
+    "chunk_number": catalogue_sql(CHUNKS_CTE, "SELECT chunk_key, url, chunk_index, sha256(content) AS content_hash FROM chunks"),
+    "search_content": catalogue_sql(CHUNKS_CTE, "SELECT chunk_key, sha256(label || chr(10) || url || chr(10) || plain_text || chr(10) || content) AS search_hash FROM chunks"),
+    "tokenize_query": r"WITH e AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}_./:@#-]+') AS w FROM benchmark)), f AS (SELECT item_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, i FROM e), g AS (SELECT item_id, w, min(i) AS i FROM (SELECT item_id, first_value(w) OVER (PARTITION BY item_id, w ORDER BY i) AS w, i FROM f) GROUP BY ALL) SELECT item_id, string_agg(w, ' ' ORDER BY i) AS terms FROM g GROUP BY item_id",
+    "fts_fold_tokens": r"SELECT doc_id, sha256(array_to_string(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ')) AS tokens FROM documents",
+    "bm25_stats": catalogue_sql(TOKENS_CTE, "SELECT count(*) AS n, sum(d)::BIGINT AS tokens, round(avg(d), 6) AS avgdl FROM lens"),
+    "bm25_topk": catalogue_sql(_BM25, "SELECT chunk_key, score, lexical_rank FROM lex"),
+    "bm25_phrase": catalogue_sql(_bm25_cte([("by", "nc"), ("4", "0")]), "SELECT chunk_key, score, lexical_rank FROM lex"),
+    "scope_post_limit": catalogue_sql(_BM25, "SELECT chunk_key, score, row_number() OVER (ORDER BY lexical_rank) AS lexical_rank FROM lex WHERE lexical_rank <= 50 AND chunk_key IN (SELECT chunk_key FROM chunks WHERE label IN ('src1', 'src2'))"),
+    "scope_pre_limit": catalogue_sql(_BM25, "SELECT chunk_key, score, row_number() OVER (ORDER BY score DESC, chunk_key) AS lexical_rank FROM bm WHERE chunk_key IN (SELECT chunk_key FROM chunks WHERE label IN ('src1', 'src2')) QUALIFY lexical_rank <= 50"),
+    "cosine_topk": "SELECT lpad(vec_id::VARCHAR, 10, '0') AS chunk_key, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score, row_number() OVER (ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) DESC, vec_id) AS vector_rank FROM embeddings QUALIFY vector_rank <= 100",
+    "rrf_fuse": catalogue_sql(_BM25 + VECTOR_CTE, "SELECT chunk_key, lexical_rank, vector_rank, round(rrf, 8) AS rrf, source_prior, score FROM cand"),
+    "anchor_rows": catalogue_sql(_BM25 + VECTOR_CTE + ANCHOR_CTE, "SELECT chunk_key, overlap, tier, nth, score FROM anch"),
+    "top_groups": catalogue_sql(_BM25 + VECTOR_CTE + ANCHOR_CTE, "SELECT rank, url, group_score, array_to_string(a, ',') AS anchors, low, high FROM topg"),
+}
