@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 #: An odd multiplier of the polynomial hashes (fixed value).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words a worker remembers; beyond this it forgets them all and goes on, which costs time only.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
+#: New words that are computed at once, which bounds the arrays of their n-grams.
+COMPUTED_AT_ONCE = 4096
 #: Bounds of the sample a model is fitted on: rows of each label, and bytes of a row's text.
 TRAIN_ROWS, TRAIN_BYTES = 3000, 1 << 16
 
@@ -77,7 +79,8 @@ class WordTable:
             new = set(words)
         if new:
             fresh = list(new)
-            made = self.compute(fresh)
+            parts = [self.compute(fresh[i : i + COMPUTED_AT_ONCE]) for i in range(0, len(fresh), COMPUTED_AT_ONCE)]
+            made = [np.concatenate(column) for column in zip(*parts, strict=True)]
             at = len(self.index)
             if self.columns is None or at + len(fresh) > len(self.columns[0]):
                 room = max(1 << 12, 2 * (at + len(fresh)))

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 #: Fixed value: the pattern by which byte-level BPE tokenizers of this family split a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Rows of an Arrow batch: texts are long, and a worker holds a few batches at a time.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -68,7 +68,7 @@ class Encoder:
             return np.array(self._slow.encode(text, add_special_tokens=False).ids, self.dtype)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder for each file and Python worker."""
     return Encoder(path)
