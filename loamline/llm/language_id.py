@@ -199,9 +199,9 @@ def train(sample: list[tuple[bytes, str]], seed: int = 0, max_batches: int = MAX
     return model
 
 
-def fit(labelled: DataFrame, rows: int = LANGUAGE_ROWS, seed: int = 0) -> LanguageModel:
-    """labelled: columns id, text, label (a language; null rows teach nothing). rows bounds each language's sample."""
-    return train(training_sample(labelled, min(rows, TRAIN_ROWS)), seed)
+def fit(texts: DataFrame, labels: DataFrame, rows: int = LANGUAGE_ROWS, seed: int = 0) -> LanguageModel:
+    """texts: columns id and text; labels: id and label (a language; null rows teach nothing). rows bounds each language's sample."""
+    return train(training_sample(texts, labels, min(rows, TRAIN_ROWS)), seed)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

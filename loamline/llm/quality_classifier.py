@@ -112,9 +112,9 @@ def train(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = EPOCHS,
     return QualityModel(vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, seed: int = 0) -> QualityModel:
-    """labelled: columns id, text, label (0 or 1). rows bounds the sample of each label."""
-    return train(training_sample(labelled, rows), seed)
+def fit(texts: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = 0) -> QualityModel:
+    """texts: columns id and text; labels: id and label (0 or 1). rows bounds the sample of each label."""
+    return train(training_sample(texts, labels, rows), seed)
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

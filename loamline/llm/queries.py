@@ -41,11 +41,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, folds: int, fold: int) -> DataFrame:
-    """id, text and label of the documents that a model may learn from."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(label).alias("label"))
-    learned = documents(spark, sf_dir).filter(~held_out("doc_id", folds, fold)).select("doc_id", "text")
-    return learned.join(labels, "doc_id").withColumnRenamed("doc_id", "id")
+def labelled(spark: SparkSession, sf_dir: str, label: str, folds: int, fold: int) -> tuple[DataFrame, DataFrame]:
+    """Texts, and the labels that a model may learn from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out("doc_id", folds, fold))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), labels.select(F.col("doc_id").alias("id"), F.col(label).alias("label"))
 
 
 def judged(scored: DataFrame, folds: int, fold: int, threshold: float) -> DataFrame:
@@ -54,12 +53,12 @@ def judged(scored: DataFrame, folds: int, fold: int, threshold: float) -> DataFr
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality_classifier.fit(labelled(spark, sf_dir, "quality", 5, 0))
+    model = quality_classifier.fit(*labelled(spark, sf_dir, "quality", 5, 0))
     return judged(quality_classifier.score(documents(spark, sf_dir), model), 5, 0, 0.3)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(labelled(spark, sf_dir, "toxic", 3, 1))
+    model = toxicity.fit(*labelled(spark, sf_dir, "toxic", 3, 1))
     return judged(toxicity.score(documents(spark, sf_dir), model), 3, 1, 0.7)
 
 
@@ -85,7 +84,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_model(docs: DataFrame) -> language_id.LanguageModel:
     """A model of the languages of docs, learned from four of five documents."""
     known = docs.filter(~held_out("doc_id", 5, 0)).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
-    return language_id.fit(known)
+    return language_id.fit(known.select("id", "text"), known.select("id", "label"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

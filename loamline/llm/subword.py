@@ -110,16 +110,18 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def training_sample(labelled: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> list[tuple[bytes, object]]:
-    """Texts and labels (columns text, label, id): of each label the rows of the smallest hashes, texts not too long.
+def training_sample(texts: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> list[tuple[bytes, object]]:
+    """Texts (columns id, text) and labels (id, label): of each label the ids of the smallest hashes, texts not too long.
 
-    Bounded: rows of each label times max_bytes. The same table gives the same sample in the same order.
+    Ids are chosen from the labels alone, so no text moves but those of the sample. Bounded: rows of each label times
+    max_bytes. The same tables give the same sample in the same order. Null ids, texts and labels teach nothing.
     """
-    small = labelled.filter("text IS NOT NULL AND label IS NOT NULL").filter(F.octet_length("text") <= max_bytes)
-    keyed = small.select("label", F.xxhash64("id", F.lit(17)).alias("key"), F.col("text").cast("binary").alias("text"))
-    labels = sorted(r["label"] for r in small.select("label").distinct().collect())
-    out = []
-    for label in labels:
-        for r in keyed.filter(F.col("label") == F.lit(label)).orderBy("key", "text").limit(rows).collect():
-            out.append((r["key"], bytes(r["text"]), label))
-    return [(text, label) for _, text, label in sorted(out, key=lambda x: (x[0], x[1]))]
+    known = labels.filter("id IS NOT NULL AND label IS NOT NULL").select("id", "label")
+    picks = []
+    for label in sorted(r["label"] for r in known.select("label").distinct().collect()):
+        best = known.filter(F.col("label") == F.lit(label)).select("id").orderBy(F.xxhash64("id", F.lit(17)), "id").limit(rows)
+        picks += [(r["id"], label) for r in best.collect()]
+    picked = labels.sparkSession.createDataFrame(sorted(set(picks)), known.schema)
+    small = texts.filter("text IS NOT NULL").filter(F.octet_length("text") <= max_bytes)
+    found = small.join(F.broadcast(picked), "id").dropDuplicates(["id", "label"]).select(F.xxhash64("id", F.lit(17)).alias("key"), F.col("text").cast("binary").alias("text"), "label")
+    return [(bytes(r["text"]), r["label"]) for r in sorted(found.collect(), key=lambda r: (r["key"], r["text"], r["label"]))]
