@@ -62,7 +62,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL expresses neither the learned stage nor the tokenizer; the tests hold run() against a plain version.
+#: SQL expresses neither the learned stage nor the tokenizer. The tests hold the stages' operators against plain versions.
 ORACLE_SQL = None
 
 
