@@ -84,3 +84,28 @@ def input_kind(url: Column) -> Column:
         .when(web, F.lit("docs"))
         .when(scheme(url) == "file", F.lit("notes"))
     )
+
+
+def in_llms_scope(llms: Column, candidate: Column) -> Column:
+    """Whether a link of an llms.txt may be visited: same origin, below the folder it lies in, no asset."""
+    folder = F.regexp_replace(F.regexp_replace(path(llms), "[^/]*$", ""), "/*$", "/")
+    return same_origin(llms, candidate) & F.startswith(path(candidate), folder) & ~is_asset(candidate)
+
+
+def default_name(url: Column) -> Column:
+    """The label of an input by its kind: repository, paper, file or host."""
+    kind = input_kind(url)
+    last = F.regexp_extract(path(url), "([^/]+)/*$", 1)
+    repository = F.regexp_replace(F.regexp_extract(path(url), "^/[^/]+/([^/]+)", 1), r"\.git$", "")
+    return (
+        F.when(kind == "source", repository)
+        .when(kind == "research_paper", F.concat(F.lit("arxiv-"), F.translate(arxiv_id(url), "/", "-")))
+        .when(kind == "notes", F.regexp_replace(last, r"(?<=.)\.[^.]*$", ""))
+        .otherwise(default_label(url))
+    )
+
+
+def retry_seconds(retry_after: Column, attempt: Column) -> Column:
+    """How long to wait after a 429 or 503: what the server asks for, else half a second doubled each time; 10 at most."""
+    asked = F.when(retry_after.rlike("^[0-9]+$"), F.coalesce(retry_after.try_cast("double"), F.lit(10.0)))
+    return F.least(F.coalesce(asked, F.lit(0.5) * F.pow(F.lit(2.0), attempt)), F.lit(10.0))

@@ -2,14 +2,45 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import bounded_batches
+
+HASHED = ["resource_id", "snapshot_id", "page_count", "content_hash"]
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digests of runs of sorted pages; a run may go on in the next batch, and only its digest's state is kept."""
+    key, state, count = None, None, 0
+    done = lambda: pd.DataFrame([(*key, count, state.hexdigest())], columns=HASHED)
+    for batch in batches:
+        for resource, snapshot, url, content in batch.itertuples(index=False):
+            if state is None or key != (resource, snapshot):
+                if state is not None:
+                    yield done()
+                key, state, count = (resource, snapshot), hashlib.sha256(), 0
+            count += 1
+            if url is not None and content is not None:
+                state.update(f"{url}\n{content}\n".encode())
+    if state is not None:
+        yield done()
+
 
 def snapshot_hash(pages: DataFrame) -> DataFrame:
-    """resource_id, snapshot_id, page_count and content_hash of the pages in order."""
-    one = F.sort_array(F.collect_list(F.struct("page_index", F.concat("url", F.lit("\n"), "content", F.lit("\n")).alias("t"))))
-    return pages.groupBy("resource_id", "snapshot_id").agg(F.count("*").alias("page_count"), F.sha2(F.array_join(F.transform(one, lambda x: x.t), ""), 256).alias("content_hash"))
+    """resource_id, snapshot_id, page_count and content_hash of the pages in order.
+
+    The hash of a snapshot is sequential by definition; its pages stream through one task, which holds a batch at once.
+    Pages with a null URL or content count, but add nothing to the hash.
+    """
+    bounded_batches(pages.sparkSession)
+    keys = ["resource_id", "snapshot_id"]
+    rows = pages.select(*keys, "page_index", "url", "content").repartition(*keys).sortWithinPartitions(*keys, "page_index", "url")
+    return rows.select(*keys, "url", "content").mapInPandas(_digests, "resource_id string, snapshot_id string, page_count long, content_hash string")
 
 
 def listing(resources: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -53,6 +84,27 @@ def trusted(links: DataFrame, resources: DataFrame) -> DataFrame:
     return links.select("id", F.col("reason").alias("given")).join(r, "id").select("id", "kind", "url", "current", F.coalesce("given", "known").alias("reason"))
 
 
+def history(resources: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The snapshots of each resource by place, the latest first; of equal times the larger id."""
+    s = snapshots.join(resources.select(F.col("id").alias("resource_id"), "label", "current"), "resource_id")
+    latest = Window.partitionBy("resource_id").orderBy(F.desc("fetched_at"), F.desc("snapshot_id"))
+    return s.withColumn("place", F.row_number().over(latest)).withColumn("is_current", F.col("snapshot_id").eqNullSafe(F.col("current")))
+
+
+def linked(listing: DataFrame, links: DataFrame, project_only: bool = False) -> DataFrame:
+    """A listing with linked: whether the project links the resource; or only those it links."""
+    ids = links.select(F.col("id").alias("link_id")).distinct()
+    out = listing.join(ids, F.col("id") == F.col("link_id"), "left").withColumn("linked", F.col("link_id").isNotNull()).drop("link_id")
+    return out.filter("linked") if project_only else out
+
+
+def queryable(resources: DataFrame, label: str | None = None, kind: str | None = None) -> DataFrame:
+    """The resources a question may reach: never source trees; with this label and kind, where given."""
+    out = resources.filter(F.col("kind").isin("docs", "notes", "research_paper"))
+    out = out if label is None else out.filter(F.col("label") == label)
+    return out if kind is None else out.filter(F.col("kind") == kind)
+
+
 def nearest_rank(rows: DataFrame, value: str, p: float) -> Column:
     """The nearest-rank percentile as an aggregate: the value at place round((n - 1) * p), halves to even."""
     n = rows.count()

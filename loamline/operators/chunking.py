@@ -1,11 +1,13 @@
-"""From pages to numbered, searchable chunks; all of it higher-order functions and windows."""
+"""From pages to numbered, searchable chunks; by higher-order functions and running totals."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markdown import section_markdown
 from ..functions.text import compact_whitespace, content_hash, unicode_trim
+from .numbering import running_total
 
 CHUNK_BYTES = 2400
 
@@ -28,16 +30,62 @@ def pack_paragraphs(text: Column, limit: int = CHUNK_BYTES) -> Column:
     return F.aggregate(paragraphs, start, add, lambda s: F.when(F.size(s.open) > 0, F.array_append(s.done, F.array_join(s.open, "\n\n"))).otherwise(s.done))
 
 
+SNAPSHOT = ["resource_id", "snapshot_id"]
+
+
+def _numbered(pages: DataFrame, chunks: Column) -> DataFrame:
+    """pages with a row for each of their chunks; chunk_index counts over the snapshot in the order of pages."""
+    kept = [c for c in pages.columns if c != "content"]
+    cut = pages.select(*kept, chunks.alias("lm_chunks"))
+    placed = running_total(cut, SNAPSHOT, "page_index", F.size("lm_chunks"), "lm_first")
+    out = placed.select(*kept, "lm_first", F.posexplode("lm_chunks").alias("page_chunk", "chunk"))
+    out = out.withColumn("chunk_index", F.col("lm_first") + F.col("page_chunk")).drop("lm_first")
+    key = F.concat("resource_id", F.lit(":"), "snapshot_id", F.lit(":"), F.lpad(F.col("chunk_index").cast("string"), 10, "0"))
+    return out.withColumn("chunk_key", key)
+
+
 def chunk_pages(pages: DataFrame) -> DataFrame:
-    """pages (resource_id, snapshot_id, label, page_index, url, content, ...) with a row for each chunk.
+    """pages (resource_id, snapshot_id, label, page_index, url, content, ...) with a row for each packed chunk.
 
-    chunk_index counts over the snapshot in the order of pages; the window is one snapshot, the unit of indexing.
+    A page of no or null content has none.
     """
-    out = pages.select("*", F.posexplode(pack_paragraphs(F.col("content"))).alias("page_chunk", "chunk")).drop("content")
-    order = Window.partitionBy("resource_id", "snapshot_id").orderBy("page_index", "page_chunk")
-    out = out.withColumn("chunk_index", (F.row_number().over(order) - 1).cast("long")).withColumn("plain_text", compact_whitespace(F.col("chunk")))
-    key = F.concat("resource_id", F.lit(":"), "snapshot_id", F.lit(":"), F.lpad(F.col("chunk_index").cast("string"), 10, "0"))
-    return out.withColumnRenamed("chunk", "content").withColumn("chunk_key", key).withColumn("content_hash", content_hash(F.col("content")))
+    out = _numbered(pages, pack_paragraphs(F.col("content"))).withColumnRenamed("chunk", "content")
+    return out.withColumn("plain_text", compact_whitespace(F.col("content"))).withColumn("content_hash", content_hash(F.col("content")))
+
+
+def note_chunks(pages: DataFrame) -> DataFrame:
+    """pages of Markdown with a row for each section, and its place in the tree of sections."""
+    out = _numbered(pages, section_markdown(F.col("content")))
+    part = lambda name: F.col(f"chunk.{name}")
+    return out.select(
+        *[c for c in out.columns if c != "chunk"],
+        part("markdown").alias("content"),
+        part("plain_text"),
+        part("content_hash"),
+        part("section_index"),
+        part("heading_path"),
+        part("level").alias("heading_level"),
+        part("parent").alias("parent_section_index"),
+        part("previous").alias("previous_section_index"),
+        part("next").alias("next_section_index"),
+        part("anchor"),
+    )
+
+
+def page_chunks(pages: DataFrame) -> DataFrame:
+    """The chunks of pages of any kind (a column): sections of notes, packed paragraphs of everything else."""
+    none = F.lit(None)
+    plain = chunk_pages(pages.filter(~F.col("kind").eqNullSafe("notes"))).select(
+        "*",
+        F.lit(0).alias("section_index"),
+        F.array().cast("array<string>").alias("heading_path"),
+        F.lit(0).alias("heading_level"),
+        none.cast("int").alias("parent_section_index"),
+        F.when(F.col("page_chunk") > 0, F.col("page_chunk") - 1).alias("previous_section_index"),
+        none.cast("int").alias("next_section_index"),
+        none.cast("string").alias("anchor"),
+    )
+    return plain.unionByName(note_chunks(pages.filter(F.col("kind") == "notes")))
 
 
 def search_content(label: Column, url: Column, heading_path: Column, plain_text: Column, content: Column) -> Column:

@@ -1,10 +1,14 @@
-"""Bounded breadth-first crawl over a table of links."""
+"""Bounded breadth-first crawls: over a table of links, and over what a fetcher brings."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import canonical_url, in_llms_scope, in_scope, is_llms_txt, llms_candidates
+
 
 def bounded_bfs(nodes: DataFrame, edges: DataFrame, seed: DataFrame, max_pages: int) -> DataFrame:
     """url, level and page_order of what a crawl from seed fetches, level by level, at most max_pages pages.
@@ -33,3 +37,43 @@ def bounded_bfs(nodes: DataFrame, edges: DataFrame, seed: DataFrame, max_pages:
         seen = seen.unionByName(frontier).checkpoint()
         level += 1
     return fetched if fetched is not None else nodes.select("url", F.lit(0).alias("level"), F.lit(0).cast("long").alias("page_order")).limit(0)
+
+
+#: The most pages a crawl fetches unless told otherwise.
+MAX_PAGES = 2048
+
+
+def site(spark: SparkSession, seed: str, fetch: Callable[[DataFrame], DataFrame], max_pages: int = MAX_PAGES) -> DataFrame:
+    """page_index, url and content of a site's pages from seed, at most max_pages.
+
+    fetch turns a table of url into url, page_url, content, links and error, its calls spread over the executors.
+    The first llms.txt found is page 0 and its links, in their order, come before the seed; from then on each level
+    goes in the order of URLs. Failed fetches are left out. Seen URLs stay distributed; the driver holds counts alone.
+    """
+    of = lambda urls: spark.createDataFrame([(u,) for u in urls], "url string")
+    at = spark.createDataFrame([(seed,)], "seed string").select(llms_candidates(F.col("seed")).alias("llms"), is_llms_txt(F.col("seed")).alias("own"), canonical_url(F.col("seed")).alias("seed")).first()
+    pages, tried, frontier = None, [], None
+    for candidate in at["llms"]:  # three at most
+        tried.append(candidate)
+        got = fetch(of([candidate])).filter("error IS NULL").checkpoint()
+        if not got.isEmpty():
+            pages = got.select(F.lit(0).cast("long").alias("page_index"), F.col("page_url").alias("url"), "content")
+            found = got.select(F.posexplode("links").alias("place", "url")).withColumn("url", canonical_url(F.col("url"))).filter(in_llms_scope(F.lit(candidate), F.col("url")))
+            frontier = found.groupBy("url").agg(F.min("place").alias("place")).join(of(tried), "url", "left_anti").select("url", F.lpad(F.col("place").cast("string"), 10, "0").alias("place"))
+            break
+    first = spark.createDataFrame([] if at["own"] else [(at["seed"], "last")], "url string, place string")
+    frontier = first if frontier is None else frontier.unionByName(first.join(frontier.select("url"), "url", "left_anti"))
+    frontier = frontier.join(of(tried), "url", "left_anti").checkpoint()
+    seen = frontier.select("url").unionByName(of(tried)).checkpoint()
+    count = 0 if pages is None else 1
+    while count < max_pages and not frontier.isEmpty():
+        batch = frontier.orderBy("place", "url").limit(max_pages - count)
+        got = fetch(batch.select("url")).filter("error IS NULL").join(batch, "url").checkpoint()
+        order = Window.partitionBy(F.lit(0)).orderBy("place", "url")  # max_pages rows at most
+        level = got.select((F.row_number().over(order) + count - 1).cast("long").alias("page_index"), F.col("page_url").alias("url"), "content")
+        pages = level if pages is None else pages.unionByName(level)
+        count += got.count()
+        found = got.select(F.explode("links").alias("url")).select(canonical_url(F.col("url")).alias("url")).filter(in_scope(F.lit(at["seed"]), F.col("url")))
+        frontier = found.distinct().join(seen, "url", "left_anti").withColumn("place", F.col("url")).checkpoint()
+        seen = seen.unionByName(frontier.select("url")).checkpoint()
+    return pages if pages is not None else spark.createDataFrame([], "page_index long, url string, content string")

@@ -143,3 +143,63 @@ def within_budget(evidence: DataFrame, budget: int = BUDGET) -> DataFrame:
     total = F.sum("tokens").over(Window.partitionBy(F.lit(0)).orderBy("rank"))
     kept = cost.withColumn("total", total).filter((F.col("rank") == 1) | (F.col("total") <= budget)).select("rank", "total")
     return evidence.join(F.broadcast(kept), "rank")
+
+
+def context_ranges(chosen: DataFrame, width: int = CONTEXT) -> DataFrame:
+    """Each group's ranges of chunks around its anchors; those that overlap or touch are one."""
+    group = Window.partitionBy("resource_id", "snapshot_id", "url").orderBy("anchor")
+    rows = chosen.select("rank", "resource_id", "snapshot_id", "url", F.explode("anchor_chunks").alias("anchor"))
+    new = F.coalesce((F.col("anchor") - F.lag("anchor").over(group) > 2 * width + 1).cast("int"), F.lit(1))
+    rows = rows.withColumn("new", new).withColumn("island", F.sum("new").over(group))
+    ends = [F.greatest(F.min("anchor") - width, F.lit(0)).alias("first_chunk"), (F.max("anchor") + width).alias("last_chunk")]
+    return rows.groupBy("rank", "resource_id", "snapshot_id", "url", "island").agg(*ends)
+
+
+#: Columns of a chunk that evidence shows, and those it shows for debugging.
+SHOWN = ["section_index", "heading_path", "heading_level", "anchor", "plain_text", "content_hash"]
+DEBUG = ["chunk_key", "parent_section_index", "previous_section_index", "next_section_index"]
+
+
+def evidence_items(kept: DataFrame, anchored: DataFrame, chunks: DataFrame, debug: bool = False) -> DataFrame:
+    """A row for each chunk of the kept groups; scores and ranks on anchors alone."""
+    at = ["resource_id", "snapshot_id", "url", "chunk_index"]
+    scores = anchored.select(*at, F.col("score").alias("anchor_score"), "lexical_rank", "vector_rank", "lexical_score", "vector_score", "source_prior")
+    facts = chunks.select(*at, "kind", *SHOWN, *DEBUG)
+    rows = facts.join(F.broadcast(kept), at).join(F.broadcast(scores), at, "left")  # the anchors and neighbours of top_k groups
+    out = ["rank", "kind", "label", F.col("url").alias("citation"), "snapshot_id", "group_score", "anchor_chunks", "chunk_index", "evidence", "content", *SHOWN, F.col("anchor_score").alias("score"), "lexical_rank", "vector_rank"]
+    more = F.struct(*DEBUG, "lexical_score", "vector_score", F.when(F.col("source_prior") > 0, "llms_txt").alias("source_prior"), F.col("source_prior").alias("source_prior_score"))
+    return rows.select(*out, *([more.alias("debug")] if debug else []))
+
+
+def results(items: DataFrame) -> DataFrame:
+    """A row for each group, its evidence an array in the order of chunks (a handful for each of three anchors)."""
+    group = ["rank", "kind", "label", "citation", "snapshot_id", F.col("group_score").alias("score"), F.col("anchor_chunks").alias("matched_chunk_indexes")]
+    sections = F.array_sort(F.collect_set(F.when(F.array_contains("anchor_chunks", F.col("chunk_index")), F.col("section_index"))))
+    item = F.struct("chunk_index", *[c for c in items.columns if c not in ("rank", "kind", "label", "snapshot_id", "group_score", "anchor_chunks", "chunk_index")])
+    return items.groupBy(*group).agg(sections.alias("matched_section_indexes"), F.sort_array(F.collect_list(item)).alias("evidence"))
+
+
+def search(chunks: DataFrame, terms: list[str], phrases: list[list[str]], vector: list[float] | None, allowed: DataFrame, top_k: int = TOP_K, budget: int = BUDGET, early: bool = False, debug: bool = False) -> DataFrame:
+    """Evidence rows for a question over indexed chunks (with tokens and, for a vector, embedding).
+
+    allowed: resource_id of what the question may reach. Vectors are scoped before they are ranked; lexical hits after
+    the candidate limit, or before it with early. BM25 statistics are always those of the whole index.
+    """
+    limit = candidate_limit(top_k)
+    keys = chunks.join(allowed.select("resource_id").distinct(), "resource_id", "left_semi").select("chunk_key")
+    scored = bm25(chunks.select("chunk_key", "tokens"), phrases)
+    if early:
+        lexical = top(scored.join(keys, "chunk_key", "left_semi"), limit, "lexical_rank")
+    else:
+        late = top(scored, limit, "lm_rank").join(keys, "chunk_key", "left_semi")
+        lexical = late.withColumn("lexical_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("lm_rank"))).drop("lm_rank")
+    if vector is None:
+        near = chunks.select("chunk_key", F.lit(0.0).alias("score"), F.lit(0).alias("vector_rank")).limit(0)
+    else:
+        near = top(cosine_scores(chunks.select("chunk_key", "embedding").join(keys, "chunk_key", "left_semi"), vector), limit, "vector_rank")
+    facts = chunks.select("chunk_key", "resource_id", "snapshot_id", "url", "label", "chunk_index", "heading_path", "plain_text")
+    candidates = with_prior(facts.join(F.broadcast(fuse(lexical, near)), "chunk_key"))  # two candidate limits of rows
+    counted = candidates.withColumn("overlap", overlap(terms, F.col("label"), F.col("heading_path"), F.col("plain_text")))
+    best = anchors(counted)
+    kept = within_budget(context(groups(best, top_k), chunks), budget)
+    return evidence_items(kept.select("rank", "resource_id", "snapshot_id", "url", "label", "group_score", "anchor_chunks", "chunk_index", "evidence", "content"), best, chunks, debug)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, markdown, text, urls
 from ..operators import catalog, chunking, crawl, retrieval
+from ..operators.numbering import running_total
 
 QUESTION = "Which ones are Licensed under CC BY-NC 4.0? pathetic loser, and the worthless"
 MAX_PAGES = 40
@@ -33,9 +34,7 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as pages of one resource a source; a source's first document stands for its llms.txt."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    first = Window.partitionBy("source").orderBy("doc_id")
-    n = F.row_number().over(first) - 1
-    d = d.withColumn("page_index", n.cast("long"))
+    d = running_total(d, ["source"], "doc_id", F.lit(1), "page_index")
     name = F.when(F.col("page_index") == 0, F.lit("llms.txt")).otherwise(F.col("doc_id").cast("string"))
     return d.select(
         text.stable_id(F.concat(F.lit("docs:"), "source", F.lit(":"), "source")).alias("resource_id"),
