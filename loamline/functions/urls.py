@@ -46,7 +46,7 @@ def same_origin(a: Column, b: Column) -> Column:
 
 def in_scope(seed: Column, candidate: Column) -> Column:
     """Whether a crawl from seed may visit candidate: same origin, below the seed's path, no asset."""
-    root = F.regexp_replace(path(seed), "/*$", "/")
+    root = F.concat(F.regexp_replace(path(seed), "/+$", ""), F.lit("/"))
     below = F.startswith(path(candidate), root) | (path(candidate) == F.regexp_replace(root, "(?<=.)/$", ""))
     return same_origin(seed, candidate) & below & ~is_asset(candidate)
 
@@ -88,7 +88,7 @@ def input_kind(url: Column) -> Column:
 
 def in_llms_scope(llms: Column, candidate: Column) -> Column:
     """Whether a link of an llms.txt may be visited: same origin, below the folder it lies in, no asset."""
-    folder = F.regexp_replace(F.regexp_replace(path(llms), "[^/]*$", ""), "/*$", "/")
+    folder = F.concat(F.regexp_replace(path(llms), "/+[^/]*$", ""), F.lit("/"))
     return same_origin(llms, candidate) & F.startswith(path(candidate), folder) & ~is_asset(candidate)
 
 

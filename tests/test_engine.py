@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamline.engine import Engine
 from loamline.functions.embedding import HashingEmbedder
+from loamline.functions.urls import in_scope
 from loamline.operators.crawl import site
 from loamline.operators.numbering import running_total
 from loamline.sources import fetch, files
@@ -48,6 +49,12 @@ def test_site_order(spark):
     assert site(spark, "https://nothing.example/", bring).count() == 0
 
 
+def test_scope_of_folders(spark):
+    rows = [("https://h/", "https://h/a", True), ("https://h/docs/", "https://h/docs/a", True), ("https://h/docs/", "https://h/docsa", False), ("https://h", "https://h/x/y", True), ("https://h/docs", "https://h:444/docs/a", False)]
+    df = spark.createDataFrame(rows, "seed string, link string, want boolean")
+    assert df.filter(in_scope(F.col("seed"), F.col("link")) != F.col("want")).count() == 0
+
+
 def test_fetch_limits():
     waits, left = [], [fetch.Response(429, b"", retry_after="999"), fetch.Response(503, b""), fetch.Response(200, b"ok")]
     assert fetch.get("u", lambda _: left.pop(0), waits.append).body == b"ok" and waits == [10.0, 1.0]
