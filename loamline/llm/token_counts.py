@@ -2,8 +2,10 @@
 
 A rollup holds additive totals (documents, tokens) by source, language and tokenizer version. Batches of changes come
 as inserts, deletes and revisions; a batch is summed into signed deltas by key before anything is shuffled, written
-beside the others, and made visible by one marker file that only one writer can create. A batch id that has been
-committed is never applied again, so a failed or repeated run may be replayed at will.
+beside the others, and made visible by one marker file, written whole and then renamed to a name that only one writer can
+take. A batch id that has been committed is never applied again, and a writer that dies before the rename leaves nothing
+that counts, so a failed or repeated run may be replayed at will. (Local file systems check the name before they rename,
+so there two writers at the very same moment are not kept apart; stores with atomic renames do so.)
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ class TokenRollup:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _commits(self) -> dict[str, dict]:
-        """The markers by batch id; one that is still being written does not count."""
+        """The markers by batch id."""
         folder, fs = self._fs(f"{self.path}/commits")
         if not fs.exists(folder):
             return {}
@@ -75,9 +77,8 @@ class TokenRollup:
                 text = bytes(stream.readAllBytes()).decode()
             finally:
                 stream.close()
-            if text.endswith("\n"):
-                marker = json.loads(text)
-                found[marker["batch"]] = marker
+            marker = json.loads(text)
+            found[marker["batch"]] = marker
         return found
 
     def batches(self) -> list[str]:
@@ -87,17 +88,25 @@ class TokenRollup:
         data = f"{self.path}/deltas/{quote(batch, safe='')}/{uuid.uuid4().hex}"
         rows.write.parquet(data)
         marker, fs = self._fs(f"{self.path}/commits/{quote(batch, safe='')}")
+        pending, _ = self._fs(f"{self.path}/pending/{uuid.uuid4().hex}")
+        stream = fs.create(pending, False)
         try:
-            stream = fs.create(marker, False)  # fails where another writer has been first
+            stream.write(bytearray((json.dumps({"batch": batch, "data": data, "covers": covers}) + "\n").encode()))
+        finally:
+            stream.close()
+        fs.mkdirs(marker.getParent())
+        sc = self.spark.sparkContext
+        jvm = sc._jvm
+        never_over = sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        never_over[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(pending, marker, never_over)
         except Exception:
+            fs.delete(pending, False)
             if not fs.exists(marker):
                 raise
-            fs.delete(self._fs(data)[0], True)
+            fs.delete(self._fs(data)[0], True)  # another writer has been first
             return False
-        try:
-            stream.write(bytearray((json.dumps({"batch": batch, "data": data, "covers": covers}) + "\n").encode()))
-        finally:
-            stream.close()
         return True
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
@@ -109,7 +118,9 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over all committed batches. Keys that sum to nothing are left out."""
-        commits = self._commits()
+        return self._summed(self._commits())
+
+    def _summed(self, commits: dict[str, dict]) -> DataFrame:
         covered = {x for m in commits.values() for x in m["covers"]}
         paths = [m["data"] for b, m in commits.items() if b not in covered]
         schema = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -118,5 +129,7 @@ class TokenRollup:
 
     def compact(self) -> bool:
         """Sums all committed batches into one that stands for them; their ids stay known, so replays stay no-ops."""
-        covers = self.batches()
-        return self._commit(f"compact-{uuid.uuid4().hex}", self.totals(), covers)
+        commits = self._commits()  # read once: a batch committed meanwhile is neither summed nor covered
+        covers = sorted(commits)
+        name = f"compact-{sum(b.startswith('compact-') for b in commits)}"  # of two compactions at once only one gets the name
+        return self._commit(name, self._summed(commits), covers)

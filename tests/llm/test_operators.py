@@ -198,6 +198,20 @@ def test_rollup_follows_signed_batches_and_ignores_replays(spark, tmp_path):
         roll.apply("4", change(("move", "a", "en", "v1", 1, None, None, None, None)))
 
 
+def test_rollup_keeps_what_other_writers_commit_meanwhile(spark, tmp_path):
+    row = lambda n: spark.createDataFrame([("insert", "a", "en", "v1", n, None, None, None, None)], CHANGES)
+    roll, other = TokenRollup(spark, str(tmp_path / "r")), TokenRollup(spark, str(tmp_path / "r"))
+    assert roll.apply("1", row(10))
+    known = roll._commits
+    late = known()
+    assert other.apply("2", row(5)) and other.compact()
+    roll._commits = lambda: late  # a writer that looked before the other one committed
+    assert not roll.compact() and not roll.apply("2", row(5))
+    roll._commits = known
+    assert [tuple(r) for r in roll.totals().collect()] == [("a", "en", "v1", 2, 15)]
+    assert roll.compact() and [tuple(r) for r in other.totals().collect()] == [("a", "en", "v1", 2, 15)]
+
+
 def test_token_counts(docs, empty):
     fast = encoder(default_tokenizer())
     for r in count_tokens(docs, keep=("text",)).collect():
