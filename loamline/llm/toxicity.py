@@ -104,35 +104,53 @@ def locate(text: bytes, wanted: np.ndarray) -> list[tuple[int, int]]:
     return [(spans[a][0], spans[b][1] - spans[a][0]) for a, b in zip(first, last, strict=True)]
 
 
-def train(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = EPOCHS, rate: float = RATE) -> ToxicityModel:
-    """Learns from texts and document labels. Without both labels the model scores every sentence alike, near 0."""
+def _word_features(words: list[bytes], at_once: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the words' features, one word's after another's, and where each word's begin (and the last's end).
+
+    A sample has few distinct words, so this takes a fraction of the memory that features of every word in place would.
+    """
+    buckets, sizes = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+    for i in range(0, len(words), at_once):
+        some = words[i : i + at_once]
+        grams, of = ngram_hashes(some, NGRAMS)
+        of = np.concatenate([np.arange(len(some)), of])
+        buckets.append(np.concatenate([_bucket(word_hashes(some)), _bucket(grams)])[np.argsort(of, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(of, minlength=len(some)))
+    return np.concatenate(buckets), np.cumsum(np.concatenate(sizes))
+
+
+def train(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = EPOCHS, rate: float = RATE, start: float = START) -> ToxicityModel:
+    """Learns from texts and document labels. start: the bias before training. Without both labels the model scores every sentence alike, near 0."""
     rng = np.random.default_rng(seed)
     weights, seen = np.zeros(1 << BUCKET_BITS), np.full(1 << BUCKET_BITS, 1e-2)
-    bias, bias_seen = START, 1e-2
+    bias, bias_seen = start, 1e-2
+    index: dict[bytes, int] = {}
     bags = []
     for text, label in sample:
         words, breaks = _tokens(text)
-        if not words:
-            continue
-        of = _sentences(_ends(words), breaks)
-        bare = _bare(words)
-        grams, word = ngram_hashes(bare, NGRAMS)
-        bags.append((np.concatenate([_bucket(word_hashes(bare)), _bucket(grams)]).astype(np.int32), np.concatenate([np.arange(len(of)), word]).astype(np.int32), of, int(label)))
+        if words:
+            rows = np.array([index.setdefault(w, len(index)) for w in _bare(words)], np.int32)
+            bags.append((rows, _sentences(_ends(words), breaks).astype(np.int32), int(label)))
     if len({label for *_, label in bags}) < 2:
-        return ToxicityModel(weights, START)
+        return ToxicityModel(weights, start)
+    buckets, first = _word_features(list(index))
     epochs = max(epochs, -(-MIN_STEPS // len(bags)))  # small samples are seen more often
     for epoch in range(epochs):
         pace = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(bags)):
-            at, word, of, label = bags[i]
+            rows, of, label = bags[i]
+            distinct, place = np.unique(rows, return_inverse=True)
+            sizes = first[distinct + 1] - first[distinct]
+            word = np.repeat(np.arange(len(distinct)), sizes)
+            at = buckets[np.arange(len(word)) + np.repeat(first[distinct] - (np.cumsum(sizes) - sizes), sizes)]
             each = np.bincount(word, weights[at])
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(of, _evidence(each)) + bias, -60, 60)))
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(of, _evidence(each)[place]) + bias, -60, 60)))
             p = np.minimum(p, 1 - 1e-12)
             none = np.exp(np.log1p(-p).sum())  # that no sentence is toxic
             g = -p * none / max(1 - none, 1e-9) if label else p
             if np.abs(g).max() < 1e-4:
                 continue
-            pull = (g[of] * np.where(each >= 0, 1, LEAK))[word]
+            pull = (np.bincount(place, g[of]) * np.where(each >= 0, 1, LEAK))[word]
             live = np.abs(pull) > 1e-6
             hit, back = np.unique(at[live], return_inverse=True)
             slope = np.bincount(back, pull[live])
