@@ -19,14 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subword import TRAIN_ROWS, ngram_hashes, training_sample, word_hashes, worker_table
+from .subword import TRAIN_BYTES, TRAIN_ROWS, ngram_hashes, training_sample, word_hashes, worker_table
 from .tokens import bounded_batches
 
 BUCKET_BITS, NGRAMS, CHAIN, RATE, BATCH_CHAINS, MAX_BATCHES = 16, (2, 3, 4, 5), 128, 0.3, 64, 160
 #: Texts of each language in the sample, words of a language's lexicon, and the share a lexicon word has in it.
 LANGUAGE_ROWS, LEXICON, LEXICON_SHARE = 400, 300, 0.7
 UNDETERMINED = "und"
-WORDS = re.compile(r"[^\W\d_]+")
+#: Runs of word characters but digits and _; these hold letters, and numbers such as fractions and superscripts.
+RUNS = re.compile(r"[^\W\d_]+")
+#: A stretch of words of one language: the number of its first word, how many words, and the language.
+SPAN = "struct<first_word:long,n_words:long,lang:string>"
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -34,7 +37,11 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    """The maximal runs of letters (Unicode's categories L*) of a text, lower-cased."""
+    found = RUNS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def forward_backward(emissions: np.ndarray, transitions: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +114,16 @@ class LanguageModel:
         total = np.stack([np.bincount(of, self.weights[at, k], len(words)) for k in range(len(self.labels))], axis=1)
         return [(total / np.sqrt(n) + self.lexicon_weights[lexicon]).astype(np.float32)]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language of each text and its mean marginal; und and 0 for a text of no letters."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[tuple[int, int, str]]]]:
+        """The language of each text, its mean marginal, and the spans of words by their own languages.
+
+        und, 0 and no span for a text of no letters.
+        """
         found = [words_of(t) for t in texts]
         sizes = np.array([len(w) for w in found], np.int64)
-        names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        names, scores, spans = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         if not self.labels or not sizes.sum():
-            return names, scores
+            return names, scores, spans
         table = worker_table(self.name, self.compute)
         rows = table.rows([w for ws in found for w in ws])
         each = table.columns[0]
@@ -123,6 +133,7 @@ class LanguageModel:
         begin = np.repeat(np.cumsum(sizes) - sizes, chains) + nth * CHAIN
         lengths = np.minimum(CHAIN, np.repeat(sizes, chains) - nth * CHAIN)
         sums = np.zeros((len(texts), len(self.labels)))
+        best = np.empty(sizes.sum(), np.int32)
         for a in range(0, len(doc), 1024):  # bounds the memory of a batch of very long texts
             b = slice(a, a + 1024)
             place = np.arange(int(lengths[b].max()))
@@ -130,10 +141,18 @@ class LanguageModel:
             grid = each[rows[np.where(inside, begin[b][None, :] + place[:, None], 0)]]
             p = marginals_only(grid, self.transitions, self.start, lengths[b]) * inside[:, :, None]
             np.add.at(sums, doc[b], p.sum(axis=0))
+            best[(begin[b][None, :] + place[:, None])[inside]] = p.argmax(axis=2)[inside]
+        starts = np.cumsum(sizes) - sizes
+        turns = np.flatnonzero(np.diff(best)) + 1
+        edges = np.union1d(turns, starts[sizes > 0])  # where a span begins
+        lengths = np.diff(np.append(edges, len(best)))
+        owner = np.searchsorted(starts, edges, "right") - 1
+        for at, n, i in zip(edges.tolist(), lengths.tolist(), owner.tolist(), strict=True):
+            spans[i].append((at - int(starts[i]), n, self.labels[best[at]]))
         for i in np.flatnonzero(sizes):
             k = int(sums[i].argmax())
             names[i], scores[i] = self.labels[k], float(min(1.0, sums[i, k] / sizes[i]))
-        return names, scores
+        return names, scores, spans
 
 
 def train(sample: list[tuple[bytes, str]], seed: int = 0, max_batches: int = MAX_BATCHES) -> LanguageModel:
@@ -199,28 +218,30 @@ def train(sample: list[tuple[bytes, str]], seed: int = 0, max_batches: int = MAX
     return model
 
 
-def fit(texts: DataFrame, labels: DataFrame, rows: int = LANGUAGE_ROWS, seed: int = 0) -> LanguageModel:
-    """texts: columns id and text; labels: id and label (a language; null rows teach nothing). rows bounds each language's sample."""
-    return train(training_sample(texts, labels, min(rows, TRAIN_ROWS)), seed)
+def fit(texts: DataFrame, labels: DataFrame, rows: int = LANGUAGE_ROWS, max_bytes: int = TRAIN_BYTES, seed: int = 0) -> LanguageModel:
+    """texts: columns id and text; labels: id and label (a language; null rows teach nothing). rows bounds each language's sample, max_bytes a text of it."""
+    return train(training_sample(texts, labels, min(rows, TRAIN_ROWS), max_bytes), seed)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """docs with the language of each whole text and its score (0 to 1); columns of these names are replaced.
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", spans_col: str = "spans") -> DataFrame:
+    """docs with the language of each whole text, its score (0 to 1), and the spans (SPAN) of the languages of its words.
 
-    A null text, or one with no letter, is und with score 0; so is every text if nothing could be learned. Ties go to
-    the language first in the alphabet. Repeated rows get equal results; other columns pass through.
+    A word is a maximal run of letters. A null text, or one with no letter, is und with score 0 and no span; so is every
+    text if nothing could be learned. Ties go to the language first in the alphabet. Repeated rows get equal results, an
+    empty table none. Other columns pass through; columns of the three new names, whatever their case, are replaced.
     """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**BUCKET_BITS rows of a number a language
-    drop = [c for c in docs.columns if c.lower() in (lang_col.lower(), score_col.lower()) and c != text_col]
-    docs = docs.drop(*drop)
-    kept = list(docs.columns)
-    at = kept.index(text_col)
+    made = [lang_col, score_col, spans_col]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {m.lower() for m in made} and c != text_col])
+    at = docs.columns.index(text_col)
+    span = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("lang", pa.string())]))
 
     def run(batches):
         for b in batches:
-            names, scores = sent.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, lang_col, score_col])
+            names, scores, spans = sent.value.predict(b.column(at).to_pylist())
+            listed = [[{"first_word": f, "n_words": n, "lang": k} for f, n, k in s] for s in spans]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(listed, span)], [*b.schema.names, *made])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{lang_col}` string, `{score_col}` double")
+    return docs.mapInArrow(run, f"{schema}, `{lang_col}` string, `{score_col}` double, `{spans_col}` array<{SPAN}>")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subword import BASE, TRAIN_ROWS, mix, ngram_hashes, training_sample, word_hashes, worker_table
+from .subword import BASE, TRAIN_BYTES, TRAIN_ROWS, mix, ngram_hashes, training_sample, word_hashes, worker_table
 from .tokens import bounded_batches
 
 BUCKET_BITS, WIDTH, EPOCHS, MIN_STEPS, RATE = 17, 8, 4, 8000, 0.3
@@ -112,9 +112,9 @@ def train(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = EPOCHS,
     return QualityModel(vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
-def fit(texts: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = 0) -> QualityModel:
-    """texts: columns id and text; labels: id and label (0 or 1). rows bounds the sample of each label."""
-    return train(training_sample(texts, labels, rows), seed)
+def fit(texts: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES, seed: int = 0) -> QualityModel:
+    """texts: columns id and text; labels: id and label (0 or 1). rows bounds the sample of each label, max_bytes a text of it."""
+    return train(training_sample(texts, labels, rows, max_bytes), seed)
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

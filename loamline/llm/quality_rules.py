@@ -1,36 +1,40 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is a predicate over columns of one row. On a bounded sample each rule is timed and its rejections counted;
-the cascade then asks the rules in the order of rejections per second, and a row that one rule rejects is not shown to
-the next (SQL's CASE is lazy). The order changes the cost only: a row is kept when no rule rejects it. All of it runs
-in the JVM.
+Every rule is a predicate over columns of one row, with the work that it takes: a column that counts the characters it
+goes through, in units of one plain scan. On a sample, drawn by hash, each rule's work and rejections are averaged; the
+cascade then asks the rules in the order of rejections per unit of work, and a row that one rule rejects is not shown to
+the next (SQL's CASE is lazy). Counted work, unlike seconds, is the same on every run, so reruns name the same rule.
+The order changes the cost and the name only: a row is kept when no rule rejects it. All of it runs in the JVM.
 """
 
 from __future__ import annotations
 
-import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, WORD, fresh, settled, whole_text
+from .common import SEPARATORS, WORD, fresh, whole_text
 
-#: Rows on which costs and selectivities are estimated. The bound touches the order of the rules, never a verdict.
+#: Rows, about, on which work and selectivities are estimated. They touch the order of the rules, never a verdict.
 SAMPLE_ROWS = 512
+#: Characters' worth of one comparison of numbers, and of splitting a text into lines, matching and comparing them.
+COMPARE, LINES = 1.0, 4.0
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
     rejects: Column
-    #: Set by estimate().
-    seconds: float = 0.0
+    #: The work of a row, in characters scanned.
+    work: Column | None = None
+    #: Set by estimate(): averages over the sample.
+    cost: float = 0.0
     rejected: float = 0.0
 
     @property
     def worth(self) -> float:
-        return self.rejected / max(self.seconds, 1e-9)
+        return self.rejected / max(self.cost, COMPARE)
 
 
 def words(text: Column) -> Column:
@@ -92,30 +96,35 @@ def default_rules(text_col: str = "text", counted: bool = False) -> list[Rule]:
     t = whole_text(F.col(f"`{text_col}`"))
     count, chars, symbols, dup = (F.col("n_words"), F.col("word_chars"), F.col("n_symbols"), F.col("n_dup_lines")) if counted else (n_words(t), word_chars(t), n_symbols(t), n_dup_lines(t))
     some = F.greatest(count, F.lit(1))
+    scan, free = F.char_length(t).cast("double"), F.lit(COMPARE)
+    of = lambda scans: free if counted else scans * scan
+    newlines = F.regexp_count(t, F.lit("\n")) + 1
     return [
-        Rule("no_words", count == 0),
-        Rule("symbols", 100 * symbols > 20 * some),
-        Rule("word_length", ~(chars / some).between(2, 25)),
-        Rule("shouting", 100 * F.regexp_count(t, F.lit("!!")) > 50 * some),
-        Rule("copied_lines", (dup >= 3) & (100 * dup > 70 * (F.regexp_count(t, F.lit("\n")) + 1))),
+        Rule("no_words", count == 0, of(1)),
+        Rule("symbols", 100 * symbols > 20 * some, of(2)),
+        Rule("word_length", ~(chars / some).between(2, 25), of(3)),
+        Rule("shouting", 100 * F.regexp_count(t, F.lit("!!")) > 50 * some, scan if counted else 2 * scan),
+        Rule("copied_lines", (dup >= 3) & (100 * dup > 70 * newlines), F.when(dup >= 3, scan).otherwise(free) if counted else LINES * scan),
     ]
 
 
-def estimate(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """rules with their seconds and share of rejections on a sample, the best rejection per second first.
+def estimate(docs: DataFrame, rules: list[Rule], key: list[Column], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """rules with their work and share of rejections on a sample, the most rejections per work first.
 
-    Ties (rules that reject nothing) go to the cheaper rule, then to the name. An empty table leaves every share at 0.
+    The sample are rows whose hash of key falls in a share of all hashes that sample_rows of docs are expected in; one
+    job sums over it where it lies, however many rows share a key. Ties (rules that reject nothing) go to the cheaper
+    rule, then to the name. An empty sample leaves every share at 0. A rule that states no work counts as one scan of
+    all text columns.
     """
-    sample = settled(docs.limit(sample_rows))
-    total = max(1, sample.count())
-    out = []
-    for rule in rules:
-        probe = sample.select(F.count_if(F.coalesce(rule.rejects, F.lit(False))).alias("n"))
-        probe.first()  # compiles
-        began = time.perf_counter()
-        hits = probe.first()["n"]
-        out.append(Rule(rule.name, rule.rejects, (time.perf_counter() - began) / total, hits / total))
-    return sorted(out, key=lambda r: (-r.worth, r.seconds, r.name))
+    n = docs.count()
+    sample = docs.filter(F.pmod(F.xxhash64(*key), F.lit(max(1, n // sample_rows))) == 0)
+    texts = [F.coalesce(F.char_length(F.col(f"`{f.name}`")), F.lit(0)) for f in docs.schema.fields if f.dataType.simpleString() == "string"]
+    all_text = sum(texts, F.lit(0))
+    work = [F.avg((all_text if r.work is None else r.work).cast("double")).alias(f"work_{i}") for i, r in enumerate(rules)]
+    hits = [F.avg(F.coalesce(r.rejects, F.lit(False)).cast("double")).alias(f"hits_{i}") for i, r in enumerate(rules)]
+    seen = sample.agg(*work, *hits).first() if rules else None
+    out = [replace(r, cost=seen[f"work_{i}"] or 0.0, rejected=seen[f"hits_{i}"] or 0.0) for i, r in enumerate(rules)]
+    return sorted(out, key=lambda r: (-r.worth, r.cost, r.name))
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -126,11 +135,14 @@ def cascade(rules: list[Rule]) -> Column:
     return verdict
 
 
-def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", key_cols: list[str] | None = None, skip: Column | None = None, sample_rows: int = SAMPLE_ROWS, out_col: str = "rejected_by") -> DataFrame:
     """docs with rejected_by: the first rule of the estimated order that rejects the row, or null for kept rows.
 
-    Null text counts as empty. A rule that gives null does not reject. Repeated rows get equal verdicts.
+    key_cols draw the sample (the text, if none are named). skip: rows of which it is true are not shown to any rule
+    and get null. Null text counts as empty. A rule that gives null does not reject. Repeated rows get equal verdicts;
+    an empty table gives an empty one. Other columns pass through; a column named as out_col is replaced.
     """
     rules = default_rules(text_col) if rules is None else rules
-    rules = estimate(docs, rules, sample_rows)
-    return docs.withColumn("rejected_by", cascade(rules))
+    rules = estimate(docs, rules, [F.col(f"`{c}`") for c in key_cols or [text_col]], sample_rows)
+    verdict = cascade(rules)
+    return docs.withColumn(out_col, verdict if skip is None else F.when(~F.coalesce(skip, F.lit(False)), verdict))

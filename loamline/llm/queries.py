@@ -25,19 +25,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is inserted with an estimate, revised to its exact count, and the revision is replayed."""
+    """Exact token counts of the documents that have tokens, by four batches of changes.
+
+    Every document is inserted with an estimate, its language unknown; a revision moves it to its language, tokenizer
+    and exact count; documents without tokens are deleted; what has been committed is compacted and the last two batches
+    are replayed, to no effect.
+    """
     counted = settled(count_tokens(documents(spark, sf_dir), keep=("source", "lang")))
-    version = F.lit("byte_bpe_50k")
-    new = [F.col("source"), F.col("lang"), version.alias("tokenizer")]
-    old = [F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), version.alias("old_tokenizer")]
-    estimate = F.ceil(F.col("n_bytes") / 4).cast("long")
-    none = [F.lit(None).cast("string").alias(f"old_{k}") for k in KEYS]
-    inserts = counted.select(F.lit("insert").alias("op"), *new, estimate.alias("tokens"), *none, F.lit(None).cast("long").alias("old_tokens"))
-    revised = counted.select(F.lit("revise").alias("op"), *new, "tokens", *old, estimate.alias("old_tokens"))
+    no_lang, estimate = F.lit(None).cast("string"), F.ceil(F.col("n_bytes") / 4).cast("long")
+    rough = (F.col("source"), no_lang, F.lit("bytes_4"), estimate)
+    exact = (F.col("source"), F.col("lang"), F.lit("byte_bpe_50k"), F.col("tokens"))
+    none = (no_lang, no_lang, no_lang, F.lit(None).cast("long"))
+    side = lambda prefix, values: [c.alias(prefix + k) for k, c in zip((*KEYS, "tokens"), values, strict=True)]
+    change = lambda rows, op, new, old: rows.select(F.lit(op).alias("op"), *side("", new), *side("old_", old))
+    revised = change(counted, "revise", exact, rough)
+    dropped = change(counted.filter("tokens = 0"), "delete", none, exact)
     rollup = TokenRollup(spark, f"{shared_dir(spark)}/loamline-rollup-{uuid.uuid4().hex}")
-    rollup.apply("estimates", inserts)
+    rollup.apply("estimates", change(counted, "insert", rough, none))
     rollup.apply("exact", revised)
+    rollup.apply("without tokens", dropped)
+    rollup.compact()
     rollup.apply("exact", revised)
+    rollup.apply("without tokens", dropped)
     return rollup.totals()
 
 
@@ -49,7 +58,8 @@ def labelled(spark: SparkSession, sf_dir: str, label: str, folds: int, fold: int
 
 def judged(scored: DataFrame, folds: int, fold: int, threshold: float) -> DataFrame:
     predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
-    return scored.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score", predicted)
+    more = [c for c in scored.columns if c not in ("doc_id", "score")]
+    return scored.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score", predicted, *more)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +100,7 @@ def language_model(docs: DataFrame) -> language_id.LanguageModel:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = language_id.identify(docs.select("doc_id", "text"), language_model(docs))
-    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +108,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts go first, for every row; the cascade then does its own work on rows that pass them."""
     counted = with_counts(documents(spark, sf_dir).select("doc_id", "text"))
-    judged = quality_rules(counted, default_rules(counted=True))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    judged = quality_rules(counted, default_rules(counted=True), key_cols=["doc_id"], skip=base_failed)
     judged = judged.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & F.col("rejected_by").isNull())
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -130,7 +141,7 @@ b AS (SELECT l.source, l.line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.s
 h AS (SELECT source, list(line) AS bad FROM b GROUP BY source),
 k AS (SELECT d.*, list_filter(d.lines, lambda x: NOT list_contains(coalesce(h.bad, []), x)) AS kept
       FROM d LEFT JOIN h ON d.source IS NOT DISTINCT FROM h.source),
-s AS (SELECT *, text IS NOT NULL AND len(list_filter(kept, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) > 0 AS cut FROM k)
+s AS (SELECT *, text IS NOT NULL AS cut FROM k)
 SELECT doc_id, source, coalesce(len(lines), 0)::BIGINT AS n_lines,
        CASE WHEN cut THEN len(lines) - len(kept) ELSE 0 END::BIGINT AS n_dropped,
        CASE WHEN cut THEN array_to_string(kept, chr(10)) ELSE text END AS text

@@ -110,18 +110,35 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+def _smallest(known: DataFrame, rows: int) -> list[tuple[object, object]]:
+    """(id, label) of each label's ids of the smallest hashes: labels are counted, then ids below a hash are read."""
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count_distinct("id").alias("n")).collect()}
+    place, picks = F.shiftrightunsigned(F.xxhash64("id", F.lit(17)), 2), []
+    share = {k: min(1.0, (rows + 6 * rows**0.5 + 20) / n) for k, n in counts.items()}
+    while counts:
+        below = F.lit(False)
+        for k in sorted(counts):
+            below = below | ((F.col("label") == F.lit(k)) & (place <= F.lit(int(share[k] * (1 << 62)))))
+        found = {k: [] for k in counts}
+        for r in known.filter(below).select("id", "label", place.alias("place")).distinct().collect():  # about rows of each label
+            found[r["label"]].append((r["place"], r["id"]))
+        for k, ids in found.items():
+            if len(ids) >= min(rows, counts[k]):
+                picks += [(i, k) for _, i in sorted(ids)[:rows]]
+                del counts[k]
+            share[k] = min(1.0, 2 * share[k])
+    return picks
+
+
 def training_sample(texts: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> list[tuple[bytes, object]]:
     """Texts (columns id, text) and labels (id, label): of each label the ids of the smallest hashes, texts not too long.
 
     Ids are chosen from the labels alone, so no text moves but those of the sample. Bounded: rows of each label times
-    max_bytes. The same tables give the same sample in the same order. Null ids, texts and labels teach nothing.
+    max_bytes; labels are expected to be few. A chosen id whose text is longer than max_bytes teaches nothing. The same
+    tables give the same sample in the same order. Null ids, texts and labels teach nothing; empty tables give none.
     """
     known = labels.filter("id IS NOT NULL AND label IS NOT NULL").select("id", "label")
-    picks = []
-    for label in sorted(r["label"] for r in known.select("label").distinct().collect()):
-        best = known.filter(F.col("label") == F.lit(label)).select("id").orderBy(F.xxhash64("id", F.lit(17)), "id").limit(rows)
-        picks += [(r["id"], label) for r in best.collect()]
-    picked = labels.sparkSession.createDataFrame(sorted(set(picks)), known.schema)
+    picked = labels.sparkSession.createDataFrame(sorted(set(_smallest(known, rows)), key=str), known.schema)
     small = texts.filter("text IS NOT NULL").filter(F.octet_length("text") <= max_bytes)
     found = small.join(F.broadcast(picked), "id").dropDuplicates(["id", "label"]).select(F.xxhash64("id", F.lit(17)).alias("key"), F.col("text").cast("binary").alias("text"), "label")
     return [(bytes(r["text"]), r["label"]) for r in sorted(found.collect(), key=lambda r: (r["key"], r["text"], r["label"]))]

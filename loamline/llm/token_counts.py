@@ -3,7 +3,8 @@
 A rollup holds additive totals (documents, tokens) by source, language and tokenizer version. Batches of changes come
 as inserts, deletes and revisions; a batch is summed into signed deltas by key before anything is shuffled, written
 beside the others, and made visible by one marker file, written whole and then renamed to a name that only one writer can
-take. A batch id that has been committed is never applied again, and a writer that dies before the rename leaves nothing
+take. Compactions have a folder of their own, so no batch id is taken for one; each covers what came after the last.
+A batch id that has been committed is never applied again, and a writer that dies before the rename leaves nothing
 that counts, so a failed or repeated run may be replayed at will. (Local file systems check the name before they rename,
 so there two writers at the very same moment are not kept apart; stores with atomic renames do so.)
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,14 @@ CHANGES = "op string, source string, lang string, tokenizer string, tokens long,
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns in keep, n_bytes and tokens (long) of each whole text. A null or empty text has 0 tokens."""
+    """id, the columns in keep, n_bytes and tokens (long) of each whole text. A null or empty text has 0 tokens.
+
+    Null ids and repeated rows are counted like any other, an empty table gives an empty one. A column of keep that is
+    named n_bytes or tokens, whatever its case, is left out.
+    """
     path = tokenizer_path or default_tokenizer()
     bounded_batches(docs.sparkSession)
-    given = docs.select(F.col(f"`{id_col}`"), *[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("lm_text"))
+    given = docs.select(F.col(f"`{id_col}`"), *[F.col(f"`{c}`") for c in keep if c.lower() not in ("n_bytes", "tokens")], F.col(f"`{text_col}`"))
     n = len(given.columns) - 1
 
     def count(batches):
@@ -65,33 +70,38 @@ class TokenRollup:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _commits(self) -> dict[str, dict]:
-        """The markers by batch id."""
-        folder, fs = self._fs(f"{self.path}/commits")
-        if not fs.exists(folder):
-            return {}
-        found = {}
-        for status in fs.listStatus(folder):
-            stream = fs.open(status.getPath())
+    def _json(self, folder: str, names: list[str]) -> list[dict]:
+        found = []
+        for name in names:
+            at, fs = self._fs(f"{self.path}/{folder}/{name}")
+            stream = fs.open(at)
             try:
-                text = bytes(stream.readAllBytes()).decode()
+                found.append(json.loads(bytes(stream.readAllBytes()).decode()))
             finally:
                 stream.close()
-            marker = json.loads(text)
-            found[marker["batch"]] = marker
         return found
 
+    def _names(self, folder: str) -> list[str]:
+        at, fs = self._fs(f"{self.path}/{folder}")
+        return sorted(status.getPath().getName() for status in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _state(self) -> tuple[list[str], list[dict]]:
+        """The names of all committed batches, listed but not opened, and the compactions in order."""
+        compactions = self._json("compactions", self._names("compactions"))  # listed first: what they cover is committed
+        return self._names("commits"), compactions
+
     def batches(self) -> list[str]:
-        return sorted(self._commits())
+        return sorted(map(unquote, self._names("commits")))
 
-    def _commit(self, batch: str, rows: DataFrame, covers: list[str]) -> bool:
-        data = f"{self.path}/deltas/{quote(batch, safe='')}/{uuid.uuid4().hex}"
+    def _commit(self, folder: str, name: str, rows: DataFrame, facts: dict) -> bool:
+        """Writes rows, then a marker of this name; False if another writer has taken the name."""
+        data = f"{self.path}/deltas/{folder}-{name}/{uuid.uuid4().hex}"
         rows.write.parquet(data)
-        marker, fs = self._fs(f"{self.path}/commits/{quote(batch, safe='')}")
+        marker, fs = self._fs(f"{self.path}/{folder}/{name}")
         pending, _ = self._fs(f"{self.path}/pending/{uuid.uuid4().hex}")
         stream = fs.create(pending, False)
         try:
-            stream.write(bytearray((json.dumps({"batch": batch, "data": data, "covers": covers}) + "\n").encode()))
+            stream.write(bytearray((json.dumps(facts | {"data": data}) + "\n").encode()))
         finally:
             stream.close()
         fs.mkdirs(marker.getParent())
@@ -111,25 +121,28 @@ class TokenRollup:
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commits a batch of changes; False if this batch id has been committed before. An empty batch is committed."""
-        if batch in self._commits():
+        marker, fs = self._fs(f"{self.path}/commits/{quote(batch, safe='')}")
+        if fs.exists(marker):
             return False
         deltas = signed(changes).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return self._commit(batch, deltas.filter("docs <> 0 OR tokens <> 0"), [])
+        return self._commit("commits", quote(batch, safe=""), deltas.filter("docs <> 0 OR tokens <> 0"), {"batch": batch})
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over all committed batches. Keys that sum to nothing are left out."""
-        return self._summed(self._commits())
+        return self._summed(*self._state())
 
-    def _summed(self, commits: dict[str, dict]) -> DataFrame:
-        covered = {x for m in commits.values() for x in m["covers"]}
-        paths = [m["data"] for b, m in commits.items() if b not in covered]
+    def _summed(self, names: list[str], compactions: list[dict]) -> DataFrame:
+        covered = {name for c in compactions for name in c["covers"]}
+        paths = [c["data"] for c in compactions[-1:]] + [m["data"] for m in self._json("commits", [n for n in names if n not in covered])]
         schema = "source string, lang string, tokenizer string, docs long, tokens long"
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
 
     def compact(self) -> bool:
-        """Sums all committed batches into one that stands for them; their ids stay known, so replays stay no-ops."""
-        commits = self._commits()  # read once: a batch committed meanwhile is neither summed nor covered
-        covers = sorted(commits)
-        name = f"compact-{sum(b.startswith('compact-') for b in commits)}"  # of two compactions at once only one gets the name
-        return self._commit(name, self._summed(commits), covers)
+        """Sums the last compaction and the batches since then; False if another compaction has been first.
+
+        A compaction names only the batches it adds. Their markers stay, as they are what keeps a replay from counting.
+        """
+        names, compactions = self._state()  # read once: a batch committed meanwhile is neither summed nor covered
+        covered = {name for c in compactions for name in c["covers"]}
+        return self._commit("compactions", f"{len(compactions):09d}", self._summed(names, compactions), {"covers": [n for n in names if n not in covered]})

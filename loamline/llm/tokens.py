@@ -10,15 +10,19 @@ from pyspark.sql import SparkSession
 
 #: Fixed value: the pattern by which byte-level BPE tokenizers of this family split a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Rows of an Arrow batch: texts are long, and a worker holds a few batches at a time.
-BATCH_ROWS = 128
+#: Rows and bytes of an Arrow batch, whichever is reached first: texts are long, and a worker holds a few batches.
+BATCH_ROWS, BATCH_BYTES = 128, 8 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lowers the session's Arrow batch size, so that a Python worker never holds thousands of long texts at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Lowers the session's Arrow batch size, so that a Python worker never holds thousands of long texts at once.
+
+    The setting stays with the session; a smaller one that is there is kept.
+    """
+    for key, limit in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        given = spark.conf.get(key).lower().removesuffix("b")
+        if not given.isdigit() or not 0 < int(given) <= limit:
+            spark.conf.set(key, str(limit))
 
 
 def default_tokenizer() -> str:

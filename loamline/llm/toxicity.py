@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subword import TRAIN_ROWS, ngram_hashes, training_sample, word_hashes, worker_table
+from .subword import TRAIN_BYTES, TRAIN_ROWS, ngram_hashes, training_sample, word_hashes, worker_table
 from .tokens import bounded_batches
 
 BUCKET_BITS, NGRAMS, EPOCHS, MIN_STEPS, RATE, START = 18, (3, 4, 5, 6), 5, 8000, 0.25, -7.0
@@ -161,9 +161,9 @@ def train(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = EPOCHS,
     return ToxicityModel(weights, bias)
 
 
-def fit(texts: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = 0) -> ToxicityModel:
-    """texts: columns id and text; labels: id and label (0 or 1). rows bounds the sample of each label."""
-    return train(training_sample(texts, labels, rows), seed)
+def fit(texts: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES, seed: int = 0) -> ToxicityModel:
+    """texts: columns id and text; labels: id and label (0 or 1). rows bounds the sample of each label, max_bytes a text of it."""
+    return train(training_sample(texts, labels, rows, max_bytes), seed)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
