@@ -4,9 +4,11 @@ Hashed vectors of the documents' tokens are projected to three dimensions, and d
 Hilbert key of the projection, so neighbours on the curve have similar words. Along that order all ids form one
 stream, which is cut every 2048 ids: no sequence but the last has room, and the last is cut into powers of two.
 
-Token ids are computed once and kept in the checkpoint folder. Range bounds come from a quantile sketch of the keys, so
-the ids cross the network once; the number of ids before each range is a sum over ranges. The key's low bits hash the
-document id: a large group of copies (one point of the curve) is spread over as many ranges as its share.
+Token ids are computed once and kept in the checkpoint folder. Ranges hold about RANGE_TOKENS tokens each, so their
+number follows the size of the corpus and a task's does not; their bounds come from a quantile sketch of the keys, each
+key counted once for every WEIGHT tokens of its document. The ids cross the network once; the number of ids before each
+range is a sum over ranges. The key's low bits hash the document id: a large group of copies (one point of the curve) is
+spread over as many ranges as its share. A single document is never spread.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, settled
+from .common import settled
 from .tokens import bounded_batches, default_tokenizer, encoder
 
 SEQUENCE, END_ID = 2048, 1
+#: Tokens of a range, and tokens that a key stands for once in the sketch of the range bounds.
+RANGE_TOKENS, WEIGHT = 1 << 23, 1024
 DIMS, DIM_BITS, TIE_BITS, HASHED = 3, 12, 27, 256
 
 
@@ -88,21 +92,23 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, seed: int) -
     return rows.mapInArrow(encode, "doc long, ids binary, n long, curve long")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, sequence: int = SEQUENCE, seed: int = 0) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, sequence: int = SEQUENCE, seed: int = 0, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """One row per piece: id, start, length, ids (binary, little-endian 32-bit), doc_tokens, sequence_id, offset.
 
     A document's ids are those of its whole text and END_ID; a null or empty text has END_ID alone. Every id lies in
     exactly one piece. Sequences have 2048 ids, but for the stream's last ids, which form sequences of powers of two.
-    Rows with equal ids (or null ids) are documents of their own. An empty table gives no pieces. Other columns are
-    not read. Ties on the curve go by id, then by content, so reruns agree.
+    Ids are cast to long; one that is no number counts as null. Rows with equal ids (or null ids) are documents of
+    their own. An empty table gives no pieces. Other columns are not read. Ties on the curve go by id, then by content,
+    so reruns agree. The driver holds two numbers for each range.
     """
     spark = docs.sparkSession
     path = tokenizer_path or default_tokenizer()
     bounded_batches(spark)
     rows = settled(encoded(docs, id_col, text_col, path, seed))
-    n = partitions(spark)
+    n = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // range_tokens))
     cuts = [i / n for i in range(1, n)] or [0.5]
-    bounds = np.array(sorted(set(rows.agg(F.percentile_approx("curve", cuts, 10_000).alias("q")).first()["q"] or [])), np.int64)
+    weighed = rows.select("curve", F.explode(F.array_repeat(F.lit(0), F.ceil(F.col("n") / WEIGHT).cast("int"))))
+    bounds = np.array(sorted(set(weighed.agg(F.percentile_approx("curve", cuts, max(10_000, 20 * n)).alias("q")).first()["q"] or [])), np.int64)
 
     @F.pandas_udf("int")
     def range_of(curve: pd.Series) -> pd.Series:
@@ -142,5 +148,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = rows.withColumn("range", range_of("curve")).repartitionById(n, F.col("range")).sortWithinPartitions("range", "curve", "doc", "ids")
+    dealt = rows.withColumn("range", range_of("curve")).repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "curve", "doc", "ids")
     return dealt.select("range", "doc", "ids").mapInArrow(cut, f"`{id_col}` long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
