@@ -23,7 +23,7 @@ from .common import BROADCAST_ROWS, WORD, maybe_broadcast, settled, whole_text
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 #: Words of an output shard, and blocks of an average shard.
-SHARD_WORDS, BLOCKS_PER_SHARD, MIN_SHARDS, MAX_SHARDS = 4_000_000, 64, 4, 1 << 16
+SHARD_WORDS, BLOCKS_PER_SHARD, MIN_SHARDS = 4_000_000, 64, 4
 U_BITS = 60
 
 
@@ -38,20 +38,22 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
     Sources by code point, null last, weigh weights in turn. Together they get share times all sizes; none gets over
     cap times its own size, and what a capped source leaves goes to the others by weight until none is above. The level
-    is found in one pass: by rising cap per weight, a source is capped if the level without those before reaches it.
+    (words by weight) rises from round to round as more sources turn out capped, until none is added: a sum over
+    sources each time, whose three numbers come to the driver. Only their numbering is one sorted task.
     """
     in_order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    by_cap = Window.partitionBy(F.lit(0)).orderBy("at", "source_rank").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("source_rank", F.lit(len(weights))))
-    out = sizes.withColumn("source_rank", F.row_number().over(in_order) - 1).withColumn("w", weight).withColumn("cap", cap * F.col("source_size"))
-    out = out.withColumn("at", F.col("cap") / F.col("w")).withColumn("goal", share * F.sum("source_size").over(everything)).withColumn("all_w", F.sum("w").over(everything))
-    before = lambda c: F.coalesce(F.sum(c).over(by_cap), F.lit(0.0))
-    out = out.withColumn("capped", F.col("goal") - before("cap") >= F.col("at") * (F.col("all_w") - before("w")))
-    left = F.col("goal") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(everything), F.lit(0.0))
-    left_w = F.sum(F.when(~F.col("capped"), F.col("w"))).over(everything)
-    out = out.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("w") * left / left_w)))
-    return out.select("source", "source_rank", "source_size", "target")
+    known = settled(sizes.withColumn("source_rank", F.row_number().over(in_order) - 1).withColumn("w", weight).withColumn("cap", cap * F.col("source_size")))
+    goal = share * (known.agg(F.sum("source_size")).first()[0] or 0)
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.col("w") * level if capped >= 0 else F.lit(False)
+        seen = known.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("cap")).otherwise(0.0)).alias("taken"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("w")).first()
+        if seen["n"] == capped or not seen["w"]:
+            break
+        level, capped = (goal - seen["taken"]) / seen["w"], seen["n"]
+    target = F.least(F.col("cap"), F.col("w") * level) if seen["w"] else F.col("cap")
+    return known.select("source", "source_rank", "source_size", target.alias("target"))
 
 
 def _split(node: Column, seed: int) -> Column:
@@ -77,14 +79,18 @@ def _split(node: Column, seed: int) -> Column:
 
 
 def shard_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
-    """shard, source_rank, n: the leaves of the splitting tree over quotas (source_rank, n)."""
+    """shard, source_rank, n: the leaves of the splitting tree over quotas (source_rank, n).
+
+    The root is one row with a pair of numbers for each source; nodes below name only the sources they have blocks of.
+    """
     one = quotas.agg(F.array_sort(F.collect_list(F.struct("source_rank", "n"))).alias("quota"))
     nodes = one.select(F.struct(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "quota").alias("node"))
     for level in range(max(0, math.ceil(math.log2(shards)))):
         node = F.col("node")
         nodes = nodes.withColumn("left", F.when(node.hi - node.lo > 1, _split(node, seed)))
         middle = (node.lo + F.floor((node.hi - node.lo) / 2)).cast("int")
-        take = lambda minus: F.zip_with(node.quota, F.col("left"), lambda q, x: F.struct(q.source_rank.alias("source_rank"), (q.n - x if minus else x).alias("n")))  # noqa: E731, B023
+        of = lambda minus: F.zip_with(node.quota, F.col("left"), lambda q, x: F.struct(q.source_rank.alias("source_rank"), (q.n - x if minus else x).alias("n")))  # noqa: E731, B023
+        take = lambda minus: F.filter(of(minus), lambda q: q.n > 0)  # noqa: E731, B023
         halves = F.array(F.struct(node.lo.alias("lo"), middle.alias("hi"), take(False).alias("quota")), F.struct(middle.alias("lo"), node.hi.alias("hi"), take(True).alias("quota")))
         nodes = nodes.select(F.explode(F.when(F.col("left").isNull(), F.array(node)).otherwise(halves)).alias("node"))
         if level % 6 == 5:
@@ -106,33 +112,35 @@ def mix(
     carry: list[str] | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """One row per row of docs: id, source, size, source_size, target, taken, draws, and the columns named in carry.
+    """One row per row of docs: id, source, size, source_size, target, taken, draws, and row where carry names columns.
 
     size: words of the text (null: 0). taken: the words the mix takes of it, repeats counted. draws: array of struct
-    (pass, shard, words, key): each drawing of the document, with its shard and its place in the shard's shuffle.
+    (pass, shard, words, key): each drawing of the document, with its shard and its place in the shard's shuffle. The
+    columns in carry are the fields of one struct, named row, so their names meet none of these.
     Null sources form one source, the last. Documents of no words are drawn with their block and add nothing. Repeated
     rows are documents of their own; rows alike in id and text share a place, and a cut between them falls on either,
     which are the same. An empty table gives an empty result. Reruns agree: places depend on seed, id and text only.
     """
-    given = {c: F.col(f"`{c}`") for c in (carry or [])}
+    given = [F.col(f"`{c}`").alias(c) for c in (carry or [])]
     text = F.col(f"`{text_col}`")
     base = docs.select(
         F.col(f"`{id_col}`").alias("lm_id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         F.regexp_count(whole_text(text), F.lit(WORD)).cast("long").alias("size"),
         place(seed, F.col(f"`{id_col}`")).alias("u"),
-        F.struct(*[c.alias(k) for k, c in given.items()], F.lit(0).alias("lm_none")).alias("lm_row"),
+        *([F.struct(*given).alias("row")] if given else []),
     )
-    narrow = settled(base.drop("lm_row")) if not given else base
-    sources = settled(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
+    narrow = settled(base) if not given else base
+    sources = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     facts = sources.agg(F.count("*").alias("n"), F.coalesce(F.sum("source_size"), F.lit(0)).alias("words")).first()
     if shards is None:
-        shards = min(MAX_SHARDS, max(MIN_SHARDS, 1 << max(0, math.ceil(math.log2(max(1, share * facts["words"] / SHARD_WORDS))))))
+        shards = max(MIN_SHARDS, 1 << max(0, math.ceil(math.log2(max(1, share * facts["words"] / SHARD_WORDS)))))
     block_words = max(1, facts["words"] // (shards * BLOCKS_PER_SHARD))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
     known = maybe_broadcast(sources.withColumn("n_blocks", n_blocks).withColumnRenamed("source", "of"), facts["n"], broadcast_rows)
-    # u / 2^60 * n_blocks, in integers: u has 60 bits, so its upper 40 leave room for 2^23 blocks
-    block = F.shiftright(F.shiftright("u", 20) * F.col("n_blocks"), 40)
+    # u / 2^60 * n_blocks, in integers by halves of u: room for 2^32 blocks of a source
+    low = F.shiftright(F.col("u").bitwiseAND(F.lit((1 << U_BITS // 2) - 1)) * F.col("n_blocks"), U_BITS // 2)
+    block = F.shiftright(F.shiftright("u", U_BITS // 2) * F.col("n_blocks") + low, U_BITS // 2)
     placed = narrow.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("block", block)
 
     blocks = placed.groupBy("source_rank", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
@@ -166,11 +174,16 @@ def mix(
     )
     out = whole.unionByName(part).withColumn("draws", F.filter(made, lambda d: (d.words > 0) | (F.col("size") == 0)))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d.words)
-    result = [F.col("lm_id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), "draws"]
-    return out.select(*result, *[F.col(f"lm_row.`{c}`").alias(c) for c in given if c not in ("source", id_col)])
+    draws = F.col("draws").alias("draws", metadata={"shards": shards})
+    return out.select(F.col("lm_id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), draws, *(["row"] if given else []))
 
 
 def mixed(planned: DataFrame) -> DataFrame:
-    """The mix itself, from mix(): a row for each drawing of a document, shard by shard, shuffled within each shard."""
-    out = planned.withColumn("draw", F.explode("draws")).drop("draws")
-    return out.select("*", F.col("draw.shard").alias("shard"), F.col("draw.words").alias("draw_words"), F.col("draw.key").alias("draw_key")).drop("draw").repartition("shard").sortWithinPartitions("shard", "draw_key")
+    """The mix itself, from mix(): a row for each drawing of a document, shuffled within its shard.
+
+    Columns: size and row of the document, shard, draw_words (the words that this drawing takes) and draw_key. A task
+    takes one shard, and shards are as many as the size of the mix asks for.
+    """
+    out = planned.select("size", "row", F.explode("draws").alias("draw"))
+    out = out.select("size", "row", F.col("draw.shard").alias("shard"), F.col("draw.words").alias("draw_words"), F.col("draw.key").alias("draw_key"))
+    return out.repartitionById(planned.schema["draws"].metadata["shards"], F.col("shard")).sortWithinPartitions("shard", "draw_key")
