@@ -82,12 +82,26 @@ def test_quality_counts(docs, empty):
 def test_cascade_order_changes_no_verdict(docs):
     rules = quality_rules.default_rules()
     a = docs.select("text", quality_rules.cascade(rules).isNull().alias("kept"))
-    b = docs.select("text", quality_rules.cascade(quality_rules.estimate(docs, rules)[::-1]).isNull().alias("kept"))
+    ordered = quality_rules.estimate(docs, rules, [F.col("doc_id")])
+    b = docs.select("text", quality_rules.cascade(ordered[::-1]).isNull().alias("kept"))
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert [r.name for r in ordered] == [r.name for r in quality_rules.estimate(docs.repartition(3), rules[::-1], [F.col("doc_id")])]
+    assert all(x.worth > y.worth or (x.worth == y.worth and x.cost <= y.cost) for x, y in zip(ordered, ordered[1:], strict=False))
+    judged = quality_rules.quality_rules(docs, out_col="lm_text", skip=F.lit(True))
+    assert judged.columns == docs.columns and judged.filter("lm_text IS NOT NULL").count() == 0
 
 
-@pytest.mark.parametrize("limit", [0, 100_000])
-def test_line_dedup(docs, empty, limit):
+def test_cascade_asks_the_best_rule_first(docs):
+    dear = quality_rules.Rule("dear", F.lit(True), F.lit(100.0))
+    cheap = quality_rules.Rule("cheap", F.lit(True), F.lit(10.0))
+    never = quality_rules.Rule("never", F.lit(False), F.lit(1.0))
+    assert [r.name for r in quality_rules.estimate(docs, [dear, never, cheap], [F.col("text")])] == ["cheap", "dear", "never"]
+    assert {r["rejected_by"] for r in quality_rules.quality_rules(docs, [dear, never, cheap]).collect()} == {"cheap"}
+
+
+@pytest.mark.parametrize("limit, whole, hot", [(0, False, 1000), (0, True, 2), (100_000, True, 1000), (100_000, False, 1000)])
+def test_line_dedup(docs, empty, limit, whole, hot, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", hot)
     given = docs.collect()
     total, pages = Counter(r["source"] for r in given), Counter()
     for r in given:
@@ -96,9 +110,9 @@ def test_line_dedup(docs, empty, limit):
     for r in given:
         lines = r["text"].split("\n") if r["text"] is not None else []
         good = [x for x in lines if not x.encode().split() or not (pages[r["source"], x] >= 3 and pages[r["source"], x] > 0.1 * total[r["source"]])]
-        cut = any(x.encode().split() for x in good)
+        cut = r["text"] is not None and (not whole or any(x.encode().split() for x in good))
         want[(r["doc_id"], "\n".join(good) if cut else r["text"], len(lines), len(lines) - len(good) if cut else 0)] += 1
-    got = line_dedup.line_dedup(docs, max_ratio=0.1, broadcast_rows=limit)
+    got = line_dedup.line_dedup(docs, max_ratio=0.1, keep_whole=whole, broadcast_rows=limit)
     assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()) == want
     assert any(n for *_, n in want)
     assert line_dedup.line_dedup(empty).count() == 0
@@ -202,12 +216,14 @@ def test_rollup_keeps_what_other_writers_commit_meanwhile(spark, tmp_path):
     row = lambda n: spark.createDataFrame([("insert", "a", "en", "v1", n, None, None, None, None)], CHANGES)
     roll, other = TokenRollup(spark, str(tmp_path / "r")), TokenRollup(spark, str(tmp_path / "r"))
     assert roll.apply("1", row(10))
-    known = roll._commits
+    known = roll._state
     late = known()
     assert other.apply("2", row(5)) and other.compact()
-    roll._commits = lambda: late  # a writer that looked before the other one committed
+    roll._state = lambda: late  # a writer that looked before the other one committed
     assert not roll.compact() and not roll.apply("2", row(5))
-    roll._commits = known
+    roll._state = known
+    assert roll.apply("compact-0", row(1)) and roll.apply("commits/1", row(-1)) and roll.batches() == ["1", "2", "commits/1", "compact-0"]
+    assert roll.apply("undo", spark.createDataFrame([("delete", None, None, None, None, "a", "en", "v1", n) for n in (1, -1)], CHANGES))
     assert [tuple(r) for r in roll.totals().collect()] == [("a", "en", "v1", 2, 15)]
     assert roll.compact() and [tuple(r) for r in other.totals().collect()] == [("a", "en", "v1", 2, 15)]
 
@@ -257,7 +273,7 @@ def test_similar_sets_share_a_signature_and_pass_the_bounds():
             if not len(b) or not jaccard_join.sets_near(a.tobytes(), b.tobytes(), 80):
                 continue
             assert set(jaccard_join.signatures(a, 80)) & set(jaccard_join.signatures(b, 80))
-            assert jaccard_join.counts_near(jaccard_join.counts(a), jaccard_join.counts(b), 80)
+            assert jaccard_join.sketches_near(jaccard_join.long_sketch(a), jaccard_join.long_sketch(b), 80)
             bits = np.unpackbits((jaccard_join.sketch(a) ^ jaccard_join.sketch(b)).view(np.uint8)).sum()
             assert bits <= jaccard_join.furthest(len(a), len(b), 80)
 
@@ -334,13 +350,18 @@ def test_language_id(docs, empty):
     tongues = {"xx": [f"{a}ach{b}en" for a in "bdg" for b in "mnr"], "yy": [f"{a}eau{b}tion" for a in "lpv" for b in "mnr"]}
     sample = [(made_text(rng, tongues[k]).encode(), k) for i in range(60) for k in tongues]
     model = language_id.train(sample, max_batches=20)
-    names, scores = model.predict([made_text(rng, tongues["yy"]), made_text(rng, tongues["xx"]), None, "12 !", made_text(rng, tongues["xx"], 3000) + " leautionm" * 2])
-    assert names == ["yy", "xx", "und", "und", "xx"] and scores[2:4] == [0.0, 0.0] and min(scores[:2]) > 0.9
+    given = [made_text(rng, tongues["yy"]), made_text(rng, tongues["xx"]), None, "12 !", made_text(rng, tongues["xx"], 3000) + " leautionm" * 2, "½ ² ①_٣"]
+    names, scores, spans = model.predict(given)
+    assert names == ["yy", "xx", "und", "und", "xx", "und"] and [*scores[2:4], scores[5]] == [0.0, 0.0, 0.0] and min(scores[:2]) > 0.9
+    assert spans[:4] == [[(0, 60, "yy")], [(0, 60, "xx")], [], []] and spans[4][0] == (0, 3000, "xx")
+    switched = [made_text(rng, tongues["xx"], 150) + " " + made_text(rng, tongues["yy"], 300), "", made_text(rng, tongues["yy"], 20) + " " + made_text(rng, tongues["xx"], 40)]
+    assert model.predict(switched)[2] == [[(0, 150, "xx"), (150, 300, "yy")], [], [(0, 20, "yy"), (20, 40, "xx")]]
+    assert language_id.words_of("x²y ½ Ab_c9d") == ["x", "y", "ab", "c", "d"]
     got = language_id.identify(docs, model).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     assert all((r["lang_pred"] == "und") == (not language_id.words_of(r["text"])) for r in got)
     assert language_id.identify(empty, model).count() == 0
-    assert language_id.train([]).predict(["a"]) == (["und"], [0.0])
+    assert language_id.train([]).predict(["a"]) == (["und"], [0.0], [[]])
 
 
 def test_word_hashes_do_not_depend_on_the_batch():

@@ -114,7 +114,7 @@ def test_run_equals_plain_stages(spark, tmp_path):
 
     model, want = language_model(given), []
     for d in docs:
-        (name,), (score,) = model.predict([d["text"]])
+        (name,), (score,), _ = model.predict([d["text"]])
         if name != "und" and score >= corpus_pipeline.MIN_LANGUAGE_SCORE:
             want.append(d | {"lang": d["lang"] or name})
     assert len(want) == 54 and seen(0) == rows(want)
