@@ -164,7 +164,7 @@ class Engine:
         """A new snapshot, kept where it differs from the current one, or by force; repositories stay as pinned."""
         row, linked = self._trusted(target)
         if row["kind"] == "source":
-            return {"changed": False, "resource": row, "message": "source resources are pinned; add an explicit pointer to change them"}
+            return {"changed": False, "resource": row, "message": "repositories stay at their pointer; add the resource with another one to move it"}
         snapshot, changed = self._snapshot(row, pages, max_pages, True, force)
         if changed or force:
             row = row | {"current": snapshot["snapshot_id"], "updated_at": self._stamp()}
@@ -203,13 +203,14 @@ class Engine:
             rows = self.spark.createDataFrame([{k: r.get(k) for k in rows.columns} for r in manifest["resources"]], files.RESOURCE)
         allowed = catalog.queryable(rows, label, kind)
         if label is not None and allowed.isEmpty():
-            raise LookupError("no queryable resource matched label")
-        chunks = self.store.chunks()
+            raise LookupError(f"nothing that can be queried is labelled {label}")
+        chunks, index = self.store.chunks(), self.store.postings()
         if snapshots == "current":
-            chunks = chunks.join(rows.select(F.col("id").alias("resource_id"), F.col("current").alias("snapshot_id")), ["resource_id", "snapshot_id"], "left_semi")
+            current = rows.select(F.col("id").alias("resource_id"), F.col("current").alias("snapshot_id"))
+            chunks, index = (df.join(current, ["resource_id", "snapshot_id"], "left_semi") for df in (chunks, index))
         terms = list(self.spark.range(1).select(text.tokenize_query(F.lit(question)).alias("t")).first()["t"])
         vector = embedding.query_vector(question, self.embedder) if self.embedder else None
-        found = retrieval.search(chunks, terms, retrieval.phrases_of(terms, self.spark), vector, allowed.select(F.col("id").alias("resource_id")), top_k, budget, scope == "pre_limit", debug)
+        found = retrieval.search(chunks, terms, retrieval.phrases_of(terms, self.spark), vector, allowed.select(F.col("id").alias("resource_id")), top_k, budget, scope == "pre_limit", debug, index)
         return retrieval.results(found) if nested else found
 
     def show(self, target: str | None = None) -> DataFrame:
@@ -260,7 +261,7 @@ class Engine:
             raise LookupError(f"resource not found: {target}")
         known = self.store.snapshots.read().filter((F.col("resource_id") == row["id"]) & (F.col("snapshot_id") == pointer))
         if (row["kind"] == "source" and pointer != row["current"]) or (row["kind"] != "source" and known.isEmpty()):
-            raise LookupError(f"snapshot not found for {target}: {pointer}")
+            raise LookupError(f"{target} has no snapshot {pointer}")
         row |= {"current": pointer, "updated_at": self._stamp()}
         files.write_manifest(self.spark, self.manifest_path, manifest)
         return row

@@ -9,26 +9,35 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .urls import canonical_url
+
+
+#: Elements that a head may hold, and those of them whose text is no text of the page.
+HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"}
+UNSEEN = {"title", "noscript", "noframes", "style", "script", "template"}
+
 
 class _Reader(HTMLParser):
+    """Text and links of a page. As in a browser's tree, the body begins with the first thing that no head may hold."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.in_body, self.skip, self.parts, self.links = False, 0, [], []
+        self.in_body, self.unseen, self.parts, self.links = False, None, [], []
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("body", "nav", "main", "article", "div", "p", "h1"):
-            self.in_body = True
-        if tag in ("script", "style"):
-            self.skip += 1
+        if not self.in_body and not self.unseen:
+            self.in_body = tag not in HEAD
+            self.unseen = tag if tag in UNSEEN else None
         if tag == "a" and (href := dict(attrs).get("href")):
             self.links.append(href)
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
+        if tag == self.unseen:
+            self.unseen = None
 
     def handle_data(self, data):
-        if self.in_body and not self.skip and data.strip():
+        if not self.unseen and data.strip():
+            self.in_body = True
             self.parts.append(data.strip())
 
 
@@ -48,13 +57,25 @@ def html_to_text(html: Column) -> Column:
     return F.pandas_udf(_texts, "string")(html)
 
 
-def html_links(html: Column, base: Column) -> Column:
-    """The targets of all a[href], joined with base, without query and fragment, in order."""
-    return F.pandas_udf(_targets, "array<string>")(html, base)
+def _joined(base: str | None, target: str) -> str | None:
+    """A target as an absolute URL without query and fragment; None where it is no URL."""
+    try:
+        return urljoin(base or "", target).split("#")[0].split("?")[0]
+    except ValueError:
+        return None
+
+
+def _absolute(targets: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([[u for t in ([] if ts is None else ts) if (u := _joined(b, t)) is not None] for ts, b in zip(targets, base, strict=True)])
 
 
 def _targets(html: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([[urljoin(b, x).split("#")[0].split("?")[0] for x in _read(h).links] for h, b in zip(html, base, strict=True)])
+    return _absolute(html.map(lambda h: _read(h).links), base)
+
+
+def html_links(html: Column, base: Column) -> Column:
+    """The targets of all a[href], joined with base, without query and fragment, in order."""
+    return F.pandas_udf(_targets, "array<string>")(html, base)
 
 
 def looks_like_html(x: Column) -> Column:
@@ -62,8 +83,13 @@ def looks_like_html(x: Column) -> Column:
     return F.startswith(start, F.lit("<!DOCTYPE html")) | F.startswith(start, F.lit("<html")) | x.contains("<body") | x.contains("<main") | x.contains("<article")
 
 
-def text_links(x: Column) -> Column:
-    """Markdown targets, then bare URLs, in order."""
-    targets = F.transform(F.regexp_extract_all(x, F.lit(r"\]\(([^)]*)\)"), F.lit(1)), F.trim)
+def text_links(x: Column, base: Column) -> Column:
+    """Markdown targets, then bare URLs, in order, joined with base, without query and fragment."""
+    targets = F.transform(F.regexp_extract_all(x, F.lit(r"\]\(([^)]*)\)"), F.lit(1)), lambda t: F.trim(t))
     bare = F.transform(F.split(x, r"\s+"), lambda w: F.regexp_replace(w, r"""^["'()\[\]<>,.]+|["'()\[\]<>,.]+$""", ""))
-    return F.concat(targets, F.filter(bare, lambda w: w.rlike("^https?://")))
+    return F.pandas_udf(_absolute, "array<string>")(F.concat(targets, F.filter(bare, lambda w: w.rlike("^https?://"))), base)
+
+
+def page_links(body: Column, base: Column) -> Column:
+    """The canonical URLs that a raw body links to, of elements and of text, first occurrences."""
+    return F.array_distinct(F.transform(F.concat(html_links(body, base), text_links(body, base)), canonical_url))

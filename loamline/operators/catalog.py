@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrow import bounded_batches
@@ -105,8 +105,25 @@ def queryable(resources: DataFrame, label: str | None = None, kind: str | None =
     return out if kind is None else out.filter(F.col("kind") == kind)
 
 
-def nearest_rank(rows: DataFrame, value: str, p: float) -> Column:
-    """The nearest-rank percentile as an aggregate: the value at place round((n - 1) * p), halves to even."""
-    n = rows.count()
-    at = round((n - 1) * p) if n else 0
-    return F.expr(f"percentile_disc({(at + 0.5) / max(n, 1)!r}D) WITHIN GROUP (ORDER BY `{value}`)")
+def nearest_ranks(rows: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
+    """One row: for each named p the value at place round((n - 1) * p), halves to even; null where there are no values.
+
+    Equal values are counted first, so a frequent one is one row; the rest is sorted by ranges. The driver sees a number
+    for each range, and a range numbers its own rows alone.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    ranged = counted.repartitionByRange("value").withColumn("part", F.spark_partition_id()).checkpoint()
+    sums = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    total, wanted = sum(n for _, n in sums), []
+    for name, p in points.items():
+        place, before = round((total - 1) * p), 0
+        for part, n in sums:
+            if place < before + n:
+                wanted.append((name, part, place - before))
+                break
+            before += n
+    asked = rows.sparkSession.createDataFrame(wanted, "name string, part int, place long")
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    few = ranged.filter(F.col("part").isin([w[1] for w in wanted])).withColumn("upto", upto)
+    found = few.join(F.broadcast(asked), "part").filter((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
+    return found.agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in points])

@@ -6,6 +6,8 @@ on partitioning. Wide columns join again only after the candidate limit.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,39 +29,63 @@ def phrases_of(terms: list[str], spark) -> list[list[str]]:
     return [list(p) for p in dict.fromkeys(tuple(r["p"]) for r in rows if r["p"])]
 
 
-def _starts(phrase: list[str]):
-    """Whether the phrase starts at a place of tokens, as a lambda of one argument."""
-    return lambda i: F.slice("tokens", i, len(phrase)) == F.array(*[F.lit(x) for x in phrase])
+def postings(chunks: DataFrame) -> DataFrame:
+    """The inverted index of chunks (resource_id, snapshot_id, chunk_key, tokens): a row for each term of each chunk.
+
+    Columns: resource_id, snapshot_id, term, chunk_key, d (the chunk's tokens) and positions. A chunk's terms come from
+    its own row, so nothing is shuffled.
+    """
+    keys = ["resource_id", "snapshot_id", "chunk_key"]
+    term = lambda t: F.struct(t.alias("term"), F.filter(F.transform("tokens", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()).alias("positions"))
+    rows = chunks.select(*keys, F.size("tokens").alias("d"), F.explode(F.transform(F.array_distinct("tokens"), term)).alias("t"))
+    return rows.select("resource_id", "snapshot_id", "t.term", "chunk_key", "d", "t.positions")
+
+
+def index_of(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """term, chunk_key, d and positions, as postings() has them, of the phrases' words alone, straight from tokens."""
+    words = sorted({w for p in phrases for w in p})
+    hits = F.filter(F.transform("tokens", lambda x, i: F.struct(x.alias("term"), i.alias("at"))), lambda h: h.term.isin(words))
+    near = tokens.select("chunk_key", F.size("tokens").alias("d"), hits.alias("hits")).filter(F.size("hits") > 0)
+    term = lambda t: F.struct(t.alias("term"), F.transform(F.filter("hits", lambda h: h.term == t), lambda h: h["at"]).alias("positions"))
+    rows = near.select("chunk_key", "d", F.explode(F.transform(F.array_distinct(F.transform("hits", lambda h: h.term)), term)).alias("t"))
+    return rows.select("t.term", "chunk_key", "d", "t.positions")
 
 
-def phrase_counts(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """chunk_key, phrase, tf of tokens (chunk_key, tokens). Single words come from exploded postings."""
-    single = [p[0] for p in phrases if len(p) == 1]
-    out = None
+def phrase_counts(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """chunk_key, phrase, tf and d, from an index's rows; only those of the phrases' words are read."""
+    single, out = [p[0] for p in phrases if len(p) == 1], []
     if single:
-        out = tokens.select("chunk_key", F.explode("tokens").alias("phrase")).filter(F.col("phrase").isin(single)).groupBy("chunk_key", "phrase").agg(F.count("*").alias("tf"))
+        out.append(index.filter(F.col("term").isin(single)).select("chunk_key", F.col("term").alias("phrase"), F.size("positions").cast("long").alias("tf"), F.col("d")))
     for p in (p for p in phrases if len(p) > 1):
-        k = len(p)
-        places = F.when(F.size("tokens") >= k, F.sequence(F.lit(1), F.size("tokens") - k + 1)).otherwise(F.array().cast("array<int>"))
-        hits = F.size(F.filter(places, _starts(p)))
-        rows = tokens.filter(F.array_contains("tokens", p[0])).select("chunk_key", F.lit(" ".join(p)).alias("phrase"), hits.cast("long").alias("tf")).filter("tf > 0")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        places = lambda w: F.array(*[F.lit(j) for j, x in enumerate(p) if x == w])  # noqa: E731, B023
+        at = F.element_at(F.create_map(*[x for w in dict.fromkeys(p) for x in (F.lit(w), places(w))]), F.col("term"))
+        begins = F.flatten(F.transform("positions", lambda i: F.transform(at, lambda j: i - j)))  # noqa: B023
+        rows = index.filter(F.col("term").isin(sorted(set(p)))).select("chunk_key", "d", F.explode(begins).alias("begin"))
+        whole = rows.groupBy("chunk_key", "d", "begin").agg(F.count("*").alias("n")).filter(F.col("n") == len(p))
+        out.append(whole.groupBy("chunk_key", "d").agg(F.count("*").alias("tf")).select("chunk_key", F.lit(" ".join(p)).alias("phrase"), "tf", "d"))
+    return reduce(DataFrame.unionByName, out)
 
 
-def bm25(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """chunk_key and score of every chunk with a phrase. Statistics are those of the whole index."""
+def bm25(index: DataFrame, lengths: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """chunk_key and score of every chunk with a phrase.
+
+    index: term, chunk_key, d and positions; lengths: a row for each chunk of the whole index, with d. Only rows of the
+    phrases' words are counted; the scores of a chunk meet by its key, and nothing of the others moves.
+    """
     if not phrases:
-        return tokens.select("chunk_key", F.lit(0.0).alias("score")).limit(0)
-    lengths = tokens.select("chunk_key", F.size("tokens").alias("d"))
+        return index.select("chunk_key", F.lit(0.0).alias("score")).limit(0)
     stats = lengths.agg(F.count("*").alias("n"), F.avg("d").alias("avgdl"))
-    tf = phrase_counts(tokens, phrases)
+    tf = phrase_counts(index, phrases)
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.join(F.broadcast(stats)).withColumn("idf", F.when(raw > 0, raw).otherwise(LEAST_IDF)).select("phrase", "idf", "avgdl")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("d") / F.col("avgdl")))
-    scored = tf.join(F.broadcast(idf), "phrase").join(lengths, "chunk_key")  # a row for each phrase of the question
-    return scored.groupBy("chunk_key").agg(F.round(F.sum(part), 6).alias("score"))
+    return tf.join(F.broadcast(idf), "phrase").groupBy("chunk_key").agg(F.round(F.sum(part), 6).alias("score"))  # idf: a row for each phrase
+
+
+def bm25_of(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """bm25() over tokens (chunk_key, tokens) that have no stored index."""
+    return bm25(index_of(tokens, phrases), tokens.select(F.size("tokens").alias("d")), phrases)
 
 
 def top(scored: DataFrame, limit: int, rank: str) -> DataFrame:
@@ -179,15 +205,16 @@ def results(items: DataFrame) -> DataFrame:
     return items.groupBy(*group).agg(sections.alias("matched_section_indexes"), F.sort_array(F.collect_list(item)).alias("evidence"))
 
 
-def search(chunks: DataFrame, terms: list[str], phrases: list[list[str]], vector: list[float] | None, allowed: DataFrame, top_k: int = TOP_K, budget: int = BUDGET, early: bool = False, debug: bool = False) -> DataFrame:
+def search(chunks: DataFrame, terms: list[str], phrases: list[list[str]], vector: list[float] | None, allowed: DataFrame, top_k: int = TOP_K, budget: int = BUDGET, early: bool = False, debug: bool = False, index: DataFrame | None = None) -> DataFrame:
     """Evidence rows for a question over indexed chunks (with tokens and, for a vector, embedding).
 
+    index: their stored postings; without them the chunks' tokens are searched.
     allowed: resource_id of what the question may reach. Vectors are scoped before they are ranked; lexical hits after
     the candidate limit, or before it with early. BM25 statistics are always those of the whole index.
     """
     limit = candidate_limit(top_k)
     keys = chunks.join(allowed.select("resource_id").distinct(), "resource_id", "left_semi").select("chunk_key")
-    scored = bm25(chunks.select("chunk_key", "tokens"), phrases)
+    scored = bm25_of(chunks.select("chunk_key", "tokens"), phrases) if index is None else bm25(index, chunks.select(F.col("n_tokens").alias("d")), phrases)
     if early:
         lexical = top(scored.join(keys, "chunk_key", "left_semi"), limit, "lexical_rank")
     else:

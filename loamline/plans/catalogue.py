@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, markdown, text, urls
-from ..operators import catalog, chunking, crawl, retrieval
+from ..operators import catalog, chunking, crawl, evaluation, retrieval
 from ..operators.numbering import running_total
 
 QUESTION = "Which ones are Licensed under CC BY-NC 4.0? pathetic loser, and the worthless"
@@ -20,12 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Loops need a checkpoint folder; where the session names none, as in tests, a temporary one is set."""
+    """Loops need a checkpoint folder. Where the session names none a local one gets a temporary folder; on a cluster
+    that is an error, as executors would not see it."""
     import tempfile
 
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="loamline-"))
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local") or sc.master.startswith("local-cluster") and not named:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loamline-"))
 
 
 # ---- corpus -------------------------------------------------------------------------------------------------------
@@ -117,7 +121,7 @@ lex AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_key) AS lexical_
 def lexical(spark: SparkSession, sf_dir: str, chunks: DataFrame | None = None, question: str = QUESTION) -> DataFrame:
     chunks = corpus_chunks(spark, sf_dir) if chunks is None else chunks
     terms = spark.range(1).select(text.tokenize_query(F.lit(question)).alias("t")).first()["t"]
-    scored = retrieval.bm25(corpus_tokens(chunks), retrieval.phrases_of(terms, spark))
+    scored = retrieval.bm25_of(corpus_tokens(chunks), retrieval.phrases_of(terms, spark))
     return retrieval.top(scored, retrieval.candidate_limit(retrieval.TOP_K), "lexical_rank")
 
 
@@ -228,8 +232,16 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    found = F.array_distinct(F.concat(html.html_links(F.col("html"), F.col("url")), html.text_links(F.col("html"))))
-    return p.select("page_id", F.posexplode(found).alias("pos", "link"))
+    return p.select("page_id", F.posexplode(html.page_links(F.col("html"), F.col("url"))).alias("pos", "link"))
+
+
+def text_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of Markdown pages beside each page: relative, rooted, absolute and bare ones, some of them twice."""
+    i = F.col("page_id").cast("string")
+    lines = [F.lit("# Page"), F.concat(F.lit("* [next]("), i, F.lit(".md), [next again]( "), i, F.lit(".md#part )")), F.concat(F.lit("[up](../up/"), i, F.lit("?q=1)")), F.concat(F.lit("[root](/root/"), i, F.lit(")"))]
+    lines += [F.concat(F.lit("See <https://other.example/"), i, F.lit("#x>, or [it](https://other.example/"), i, F.lit(") and (http://bare.example).")), F.lit("[self](#top) ftp://no.example/x")]
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://docs.example/guide/v1/p"), i).alias("url"), F.concat_ws("\n", *lines).alias("body"))
+    return p.select("page_id", F.posexplode(html.page_links(F.col("body"), F.col("url"))).alias("pos", "link"))
 
 
 def link_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,6 +305,16 @@ def md_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes(spark, sf_dir, False).select("conv_id", F.inline(markdown.section_markdown(F.col("markdown")))).select("conv_id", "section_index", "anchor")
 
 
+def md_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of generated notes that use every kind of block; the titles and texts hold the page's number."""
+    i = F.col("page_id").cast("string")
+    parts = ["Intro ", i, " &amp; *more* `a&amp;b`\n\n***\n\n> # Quoted ", i, "\n> said [so](x.md) \\*here\\*\n\n| a ", i, " | b |\n| --- | :-: |\n| c | **d** |\n\n<div>\n# no heading ", i, "\n</div>\n\n"]
+    parts += ["Two\nlines ", i, "\n===\n\n    # code ", i, "\n\n```\n# fenced\n```\n- # Item ", i, " ##\n1. one &lt;", i, "&gt; <b>bold</b>\n\n---\nlast __word__ snake_case_", i]
+    note = F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    s = table(spark, sf_dir, "pages").select("page_id", F.inline(markdown.section_markdown(note)))
+    return s.select("page_id", "section_index", F.array_join("heading_path", " > ").alias("path"), "level", "anchor", "plain_text")
+
+
 TURNS_CTE = r"t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations WHERE NOT regexp_matches(text, '" + PLAIN_TURN.replace("(?m)", "") + r"', 'm') AND trim(text) <> '')"
 
 # ---- catalog and summaries ----------------------------------------------------------------------------------------
@@ -362,7 +384,8 @@ def trusted_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("value")
-    return e.agg(*[catalog.nearest_rank(e, "value", p / 100).alias(f"p{p}") for p in (50, 90, 99)])
+    ensure_checkpoints(spark)
+    return catalog.nearest_ranks(e, "value", {f"p{p}": p / 100 for p in (50, 90, 99)})
 
 
 def stress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,17 +399,18 @@ def slowest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    err = text.ascii_lower(F.concat_ws(" ", "event_type", F.coalesce("props", F.lit(""))))
-    status = F.when(F.col("value") > 180, "timeout").when(~err.contains("error"), "ok").when(err.contains("429"), "rate_limited").when(err.contains("403"), "blocked").otherwise("failed")
+    """Events taken for runs: some fail, and what they say is their properties with a code made from the id."""
+    said = F.concat_ws(" ", "props", F.element_at(F.array(*[F.lit(x) for x in ("HTTP 429", "403 Forbidden", "Rate Limit", "reset")]), (F.col("event_id") % 4 + 1).cast("int")))
+    status = evaluation.run_status(F.col("event_id") % 3, said, F.col("value") > 180)
     return table(spark, sf_dir, "events").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
 def must_include(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each benchmark item, whether some document holds its words; the first three words are its answer terms."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.split(F.lower("text"), " "), 1, 3).alias("terms"))
-    d = table(spark, sf_dir, "documents").select(F.lower("text").alias("doc"))
-    hit = d.join(F.broadcast(b), F.forall("terms", lambda t: F.contains(F.col("doc"), t)))  # a fixed list of cases
-    return b.select("item_id").join(hit.groupBy("item_id").agg(F.count("*").alias("documents")), "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
+    """Each benchmark item is a case: its words are the terms, the document of its number is the answer."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split("text", " ")).alias("terms"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("output"))
+    missing = evaluation.missing_terms(F.col("output"), F.col("terms"))
+    return b.join(d, "item_id", "left").select("item_id", F.size("terms").alias("terms"), F.size(missing).alias("missing"))
 
 
 def resource_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,6 +458,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical(spark, sf_dir)
 
 
+def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of bm25_topk, from stored postings."""
+    chunks = corpus_chunks(spark, sf_dir)
+    tokens = corpus_tokens(chunks)
+    index = stored(retrieval.postings(tokens.join(chunks.select("chunk_key", "resource_id", "snapshot_id"), "chunk_key")))
+    scored = retrieval.bm25(index, tokens.select(F.size("tokens").alias("d")), retrieval.phrases_of(TERMS, spark))
+    return retrieval.top(scored, retrieval.candidate_limit(retrieval.TOP_K), "lexical_rank")
+
+
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical(spark, sf_dir, question="by-nc 4.0")
 
@@ -442,7 +475,7 @@ def _scoped(spark: SparkSession, sf_dir: str, early: bool) -> DataFrame:
     chunks = corpus_chunks(spark, sf_dir)
     allowed = chunks.filter("label IN ('src1', 'src2')").select("chunk_key")
     phrases = retrieval.phrases_of(TERMS, spark)
-    scored = retrieval.bm25(corpus_tokens(chunks), phrases)
+    scored = retrieval.bm25_of(corpus_tokens(chunks), phrases)
     if early:
         return retrieval.top(scored.join(allowed, "chunk_key", "left_semi"), 50, "lexical_rank")
     kept = retrieval.top(scored, 50, "first_rank").join(allowed, "chunk_key", "left_semi")
@@ -482,9 +515,9 @@ def catalogue_sql(ctes: str, select: str) -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        agent_query, input_classify, url_canonical, llms_candidates, html_sniff, html_to_text, page_links, link_scope, crawl_bfs, crawl_bfs_capped, md_sections, md_anchor,
+        agent_query, input_classify, url_canonical, llms_candidates, html_sniff, html_to_text, page_links, text_links, link_scope, crawl_bfs, crawl_bfs_capped, md_sections, md_anchor, md_markup,
         snapshot_hash, catalog_list, update_changed, update_noop, catalog_upsert, remove_cascade, target_lookup, trusted_resolve, percentiles, stress_summary, slowest,
-        status_classify, must_include, resource_ids, version_compare, chunk_number, search_content, tokenize_query, fts_fold_tokens, bm25_stats, bm25_topk, bm25_phrase,
+        status_classify, must_include, resource_ids, version_compare, chunk_number, search_content, tokenize_query, fts_fold_tokens, bm25_stats, bm25_topk, bm25_postings, bm25_phrase,
         scope_post_limit, scope_pre_limit, cosine_topk, rrf_fuse, anchor_rows, top_groups,
     )
 }
@@ -513,6 +546,8 @@ SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT A
     "html_sniff": "SELECT page_id, page_id % 3 <> 0 AS is_html FROM pages",
     "html_to_text": "WITH t AS (SELECT page_id, list_filter(list_transform(string_split_regex(" + _BODY + ", '<[^>]*>'), lambda x: trim(" + _TEXT_OF.format("x") + ", ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') AS x FROM pages) SELECT page_id, array_to_string(x, chr(10)) || chr(10) AS text FROM t",
     "page_links": "WITH " + _HREFS + ", e AS (SELECT page_id, unnest(links) AS link, generate_subscripts(links, 1) AS i FROM l), f AS (SELECT page_id, link, min(i) AS i FROM e GROUP BY ALL) SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, link FROM f",
+    "text_links": """SELECT page_id, unnest([0, 1, 2, 3, 4, 5])::INT AS pos, unnest(['https://docs.example/guide/v1/' || page_id || '.md', 'https://docs.example/guide/up/' || page_id,
+  'https://docs.example/root/' || page_id, 'https://other.example/' || page_id, 'https://docs.example/guide/v1/p' || page_id, 'http://bare.example/']) AS link FROM pages""",
     "link_scope": "WITH " + _HREFS + r""", s AS (SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS seed, unnest(links) AS link FROM l),
 r AS (SELECT *, regexp_extract(seed, '^([a-z]+://[^/]*)', 1) AS o, regexp_replace(regexp_replace(seed, '^[a-z]+://[^/]*', ''), '/*$', '/') AS root, regexp_replace(link, '^[a-z]+://[^/]*', '') AS path FROM s)
 SELECT page_id, link, (starts_with(path, root) OR path = rtrim(root, '/')) AND NOT regexp_matches(lower(path), '\.(png|jpg|jpeg|gif|webp|svg|ico|css|js|mjs|map|pdf|zip|tar|gz|mp4|webm|woff|woff2|ttf)$') AS in_scope FROM r""",
@@ -523,6 +558,10 @@ SELECT conv_id, 0 AS section_index, 'Conversation ' || conv_id AS path, 1 AS lev
 UNION ALL SELECT conv_id, n, 'Conversation ' || conv_id || ' > ' || turn || ' ' || role, 2, 0, n - 1, CASE WHEN n < k THEN n + 1 END, turn || '-' || role, trim(regexp_replace(turn || ' ' || role || ' ' || text, '\s+', ' ', 'g')), sha256(md) FROM b""",
     "md_anchor": "WITH " + TURNS_CTE + """, s AS (SELECT DISTINCT conv_id FROM t), r AS (SELECT conv_id, n, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY n) AS m FROM t)
 SELECT conv_id, 0 AS section_index, 'conversation-' || conv_id AS anchor FROM s UNION ALL SELECT conv_id, n, CASE WHEN m = 1 THEN role ELSE role || '-' || m END FROM r""",
+    "md_markup": """SELECT page_id, unnest([0, 1, 2, 3]) AS section_index, unnest(['', 'Quoted ' || page_id, 'Two lines ' || page_id, 'Item ' || page_id]) AS path,
+  unnest([0, 1, 1, 1]) AS level, unnest([NULL, 'quoted-' || page_id, 'two-lines-' || page_id, 'item-' || page_id]) AS anchor,
+  unnest(['Intro ' || page_id || ' & more a&amp;b', 'Quoted ' || page_id || ' said so *here* a ' || page_id || ' b c d', 'Two lines ' || page_id || ' # code ' || page_id || ' # fenced',
+    'Item ' || page_id || ' one <' || page_id || '> bold last word snake_case_' || page_id]) AS plain_text FROM pages""",
     "snapshot_hash": catalogue_sql(HASH_CTE, "SELECT resource_id, snapshot_id, page_count, content_hash FROM snaps"),
     "catalog_list": catalogue_sql(HASH_CTE, "SELECT id, label, kind, url, current, count(snapshot_id) AS snapshots, max(CASE WHEN snapshot_id = current THEN page_count END) AS page_count, max(CASE WHEN snapshot_id = current THEN content_hash END) AS content_hash FROM res LEFT JOIN snaps ON id = resource_id GROUP BY ALL"),
     "update_changed": catalogue_sql(HASH_CTE, "SELECT a.resource_id, a.content_hash, a.content_hash <> b.content_hash AS changed FROM snaps a JOIN snaps b USING (resource_id) WHERE a.snapshot_id = 's1' AND b.snapshot_id = 's0'"),
@@ -534,8 +573,10 @@ SELECT conv_id, 0 AS section_index, 'conversation-' || conv_id AS anchor FROM s
     "percentiles": "WITH o AS (SELECT value, row_number() OVER (ORDER BY value, event_id) - 1 AS i, count(*) OVER () AS n FROM events) SELECT " + ", ".join(f"max(CASE WHEN i = round_even((n - 1) * {p / 100}::DOUBLE, 0) THEN value END) AS p{p}" for p in (50, 90, 99)) + " FROM o",
     "stress_summary": "SELECT event_type AS status, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS pstdev, round(max(value), 4) AS longest, round(sum(value), 4) AS total FROM events GROUP BY event_type",
     "slowest": "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10",
-    "status_classify": "WITH e AS (SELECT value, lower(event_type || ' ' || coalesce(props, '')) AS x FROM events) SELECT CASE WHEN value > 180 THEN 'timeout' WHEN NOT contains(x, 'error') THEN 'ok' WHEN contains(x, '429') THEN 'rate_limited' WHEN contains(x, '403') THEN 'blocked' ELSE 'failed' END AS status, count(*) AS n FROM e GROUP BY 1",
-    "must_include": "WITH b AS (SELECT item_id, string_split(lower(text), ' ')[1:3] AS t FROM benchmark) SELECT item_id, (SELECT count(*) FROM documents d WHERE len(list_filter(b.t, lambda x: contains(lower(d.text), x))) = len(b.t)) AS documents FROM b",
+    "status_classify": """WITH e AS (SELECT value, event_id % 3 AS code, lower(concat_ws(' ', props, ['HTTP 429', '403 Forbidden', 'Rate Limit', 'reset'][event_id % 4 + 1])) AS x FROM events)
+SELECT CASE WHEN value > 180 THEN 'timeout' WHEN code = 0 THEN 'ok' WHEN contains(x, '429') OR contains(x, 'too many requests') OR contains(x, 'rate limit') THEN 'rate_limited'
+  WHEN contains(x, '403') OR contains(x, 'forbidden') OR contains(x, 'cloudflare') OR contains(x, 'captcha') OR contains(x, 'bot') THEN 'blocked' ELSE 'failed' END AS status, count(*) AS n FROM e GROUP BY 1""",
+    "must_include": "WITH b AS (SELECT item_id, list_distinct(string_split(text, ' ')) AS t FROM benchmark) SELECT item_id, len(t)::INT AS terms, len(list_filter(t, lambda x: NOT contains(lower(coalesce(d.text, '')), lower(x))))::INT AS missing FROM b LEFT JOIN documents d ON d.doc_id = item_id",
     "resource_ids": catalogue_sql(HASH_CTE, "SELECT id, label, url FROM res"),
     "version_compare": "SELECT * FROM (VALUES ('1.2.3', '1.2.3', 'same'), ('1.2.3', '1.10.0', 'older'), ('2.0.0-rc1', '1.9.9', 'newer'), ('1.2', '1.2.0', 'unknown'), ('x.1.2', '1.0.0', 'unknown'), ('1.0.0+b', '1.0.0', 'same')) v(a, b, status)",
     "chunk_number": catalogue_sql(CHUNKS_CTE, "SELECT chunk_key, url, chunk_index, sha256(content) AS content_hash FROM chunks"),
@@ -544,6 +585,7 @@ SELECT conv_id, 0 AS section_index, 'conversation-' || conv_id AS anchor FROM s
     "fts_fold_tokens": r"SELECT doc_id, sha256(array_to_string(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ')) AS tokens FROM documents",
     "bm25_stats": catalogue_sql(TOKENS_CTE, "SELECT count(*) AS n, sum(d)::BIGINT AS tokens, round(avg(d), 6) AS avgdl FROM lens"),
     "bm25_topk": catalogue_sql(_BM25, "SELECT chunk_key, score, lexical_rank FROM lex"),
+    "bm25_postings": catalogue_sql(_BM25, "SELECT chunk_key, score, lexical_rank FROM lex"),
     "bm25_phrase": catalogue_sql(_bm25_cte([("by", "nc"), ("4", "0")]), "SELECT chunk_key, score, lexical_rank FROM lex"),
     "scope_post_limit": catalogue_sql(_BM25, "SELECT chunk_key, score, row_number() OVER (ORDER BY lexical_rank) AS lexical_rank FROM lex WHERE lexical_rank <= 50 AND chunk_key IN (SELECT chunk_key FROM chunks WHERE label IN ('src1', 'src2'))"),
     "scope_pre_limit": catalogue_sql(_BM25, "SELECT chunk_key, score, row_number() OVER (ORDER BY score DESC, chunk_key) AS lexical_rank FROM bm WHERE chunk_key IN (SELECT chunk_key FROM chunks WHERE label IN ('src1', 'src2')) QUALIFY lexical_rank <= 50"),

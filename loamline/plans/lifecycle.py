@@ -113,9 +113,9 @@ def embed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("item_id")
-    said = F.when(i % 3 == 0, "rrf_hybrid").otherwise(F.concat(F.lit("RRF_hybrid source_prior: llms_txt "), F.upper("text")))
+    said = F.when(i % 3 == 0, "rrf_hybrid").otherwise(F.concat(F.lit("RRF_hybrid source_prior: llms_txt "), F.translate("text", text.LOWER, text.UPPER)))
     cases = c.table(spark, sf_dir, "benchmark").select(
-        F.when(i % 2 == 0, "small").otherwise("large").alias("mode"), F.slice(F.split("text", " "), 1, 3).alias("must_include"), said.alias("output"), F.when(i % 7 == 6, 1).otherwise(0).alias("exit_code"), i.cast("double").alias("elapsed_s")
+        F.when(i % 2 == 0, "small").otherwise("large").alias("mode"), F.split("text", " ").alias("must_include"), said.alias("output"), F.when(i % 7 == 6, 1).otherwise(0).alias("exit_code"), i.cast("double").alias("elapsed_s")
     )
     return evaluation.case_summary(evaluation.judged(cases))
 
@@ -188,8 +188,8 @@ SELECT page_id, link, starts_with(link, folder) AND NOT regexp_matches(lower(lin
     "paper_header": _values([(h[0], h[2], h[3]) for h in HEADERS], "id, version, header"),
     "embed_passages": "SELECT doc_id, 256 AS dims, 1.0::DOUBLE AS norm, true AS round_trip FROM documents",
     "bench_summary": """WITH b AS (SELECT *, CASE WHEN item_id % 2 = 0 THEN 'small' ELSE 'large' END AS mode,
-  CASE WHEN item_id % 3 = 0 THEN 'rrf_hybrid' ELSE 'rrf_hybrid source_prior: llms_txt ' || lower(upper(text)) END AS said FROM benchmark)
-SELECT mode, count(*) AS cases, count(*) FILTER (item_id % 7 <> 6 AND len(list_filter(string_split(text, ' ')[1:3], lambda t: NOT contains(said, lower(t)))) = 0) AS passed,
+  CASE WHEN item_id % 3 = 0 THEN 'rrf_hybrid' ELSE 'rrf_hybrid source_prior: llms_txt ' || lower(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) END AS said FROM benchmark)
+SELECT mode, count(*) AS cases, count(*) FILTER (item_id % 7 <> 6 AND len(list_filter(string_split(text, ' '), lambda t: NOT contains(said, lower(t)))) = 0) AS passed,
   count(*) AS hybrid, count(*) FILTER (item_id % 3 <> 0) AS prior, round(avg(item_id), 3) AS mean_s, max(item_id)::DOUBLE AS max_s FROM b GROUP BY mode""",
     "run_status": _values([(i, r[3], r[5]) for i, r in enumerate(RUNS)], "run, status, max_rss_bytes"),
     "target_discovery": "SELECT min(page_id) AS page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages GROUP BY 2",

@@ -85,6 +85,6 @@ def fetch_pages(urls: DataFrame, transport: Transport = http_get, tasks: int = 1
     got = fetch_bodies(urls.repartition(tasks, "url"), transport)
     body = F.coalesce("body", F.lit(""))
     is_html = F.contains("content_type", F.lit("html")) | html.looks_like_html(body)
-    links = F.array_distinct(F.transform(F.concat(html.html_links(body, F.col("url")), html.text_links(body)), canonical_url))
+    links = html.page_links(body, F.col("url"))
     text = html.html_to_text(body)
     return got.select("url", canonical_url(F.col("url")).alias("page_url"), F.when(is_html, text).otherwise(F.col("body")).alias("content"), links.alias("links"), "error")

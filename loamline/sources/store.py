@@ -9,22 +9,24 @@ fails on the version that is there.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.embedding import Embedder, passage_vectors
 from ..functions.text import index_tokens
-from ..operators import catalog, chunking
+from ..operators import catalog, chunking, retrieval
 from .files import RESOURCE, Files
 
 SNAPSHOT = "resource_id string, snapshot_id string, kind string, source_url string, content_hash string, fetched_at string, page_count long, extra string"
 PAGES = "kind string, label string, page_index long, url string, content string, resource_id string, snapshot_id string, batch long"
 CHUNKS = (
     "kind string, label string, page_index long, url string, page_chunk int, chunk_index long, chunk_key string, content string, plain_text string, content_hash string, section_index int, "
-    "heading_path array<string>, heading_level int, parent_section_index int, previous_section_index int, next_section_index int, anchor string, tokens array<string>, embedding array<float>, "
+    "heading_path array<string>, heading_level int, parent_section_index int, previous_section_index int, next_section_index int, anchor string, tokens array<string>, n_tokens int, embedding array<float>, "
     "resource_id string, snapshot_id string"
 )
+POSTINGS = "term string, chunk_key string, d int, positions array<int>, resource_id string, snapshot_id string"
 DYNAMIC = {"partitionOverwriteMode": "dynamic"}
 
 
@@ -72,6 +74,9 @@ class Store:
     def chunks(self) -> DataFrame:
         return self._read("chunks", CHUNKS)
 
+    def postings(self) -> DataFrame:
+        return self._read("postings", POSTINGS)
+
     def stage(self, pages: DataFrame) -> tuple[str, DataFrame]:
         """pages written once, so that fetching is not repeated; the caller drops the folder."""
         at = f"{self.home}/staging/{uuid.uuid4().hex}"
@@ -83,18 +88,23 @@ class Store:
         pages.select(*self.pages().columns).write.partitionBy("resource_id", "snapshot_id", "batch").options(**DYNAMIC).mode("overwrite").parquet(f"{self.home}/pages")
 
     def index(self, pages: DataFrame) -> None:
-        """Replaces the chunks of the snapshots that pages has whole."""
+        """Replaces the chunks of the snapshots that pages has whole, and their postings: sorted by term, so that a
+        question's words are found by the statistics of row groups."""
         chunks = chunking.page_chunks(pages.drop("batch"))
         search = chunking.search_content(F.col("label"), F.col("url"), F.col("heading_path"), F.col("plain_text"), F.col("content"))
-        vector = passage_vectors(F.col("plain_text"), self.embedder) if self.embedder else F.lit(None).cast("array<float>")
-        rows = chunks.withColumn("tokens", index_tokens(search)).withColumn("embedding", vector)
+        vector = passage_vectors(search, self.embedder) if self.embedder else F.lit(None).cast("array<float>")
+        rows = chunks.withColumn("tokens", index_tokens(search)).withColumn("n_tokens", F.size("tokens")).withColumn("embedding", vector)
+        touched = [r.asDict() for r in pages.select("resource_id", "snapshot_id").distinct().collect()]  # the snapshots of one command or micro-batch
         rows.select(*self.chunks().columns).write.partitionBy("resource_id", "snapshot_id").options(**DYNAMIC).mode("overwrite").parquet(f"{self.home}/chunks")
+        written = reduce(lambda a, b: a | b, [(F.col("resource_id") == t["resource_id"]) & (F.col("snapshot_id") == t["snapshot_id"]) for t in touched], F.lit(False))
+        index = retrieval.postings(self.chunks().filter(written)).repartitionByRange("resource_id", "snapshot_id", "term").sortWithinPartitions("resource_id", "snapshot_id", "term")
+        index.select(*self.postings().columns).write.partitionBy("resource_id", "snapshot_id").options(**DYNAMIC).mode("overwrite").parquet(f"{self.home}/postings")
 
     def snapshot_pages(self, resource_id: str, snapshot_id: str) -> DataFrame:
         return self.pages().filter((F.col("resource_id") == resource_id) & (F.col("snapshot_id") == snapshot_id))
 
     def size(self, resource_id: str) -> int:
-        return sum(self.files.size(f"{self.home}/{name}/resource_id={resource_id}") for name in ("pages", "chunks"))
+        return sum(self.files.size(f"{self.home}/{name}/resource_id={resource_id}") for name in ("pages", "chunks", "postings"))
 
     def remove(self, resource_id: str, prune: bool) -> dict[str, int]:
         """Deletes a resource's chunks and catalog rows, and with prune its pages; how many there were."""
@@ -102,6 +112,6 @@ class Store:
         counts = {"chunks": self.chunks().filter(of).count(), "snapshots": self.snapshots.read().filter(of).count(), "pages": self.pages().filter(of).count() if prune else 0}
         self.resources.replace(self.resources.read().filter(F.col("id") != resource_id))
         self.snapshots.replace(self.snapshots.read().filter(~of))
-        for name in ("chunks", "pages") if prune else ("chunks",):
+        for name in ("chunks", "postings", "pages") if prune else ("chunks", "postings"):
             self.files.delete(f"{self.home}/{name}/resource_id={resource_id}")
         return counts

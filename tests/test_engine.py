@@ -49,6 +49,22 @@ def test_site_order(spark):
     assert site(spark, "https://nothing.example/", bring).count() == 0
 
 
+RELATIVE = {
+    "https://r.example/llms.txt": "# R\n- [guide](guide.md)\n- [api]( api.md#top )\n",
+    "https://r.example/": "<h2>Home</h2><p>start</p>",
+    "https://r.example/guide.md": "# Guide\nsee [more](sub/more.md) and [api](./api.md?x=1)",
+    "https://r.example/api.md": "# API",
+    "https://r.example/sub/more.md": "up to [guide](../guide.md)",
+}
+
+
+def test_relative_links_of_text_are_followed(spark):
+    spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    got = site(spark, "https://r.example/", lambda urls: fetch.fetch_pages(urls, answers(RELATIVE), 2)).collect()
+    assert {r["page_index"]: r["url"].rsplit("/", 1)[1] for r in got} == {0: "llms.txt", 1: "guide.md", 2: "api.md", 3: "", 4: "more.md"}
+    assert {r["content"] for r in got if r["url"] == "https://r.example/"} == {"Home\nstart\n"}
+
+
 def test_scope_of_folders(spark):
     rows = [("https://h/", "https://h/a", True), ("https://h/docs/", "https://h/docs/a", True), ("https://h/docs/", "https://h/docsa", False), ("https://h", "https://h/x/y", True), ("https://h/docs", "https://h:444/docs/a", False)]
     df = spark.createDataFrame(rows, "seed string, link string, want boolean")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.functions import markdown, text, urls
+from loamline.functions import html, markdown, text, urls
 from loamline.operators import catalog, chunking, crawl, retrieval
 
 
@@ -84,3 +84,15 @@ def test_upsert_keeps_the_latest(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "id int, v string, at int")
     new = spark.createDataFrame([(1, "A", 1), (2, "B", 4), (3, "C", 1)], "id int, v string, at int")
     assert {r["id"]: r["v"] for r in catalog.upsert(old, new, ["id"], "at").collect()} == {1: "A", 2: "b", 3: "C"}
+
+
+def test_body_of_pages_without_body_tags(spark):
+    pages = {
+        "<h2>Title</h2><p>x</p>": "Title\nx\n",
+        "<html><head><title>t</title><style>a{}</style></head><h2>A</h2><span>b</span>": "A\nb\n",
+        "<head><script>no()</script></head><body>one<script>two()</script></body>": "one\ntwo()\n",
+        "<title>only</title>": "<title>only</title>",
+        "plain &amp; simple": "plain & simple\n",
+    }
+    rows = spark.createDataFrame(list(pages.items()), "html string, want string")
+    assert rows.filter(html.html_to_text(F.col("html")) != F.col("want")).count() == 0
