@@ -3,29 +3,28 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import embedding, papers, text, urls
+from .functions import embedding, text, urls, versions
 from .operators import catalog, crawl, retrieval
-from .sources import fetch, files
-from .sources.store import Store
-
-ARXIV = "https://arxiv.org"
+from .sources import fetch, files, snapshots
+from .sources.registries import Arxiv, PaperRegistry
+from .sources.store import LAYOUT, Store
 
 
 class Engine:
     """home holds the store; project, where given, the manifest of what the project links.
 
     With a manifest there, questions reach only what it links. Manifest rows never say where a resource lies: that is
-    read from the catalog by id.
+    read from the catalog by id. registries: those of papers, asked in order; the first that knows a URL has it.
     """
 
-    def __init__(self, spark: SparkSession, home: str, project: str | None = None, transport: fetch.Transport = fetch.http_get, embedder: embedding.Embedder | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC)):
-        self.spark, self.transport, self.embedder, self._now = spark, transport, embedder, now
+    def __init__(self, spark: SparkSession, home: str, project: str | None = None, transport: fetch.Transport = fetch.http_get, embedder: embedding.Embedder | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC), registries: Sequence[PaperRegistry] = (Arxiv(),)):
+        self.spark, self.transport, self.embedder, self._now, self.registries = spark, transport, embedder, now, registries
         self.store, self.files = Store(spark, home, embedder), files.Files(spark)
         self.manifest_path = f"{project.rstrip('/')}/loamline.json" if project else None
 
@@ -86,18 +85,14 @@ class Engine:
             return files.read_notes(self.spark, url).withColumn("url", F.lit(url)), None
         if kind == "docs":
             return crawl.site(self.spark, url, lambda u: fetch.fetch_pages(u, self.transport), max_pages), None
-        found = url.removeprefix(f"{ARXIV}/abs/")
-        full = f"{ARXIV}/html/{found}"
-        got = fetch.fetch_bodies(self.spark.createDataFrame([(url,), (full,)], "url string"), self.transport).checkpoint()
-        about = got.filter(F.col("url") == url).withColumn("paper", papers.paper_metadata(F.col("body")))
-        version = F.coalesce(papers.paper_version(F.col("paper.page_url")), papers.paper_version(F.lit(found)))
-        about = about.withColumn("version", version).withColumn("content", papers.paper_header(F.lit(found), F.col("version"), F.col("paper")))
-        first = about.select("error", "paper.title", "version").first()
-        if first["error"] is not None or first["title"] is None:
-            raise ValueError(f"no paper at {url}: {first['error'] or 'no title or abstract'}")
-        rest = got.filter((F.col("url") == full) & F.col("error").isNull()).withColumn("content", papers.paper_text(F.col("body"))).filter("content IS NOT NULL")
-        at = lambda df, i: df.select(F.lit(i).cast("long").alias("page_index"), "url", "content")
-        return at(about, 0).unionByName(at(rest, 1)), first["version"]
+        registry = self._registry(url)
+        return registry.pages(self.spark, url.removeprefix(registry.prefix), self.transport)
+
+    def _registry(self, address: str) -> PaperRegistry:
+        found = next((r for r in self.registries if address.startswith(r.prefix)), None)
+        if found is None:
+            raise LookupError(f"no registry for {address}")
+        return found
 
     def _snapshot(self, row: dict, pages: DataFrame | None, max_pages: int, index: bool, force: bool) -> tuple[dict, bool]:
         """The snapshot of a resource, and whether it differs from the current one; only then (or forced) is it kept."""
@@ -111,7 +106,7 @@ class Engine:
             if found is None:
                 raise ValueError(f"no pages at {row['url']}")
             at, digest = self._stamp(), found["content_hash"]
-            extra = json.dumps({"registry": "arxiv", "version": version}) if row["kind"] == "research_paper" else None
+            extra = json.dumps({"registry": self._registry(row["url"]).name, "version": version}) if row["kind"] == "research_paper" else None
             snapshot = {"resource_id": row["id"], "snapshot_id": f"{at.replace(':', '').replace('-', '')}-{digest[:12]}", "kind": row["kind"], "source_url": row["url"], "content_hash": f"sha256:{digest}", "fetched_at": at, "page_count": found["page_count"], "extra": extra}
             known = self.store.snapshots.read().filter((F.col("resource_id") == row["id"]) & (F.col("snapshot_id") == F.lit(row.get("current")))).select("content_hash").first()
             changed = known is None or known["content_hash"] != snapshot["content_hash"]
@@ -144,12 +139,15 @@ class Engine:
         A repository is registered by pointer alone: its trees are never indexed.
         """
         u = F.col("url")
-        known = self.spark.createDataFrame([(url,)], "url string").select(urls.input_kind(u).alias("kind"), urls.arxiv_id(u).alias("paper"), urls.default_name(u).alias("label"), F.regexp_extract(urls.path(u), "^/([^/]+/[^/]+)", 1).alias("repository")).first()
-        if known["kind"] is None:
+        papers = [r.paper(u).alias(f"paper_{i}") for i, r in enumerate(self.registries)]
+        known = self.spark.createDataFrame([(url,)], "url string").select(urls.input_kind(u).alias("kind"), urls.default_name(u).alias("label"), F.regexp_extract(urls.path(u), "^/([^/]+/[^/]+)", 1).alias("repository"), *papers).first()
+        paper = next(((r, known[f"paper_{i}"]) for i, r in enumerate(self.registries) if known[f"paper_{i}"]), None)
+        kind = "research_paper" if paper else known["kind"]
+        if kind is None or (kind == "research_paper" and not paper):
             raise ValueError(f"not an input: {url}")
-        kind, label = known["kind"], label or known["label"]
-        where = f"{ARXIV}/abs/{known['paper']}" if kind == "research_paper" else url
-        named = {"source": f"source:https://github.com/{known['repository'].removesuffix('.git')}.git:{label}", "research_paper": f"research-paper:arxiv:{where}:{label}"}.get(kind, f"{kind}:{where}:{label}")
+        label = label or (f"{paper[0].name}-{paper[1].replace('/', '-')}" if paper else known["label"])
+        where = paper[0].prefix + paper[1] if paper else url
+        named = {"source": f"source:https://github.com/{known['repository'].removesuffix('.git')}.git:{label}", "research_paper": f"research-paper:{paper[0].name if paper else ''}:{where}:{label}"}.get(kind, f"{kind}:{where}:{label}")
         ident = self.spark.range(1).select(text.stable_id(F.lit(named)).alias("id")).first()["id"]
         row = {"id": ident, "label": label, "kind": kind, "url": where, "reason": reason, "current": pointer, "created_at": self._stamp(), "updated_at": self._stamp()}
         if kind != "source":
@@ -158,6 +156,7 @@ class Engine:
         elif pointer is None:
             raise ValueError("a repository is added by its pointer")
         self._publish(row)
+        self.store.sign()
         return row
 
     def update(self, target: str, force: bool = False, max_pages: int = crawl.MAX_PAGES, pages: DataFrame | None = None) -> dict:
@@ -269,13 +268,37 @@ class Engine:
     def remove(self, target: str, prune: bool = False) -> dict[str, int]:
         return self.store.remove(self._global(target)["id"], prune)
 
+    def export(self, target: str, folder: str) -> dict:
+        """Writes a resource's current snapshot as files below folder; the snapshot's record."""
+        row, _ = self._trusted(target)
+        known = self.store.snapshots.read().filter((F.col("resource_id") == row["id"]) & (F.col("snapshot_id") == F.lit(row["current"]))).first()
+        if known is None:
+            raise LookupError(f"{target} has no snapshot to export")
+        extra = json.loads(known["extra"]) if known["extra"] else None
+        return snapshots.write_snapshot(self.store.snapshot_pages(row["id"], row["current"]), folder, row["kind"], row["id"], known["source_url"], known["fetched_at"], extra)
+
     def doctor(self) -> dict:
+        """What is there, the layout's version against this library's, and what is wrong: numbers of resources without
+        their current snapshot, of snapshots without pages, and of indexed snapshots without postings."""
         manifest = self._manifest()
+        signed, readable, version = self.store.signature()
+        status = self.spark.range(1).select(versions.installed_status(F.lit(signed), F.lit(readable), F.lit(version).cast("string"), F.lit(LAYOUT)).alias("s")).first()["s"]
+        resources, known = self.store.resources.read(), self.store.snapshots.read()
+        at = ["resource_id", "snapshot_id"]
+        current = resources.filter("kind <> 'source'").select(F.col("id").alias("resource_id"), F.col("current").alias("snapshot_id"))
+        problems = {
+            "resources_without_snapshot": current.join(known, at, "left_anti").count(),
+            "snapshots_without_pages": known.filter("page_count > 0").join(self.store.pages().select(*at), at, "left_anti").count(),
+            "snapshots_without_postings": self.store.chunks().filter("n_tokens > 0").select(*at).distinct().join(self.store.postings().select(*at), at, "left_anti").count(),
+        }
         return {
             "home": self.store.home,
             "manifest_exists": manifest is not None,
             "project_resources": len(manifest["resources"]) if manifest else 0,
-            "resources": self.store.resources.read().count(),
-            "snapshots": self.store.snapshots.read().count(),
+            "resources": resources.count(),
+            "snapshots": known.count(),
             "chunks": self.store.chunks().count(),
+            "layout": {"version": version, "running": LAYOUT, "status": status},
+            "problems": problems,
+            "healthy": status == versions.CURRENT and not any(problems.values()),
         }

@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _latin_folds() -> tuple[str, str]:
-    """Latin letters with marks, and the plain letters beneath them."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
-    pairs = [(a, b) for a, b in pairs if a != b and b.isascii() and b.isalpha()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _folds() -> tuple[str, str]:
+    """Lower-case letters and what the index has for them; marks beyond the second string's end are dropped.
 
+    Latin letters lose a mark if they have exactly one; marks of their own are dropped where such a letter has them.
+    Variants of a letter (long s, final sigma) become the letter.
+    """
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(c).islower()}
+    plain = {a: d[0] for a, d in parts.items() if len(d) == 2 and d[0].isascii() and d[0].isalpha()}
+    marks = {parts[a][1] for a in plain}
+    same = {a: a.casefold() for a in map(chr, range(0x80, 0x530)) if a.isalpha() and a.islower() and len(a.casefold()) == 1 and a.casefold() != a}
+    plain |= same | {"\u1e9b": "s"}
+    return "".join(plain) + "".join(sorted(marks)), "".join(plain.values())
 
-MARKED, PLAIN = _latin_folds()
+
+MARKED, PLAIN = _folds()
 
 
 def ascii_lower(x: Column) -> Column:
@@ -40,7 +47,7 @@ def tokenize_query(x: Column) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Unicode lower case without the marks of Latin letters."""
+    """Unicode lower case; Latin letters with one mark lose it, those with several keep them (see _folds)."""
     return F.translate(F.lower(x), MARKED, PLAIN)
 
 

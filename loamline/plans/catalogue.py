@@ -417,20 +417,6 @@ def resource_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources(spark, sf_dir).select("id", "label", "url")
 
 
-VERSIONS = [("1.2.3", "1.2.3"), ("1.2.3", "1.10.0"), ("2.0.0-rc1", "1.9.9"), ("1.2", "1.2.0"), ("x.1.2", "1.0.0"), ("1.0.0+b", "1.0.0")]
-
-
-def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def triple(c: str):
-        parts = F.split(F.regexp_extract(c, "^([^-+]*)", 1), r"\.")
-        numbers = F.transform(parts, lambda p: p.try_cast("int"))
-        return F.when((F.size(parts) == 3) & F.forall(numbers, lambda n: n.isNotNull()), numbers)
-
-    a, b = triple("a"), triple("b")
-    order = F.when(a.isNull() | b.isNull(), "unknown").when(a < b, "older").when(a == b, "same").otherwise("newer")
-    return spark.createDataFrame(VERSIONS, "a string, b string").select("a", "b", order.alias("status"))
-
-
 def chunk_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_chunks(spark, sf_dir).select("chunk_key", "url", "chunk_index", "content_hash")
 
@@ -517,7 +503,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         agent_query, input_classify, url_canonical, llms_candidates, html_sniff, html_to_text, page_links, text_links, link_scope, crawl_bfs, crawl_bfs_capped, md_sections, md_anchor, md_markup,
         snapshot_hash, catalog_list, update_changed, update_noop, catalog_upsert, remove_cascade, target_lookup, trusted_resolve, percentiles, stress_summary, slowest,
-        status_classify, must_include, resource_ids, version_compare, chunk_number, search_content, tokenize_query, fts_fold_tokens, bm25_stats, bm25_topk, bm25_postings, bm25_phrase,
+        status_classify, must_include, resource_ids, chunk_number, search_content, tokenize_query, fts_fold_tokens, bm25_stats, bm25_topk, bm25_postings, bm25_phrase,
         scope_post_limit, scope_pre_limit, cosine_topk, rrf_fuse, anchor_rows, top_groups,
     )
 }
@@ -578,7 +564,6 @@ SELECT CASE WHEN value > 180 THEN 'timeout' WHEN code = 0 THEN 'ok' WHEN contain
   WHEN contains(x, '403') OR contains(x, 'forbidden') OR contains(x, 'cloudflare') OR contains(x, 'captcha') OR contains(x, 'bot') THEN 'blocked' ELSE 'failed' END AS status, count(*) AS n FROM e GROUP BY 1""",
     "must_include": "WITH b AS (SELECT item_id, list_distinct(string_split(text, ' ')) AS t FROM benchmark) SELECT item_id, len(t)::INT AS terms, len(list_filter(t, lambda x: NOT contains(lower(coalesce(d.text, '')), lower(x))))::INT AS missing FROM b LEFT JOIN documents d ON d.doc_id = item_id",
     "resource_ids": catalogue_sql(HASH_CTE, "SELECT id, label, url FROM res"),
-    "version_compare": "SELECT * FROM (VALUES ('1.2.3', '1.2.3', 'same'), ('1.2.3', '1.10.0', 'older'), ('2.0.0-rc1', '1.9.9', 'newer'), ('1.2', '1.2.0', 'unknown'), ('x.1.2', '1.0.0', 'unknown'), ('1.0.0+b', '1.0.0', 'same')) v(a, b, status)",
     "chunk_number": catalogue_sql(CHUNKS_CTE, "SELECT chunk_key, url, chunk_index, sha256(content) AS content_hash FROM chunks"),
     "search_content": catalogue_sql(CHUNKS_CTE, "SELECT chunk_key, sha256(label || chr(10) || url || chr(10) || plain_text || chr(10) || content) AS search_hash FROM chunks"),
     "tokenize_query": r"WITH e AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}_./:@#-]+') AS w FROM benchmark)), f AS (SELECT item_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, i FROM e), g AS (SELECT item_id, w, min(i) AS i FROM (SELECT item_id, first_value(w) OVER (PARTITION BY item_id, w ORDER BY i) AS w, i FROM f) GROUP BY ALL) SELECT item_id, string_agg(w, ' ' ORDER BY i) AS terms FROM g GROUP BY item_id",

@@ -31,6 +31,10 @@ class Files:
         p, fs = self._at(path)
         return fs.delete(p, True)
 
+    def rename(self, path: str, to: str) -> bool:
+        p, fs = self._at(path)
+        return fs.rename(p, self._fs.Path(to))
+
     def names(self, path: str) -> list[str]:
         p, fs = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []

@@ -8,6 +8,7 @@ fails on the version that is there.
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
@@ -28,6 +29,8 @@ CHUNKS = (
 )
 POSTINGS = "term string, chunk_key string, d int, positions array<int>, resource_id string, snapshot_id string"
 DYNAMIC = {"partitionOverwriteMode": "dynamic"}
+#: The version of the store's layout, which signed stores state.
+LAYOUT, SIGNATURE = "1.1.0", "store.json"
 
 
 class Table:
@@ -68,6 +71,22 @@ class Store:
         at = f"{self.home}/{name}"
         return self.spark.read.schema(schema).parquet(at) if self.files.names(at) else self.spark.createDataFrame([], schema)
 
+    def sign(self) -> None:
+        """States the layout's version in the store, once."""
+        if not self.files.exists(f"{self.home}/{SIGNATURE}"):
+            self.files.write_text(f"{self.home}/{SIGNATURE}", json.dumps({"version": LAYOUT}))
+
+    def signature(self) -> tuple[bool, bool, str | None]:
+        """Whether there is a store, whether its signature can be read (a missing one can), and the version it states."""
+        if not self.files.exists(self.home):
+            return False, True, None
+        if not self.files.exists(f"{self.home}/{SIGNATURE}"):
+            return True, True, None
+        try:
+            return True, True, str(json.loads(self.files.read_text(f"{self.home}/{SIGNATURE}"))["version"])
+        except (ValueError, KeyError, TypeError):
+            return True, False, None
+
     def pages(self) -> DataFrame:
         return self._read("pages", PAGES)
 

@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from loamline.plans import catalogue, lifecycle
+from loamline.plans import catalogue, harness, lifecycle
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, ORACLES = catalogue.QUERIES | lifecycle.QUERIES, catalogue.ORACLES | lifecycle.ORACLES
-CHOSEN = ["input_classify", "url_canonical", "html_to_text", "page_links", "crawl_bfs_capped", "md_sections", "snapshot_hash", "percentiles", "chunk_number", "bm25_phrase", "top_groups", *lifecycle.QUERIES]
+QUERIES, ORACLES = catalogue.QUERIES | lifecycle.QUERIES | harness.QUERIES, catalogue.ORACLES | lifecycle.ORACLES | harness.ORACLES
+CHOSEN = ["input_classify", "url_canonical", "html_to_text", "page_links", "crawl_bfs_capped", "md_sections", "snapshot_hash", "percentiles", "chunk_number", "bm25_phrase", "top_groups", *lifecycle.QUERIES, *harness.QUERIES]
 
 
 def plain(v):

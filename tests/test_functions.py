@@ -1,7 +1,10 @@
+import sqlite3
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.functions import html, markdown, text, urls
+from loamline.functions import html, markdown, text, urls, versions
 from loamline.operators import catalog, chunking, crawl, retrieval
 
 
@@ -96,3 +99,26 @@ def test_body_of_pages_without_body_tags(spark):
     }
     rows = spark.createDataFrame(list(pages.items()), "html string, want string")
     assert rows.filter(html.html_to_text(F.col("html")) != F.col("want")).count() == 0
+
+
+def test_fold_equals_the_full_text_index(spark):
+    """Over letters up to U+0527 and the Latin ones beyond, what SQLite's own tokenizer gives; U+037F is younger than it."""
+    db = sqlite3.connect(":memory:")
+    try:
+        db.execute("CREATE VIRTUAL TABLE t USING fts5(x)")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text index here")
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    letters = [chr(c) for c in (*range(0xC0, 0x528), *range(0x1E00, 0x1F00)) if c != 0x37F and unicodedata.category(chr(c))[0] in "LNM"]
+    db.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", [(i, f"a{x}b") for i, x in enumerate(letters)])
+    want = {i: [] for i in range(len(letters))}
+    for term, doc in db.execute("SELECT term, doc FROM v ORDER BY doc, offset"):
+        want[doc].append(term)
+    rows = spark.createDataFrame([(i, f"a{x}b") for i, x in enumerate(letters)], "i int, x string").select("i", text.index_tokens(F.col("x")).alias("t")).collect()
+    assert [(letters[r["i"]], r["t"], want[r["i"]]) for r in rows if r["t"] != want[r["i"]]] == []
+
+
+def test_version_order_edges(spark):
+    rows = [("1.2.3", "1.2.3", "same"), ("1.9.0", "1.10.0", "older"), ("2.0.0-rc1", "1.9.9", "newer"), ("1.2", "1.2.0", "unknown"), ("1..2", "1.0.0", "unknown"), ("1.0.0\n", "1.0.0", "unknown"), ("", "1.0.0", "unknown"), (None, "1.0.0", "unknown"), ("18446744073709551615.0.0", "1.0.0", "newer"), ("1.0.0+b-c", "1.0.0", "same")]
+    got = spark.createDataFrame(rows, "a string, b string, want string").withColumn("got", versions.version_order(F.col("a"), F.col("b"))).collect()
+    assert [(r["a"], r["got"]) for r in got if r["got"] != r["want"]] == []
