@@ -1,4 +1,4 @@
-"""Hybrid retrieval as one lazy plan: BM25 and cosine candidates, rank fusion, anchors, context, budget, evidence.
+"""Hybrid retrieval: BM25 and cosine candidates, rank fusion, anchors, context, budget, evidence.
 
 Scores are rounded to six digits before they order anything, and ties go to the smaller key, so results do not depend
 on partitioning. Wide columns join again only after the candidate limit.
@@ -108,12 +108,15 @@ def cosine_scores(vectors: DataFrame, query: list[float]) -> DataFrame:
     return vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("chunk_key", F.round(cosine(F.col("embedding"), q), 6).alias("score"))
 
 
-def fuse(lexical: DataFrame, vector: DataFrame) -> DataFrame:
-    """Reciprocal-rank fusion of two ranked lists."""
+def fuse(lexical: DataFrame, vector: DataFrame | None) -> DataFrame:
+    """Reciprocal-rank fusion of two ranked lists, or of the first alone."""
     a = lexical.select("chunk_key", "lexical_rank", F.col("score").alias("lexical_score"))
-    b = vector.select("chunk_key", "vector_rank", F.col("score").alias("vector_score"))
     part = lambda r: F.coalesce(1 / (RRF_K + F.col(r)), F.lit(0.0))
-    return a.join(b, "chunk_key", "full_outer").withColumn("rrf", part("lexical_rank") + part("vector_rank"))
+    if vector is None:
+        both = a.withColumn("vector_rank", F.lit(None).cast("int")).withColumn("vector_score", F.lit(None).cast("double"))
+    else:
+        both = a.join(vector.select("chunk_key", "vector_rank", F.col("score").alias("vector_score")), "chunk_key", "full_outer")
+    return both.withColumn("rrf", part("lexical_rank") + part("vector_rank"))
 
 
 def with_prior(fused: DataFrame) -> DataFrame:
@@ -197,6 +200,13 @@ def evidence_items(kept: DataFrame, anchored: DataFrame, chunks: DataFrame, debu
     return rows.select(*out, *([more.alias("debug")] if debug else []))
 
 
+def held(few: DataFrame) -> tuple[DataFrame, dict[str, list]]:
+    """few as a local table, so that what follows neither plans nor runs its steps again, and the distinct values of its
+    string columns. For rows that a limit bounds."""
+    got = few.toArrow()
+    return few.sparkSession.createDataFrame(got, few.schema), {c: got[c].unique().drop_null().to_pylist() for c, t in few.dtypes if t == "string"}
+
+
 def results(items: DataFrame) -> DataFrame:
     """A row for each group, its evidence an array in the order of chunks (a handful for each of three anchors)."""
     group = ["rank", "kind", "label", "citation", "snapshot_id", F.col("group_score").alias("score"), F.col("anchor_chunks").alias("matched_chunk_indexes")]
@@ -211,22 +221,28 @@ def search(chunks: DataFrame, terms: list[str], phrases: list[list[str]], vector
     index: their stored postings; without them the chunks' tokens are searched.
     allowed: resource_id of what the question may reach. Vectors are scoped before they are ranked; lexical hits after
     the candidate limit, or before it with early. BM25 statistics are always those of the whole index.
+
+    The driver holds the candidates' keys and scores (a candidate limit of rows for each list), the anchors among them
+    and the chosen groups (top_k), and names them to the scans that fetch their rows; the rest is lazy.
     """
     limit = candidate_limit(top_k)
-    keys = chunks.join(allowed.select("resource_id").distinct(), "resource_id", "left_semi").select("chunk_key")
+    reached = chunks.join(allowed.select("resource_id").distinct(), "resource_id", "left_semi")
     scored = bm25_of(chunks.select("chunk_key", "tokens"), phrases) if index is None else bm25(index, chunks.select(F.col("n_tokens").alias("d")), phrases)
     if early:
-        lexical = top(scored.join(keys, "chunk_key", "left_semi"), limit, "lexical_rank")
-    else:
-        late = top(scored, limit, "lm_rank").join(keys, "chunk_key", "left_semi")
-        lexical = late.withColumn("lexical_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("lm_rank"))).drop("lm_rank")
-    if vector is None:
-        near = chunks.select("chunk_key", F.lit(0.0).alias("score"), F.lit(0).alias("vector_rank")).limit(0)
+        lexical, found = held(top(scored.join(reached.select("chunk_key"), "chunk_key", "left_semi"), limit, "lexical_rank"))
     else:
-        near = top(cosine_scores(chunks.select("chunk_key", "embedding").join(keys, "chunk_key", "left_semi"), vector), limit, "vector_rank")
-    facts = chunks.select("chunk_key", "resource_id", "snapshot_id", "url", "label", "chunk_index", "heading_path", "plain_text")
-    candidates = with_prior(facts.join(F.broadcast(fuse(lexical, near)), "chunk_key"))  # two candidate limits of rows
+        first, found = held(top(scored, limit, "lm_rank"))
+        named = reached.filter(F.col("chunk_key").isin(found["chunk_key"])).select("chunk_key")  # as many as first, at most
+        late = first.join(F.broadcast(named), "chunk_key", "left_semi")
+        lexical, found = held(late.withColumn("lexical_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("lm_rank"))).drop("lm_rank"))
+    near, also = (None, {"chunk_key": []}) if vector is None else held(top(cosine_scores(reached.select("chunk_key", "embedding"), vector), limit, "vector_rank"))
+    fused = fuse(lexical, near)
+    keys = sorted({*found["chunk_key"], *also["chunk_key"]})
+    facts = chunks.select("chunk_key", "resource_id", "snapshot_id", "url", "label", "chunk_index", "heading_path", "plain_text").filter(F.col("chunk_key").isin(keys))
+    candidates = with_prior(facts.join(F.broadcast(fused), "chunk_key"))  # two candidate limits of rows
     counted = candidates.withColumn("overlap", overlap(terms, F.col("label"), F.col("heading_path"), F.col("plain_text")))
-    best = anchors(counted)
-    kept = within_budget(context(groups(best, top_k), chunks), budget)
-    return evidence_items(kept.select("rank", "resource_id", "snapshot_id", "url", "label", "group_score", "anchor_chunks", "chunk_index", "evidence", "content"), best, chunks, debug)
+    best, _ = held(anchors(counted.drop("label", "heading_path", "plain_text")))
+    chosen, of = held(groups(best, top_k))
+    beside = chunks.filter(reduce(lambda x, y: x & y, [F.col(c).isin(of[c]) for c in ("resource_id", "snapshot_id", "url")]))
+    kept = within_budget(context(chosen, beside), budget)
+    return evidence_items(kept.select("rank", "resource_id", "snapshot_id", "url", "label", "group_score", "anchor_chunks", "chunk_index", "evidence", "content"), best, beside, debug)
