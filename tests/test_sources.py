@@ -65,6 +65,9 @@ def test_registries_export_and_health(spark, tmp_path):
     assert engine.update("shelf-12")["changed"] is False
     with pytest.raises(ValueError):
         engine.add("https://arxiv.org/list/cs")
+    for scope in ("post_limit", "pre_limit"):
+        assert [r["label"] for r in engine.query("budgets", scope=scope).collect()] == ["shelf-12"] and engine.query("nowhere", scope=scope).count() == 0
+    assert engine.query("budgets", kind="docs").count() == 0
     made = engine.export("shelf-12", str(tmp_path / "out"))
     assert made["extra"] == {"registry": "shelf", "version": "v7"} and made["snapshot_id"] == row["current"] and made["content_hash"] == engine.store.snapshots.read().first()["content_hash"]
     well = engine.doctor()
