@@ -46,13 +46,13 @@ class Engine:
     def _linked(self, target: str) -> dict:
         row = self._named(self._project()["resources"], target)
         if row is None:
-            raise LookupError(f"resource not found: {target}")
+            raise LookupError(f"nothing is known as {target}")
         return row
 
     def _global(self, target: str) -> dict:
         row = catalog.find_target(self.store.resources.read(), target).first()
         if row is None:
-            raise LookupError(f"resource not found: {target}")
+            raise LookupError(f"nothing is known as {target}")
         return row.asDict()
 
     def _trusted(self, target: str) -> tuple[dict, bool]:
@@ -203,13 +203,13 @@ class Engine:
         allowed = catalog.queryable(rows, label, kind)
         if label is not None and allowed.isEmpty():
             raise LookupError(f"nothing that can be queried is labelled {label}")
-        chunks, index = self.store.chunks(), self.store.postings()
+        chunks, index, current = self.store.chunks(), self.store.postings(), None
         if snapshots == "current":
             current = rows.select(F.col("id").alias("resource_id"), F.col("current").alias("snapshot_id"))
             chunks, index = (df.join(current, ["resource_id", "snapshot_id"], "left_semi") for df in (chunks, index))
-        terms = list(self.spark.range(1).select(text.tokenize_query(F.lit(question)).alias("t")).first()["t"])
+        terms, phrases = retrieval.read_question(question, self.spark)
         vector = embedding.query_vector(question, self.embedder) if self.embedder else None
-        found = retrieval.search(chunks, terms, retrieval.phrases_of(terms, self.spark), vector, allowed.select(F.col("id").alias("resource_id")), top_k, budget, scope == "pre_limit", debug, index)
+        found = retrieval.search(chunks, terms, phrases, vector, allowed.select(F.col("id").alias("resource_id")), top_k, budget, scope == "pre_limit", debug, index, self.store.statistics(current))
         return retrieval.results(found) if nested else found
 
     def show(self, target: str | None = None) -> DataFrame:
@@ -257,7 +257,7 @@ class Engine:
         manifest = self._project()
         row = self._named(manifest["resources"], target)
         if row is None:
-            raise LookupError(f"resource not found: {target}")
+            raise LookupError(f"nothing is known as {target}")
         known = self.store.snapshots.read().filter((F.col("resource_id") == row["id"]) & (F.col("snapshot_id") == pointer))
         if (row["kind"] == "source" and pointer != row["current"]) or (row["kind"] != "source" and known.isEmpty()):
             raise LookupError(f"{target} has no snapshot {pointer}")

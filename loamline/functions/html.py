@@ -1,55 +1,26 @@
-"""HTML to text and links, by the standard library's parser in Arrow batches; no built-in function parses HTML."""
+"""HTML to text and links, from the standard's tree, in Arrow batches; no built-in function parses HTML."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-from urllib.parse import urljoin
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import canonical_url
-
-
-#: Elements that a head may hold, and those of them whose text is no text of the page.
-HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"}
-UNSEEN = {"title", "noscript", "noframes", "style", "script", "template"}
-
-
-class _Reader(HTMLParser):
-    """Text and links of a page. As in a browser's tree, the body begins with the first thing that no head may hold."""
+from .html_tree import body_of, parse
+from .url_parser import absolute
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.in_body, self.unseen, self.parts, self.links = False, None, [], []
 
-    def handle_starttag(self, tag, attrs):
-        if not self.in_body and not self.unseen:
-            self.in_body = tag not in HEAD
-            self.unseen = tag if tag in UNSEEN else None
-        if tag == "a" and (href := dict(attrs).get("href")):
-            self.links.append(href)
+def text_of(html: str) -> str:
+    body = body_of(parse(html))
+    return "".join(f"{x}\n" for x in body.texts()) if body else ""
 
-    def handle_endtag(self, tag):
-        if tag == self.unseen:
-            self.unseen = None
 
-    def handle_data(self, data):
-        if not self.unseen and data.strip():
-            self.in_body = True
-            self.parts.append(data.strip())
-
-
-def _read(html: str | None) -> _Reader:
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    return reader
+def links_of(html: str) -> list[str]:
+    return [n.attributes["href"] for n in parse(html).elements() if n.tag == "a" and "href" in n.attributes]
 
 
 def _texts(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: "".join(f"{x}\n" for x in _read(h).parts) or h)
+    return html.map(lambda h: text_of(h or "") or h)
 
 
 def html_to_text(html: Column) -> Column:
@@ -57,24 +28,16 @@ def html_to_text(html: Column) -> Column:
     return F.pandas_udf(_texts, "string")(html)
 
 
-def _joined(base: str | None, target: str) -> str | None:
-    """A target as an absolute URL without query and fragment; None where it is no URL."""
-    try:
-        return urljoin(base or "", target).split("#")[0].split("?")[0]
-    except ValueError:
-        return None
-
-
 def _absolute(targets: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([[u for t in ([] if ts is None else ts) if (u := _joined(b, t)) is not None] for ts, b in zip(targets, base, strict=True)])
+    return pd.Series([[u for t in ([] if ts is None else ts) if (u := absolute(t, b)) is not None] for ts, b in zip(targets, base, strict=True)])
 
 
 def _targets(html: pd.Series, base: pd.Series) -> pd.Series:
-    return _absolute(html.map(lambda h: _read(h).links), base)
+    return _absolute(html.map(lambda h: links_of(h or "")), base)
 
 
 def html_links(html: Column, base: Column) -> Column:
-    """The targets of all a[href], joined with base, without query and fragment, in order."""
+    """The targets of all a[href] as canonical URLs, in order."""
     return F.pandas_udf(_targets, "array<string>")(html, base)
 
 
@@ -84,7 +47,7 @@ def looks_like_html(x: Column) -> Column:
 
 
 def text_links(x: Column, base: Column) -> Column:
-    """Markdown targets, then bare URLs, in order, joined with base, without query and fragment."""
+    """Markdown targets, then bare URLs, in order, as canonical URLs."""
     targets = F.transform(F.regexp_extract_all(x, F.lit(r"\]\(([^)]*)\)"), F.lit(1)), lambda t: F.trim(t))
     bare = F.transform(F.split(x, r"\s+"), lambda w: F.regexp_replace(w, r"""^["'()\[\]<>,.]+|["'()\[\]<>,.]+$""", ""))
     return F.pandas_udf(_absolute, "array<string>")(F.concat(targets, F.filter(bare, lambda w: w.rlike("^https?://"))), base)
@@ -92,4 +55,4 @@ def text_links(x: Column, base: Column) -> Column:
 
 def page_links(body: Column, base: Column) -> Column:
     """The canonical URLs that a raw body links to, of elements and of text, first occurrences."""
-    return F.array_distinct(F.transform(F.concat(html_links(body, base), text_links(body, base)), canonical_url))
+    return F.array_distinct(F.concat(html_links(body, base), text_links(body, base)))

@@ -1,112 +1,38 @@
-"""Markdown sections and their plain text, by a line machine over the block structure of CommonMark.
-
-Known blocks: ATX and setext headings (in quotes and list items too), fences, indented code, quotes, lists, tables, rules,
-HTML blocks, paragraphs; in lines: code spans, emphasis, links, images, tags, entities, escapes.
-"""
+"""Markdown sections and their plain text, from the blocks and inline text of CommonMark."""
 
 from __future__ import annotations
 
 import hashlib
-import html
 import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .commonmark import Block, Document, inline, parse
+
 SECTION = "struct<section_index:int,heading_path:array<string>,level:int,parent:int,previous:int,next:int,anchor:string,markdown:string,plain_text:string,content_hash:string>"
-#: Names of tags that begin an HTML block, which ends at a blank line.
-BLOCK_TAGS = (
-    "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset "
-    "h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul"
-).split()
-_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$")
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-_UNDERLINE = re.compile(r" {0,3}(=+|-+)[ \t]*")
-_RULE = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*")
-_CONTAINER = re.compile(r" {0,3}(?:>[ \t]?|[-*+][ \t]+|\d{1,9}[.)][ \t]+)")
-_DELIMITER = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*")
-#: How an HTML block begins, and the line it ends with.
-_HTML = [
-    (re.compile(r" {0,3}<(?:script|pre|style|textarea)(?:[ \t>]|$)", re.I), re.compile(r"</(?:script|pre|style|textarea)>", re.I)),
-    (re.compile(r" {0,3}<!--"), re.compile(r"-->")),
-    (re.compile(r" {0,3}</?(?:" + "|".join(BLOCK_TAGS) + r")(?:[ \t]|/?>|$)", re.I), None),
-]
-
-
-def _bare(line: str) -> str:
-    """A line without the marks of the quotes and list items it lies in."""
-    while not _RULE.fullmatch(line) and (m := _CONTAINER.match(line)):
-        line = line[m.end() :]
-    return line
-
-
-def _lines(markdown: str) -> list[tuple[str, str]]:
-    """Each line's kind and content: fence, code, html, rule, underline, heading, delimiter, row, blank or text."""
-    lines, out, fence, ending, was = markdown.split("\n"), [], None, None, "blank"
-    for line in lines:
-        content = line if fence else _bare(line)
-        if fence:
-            m = _FENCE.match(_bare(line))
-            closes = m and m[1].startswith(fence) and not _bare(line).strip().strip(fence[0])
-            kind, fence = ("fence", None) if closes else ("code", fence)
-        elif ending:
-            kind = "html"
-            if ending is True and not line.strip():
-                kind, ending = "blank", None
-            elif ending is not True and ending.search(line):
-                ending = None
-        elif m := _FENCE.match(content):
-            kind, fence = "fence", m[1]
-        elif not content.strip():
-            kind = "blank"
-        elif found := next(((e or True) for b, e in _HTML if b.match(content)), None):
-            kind, ending = "html", found if found is True or not found.search(content) else None
-        elif was in ("blank", "code") and re.match(r"(?: {4}|\t)", line):
-            kind = "code"
-        elif was == "text" and _UNDERLINE.fullmatch(content) and content == line:
-            kind = "underline"
-        elif _ATX.match(content):
-            kind = "heading"
-        elif _RULE.fullmatch(content):
-            kind = "rule"
-        elif was == "text" and "|" in content and "|" in out[-1][1] and _DELIMITER.fullmatch(content):
-            kind, out[-1] = "delimiter", ("row", out[-1][1])
-        else:
-            kind = "row" if was in ("delimiter", "row") and "|" in content else "text"
-        out.append((kind, content))
-        was = kind
-    return out
+_TASK = re.compile(r"\[[ xX]\](?=\s)")
+
+
+def _texts(block: Block, found: Document) -> list[str]:
+    """The pieces of text that a block shows."""
+    if block.kind == "code":
+        return block.texts
+    if block.kind == "row":
+        return [piece for cell in block.texts for piece in inline(cell, found.labels)]
+    text = "\n".join(block.texts)
+    return inline(_TASK.sub("", text, count=1) if block.kind == "text" and block.task else text, found.labels)
+
+
+def _compact(pieces: list[str]) -> str:
+    return " ".join(" ".join(pieces).split())
 
 
-def _inline(line: str) -> str:
-    """A line's text: code spans as they are, the rest without marks, tags and escapes, entities resolved."""
-    out = []
-    for i, part in enumerate(re.split(r"(?<!`)(?:`([^`]+)`|``(.+?)``)(?!`)", line)):
-        if i % 3:
-            out.append(part or "")
-            continue
-        part = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", part or "")
-        part = re.sub(r"<([a-z][a-z0-9+.-]*:[^ >]*)>", r"\1", part)
-        part = re.sub(r"</?[A-Za-z][^>]*>|<!--.*?-->", "", part)
-        part = re.sub(r"(?<!\\)(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1", r"\2", part)
-        part = re.sub(r"(?<![\\*\w])([*_])(?=[^\s*_])(.+?)(?<=[^\s*_])\1(?![*\w])", r"\2", part)
-        out.append(re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", html.unescape(part)))
-    return "".join(out)
-
-
-def _plain(markdown: str) -> str:
-    out = []
-    for kind, content in _lines(markdown):
-        if kind == "code":
-            out.append(content)
-        elif kind == "heading":
-            out.append(_inline(_ATX.match(content)[2] or ""))
-        elif kind == "row":
-            out.append(" ".join(_inline(cell) for cell in re.split(r"(?<!\\)\|", content)))
-        elif kind == "text":
-            out.append(_inline(re.sub(r"^\[[ xX]\] ", "", content)))
-    return " ".join(" ".join(out).split())
+def plain_text(markdown: str) -> str:
+    """All text and code of a document, a space after each piece of it; markup and HTML are left out."""
+    found = parse(markdown)
+    return _compact([piece for block in found.blocks for piece in _texts(block, found)])
 
 
 def _slug(title: str) -> str:
@@ -116,24 +42,12 @@ def _slug(title: str) -> str:
 def sections(markdown: str) -> list[dict]:
     """A document's sections in order; text before the first heading is one of level 0."""
     markdown = markdown.replace("\r\n", "\n")
-    lines, kinds = markdown.split("\n"), _lines(markdown)
-    starts = []
-    for i, (kind, content) in enumerate(kinds):
-        if kind == "heading":
-            m = _ATX.match(content)
-            starts.append((i, len(m[1]), _inline(m[2] or "").strip()))
-        elif kind == "underline":
-            first = i - 1
-            while first and kinds[first - 1][0] == "text":
-                first -= 1
-            starts.append((first, 1 if "=" in content else 2, " ".join(_inline(c).strip() for _, c in kinds[first:i])))
-    pieces = []
-    first = starts[0][0] if starts else len(lines)
-    if "\n".join(lines[:first]).strip():
-        pieces.append((0, None, "\n".join(lines[:first]).strip()))
-    for n, (i, level, title) in enumerate(starts):
-        end = starts[n + 1][0] if n + 1 < len(starts) else len(lines)
-        pieces.append((level, title, "\n".join(lines[i:end]).strip()))
+    found = parse(markdown)
+    heads = [b for b in found.blocks if b.kind == "heading"]
+    ends = [*[b.start for b in heads[1:]], len(markdown)][: len(heads)]
+    pieces = [(0, None, markdown[: heads[0].start if heads else len(markdown)].strip())]
+    pieces = pieces if pieces[0][2] else []
+    pieces += [(b.level, _compact(_texts(b, found)), markdown[b.start : end].strip()) for b, end in zip(heads, ends, strict=True)]
     out, path, owners, used = [], [], [], {}
     for index, (level, title, text) in enumerate(pieces):
         anchor, parent = None, None
@@ -155,7 +69,7 @@ def sections(markdown: str) -> list[dict]:
                 "next": index + 1 if index + 1 < len(pieces) else None,
                 "anchor": anchor,
                 "markdown": text,
-                "plain_text": _plain(text),
+                "plain_text": plain_text(text),
                 "content_hash": hashlib.sha256(text.encode()).hexdigest(),
             }
         )

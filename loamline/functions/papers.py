@@ -2,99 +2,54 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .html_tree import Node, parse
+
 PAPER = "struct<title:string,abstract:string,authors:array<string>,date:string,pdf_url:string,page_url:string>"
-#: Elements that have no end tag, and places to look for a paper's text, the best first.
-VOID = "area base br col embed hr img input link meta source track wbr".split()
+#: Places to look for a paper's text, the best first.
 PLACES = ["article.ltx_document", "main article", "article", "main", "body"]
 
 
-class _Metas(HTMLParser):
+def _metas(html: str) -> dict[tuple[str, str], list[str]]:
     """The contents of meta tags by name and by property, blank ones left out."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.found: dict[tuple[str, str], list[str]] = {}
-
-    def handle_starttag(self, tag, attrs):
-        given = dict(reversed(attrs))  # of repeated attributes the first counts
-        value = (given.get("content") or "").strip()
-        if tag == "meta" and value:
+    found: dict[tuple[str, str], list[str]] = {}
+    for node in parse(html).elements():
+        value = node.attributes.get("content", "").strip()
+        if node.tag == "meta" and value:
             for kind in ("name", "property"):
-                if given.get(kind):
-                    self.found.setdefault((kind, given[kind]), []).append(value)
-
-    def first(self, *keys: tuple[str, str]) -> str | None:
-        return next((self.found[k][0] for k in keys if k in self.found), None)
+                if node.attributes.get(kind):
+                    found.setdefault((kind, node.attributes[kind]), []).append(value)
+    return found
 
 
 def paper_of(html: str | None) -> dict | None:
     """A page's metadata; None where it names no title or no abstract."""
-    metas = _Metas()
-    metas.feed(html or "")
-    metas.close()
-    title = metas.first(("name", "citation_title"), ("property", "og:title"))
-    abstract = metas.first(("name", "citation_abstract"), ("property", "og:description"))
+    metas = _metas(html or "")
+    first = lambda *keys: next((metas[k][0] for k in keys if k in metas), None)
+    title = first(("name", "citation_title"), ("property", "og:title"))
+    abstract = first(("name", "citation_abstract"), ("property", "og:description"))
     if title is None or abstract is None:
         return None
-    rest = {k: metas.first(("name", f"citation_{k}")) for k in ("date", "pdf_url")}
-    return {"title": title, "abstract": abstract, "authors": metas.found.get(("name", "citation_author"), []), **rest, "page_url": metas.first(("property", "og:url"))}
-
-
-class _Places(HTMLParser):
-    """The text of the first element at each of PLACES, in one pass."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
-        self.begun: dict[str, int] = {}
-        self.parts: dict[str, list[str]] = {p: [] for p in PLACES}
-
-    def _is(self, place: str, tag: str, classes: list[str]) -> bool:
-        if place == "article.ltx_document":
-            return tag == "article" and "ltx_document" in classes
-        if place == "main article":
-            return tag == "article" and "main" in self.open
-        return tag == place
-
-    def handle_starttag(self, tag, attrs):
-        classes = (dict(reversed(attrs)).get("class") or "").split()
-        for place in PLACES:
-            if place not in self.begun and self._is(place, tag, classes):
-                self.begun[place] = len(self.open)
-        if tag not in VOID:
-            self.open.append(tag)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        if tag in self.open:
-            while self.open.pop() != tag:
-                pass
-            for place, depth in self.begun.items():
-                if depth >= len(self.open):
-                    self.begun[place] = 1 << 30  # over; a later element does not count
-
-    def handle_data(self, data):
-        if data.strip():
-            for place, depth in self.begun.items():
-                if depth < len(self.open):
-                    self.parts[place].append(data.strip())
+    rest = {k: first(("name", f"citation_{k}")) for k in ("date", "pdf_url")}
+    return {"title": title, "abstract": abstract, "authors": metas.get(("name", "citation_author"), []), **rest, "page_url": first(("property", "og:url"))}
+
+
+def _is(place: str, node: Node) -> bool:
+    if place == "article.ltx_document":
+        return node.tag == "article" and "ltx_document" in node.attributes.get("class", "").split()
+    if place == "main article":
+        return node.tag == "article" and node.within("main")
+    return node.tag == place
 
 
 def full_text(html: str | None) -> str | None:
-    """The text at the first of PLACES that has any, a text node a line; None where none has."""
-    reader = _Places()
-    reader.feed(html or "")
-    reader.close()
-    return next(("\n".join(reader.parts[p]) for p in PLACES if reader.parts[p]), None)
+    """The text of the first element at the first of PLACES that has any, a text node a line; None where none has."""
+    nodes = list(parse(html or "").elements())
+    texts = (found.texts() for p in PLACES if (found := next((n for n in nodes if _is(p, n)), None)))
+    return next(("\n".join(t) for t in texts if t), None)
 
 
 def _papers(html: pd.Series) -> pd.DataFrame:

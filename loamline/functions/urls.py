@@ -2,38 +2,54 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import ascii_lower
+from .url_parser import parse
 
 #: Suffixes of paths that are assets, not documents.
 ASSETS = "png jpg jpeg gif webp svg ico css js mjs map pdf zip tar gz mp4 webm woff woff2 ttf".split()
 
 
+PARSED = "struct<scheme:string,host:string,port:int,path:string,bare:string>"
+
+
+def _parse(url: pd.Series) -> pd.DataFrame:
+    found = [None if u is None else parse(u) for u in url]
+    rows = [(None,) * 5 if p is None else (p.scheme, p.host, p.effective_port(), p.path or "/", p.bare()) for p in found]
+    out = pd.DataFrame(rows, columns=["scheme", "host", "port", "path", "bare"])
+    return out.astype({"port": "Int32"})
+
+
+def parsed(url: Column) -> Column:
+    """scheme, host, effective port, path and the URL without query and fragment; nulls where it is no absolute URL.
+
+    Every rule reads these, and equal calls in one step are one call.
+    """
+    return F.pandas_udf(_parse, PARSED)(url)
+
+
 def canonical_url(url: Column) -> Column:
-    """Without query and fragment; a bare origin gets the path /."""
-    bare = F.regexp_replace(url, r"[?#].*$", "")
-    return F.when(bare.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+$"), F.concat(bare, F.lit("/"))).otherwise(bare)
+    """As the URL standard writes it, without query and fragment; what is no absolute URL loses those alone."""
+    return F.coalesce(parsed(url).bare, F.regexp_replace(url, r"[?#].*$", ""))
 
 
 def scheme(url: Column) -> Column:
-    return ascii_lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    return F.coalesce(parsed(url).scheme, F.lit(""))
 
 
 def host(url: Column) -> Column:
-    return ascii_lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
+    return F.coalesce(parsed(url).host, F.lit(""))
 
 
 def port(url: Column) -> Column:
-    given = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]*:([0-9]+)", 1)
-    default = F.when(scheme(url) == "https", F.lit(443)).when(scheme(url) == "http", F.lit(80))
-    return F.when(given != "", given.cast("int")).otherwise(default)
+    return parsed(url).port
 
 
 def path(url: Column) -> Column:
-    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.when(found == "", F.lit("/")).otherwise(found)
+    return F.coalesce(parsed(url).path, F.lit("/"))
 
 
 def is_asset(url: Column) -> Column:
@@ -41,7 +57,9 @@ def is_asset(url: Column) -> Column:
 
 
 def same_origin(a: Column, b: Column) -> Column:
-    return (scheme(a) == scheme(b)) & (host(a) == host(b)) & port(a).eqNullSafe(port(b))
+    """Whether both are absolute URLs of one scheme, host and port."""
+    p, q = parsed(a), parsed(b)
+    return F.coalesce((p.scheme == q.scheme) & p.host.eqNullSafe(q.host) & p.port.eqNullSafe(q.port), F.lit(False))
 
 
 def in_scope(seed: Column, candidate: Column) -> Column:
@@ -57,10 +75,10 @@ def is_llms_txt(url: Column) -> Column:
 
 def llms_candidates(seed: Column) -> Column:
     """Where a site's llms.txt may be: below the seed, beside it, at the origin; an llms.txt seed is its own."""
-    bare = F.regexp_replace(seed, r"[?#].*$", "")
+    bare = canonical_url(seed)
     origin = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
     below = F.concat(F.regexp_replace(bare, "/+$", ""), F.lit("/llms.txt"))
-    beside = F.when(bare == origin, F.concat(origin, F.lit("/llms.txt"))).otherwise(F.concat(F.regexp_replace(bare, "[^/]*$", ""), F.lit("llms.txt")))
+    beside = F.concat(F.regexp_replace(bare, "[^/]*$", ""), F.lit("llms.txt"))
     return F.when(is_llms_txt(seed), F.array(bare)).otherwise(F.array_distinct(F.array(below, beside, F.concat(origin, F.lit("/llms.txt")))))
 
 

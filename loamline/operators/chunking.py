@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markdown import section_markdown
 from ..functions.text import compact_whitespace, content_hash, unicode_trim
+from .checkpoints import stored
 from .numbering import running_total
 
 CHUNK_BYTES = 2400
@@ -36,7 +37,7 @@ SNAPSHOT = ["resource_id", "snapshot_id"]
 def _numbered(pages: DataFrame, chunks: Column) -> DataFrame:
     """pages with a row for each of their chunks; chunk_index counts over the snapshot in the order of pages."""
     kept = [c for c in pages.columns if c != "content"]
-    cut = pages.select(*kept, chunks.alias("lm_chunks"))
+    cut = stored(pages.select(*kept, chunks.alias("lm_chunks")))  # cut once, though counted and then numbered
     placed = running_total(cut, SNAPSHOT, "page_index", F.size("lm_chunks"), "lm_first")
     out = placed.select(*kept, "lm_first", F.posexplode("lm_chunks").alias("page_chunk", "chunk"))
     out = out.withColumn("chunk_index", F.col("lm_first") + F.col("page_chunk")).drop("lm_first")
@@ -53,39 +54,31 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
     return out.withColumn("plain_text", compact_whitespace(F.col("content"))).withColumn("content_hash", content_hash(F.col("content")))
 
 
-def note_chunks(pages: DataFrame) -> DataFrame:
-    """pages of Markdown with a row for each section, and its place in the tree of sections."""
-    out = _numbered(pages, section_markdown(F.col("content")))
-    part = lambda name: F.col(f"chunk.{name}")
-    return out.select(
-        *[c for c in out.columns if c != "chunk"],
-        part("markdown").alias("content"),
-        part("plain_text"),
-        part("content_hash"),
-        part("section_index"),
-        part("heading_path"),
-        part("level").alias("heading_level"),
-        part("parent").alias("parent_section_index"),
-        part("previous").alias("previous_section_index"),
-        part("next").alias("next_section_index"),
-        part("anchor"),
-    )
+#: Facts of a chunk's place among the sections of its page.
+PLACE = "section_index int, heading_path array<string>, heading_level int, parent_section_index int, previous_section_index int, next_section_index int, anchor string"
 
 
 def page_chunks(pages: DataFrame) -> DataFrame:
-    """The chunks of pages of any kind (a column): sections of notes, packed paragraphs of everything else."""
-    none = F.lit(None)
-    plain = chunk_pages(pages.filter(~F.col("kind").eqNullSafe("notes"))).select(
-        "*",
-        F.lit(0).alias("section_index"),
-        F.array().cast("array<string>").alias("heading_path"),
-        F.lit(0).alias("heading_level"),
-        none.cast("int").alias("parent_section_index"),
-        F.when(F.col("page_chunk") > 0, F.col("page_chunk") - 1).alias("previous_section_index"),
-        none.cast("int").alias("next_section_index"),
-        none.cast("string").alias("anchor"),
-    )
-    return plain.unionByName(note_chunks(pages.filter(F.col("kind") == "notes")))
+    """The chunks of pages of any kind (a column), with their place: sections of notes, packed paragraphs of everything else.
+
+    A page of no or null content has none.
+    """
+    notes = F.col("kind").eqNullSafe("notes")
+    kinds = [p.split(" ") for p in PLACE.split(", ")]
+    names = ["content", "plain_text", "content_hash", *[name for name, _ in kinds]]
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def section(s: Column) -> Column:
+        parts = [s.markdown, s.plain_text, s.content_hash, s.section_index, s.heading_path, s.level, s.parent, s.previous, s.next, s.anchor]
+        return F.struct(*[p.alias(n) for p, n in zip(parts, names, strict=True)])
+
+    def packed(text: Column, i: Column) -> Column:
+        place = [F.lit(0), F.array().cast("array<string>"), F.lit(0), none("int"), F.when(i > 0, i - 1), none("int"), none("string")]
+        return F.struct(*[p.alias(n) for p, n in zip([text, compact_whitespace(text), content_hash(text), *place], names, strict=True)])
+
+    sections = F.transform(section_markdown(F.when(notes, F.col("content"))), section)
+    out = _numbered(pages, F.when(notes, sections).otherwise(F.transform(pack_paragraphs(F.col("content")), packed)))
+    return out.select(*[c for c in out.columns if c != "chunk"], "chunk.*")
 
 
 def search_content(label: Column, url: Column, heading_path: Column, plain_text: Column, content: Column) -> Column:

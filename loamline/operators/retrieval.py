@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, index_tokens, token_estimate
+from ..functions.text import ascii_lower, index_tokens, token_estimate, tokenize_query
 from ..functions.urls import is_llms_txt
+from .checkpoints import stored
+from .inverted import K1, LEAST_IDF, B, bm25_top, invert
 
 #: Fixed values of the retrieval contract.
 TOP_K, BUDGET, RRF_K, PRIOR, ANCHORS, CONTEXT = 5, 20_000, 60, 0.002, 3, 2
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def candidate_limit(top_k: int) -> int:
@@ -26,66 +29,64 @@ def candidate_limit(top_k: int) -> int:
 def phrases_of(terms: list[str], spark) -> list[list[str]]:
     """The index phrases of a question's terms; terms without a letter or digit give none."""
     rows = spark.createDataFrame([(t,) for t in terms], "t string").select(index_tokens(F.col("t")).alias("p")).collect() if terms else []
-    return [list(p) for p in dict.fromkeys(tuple(r["p"]) for r in rows if r["p"])]
+    return _distinct([r["p"] for r in rows])
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """The inverted index of chunks (resource_id, snapshot_id, chunk_key, tokens): a row for each term of each chunk.
+def _distinct(phrases: list[list[str]]) -> list[list[str]]:
+    return [list(p) for p in dict.fromkeys(map(tuple, phrases)) if p]
 
-    Columns: resource_id, snapshot_id, term, chunk_key, d (the chunk's tokens) and positions. A chunk's terms come from
-    its own row, so nothing is shuffled.
-    """
-    keys = ["resource_id", "snapshot_id", "chunk_key"]
-    term = lambda t: F.struct(t.alias("term"), F.filter(F.transform("tokens", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()).alias("positions"))
-    rows = chunks.select(*keys, F.size("tokens").alias("d"), F.explode(F.transform(F.array_distinct("tokens"), term)).alias("t"))
-    return rows.select("resource_id", "snapshot_id", "t.term", "chunk_key", "d", "t.positions")
-
-
-def index_of(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """term, chunk_key, d and positions, as postings() has them, of the phrases' words alone, straight from tokens."""
-    words = sorted({w for p in phrases for w in p})
-    hits = F.filter(F.transform("tokens", lambda x, i: F.struct(x.alias("term"), i.alias("at"))), lambda h: h.term.isin(words))
-    near = tokens.select("chunk_key", F.size("tokens").alias("d"), hits.alias("hits")).filter(F.size("hits") > 0)
-    term = lambda t: F.struct(t.alias("term"), F.transform(F.filter("hits", lambda h: h.term == t), lambda h: h["at"]).alias("positions"))
-    rows = near.select("chunk_key", "d", F.explode(F.transform(F.array_distinct(F.transform("hits", lambda h: h.term)), term)).alias("t"))
-    return rows.select("t.term", "chunk_key", "d", "t.positions")
-
-
-def phrase_counts(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """chunk_key, phrase, tf and d, from an index's rows; only those of the phrases' words are read."""
-    single, out = [p[0] for p in phrases if len(p) == 1], []
-    if single:
-        out.append(index.filter(F.col("term").isin(single)).select("chunk_key", F.col("term").alias("phrase"), F.size("positions").cast("long").alias("tf"), F.col("d")))
-    for p in (p for p in phrases if len(p) > 1):
-        places = lambda w: F.array(*[F.lit(j) for j, x in enumerate(p) if x == w])  # noqa: E731, B023
-        at = F.element_at(F.create_map(*[x for w in dict.fromkeys(p) for x in (F.lit(w), places(w))]), F.col("term"))
-        begins = F.flatten(F.transform("positions", lambda i: F.transform(at, lambda j: i - j)))  # noqa: B023
-        rows = index.filter(F.col("term").isin(sorted(set(p)))).select("chunk_key", "d", F.explode(begins).alias("begin"))
-        whole = rows.groupBy("chunk_key", "d", "begin").agg(F.count("*").alias("n")).filter(F.col("n") == len(p))
-        out.append(whole.groupBy("chunk_key", "d").agg(F.count("*").alias("tf")).select("chunk_key", F.lit(" ".join(p)).alias("phrase"), "tf", "d"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def bm25(index: DataFrame, lengths: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """chunk_key and score of every chunk with a phrase.
-
-    index: term, chunk_key, d and positions; lengths: a row for each chunk of the whole index, with d. Only rows of the
-    phrases' words are counted; the scores of a chunk meet by its key, and nothing of the others moves.
+
+def read_question(question: str, spark) -> tuple[list[str], list[list[str]]]:
+    """A question's terms and index phrases; one evaluation of a row that the planner holds."""
+    terms = spark.createDataFrame([(question,)], "q string").select(tokenize_query(F.col("q")).alias("t"))
+    got = terms.select("t", F.transform("t", index_tokens).alias("p")).first()
+    return list(got["t"]), _distinct(got["p"])
+
+
+def phrase_counts(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """chunk_key, d, phrase and tf of every chunk (chunk_key, tokens) with a phrase; one pass over each row's tokens."""
+
+    def count(phrase: list[str]) -> Column:
+        later = lambda x, i: [(F.get("tokens", i + j) == w) for j, w in enumerate(phrase[1:], 1)]
+        return F.size(F.filter("tokens", lambda x, i: reduce(lambda p, q: p & q, later(x, i), x == phrase[0])))
+
+    every = F.array(*[F.struct(F.lit(" ".join(p)).alias("phrase"), count(p).alias("tf")) for p in phrases])
+    return tokens.select("chunk_key", F.size("tokens").alias("d"), F.inline(F.filter(every, lambda c: c.tf > 0)))
+
+
+def bm25_of(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """chunk_key and score of every chunk with a phrase, over tokens (chunk_key, tokens) that have no stored index.
+
+    The counts are written once; frequencies and scores both come from them.
     """
     if not phrases:
-        return index.select("chunk_key", F.lit(0.0).alias("score")).limit(0)
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("d").alias("avgdl"))
-    tf = phrase_counts(index, phrases)
+        return tokens.select("chunk_key", F.lit(0.0).alias("score")).limit(0)
+    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    tf = stored(phrase_counts(tokens, phrases))
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.join(F.broadcast(stats)).withColumn("idf", F.when(raw > 0, raw).otherwise(LEAST_IDF)).select("phrase", "idf", "avgdl")
+    idf = df.join(F.broadcast(stats)).withColumn("idf", F.when(raw > 0, raw).otherwise(LEAST_IDF)).select("phrase", "idf", "avgdl")  # stats: one row
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("d") / F.col("avgdl")))
     return tf.join(F.broadcast(idf), "phrase").groupBy("chunk_key").agg(F.round(F.sum(part), 6).alias("score"))  # idf: a row for each phrase
 
 
-def bm25_of(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """bm25() over tokens (chunk_key, tokens) that have no stored index."""
-    return bm25(index_of(tokens, phrases), tokens.select(F.size("tokens").alias("d")), phrases)
+def lexical_hits(blocks: DataFrame, n: int, tokens: int, phrases: list[list[str]], limit: int, allowed: DataFrame | None = None) -> pa.Table:
+    """resource_id, snapshot_id, chunk_key and score of the limit best chunks of a stored index, the best first."""
+    best = bm25_top(blocks, n, tokens, phrases, limit, allowed).best
+    keys = [f"{r}:{s}:{i:010d}" for r, s, i in zip(*(best.column(c).to_pylist() for c in ("resource_id", "snapshot_id", "chunk_index")), strict=True)]
+    found = best.append_column("chunk_key", pa.array(keys, pa.string())).select(["resource_id", "snapshot_id", "chunk_key", "score"])
+    return found.sort_by([("score", "descending"), ("chunk_key", "ascending")])
+
+
+def numbered(rows: pa.Table, name: str) -> pa.Table:
+    """rows, bounded by a limit, with their number from 1 on."""
+    return rows.append_column(name, pa.array(range(1, rows.num_rows + 1), pa.int32()))
+
+
+def among(column: str, values: list[str]) -> Column:
+    """Whether a column has one of some hundred values at most; in the text of one expression, which is built at once."""
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(f"`{column}` IN ({', '.join(map(quoted, values))})") if values else F.lit(False)
 
 
 def top(scored: DataFrame, limit: int, rank: str) -> DataFrame:
@@ -105,7 +106,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def cosine_scores(vectors: DataFrame, query: list[float]) -> DataFrame:
     q = F.array(*[F.lit(float(v)) for v in query])
-    return vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("chunk_key", F.round(cosine(F.col("embedding"), q), 6).alias("score"))
+    keys = [c for c in ("resource_id", "snapshot_id", "chunk_key") if c in vectors.columns]
+    return vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(*keys, F.round(cosine(F.col("embedding"), q), 6).alias("score"))
 
 
 def fuse(lexical: DataFrame, vector: DataFrame | None) -> DataFrame:
@@ -215,10 +217,13 @@ def results(items: DataFrame) -> DataFrame:
     return items.groupBy(*group).agg(sections.alias("matched_section_indexes"), F.sort_array(F.collect_list(item)).alias("evidence"))
 
 
-def search(chunks: DataFrame, terms: list[str], phrases: list[list[str]], vector: list[float] | None, allowed: DataFrame, top_k: int = TOP_K, budget: int = BUDGET, early: bool = False, debug: bool = False, index: DataFrame | None = None) -> DataFrame:
+def search(
+    chunks: DataFrame, terms: list[str], phrases: list[list[str]], vector: list[float] | None, allowed: DataFrame, top_k: int = TOP_K, budget: int = BUDGET, early: bool = False, debug: bool = False,
+    index: DataFrame | None = None, stats: tuple[int, int] | None = None,
+) -> DataFrame:
     """Evidence rows for a question over indexed chunks (with tokens and, for a vector, embedding).
 
-    index: their stored postings; without them the chunks' tokens are searched.
+    index: their blocks, and stats: the number of chunks and of their tokens; without them the chunks are inverted first.
     allowed: resource_id of what the question may reach. Vectors are scoped before they are ranked; lexical hits after
     the candidate limit, or before it with early. BM25 statistics are always those of the whole index.
 
@@ -226,23 +231,30 @@ def search(chunks: DataFrame, terms: list[str], phrases: list[list[str]], vector
     and the chosen groups (top_k), and names them to the scans that fetch their rows; the rest is lazy.
     """
     limit = candidate_limit(top_k)
-    reached = chunks.join(allowed.select("resource_id").distinct(), "resource_id", "left_semi")
-    scored = bm25_of(chunks.select("chunk_key", "tokens"), phrases) if index is None else bm25(index, chunks.select(F.col("n_tokens").alias("d")), phrases)
-    if early:
-        lexical, found = held(top(scored.join(reached.select("chunk_key"), "chunk_key", "left_semi"), limit, "lexical_rank"))
-    else:
-        first, found = held(top(scored, limit, "lm_rank"))
-        named = reached.filter(F.col("chunk_key").isin(found["chunk_key"])).select("chunk_key")  # as many as first, at most
-        late = first.join(F.broadcast(named), "chunk_key", "left_semi")
-        lexical, found = held(late.withColumn("lexical_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("lm_rank"))).drop("lm_rank"))
-    near, also = (None, {"chunk_key": []}) if vector is None else held(top(cosine_scores(reached.select("chunk_key", "embedding"), vector), limit, "vector_rank"))
-    fused = fuse(lexical, near)
-    keys = sorted({*found["chunk_key"], *also["chunk_key"]})
-    facts = chunks.select("chunk_key", "resource_id", "snapshot_id", "url", "label", "chunk_index", "heading_path", "plain_text").filter(F.col("chunk_key").isin(keys))
-    candidates = with_prior(facts.join(F.broadcast(fused), "chunk_key"))  # two candidate limits of rows
+    if index is None or stats is None:
+        index = stored(invert(chunks))
+        got = chunks.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+        stats = (got[0], got[1])
+    spark, reach = chunks.sparkSession, allowed.select("resource_id").distinct()
+    hits = lexical_hits(index, *stats, phrases, limit, reach if early else None)
+    if not early:
+        found = hits.column("resource_id").unique().to_pylist()
+        ids = reach.filter(among("resource_id", found)).toArrow().column("resource_id")  # as many as hits, at most
+        hits = hits.filter(pc.is_in(hits.column("resource_id"), value_set=ids.combine_chunks()))
+    lexical = numbered(hits, "lexical_rank")
+    of = {c: lexical.column(c).unique().to_pylist() for c in ("resource_id", "snapshot_id", "chunk_key")}
+    near = None
+    if vector is not None:
+        reached = chunks.join(reach, "resource_id", "left_semi")
+        near, also = held(top(cosine_scores(reached.select("resource_id", "snapshot_id", "chunk_key", "embedding"), vector), limit, "vector_rank"))
+        of = {c: sorted({*of[c], *also[c]}) for c in of}
+    named = reduce(lambda x, y: x & y, [among(c, v) for c, v in of.items()])  # the partitions that the keys are in, and the keys
+    facts = chunks.select("chunk_key", "resource_id", "snapshot_id", "url", "label", "chunk_index", "heading_path", "plain_text").filter(named)
+    candidates = with_prior(facts.join(F.broadcast(fuse(spark.createDataFrame(lexical), near)), "chunk_key"))  # two candidate limits of rows
     counted = candidates.withColumn("overlap", overlap(terms, F.col("label"), F.col("heading_path"), F.col("plain_text")))
-    best, _ = held(anchors(counted.drop("label", "heading_path", "plain_text")))
-    chosen, of = held(groups(best, top_k))
-    beside = chunks.filter(reduce(lambda x, y: x & y, [F.col(c).isin(of[c]) for c in ("resource_id", "snapshot_id", "url")]))
+    few, _ = held(counted.drop("label", "heading_path", "plain_text"))
+    best, _ = held(anchors(few.coalesce(1)))  # in one partition, a few hundred rows need no shuffle
+    chosen, of = held(groups(best.coalesce(1), top_k))
+    beside = chunks.filter(reduce(lambda x, y: x & y, [among(c, of[c]) for c in ("resource_id", "snapshot_id", "url")]))
     kept = within_budget(context(chosen, beside), budget)
     return evidence_items(kept.select("rank", "resource_id", "snapshot_id", "url", "label", "group_score", "anchor_chunks", "chunk_index", "evidence", "content"), best, beside, debug)

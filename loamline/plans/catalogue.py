@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, markdown, text, urls
-from ..operators import catalog, chunking, crawl, evaluation, retrieval
+from ..operators import catalog, chunking, crawl, evaluation, inverted, retrieval
+from ..operators.checkpoints import ensure_checkpoints, stored
 from ..operators.numbering import running_total
 
 QUESTION = "Which ones are Licensed under CC BY-NC 4.0? pathetic loser, and the worthless"
@@ -19,19 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Loops need a checkpoint folder. Where the session names none a local one gets a temporary folder; on a cluster
-    that is an error, as executors would not see it."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local") or sc.master.startswith("local-cluster") and not named:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loamline-"))
-
-
 # ---- corpus -------------------------------------------------------------------------------------------------------
 
 
@@ -51,12 +39,6 @@ def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once: the chunk table and its tokens are an index, which every later step reads."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint()
-
-
 def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(chunking.chunk_pages(corpus_pages(spark, sf_dir)))
 
@@ -230,6 +212,37 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
+#: Damaged pages that hold a page's number, {i}, the text nodes that a browser's tree has, and the links.
+DAMAGED = [
+    ("<title>t {i}</title><p>a {i}<p>b<div>c</p>d", ["a {i}", "b", "c", "d"], []),
+    ("<table><tr><td>in {i}</td></tr>out<a href=/o{i}>o</a></table>after", ["out", "o", "in {i}", "after"], ["/o{i}"]),
+    ("x<table>y<tr>z {i}<td>c<table><td>d</table>e</table>f", ["xyz {i}", "c", "d", "e", "f"], []),
+    ("a</foo>b{i}</p>c<body>d</html>e<!-- f -->g", ["ab{i}", "cde", "g"], []),
+    ("<textarea>\n<b>{i}</b> &lt;</textarea><script>'</p>{i}'</script><noscript><i>n</noscript>", ["<b>{i}</b> <", "'</p>{i}'", "<i>n"], []),
+    ("<a href=1>x<a href='2{i}'>y</a><div href=3><a HREF=\"/4&amp;5?q\" href=6>{i}</div><a name=z>", ["x", "y", "{i}"], ["/1", "/2{i}", "/4&5"]),
+    ("<head><style>p{{}}</style></head> <ul><li>1<li>{i}<ul><li>3</ul></li></ul><dl><dt>4<dd>5", ["1", "{i}", "3", "4", "5"], []),
+    ("<select><option>a<option>b<div>{i}</select><h1>c<h2>d</h3>e<b>f<p>g</b>h", ["a", "b{i}", "c", "d", "e", "f", "g", "h"], []),
+    ("<template>no {i}</template><p title='a>b'>{i} < 3 &copy;&notin; <", ["{i} < 3 \u00a9\u2209 <"], []),
+    ("<!DOCTYPE html><html><head><title>only {i}", ["<!DOCTYPE html><html><head><title>only {i}"], []),
+]
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.array(*[F.lit(body.replace("{{", "{").replace("}}", "}")) for body, *_ in DAMAGED])
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(given).alias("page", "body"))
+    return rows.withColumn("body", F.replace("body", F.lit("{i}"), F.col("page_id").cast("string")))
+
+
+def html_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of pages with missing, stray and misplaced tags, as a browser's tree has it."""
+    return _damaged(spark, sf_dir).select("page_id", "page", html.html_to_text(F.col("body")).alias("text"))
+
+
+def damaged_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = html.html_links(F.col("body"), F.lit("https://docs.example/x"))
+    return _damaged(spark, sf_dir).select("page_id", "page", F.posexplode(links).alias("pos", "link"))
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.posexplode(html.page_links(F.col("html"), F.col("url"))).alias("pos", "link"))
@@ -281,11 +294,8 @@ SELECT 'p' || lpad(i::VARCHAR, 10, '0') AS url, level, page_order FROM o"""
 
 # ---- Markdown -----------------------------------------------------------------------------------------------------
 
-PLAIN_TURN = r"(?m)^\s*(?:[#>`~=|]|[-*+]|\d+[.)]\s)|[*_`\[\]<>~\\&]"
-
-
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").filter(~F.col("text").rlike(PLAIN_TURN) & (F.trim("text") != ""))
+    return table(spark, sf_dir, "conversations")
 
 
 def notes(spark: SparkSession, sf_dir: str, numbered: bool) -> DataFrame:
@@ -315,7 +325,31 @@ def md_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("page_id", "section_index", F.array_join("heading_path", " > ").alias("path"), "level", "anchor", "plain_text")
 
 
-TURNS_CTE = r"t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations WHERE NOT regexp_matches(text, '" + PLAIN_TURN.replace("(?m)", "") + r"', 'm') AND trim(text) <> '')"
+#: Sources that hold a page's number, {i}, and their sections: level, path, anchor and plain text.
+CONTAINERS = [
+    ("# A {i}\n1) one\n   - two {i}\n     # deep\n     three", [(1, "A {i}", "a-{i}", "A {i} one two {i}"), (1, "deep", "deep", "deep three")]),
+    ("a\\\n{i} [b](u(v)w) [c]({i} d)", [(0, "", None, "a {i} b [ c ] ({i} d)")]),
+    ("> quote\nlazy {i}\n===", [(0, "", None, "quote lazy {i} ===")]),
+    ("[a]: http://x\n[b {i}]:\n  <y z>\n  'title'\n\n[a] ![B  {i}] [c] [d][a]", [(0, "", None, "a B {i} [ c ] d")]),
+    ("***a** {i}* b*c*d __e__ f_g_h ~~i~~ *j [k*](l)", [(0, "", None, "a {i} b c d e f_g_h i * j k *")]),
+    ("-\t# tab {i}\n\n\tpara\n- x\n\n      code {i}\ny\n\n-\n\n  z", [(0, "", None, ""), (1, "tab {i}", "tab-{i}", "tab {i} para x code {i} y z")]),
+    ("> 1. > ## in {i}\n>    > p\n>    q\n\nr", [(0, "", None, ""), (2, "in {i}", "in-{i}", "in {i} p q r")]),
+    ("| a | b\\|c |\n|:-|-:|\n| {i} |\n| `d` | e | f |\n> g", [(0, "", None, "a b|c {i} d e g")]),
+    ("`` a ` {i} `` <b c='>'>d</b> <!-- e\n--> <ff:{i}> &copy;&#65;&g; \\& h", [(0, "", None, "a ` {i} d ff:{i} \u00a9 A &g; & h")]),
+    ("<script>\n\n# a\n</script>\n<x y=z>\n# b\n\n# c {i}\n<x>\n# d", [(0, "", None, ""), (1, "c {i}", "c-{i}", "c {i}")]),
+    ("~~~ `\n# a {i}\n  ~~~~\n## b ##\n\tcode\n- - -\nt", [(0, "", None, "# a {i}"), (2, "b", "b", "b code t")]),
+]
+
+
+def md_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of sources in which containers, delimiters, definitions and raw HTML meet; each holds the page's number."""
+    given = F.array(*[F.lit(source) for source, _ in CONTAINERS])
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(given).alias("source", "markdown"))
+    s = rows.select("page_id", "source", F.inline(markdown.section_markdown(F.replace("markdown", F.lit("{i}"), F.col("page_id").cast("string")))))
+    return s.select("page_id", "source", "section_index", F.array_join("heading_path", " > ").alias("path"), "level", "anchor", "plain_text")
+
+
+TURNS_CTE = "t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations)"
 
 # ---- catalog and summaries ----------------------------------------------------------------------------------------
 
@@ -445,12 +479,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scores of bm25_topk, from stored postings."""
+    """The scores of bm25_topk, from the blocks of a stored index; ranges of chunks that cannot matter are not decoded."""
     chunks = corpus_chunks(spark, sf_dir)
     tokens = corpus_tokens(chunks)
-    index = stored(retrieval.postings(tokens.join(chunks.select("chunk_key", "resource_id", "snapshot_id"), "chunk_key")))
-    scored = retrieval.bm25(index, tokens.select(F.size("tokens").alias("d")), retrieval.phrases_of(TERMS, spark))
-    return retrieval.top(scored, retrieval.candidate_limit(retrieval.TOP_K), "lexical_rank")
+    blocks = stored(inverted.invert(tokens.join(chunks.select("chunk_key", "resource_id", "snapshot_id", "chunk_index"), "chunk_key")))
+    n, total = tokens.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    limit = retrieval.candidate_limit(retrieval.TOP_K)
+    hits = retrieval.numbered(retrieval.lexical_hits(blocks, n, total, retrieval.phrases_of(TERMS, spark), limit), "lexical_rank")
+    return spark.createDataFrame(hits.select(["chunk_key", "score", "lexical_rank"]))
 
 
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,10 +534,15 @@ def catalogue_sql(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{select}"
 
 
+def _page_text(template: str | None) -> str:
+    """A text that holds a page's number, as SQL over pages."""
+    return "NULL" if template is None else "replace('" + template.replace("'", "''") + "', '{i}', page_id::VARCHAR)"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        agent_query, input_classify, url_canonical, llms_candidates, html_sniff, html_to_text, page_links, text_links, link_scope, crawl_bfs, crawl_bfs_capped, md_sections, md_anchor, md_markup,
+        agent_query, input_classify, url_canonical, llms_candidates, html_sniff, html_to_text, html_damaged, damaged_links, page_links, text_links, link_scope, crawl_bfs, crawl_bfs_capped, md_sections, md_anchor, md_markup, md_containers,
         snapshot_hash, catalog_list, update_changed, update_noop, catalog_upsert, remove_cascade, target_lookup, trusted_resolve, percentiles, stress_summary, slowest,
         status_classify, must_include, resource_ids, chunk_number, search_content, tokenize_query, fts_fold_tokens, bm25_stats, bm25_topk, bm25_postings, bm25_phrase,
         scope_post_limit, scope_pre_limit, cosine_topk, rrf_fuse, anchor_rows, top_groups,
@@ -512,7 +553,8 @@ _BM25 = _bm25_cte(PHRASES)
 _TEXT_OF = r"""replace(replace(replace(replace({}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"""
 _BODY = r"regexp_replace(regexp_replace(regexp_replace(html, '^.*?</head>', '', 's'), '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs')"
 _HREFS = r"""p AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS origin, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages),
-l AS (SELECT page_id, url, list_transform(hrefs, lambda h: regexp_replace(origin || h, '[?#].*$', '')) AS links FROM p)"""
+l AS (SELECT page_id, url, list_transform(hrefs, lambda h: array_to_string(list_transform(string_split(regexp_replace(origin || h, '[?#].*$', ''), ''),
+  lambda c: CASE WHEN unicode(c) > 127 THEN url_encode(c) ELSE c END), '')) AS links FROM p)"""
 ORACLES: dict[str, str] = {
     "agent_query": catalogue_sql(_BM25 + VECTOR_CTE + ANCHOR_CTE, "SELECT e.rank, e.url, g.group_score, c.label, e.chunk_index, e.evidence, e.content, b.total AS tokens_so_far, 'rrf_hybrid' AS retrieval_mode FROM ev e JOIN bud b USING (rank) JOIN topg g ON g.rank = e.rank JOIN (SELECT DISTINCT url, label FROM chunks) c ON c.url = e.url WHERE e.rank = 1 OR b.total <= 20000"),
     "input_classify": catalogue_sql(PARTS_CTE, r"""
@@ -520,10 +562,10 @@ SELECT url, CASE WHEN scheme IN ('http', 'https') AND host = 'github.com' THEN C
   WHEN scheme IN ('http', 'https') AND host IN ('arxiv.org', 'www.arxiv.org') THEN CASE WHEN regexp_matches(path, '^/(abs|html|pdf)/[A-Za-z0-9./_-]+$') THEN 'research_paper' END
   WHEN scheme IN ('http', 'https') THEN 'docs' WHEN scheme = 'file' THEN 'notes' END AS kind,
   CASE WHEN path LIKE '/pdf/%' THEN regexp_replace(regexp_extract(path, '^/(?:abs|html|pdf)/([A-Za-z0-9./_-]+)$', 1), '\.pdf$', '') ELSE regexp_extract(path, '^/(?:abs|html|pdf)/([A-Za-z0-9./_-]+)$', 1) END AS paper_id FROM parts"""),
-    "url_canonical": catalogue_sql(PARTS_CTE, r"""
-SELECT url, CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+$') THEN regexp_replace(url, '[?#].*$', '') || '/' ELSE regexp_replace(url, '[?#].*$', '') END AS canonical,
-  translate(regexp_replace(host, '^www\.', ''), '.:', '--') AS label, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') LIKE '%/llms.txt' AS llms,
-  regexp_matches(lower(path), '\.(png|jpg|jpeg|gif|webp|svg|ico|css|js|mjs|map|pdf|zip|tar|gz|mp4|webm|woff|woff2|ttf)$') AS asset FROM parts"""),
+    "url_canonical": catalogue_sql(PARTS_CTE + r""", b AS (SELECT *, regexp_replace(url, '[?#].*$', '') AS bare FROM parts)""", r"""
+SELECT url, CASE WHEN regexp_matches(bare, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN lower(regexp_extract(bare, '^[^/]*//[^/]*')) || path ELSE bare END AS canonical,
+  translate(regexp_replace(host, '^www\.', ''), '.:', '--') AS label, regexp_replace(bare, '/+$', '') LIKE '%/llms.txt' AS llms,
+  regexp_matches(lower(path), '\.(png|jpg|jpeg|gif|webp|svg|ico|css|js|mjs|map|pdf|zip|tar|gz|mp4|webm|woff|woff2|ttf)$') AS asset FROM b"""),
     "llms_candidates": r"""
 WITH b AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o FROM pages),
 c AS (SELECT page_id, [regexp_replace(u, '/+$', '') || '/llms.txt', CASE WHEN u = o THEN o || '/llms.txt' ELSE regexp_replace(u, '[^/]*$', '') || 'llms.txt' END, o || '/llms.txt'] AS c FROM b),
@@ -531,6 +573,12 @@ e AS (SELECT page_id, unnest(c) AS candidate, unnest([1, 2, 3]) AS i FROM c), f
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, candidate FROM f""",
     "html_sniff": "SELECT page_id, page_id % 3 <> 0 AS is_html FROM pages",
     "html_to_text": "WITH t AS (SELECT page_id, list_filter(list_transform(string_split_regex(" + _BODY + ", '<[^>]*>'), lambda x: trim(" + _TEXT_OF.format("x") + ", ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') AS x FROM pages) SELECT page_id, array_to_string(x, chr(10)) || chr(10) AS text FROM t",
+    "html_damaged": " UNION ALL ".join(
+        f"SELECT page_id, {n} AS page, {_page_text(chr(10).join(texts) + chr(10) * (not texts[0].startswith('<!')))} AS text FROM pages" for n, (_, texts, _) in enumerate(DAMAGED)
+    ),
+    "damaged_links": " UNION ALL ".join(
+        f"SELECT page_id, {n} AS page, {k} AS pos, {_page_text('https://docs.example' + link)} AS link FROM pages" for n, (*_, links) in enumerate(DAMAGED) for k, link in enumerate(links)
+    ),
     "page_links": "WITH " + _HREFS + ", e AS (SELECT page_id, unnest(links) AS link, generate_subscripts(links, 1) AS i FROM l), f AS (SELECT page_id, link, min(i) AS i FROM e GROUP BY ALL) SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, link FROM f",
     "text_links": """SELECT page_id, unnest([0, 1, 2, 3, 4, 5])::INT AS pos, unnest(['https://docs.example/guide/v1/' || page_id || '.md', 'https://docs.example/guide/up/' || page_id,
   'https://docs.example/root/' || page_id, 'https://other.example/' || page_id, 'https://docs.example/guide/v1/p' || page_id, 'http://bare.example/']) AS link FROM pages""",
@@ -539,15 +587,19 @@ r AS (SELECT *, regexp_extract(seed, '^([a-z]+://[^/]*)', 1) AS o, regexp_replac
 SELECT page_id, link, (starts_with(path, root) OR path = rtrim(root, '/')) AND NOT regexp_matches(lower(path), '\.(png|jpg|jpeg|gif|webp|svg|ico|css|js|mjs|map|pdf|zip|tar|gz|mp4|webm|woff|woff2|ttf)$') AS in_scope FROM r""",
     "crawl_bfs": BFS_SQL,
     "crawl_bfs_capped": BFS_SQL + f" WHERE page_order < {MAX_PAGES}",
-    "md_sections": "WITH " + TURNS_CTE + r""", s AS (SELECT DISTINCT conv_id, k FROM t), b AS (SELECT *, '## ' || turn || ' ' || role || chr(10) || chr(10) || trim(text, ' ' || chr(10)) AS md FROM t)
+    "md_sections": "WITH " + TURNS_CTE + r""", s AS (SELECT DISTINCT conv_id, k FROM t), b AS (SELECT *, rtrim('## ' || turn || ' ' || role || chr(10) || chr(10) || text, ' ' || chr(10)) AS md FROM t)
 SELECT conv_id, 0 AS section_index, 'Conversation ' || conv_id AS path, 1 AS level, NULL::INT AS parent, NULL::INT AS previous, 1 AS next, 'conversation-' || conv_id AS anchor, 'Conversation ' || conv_id AS plain_text, sha256('# Conversation ' || conv_id) AS content_hash FROM s
 UNION ALL SELECT conv_id, n, 'Conversation ' || conv_id || ' > ' || turn || ' ' || role, 2, 0, n - 1, CASE WHEN n < k THEN n + 1 END, turn || '-' || role, trim(regexp_replace(turn || ' ' || role || ' ' || text, '\s+', ' ', 'g')), sha256(md) FROM b""",
     "md_anchor": "WITH " + TURNS_CTE + """, s AS (SELECT DISTINCT conv_id FROM t), r AS (SELECT conv_id, n, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY n) AS m FROM t)
 SELECT conv_id, 0 AS section_index, 'conversation-' || conv_id AS anchor FROM s UNION ALL SELECT conv_id, n, CASE WHEN m = 1 THEN role ELSE role || '-' || m END FROM r""",
     "md_markup": """SELECT page_id, unnest([0, 1, 2, 3]) AS section_index, unnest(['', 'Quoted ' || page_id, 'Two lines ' || page_id, 'Item ' || page_id]) AS path,
   unnest([0, 1, 1, 1]) AS level, unnest([NULL, 'quoted-' || page_id, 'two-lines-' || page_id, 'item-' || page_id]) AS anchor,
-  unnest(['Intro ' || page_id || ' & more a&amp;b', 'Quoted ' || page_id || ' said so *here* a ' || page_id || ' b c d', 'Two lines ' || page_id || ' # code ' || page_id || ' # fenced',
-    'Item ' || page_id || ' one <' || page_id || '> bold last word snake_case_' || page_id]) AS plain_text FROM pages""",
+  unnest(['Intro ' || page_id || ' & more a&amp;b', 'Quoted ' || page_id || ' said so *here * a ' || page_id || ' b c d', 'Two lines ' || page_id || ' # code ' || page_id || ' # fenced',
+    'Item ' || page_id || ' one < ' || page_id || ' > bold last word snake_case_' || page_id]) AS plain_text FROM pages""",
+    "md_containers": " UNION ALL ".join(
+        f"SELECT page_id, {n} AS source, {k} AS section_index, {_page_text(path)} AS path, {level} AS level, {_page_text(anchor)} AS anchor, {_page_text(plain)} AS plain_text FROM pages"
+        for n, (_, found) in enumerate(CONTAINERS) for k, (level, path, anchor, plain) in enumerate(found)
+    ),
     "snapshot_hash": catalogue_sql(HASH_CTE, "SELECT resource_id, snapshot_id, page_count, content_hash FROM snaps"),
     "catalog_list": catalogue_sql(HASH_CTE, "SELECT id, label, kind, url, current, count(snapshot_id) AS snapshots, max(CASE WHEN snapshot_id = current THEN page_count END) AS page_count, max(CASE WHEN snapshot_id = current THEN content_hash END) AS content_hash FROM res LEFT JOIN snaps ON id = resource_id GROUP BY ALL"),
     "update_changed": catalogue_sql(HASH_CTE, "SELECT a.resource_id, a.content_hash, a.content_hash <> b.content_hash AS changed FROM snaps a JOIN snaps b USING (resource_id) WHERE a.snapshot_id = 's1' AND b.snapshot_id = 's0'"),

@@ -41,7 +41,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(i % 10 == 3, "failed").when(i % 10 == 7, "timeout").otherwise("ok")
     return c.table(spark, sf_dir, "events").select(
         i.alias("index"), status.alias("status"), F.col("value").alias("elapsed_s"), (i % 10).alias("exit_code"), "event_type", F.concat(F.lit("/"), F.col("event_type"), F.lit("/"), i.cast("string")).alias("library_id"),
-        F.when(i % 5 != 0, (i % 997) * MIB).alias("max_rss_bytes"), (i * 1000).alias("ctx_home_bytes"), (i % 8).alias("page_count"), (i % 50).alias("chunk_count"),
+        F.when(i % 5 != 0, (i % 997) * MIB).alias("max_rss_bytes"), (i * 1000).alias("home_bytes"), (i % 8).alias("page_count"), (i % 50).alias("chunk_count"),
     )
 
 
@@ -98,7 +98,7 @@ _RUNS = f"""WITH r AS (SELECT event_id AS i, CASE WHEN event_id % 10 = 3 THEN 'f
   CASE WHEN event_id % 5 <> 0 THEN (event_id % 997) * {MIB} END AS rss, event_id * 1000 AS home FROM events)
 """
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
-_PAGE = "'<!doctype html><html><body><main><h1>' || {0} || '</h1><ul>' || {1} || '</ul><article><pre>' || " + _ESC.format("{2}") + " || '</pre></article></main></body></html>'"
+_PAGE = "'<html><title>' || {0} || '</title><h2>' || {0} || '</h2><div>' || " + _ESC.format("{2}") + " || '</div><footer>' || {1} || '</footer></html>'"
 _CASES = """WITH k AS (SELECT item_id, printf('case-%05d', item_id) AS id, 'Lib_' || (item_id % 3)::VARCHAR AS library, 'lib-' || (item_id % 3)::VARCHAR AS slug, text,
   CASE WHEN item_id % 4 <> 1 THEN array_to_string(string_split(text, ' ')[1:3], ' ') ELSE '' END AS summary FROM benchmark)
 """
@@ -125,7 +125,7 @@ SELECT place, lib AS library_id, 'https://h.example' || lib AS url, CASE WHEN ph
     + "noise AS (SELECT library, slug, unnest(range(" + str(NOISE) + f")) AS j FROM links), topics AS (SELECT unnest({list(TOPICS)}) AS t),\n"
     + "drawn AS (SELECT library, slug, j, string_agg(t, ' ' ORDER BY md5(library || '/' || j::VARCHAR || '/' || t)) AS said FROM noise, topics GROUP BY ALL),\n"
     + "b AS (SELECT slug || '/cases/' || id || '.html' AS path, " + _PAGE.format("id", "''", "'Source: https://s.example/?a=1&b=' || item_id::VARCHAR || chr(10) || chr(10) || text") + " AS body FROM k\n"
-    + "UNION ALL SELECT slug || '/index.html', " + _PAGE.format("library || ' index'", """array_to_string(list_transform(l, lambda u: '<li><a href="' || u || '">' || u || '</a></li>'), '')""", "'The pages of ' || library || '.'") + " FROM links\n"
+    + "UNION ALL SELECT slug || '/index.html', " + _PAGE.format("library || ' index'", """array_to_string(list_transform(l, lambda u: '<a href=''' || u || '''>' || u || '</a> '), '')""", "'The pages of ' || library || '.'") + " FROM links\n"
     + "UNION ALL SELECT slug || '/llms.txt', '# ' || library || chr(10) || chr(10) || lines FROM links\n"
     + "UNION ALL SELECT slug || printf('/noise/noise-%03d.html', j), " + _PAGE.format("library || ' noise ' || j::VARCHAR", "''", "'Noise of ' || library || ' about ' || said || '.'") + " FROM drawn)\n"
     + "SELECT path, sha256(body) AS body_hash FROM b",

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import json
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.embedding import Embedder, passage_vectors
 from ..functions.text import index_tokens
-from ..operators import catalog, chunking, retrieval
+from ..operators import catalog, chunking, inverted
 from .files import RESOURCE, Files
 
 SNAPSHOT = "resource_id string, snapshot_id string, kind string, source_url string, content_hash string, fetched_at string, page_count long, extra string"
@@ -27,10 +26,13 @@ CHUNKS = (
     "heading_path array<string>, heading_level int, parent_section_index int, previous_section_index int, next_section_index int, anchor string, tokens array<string>, n_tokens int, embedding array<float>, "
     "resource_id string, snapshot_id string"
 )
-POSTINGS = "term string, chunk_key string, d int, positions array<int>, resource_id string, snapshot_id string"
+POSTINGS = f"{inverted.BLOCKS.removeprefix('resource_id string, snapshot_id string, ')}, resource_id string, snapshot_id string"
+STATS = "resource_id string, snapshot_id string, n long, tokens long, version long"
 DYNAMIC = {"partitionOverwriteMode": "dynamic"}
+#: Parquet's second format codes integers as differences, in nested columns, too.
+DELTA = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
 #: The version of the store's layout, which signed stores state.
-LAYOUT, SIGNATURE = "1.1.0", "store.json"
+LAYOUT, SIGNATURE = "1.2.0", "store.json"
 
 
 class Table:
@@ -66,6 +68,7 @@ class Store:
         self.spark, self.home, self.embedder, self.files = spark, home.rstrip("/"), embedder, Files(spark)
         self.resources = Table(spark, f"{self.home}/resources", RESOURCE)
         self.snapshots = Table(spark, f"{self.home}/snapshots", SNAPSHOT)
+        self.stats = Table(spark, f"{self.home}/stats", STATS)
 
     def _read(self, name: str, schema: str) -> DataFrame:
         at = f"{self.home}/{name}"
@@ -107,17 +110,32 @@ class Store:
         pages.select(*self.pages().columns).write.partitionBy("resource_id", "snapshot_id", "batch").options(**DYNAMIC).mode("overwrite").parquet(f"{self.home}/pages")
 
     def index(self, pages: DataFrame) -> None:
-        """Replaces the chunks of the snapshots that pages has whole, and their postings: sorted by term, so that a
-        question's words are found by the statistics of row groups."""
+        """Replaces the chunks of the snapshots that pages has whole, their blocks and their statistics.
+
+        Blocks are sorted by term and range of chunks, so that a question's words are found by the statistics of row
+        groups and a frequent word's blocks are dealt to many tasks; integers are delta coded.
+        """
         chunks = chunking.page_chunks(pages.drop("batch"))
         search = chunking.search_content(F.col("label"), F.col("url"), F.col("heading_path"), F.col("plain_text"), F.col("content"))
         vector = passage_vectors(search, self.embedder) if self.embedder else F.lit(None).cast("array<float>")
         rows = chunks.withColumn("tokens", index_tokens(search)).withColumn("n_tokens", F.size("tokens")).withColumn("embedding", vector)
-        touched = [r.asDict() for r in pages.select("resource_id", "snapshot_id").distinct().collect()]  # the snapshots of one command or micro-batch
+        touched = pages.select("resource_id", "snapshot_id").distinct().toArrow()  # the snapshots of one command or micro-batch
         rows.select(*self.chunks().columns).write.partitionBy("resource_id", "snapshot_id").options(**DYNAMIC).mode("overwrite").parquet(f"{self.home}/chunks")
-        written = reduce(lambda a, b: a | b, [(F.col("resource_id") == t["resource_id"]) & (F.col("snapshot_id") == t["snapshot_id"]) for t in touched], F.lit(False))
-        index = retrieval.postings(self.chunks().filter(written)).repartitionByRange("resource_id", "snapshot_id", "term").sortWithinPartitions("resource_id", "snapshot_id", "term")
-        index.select(*self.postings().columns).write.partitionBy("resource_id", "snapshot_id").options(**DYNAMIC).mode("overwrite").parquet(f"{self.home}/postings")
+        named = self.spark.createDataFrame(touched, "resource_id string, snapshot_id string")
+        ids = touched.column("resource_id").unique().to_pylist()
+        written = self.chunks().filter(F.col("resource_id").isin(ids)).join(named, ["resource_id", "snapshot_id"], "left_semi")
+        blocks = inverted.invert(written).repartitionByRange("resource_id", "snapshot_id", "term", "block").sortWithinPartitions("resource_id", "snapshot_id", "term", "block")
+        blocks.select(*self.postings().columns).write.partitionBy("resource_id", "snapshot_id").options(**DYNAMIC, **DELTA).mode("overwrite").parquet(f"{self.home}/postings")
+        facts = written.groupBy("resource_id", "snapshot_id").agg(F.count("*").alias("n"), F.sum("n_tokens").cast("long").alias("tokens"))
+        none = named.withColumn("n", F.lit(0).cast("long")).withColumn("tokens", F.lit(0).cast("long")).join(facts, ["resource_id", "snapshot_id"], "left_anti")
+        self.stats.upsert(facts.unionByName(none).withColumn("version", F.lit(0).cast("long")), ["resource_id", "snapshot_id"], "version")
+
+    def statistics(self, current: DataFrame | None = None) -> tuple[int, int]:
+        """The number of indexed chunks and of their tokens, of all snapshots or of those in current; no chunk is read."""
+        rows = self.stats.read()
+        rows = rows if current is None else rows.join(current, ["resource_id", "snapshot_id"], "left_semi")
+        got = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+        return got[0], got[1]
 
     def snapshot_pages(self, resource_id: str, snapshot_id: str) -> DataFrame:
         return self.pages().filter((F.col("resource_id") == resource_id) & (F.col("snapshot_id") == snapshot_id))
@@ -131,6 +149,7 @@ class Store:
         counts = {"chunks": self.chunks().filter(of).count(), "snapshots": self.snapshots.read().filter(of).count(), "pages": self.pages().filter(of).count() if prune else 0}
         self.resources.replace(self.resources.read().filter(F.col("id") != resource_id))
         self.snapshots.replace(self.snapshots.read().filter(~of))
+        self.stats.replace(self.stats.read().filter(~of))
         for name in ("chunks", "postings", "pages") if prune else ("chunks", "postings"):
             self.files.delete(f"{self.home}/{name}/resource_id={resource_id}")
         return counts

@@ -80,7 +80,7 @@ def test_registries_export_and_health(spark, tmp_path):
     assert engine.doctor()["layout"]["status"] == "metadata_invalid"
 
 
-RUN = "index long, status string, elapsed_s double, exit_code long, library_id string, max_rss_bytes long, ctx_home_bytes long, page_count long, chunk_count long"
+RUN = "index long, status string, elapsed_s double, exit_code long, library_id string, max_rss_bytes long, home_bytes long, page_count long, chunk_count long"
 
 
 def test_ingest_report(spark):
