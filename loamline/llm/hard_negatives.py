@@ -28,8 +28,8 @@ from .vectors import best, inner, integer_vectors, matrix
 POSITIVES, NEGATIVES, LEAST, MOST, SCALE = 5, 3, 50, 95, 256
 #: Rows of a block of candidates and of a block of anchors, on average.
 BLOCK_ROWS, ANCHOR_ROWS = 4096, 1024
-#: A pivot for so many rows, and never more than MOST_PIVOTS.
-PIVOT_ROWS, MOST_PIVOTS, MOST_TASKS = 2048, 256, 20_000
+#: A pivot for so many anchors, and never more than MOST_PIVOTS: a candidate is copied once to each cell it may serve.
+PIVOT_ANCHORS, MOST_PIVOTS, MOST_TASKS = 256, 256, 20_000
 
 
 class Cells:
@@ -119,7 +119,7 @@ def _windows(dim: int, wanted: int, k: int) -> Callable:
 
 def hard_negatives(
     rows: DataFrame, anchors: Column, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", positives: int = POSITIVES, negatives: int = NEGATIVES, least: int = LEAST, most: int = MOST,
-    scale: int = SCALE, block_rows: int = BLOCK_ROWS, anchor_rows: int = ANCHOR_ROWS, pivot_rows: int = PIVOT_ROWS,
+    scale: int = SCALE, block_rows: int = BLOCK_ROWS, anchor_rows: int = ANCHOR_ROWS, pivot_anchors: int = PIVOT_ANCHORS,
 ) -> DataFrame:
     """anchor_id, positive_id, rank (from 1), negative_id, positive_score and negative_score.
 
@@ -136,15 +136,15 @@ def hard_negatives(
     label = F.col(f"`{label_col}`")
     table, dim = integer_vectors(rows.filter(label.isNotNull()), id_col, vector_col, scale, {"label": label, "asks": F.coalesce(anchors, F.lit(False))})
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    n, longest = table.agg(F.count("*"), F.coalesce(F.max(square), F.lit(0.0))).first()
-    wanted = min(MOST_PIVOTS, max(4, -(-n // pivot_rows)))
+    n, asking, longest = table.agg(F.count("*"), F.count_if("asks"), F.coalesce(F.max(square), F.lit(0.0))).first()
+    wanted = min(MOST_PIVOTS, max(4, -(-asking // pivot_anchors)))
     pivots = [r["v"] for r in table.select("v", F.xxhash64("row").alias("h")).orderBy("h").limit(wanted).collect()]  # MOST_PIVOTS at most
     cells = Cells(np.array(pivots or [[0] * dim], np.int64).reshape(-1, dim), longest)
 
     kind = table.schema["label"].dataType.simpleString()
     columns = f"row long, id long, label {kind}, v array<long>"
-    asking = table.filter("asks").select("row", "id", "label", "v")
-    asked = settled(asking.mapInArrow(_anchor_cells(cells, dim), f"{columns}, cell int, away double").withColumn("square", square))
+    seeking = table.filter("asks").select("row", "id", "label", "v")
+    asked = settled(seeking.mapInArrow(_anchor_cells(cells, dim), f"{columns}, cell int, away double").withColumn("square", square))
     others = table.select("row", "id", "label", "v")
     placed = lambda needs: others.mapInArrow(_candidates_of(cells, dim, needs), f"{columns}, cell int")
     held = {r["cell"]: r for r in asked.groupBy("cell").agg(F.count("*").alias("n"), F.min("away").alias("nearest"), F.max("away").alias("farthest")).collect()}  # a row a pivot at most
