@@ -13,7 +13,7 @@ from .functions import embedding, text, urls, versions
 from .operators import catalog, crawl, retrieval
 from .sources import fetch, files, snapshots
 from .sources.registries import Arxiv, PaperRegistry
-from .sources.store import LAYOUT, Store
+from .sources.store import LAYOUT, Root, Store, put
 
 
 class Engine:
@@ -94,8 +94,9 @@ class Engine:
             raise LookupError(f"no registry for {address}")
         return found
 
-    def _snapshot(self, row: dict, pages: DataFrame | None, max_pages: int, index: bool, force: bool) -> tuple[dict, bool]:
-        """The snapshot of a resource, and whether it differs from the current one; only then (or forced) is it kept."""
+    def _snapshot(self, row: dict, pages: DataFrame | None, max_pages: int, index: bool, force: bool) -> tuple[dict, bool, DataFrame | None]:
+        """The snapshot of a resource, whether it differs from the current one, and its rows for the statistics; only where it
+        differs, or by force, are its pages kept and indexed. Nothing of it is seen before it is published."""
         if not self.spark.sparkContext.getCheckpointDir():
             self.spark.sparkContext.setCheckpointDir(self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{self.store.home}/checkpoints")
         pages, version = self._fetched(row["kind"], row["url"], max_pages) if pages is None else (pages, None)
@@ -110,18 +111,28 @@ class Engine:
             snapshot = {"resource_id": row["id"], "snapshot_id": f"{at.replace(':', '').replace('-', '')}-{digest[:12]}", "kind": row["kind"], "source_url": row["url"], "content_hash": f"sha256:{digest}", "fetched_at": at, "page_count": found["page_count"], "extra": extra}
             known = self.store.snapshots.read().filter((F.col("resource_id") == row["id"]) & (F.col("snapshot_id") == F.lit(row.get("current")))).select("content_hash").first()
             changed = known is None or known["content_hash"] != snapshot["content_hash"]
+            indexed = None
             if changed or force:
                 kept = head.withColumn("snapshot_id", F.lit(snapshot["snapshot_id"])).withColumn("kind", F.lit(row["kind"])).withColumn("label", F.lit(row["label"])).withColumn("batch", F.lit(0).cast("long"))
                 self.store.put_pages(kept)
-                if index:
-                    self.store.index(kept)
-                self.store.snapshots.upsert(self.spark.createDataFrame([snapshot], self.store.snapshots.schema), ["resource_id", "snapshot_id"], "fetched_at")
+                indexed = self.store.index(kept) if index else None
         finally:
             self.files.delete(staged)
-        return snapshot, changed
+        return snapshot, changed, indexed
 
-    def _publish(self, row: dict) -> None:
-        self.store.resources.upsert(self.spark.createDataFrame([row], files.RESOURCE), ["id"], "updated_at")
+    def _publish(self, row: dict, snapshot: dict | None = None, indexed: DataFrame | None = None) -> None:
+        """A resource's row, and its snapshot with its index, in one commit."""
+        keys = ["resource_id", "snapshot_id"]
+
+        def change(root: Root) -> dict[str, DataFrame]:
+            out = {"resources": catalog.upsert(root.table("resources"), self.spark.createDataFrame([row], files.RESOURCE), ["id"], "updated_at")}
+            if snapshot is not None:
+                out["snapshots"] = catalog.upsert(root.table("snapshots"), self.spark.createDataFrame([snapshot], self.store.snapshots.schema), keys, "fetched_at")
+            if indexed is not None:
+                out["stats"] = put(root.table("stats"), indexed, keys)
+            return out
+
+        self.store.commit(change)
 
     # ---- commands -------------------------------------------------------------------------------------------------
 
@@ -150,12 +161,13 @@ class Engine:
         named = {"source": f"source:https://github.com/{known['repository'].removesuffix('.git')}.git:{label}", "research_paper": f"research-paper:{paper[0].name if paper else ''}:{where}:{label}"}.get(kind, f"{kind}:{where}:{label}")
         ident = self.spark.range(1).select(text.stable_id(F.lit(named)).alias("id")).first()["id"]
         row = {"id": ident, "label": label, "kind": kind, "url": where, "reason": reason, "current": pointer, "created_at": self._stamp(), "updated_at": self._stamp()}
+        snapshot, indexed = None, None
         if kind != "source":
-            snapshot, _ = self._snapshot(row, pages, max_pages, index, True)
+            snapshot, _, indexed = self._snapshot(row, pages, max_pages, index, True)
             row["current"] = snapshot["snapshot_id"]
         elif pointer is None:
             raise ValueError("a repository is added by its pointer")
-        self._publish(row)
+        self._publish(row, snapshot, indexed)
         self.store.sign()
         return row
 
@@ -164,10 +176,10 @@ class Engine:
         row, linked = self._trusted(target)
         if row["kind"] == "source":
             return {"changed": False, "resource": row, "message": "repositories stay at their pointer; add the resource with another one to move it"}
-        snapshot, changed = self._snapshot(row, pages, max_pages, True, force)
+        snapshot, changed, indexed = self._snapshot(row, pages, max_pages, True, force)
         if changed or force:
             row = row | {"current": snapshot["snapshot_id"], "updated_at": self._stamp()}
-            self._publish(row)
+            self._publish(row, snapshot, indexed)
             if linked:
                 self._put_link(row, self._project())
         return {"changed": changed, "resource": row, "snapshot": snapshot}
@@ -186,7 +198,8 @@ class Engine:
                 pages = self.store.snapshot_pages(row["id"], row["current"])
                 ready = not pages.isEmpty()
                 if ready and reindex:
-                    self.store.index(pages)
+                    indexed = self.store.index(pages)
+                    self.store.commit(lambda root, new=indexed: {"stats": put(root.table("stats"), new, ["resource_id", "snapshot_id"])})
             out.append((link["label"], link["kind"], ready, False, message))
         return self.spark.createDataFrame(out, "label string, kind string, ready boolean, rehydrated boolean, message string")
 
@@ -196,20 +209,20 @@ class Engine:
         scope: whether lexical hits are narrowed after the candidate limit (post_limit) or before (pre_limit).
         snapshots: all of them, or the current ones. An unknown label is an error; a kind without resources is not.
         """
-        manifest = self._manifest()
-        rows = self.store.resources.read()
+        manifest, root = self._manifest(), self.store.root()
+        rows = root.table("resources")
         if manifest is not None:
             rows = self.spark.createDataFrame([{k: r.get(k) for k in rows.columns} for r in manifest["resources"]], files.RESOURCE)
         allowed = catalog.queryable(rows, label, kind)
         if label is not None and allowed.isEmpty():
             raise LookupError(f"nothing that can be queried is labelled {label}")
-        chunks, index, current = self.store.chunks(), self.store.postings(), None
+        chunks, index, current = root.chunks(), root.postings(), None
         if snapshots == "current":
             current = rows.select(F.col("id").alias("resource_id"), F.col("current").alias("snapshot_id"))
             chunks, index = (df.join(current, ["resource_id", "snapshot_id"], "left_semi") for df in (chunks, index))
         terms, phrases = retrieval.read_question(question, self.spark)
         vector = embedding.query_vector(question, self.embedder) if self.embedder else None
-        found = retrieval.search(chunks, terms, phrases, vector, allowed.select(F.col("id").alias("resource_id")), top_k, budget, scope == "pre_limit", debug, index, self.store.statistics(current))
+        found = retrieval.search(chunks, terms, phrases, vector, allowed.select(F.col("id").alias("resource_id")), top_k, budget, scope == "pre_limit", debug, index, root.statistics(current))
         return retrieval.results(found) if nested else found
 
     def show(self, target: str | None = None) -> DataFrame:
@@ -283,13 +296,14 @@ class Engine:
         manifest = self._manifest()
         signed, readable, version = self.store.signature()
         status = self.spark.range(1).select(versions.installed_status(F.lit(signed), F.lit(readable), F.lit(version).cast("string"), F.lit(LAYOUT)).alias("s")).first()["s"]
-        resources, known = self.store.resources.read(), self.store.snapshots.read()
+        root = self.store.root()
+        resources, known = root.table("resources"), root.table("snapshots")
         at = ["resource_id", "snapshot_id"]
         current = resources.filter("kind <> 'source'").select(F.col("id").alias("resource_id"), F.col("current").alias("snapshot_id"))
         problems = {
             "resources_without_snapshot": current.join(known, at, "left_anti").count(),
             "snapshots_without_pages": known.filter("page_count > 0").join(self.store.pages().select(*at), at, "left_anti").count(),
-            "snapshots_without_postings": self.store.chunks().filter("n_tokens > 0").select(*at).distinct().join(self.store.postings().select(*at), at, "left_anti").count(),
+            "snapshots_without_postings": root.chunks().filter("n_tokens > 0").select(*at).distinct().join(root.postings().select(*at), at, "left_anti").count(),
         }
         return {
             "home": self.store.home,
@@ -297,7 +311,7 @@ class Engine:
             "project_resources": len(manifest["resources"]) if manifest else 0,
             "resources": resources.count(),
             "snapshots": known.count(),
-            "chunks": self.store.chunks().count(),
+            "chunks": root.chunks().count(),
             "layout": {"version": version, "running": LAYOUT, "status": status},
             "problems": problems,
             "healthy": status == versions.CURRENT and not any(problems.values()),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,12 +30,12 @@ def html_to_text(html: Column) -> Column:
     return F.pandas_udf(_texts, "string")(html)
 
 
-def _absolute(targets: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([[u for t in ([] if ts is None else ts) if (u := absolute(t, b)) is not None] for ts, b in zip(targets, base, strict=True)])
+def _absolute(targets: list[str], base: str | None) -> list[str]:
+    return [u for t in targets if (u := absolute(t, base)) is not None]
 
 
 def _targets(html: pd.Series, base: pd.Series) -> pd.Series:
-    return _absolute(html.map(lambda h: links_of(h or "")), base)
+    return pd.Series([_absolute(links_of(h or ""), b) for h, b in zip(html, base, strict=True)])
 
 
 def html_links(html: Column, base: Column) -> Column:
@@ -46,11 +48,29 @@ def looks_like_html(x: Column) -> Column:
     return F.startswith(start, F.lit("<!DOCTYPE html")) | F.startswith(start, F.lit("<html")) | x.contains("<body") | x.contains("<main") | x.contains("<article")
 
 
+def targets_of(text: str) -> list[str]:
+    """What a text links to: Markdown targets, then bare URLs, in order."""
+    bare = (w.strip("\"'()[]<>,.") for w in re.split(r"[ \t-\r]+", text))
+    return [t.strip(" ") for t in re.findall(r"\]\(([^)]*)\)", text)] + [w for w in bare if w.startswith(("http://", "https://"))]
+
+
+def _text_targets(text: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([_absolute(targets_of(t or ""), b) for t, b in zip(text, base, strict=True)])
+
+
 def text_links(x: Column, base: Column) -> Column:
     """Markdown targets, then bare URLs, in order, as canonical URLs."""
-    targets = F.transform(F.regexp_extract_all(x, F.lit(r"\]\(([^)]*)\)"), F.lit(1)), lambda t: F.trim(t))
-    bare = F.transform(F.split(x, r"\s+"), lambda w: F.regexp_replace(w, r"""^["'()\[\]<>,.]+|["'()\[\]<>,.]+$""", ""))
-    return F.pandas_udf(_absolute, "array<string>")(F.concat(targets, F.filter(bare, lambda w: w.rlike("^https?://"))), base)
+    return F.pandas_udf(_text_targets, "array<string>")(x, base)
+
+
+def is_html(body: str) -> bool:
+    """looks_like_html of one text."""
+    return body.lstrip().startswith(("<!DOCTYPE html", "<html")) or any(t in body for t in ("<body", "<main", "<article"))
+
+
+def links_of_page(body: str, base: str) -> list[str]:
+    """page_links of one page."""
+    return list(dict.fromkeys(_absolute([*links_of(body), *targets_of(body)], base)))
 
 
 def page_links(body: Column, base: Column) -> Column:

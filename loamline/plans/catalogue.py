@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, markdown, text, urls
-from ..operators import catalog, chunking, crawl, evaluation, inverted, retrieval
+from ..operators import catalog, chunking, crawl, evaluation, inverted, retrieval, vector_cells
 from ..operators.checkpoints import ensure_checkpoints, stored
 from ..operators.numbering import running_total
+from ..sources import files
 
 QUESTION = "Which ones are Licensed under CC BY-NC 4.0? pathetic loser, and the worthless"
 MAX_PAGES = 40
@@ -517,6 +519,25 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top(retrieval.cosine_scores(e, query_vector(spark, sf_dir)), 100, "vector_rank")
 
 
+def cosine_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of cosine_topk, from vectors stored by centroid; cells that cannot hold one are not read."""
+    ensure_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/loamline-cells-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 10, "0").alias("chunk_key"), "embedding")
+    vector_cells.write_cells(e, path)
+    found = vector_cells.search_cells(spark, path, query_vector(spark, sf_dir), 100)
+    return spark.createDataFrame(retrieval.numbered(found.best, "vector_rank"))
+
+
+def variant_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What snapshots keep besides: documents' facts as JSON of several shapes, read as variants."""
+    i = F.col("doc_id")
+    given = F.when(i % 5 == 0, F.lit("no JSON")).when(i % 5 == 1, F.to_json(F.struct(F.struct("lang", F.array("n_chars", i).alias("sizes")).alias("extra"))))
+    given = given.when(i % 5 == 2, F.to_json(F.struct(F.struct(i.cast("string").alias("version"), "source").alias("extra")))).when(i % 5 == 3, F.lit('{"extra": [1]}'))
+    rows = table(spark, sf_dir, "documents").select("doc_id", files.snapshot_facts(given).alias("extra"))
+    return rows.select("doc_id", *[files.fact("extra", p, kind).alias(name) for name, p, kind in (("version", "$.version", "string"), ("lang", "$.lang", "string"), ("size", "$.sizes[0]", "long"), ("first", "$[0]", "int"))])
+
+
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused(spark, sf_dir)[1].select("chunk_key", "lexical_rank", "vector_rank", F.round("rrf", 8).alias("rrf"), "source_prior", "score")
 
@@ -545,7 +566,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         agent_query, input_classify, url_canonical, llms_candidates, html_sniff, html_to_text, html_damaged, damaged_links, page_links, text_links, link_scope, crawl_bfs, crawl_bfs_capped, md_sections, md_anchor, md_markup, md_containers,
         snapshot_hash, catalog_list, update_changed, update_noop, catalog_upsert, remove_cascade, target_lookup, trusted_resolve, percentiles, stress_summary, slowest,
         status_classify, must_include, resource_ids, chunk_number, search_content, tokenize_query, fts_fold_tokens, bm25_stats, bm25_topk, bm25_postings, bm25_phrase,
-        scope_post_limit, scope_pre_limit, cosine_topk, rrf_fuse, anchor_rows, top_groups,
+        scope_post_limit, scope_pre_limit, cosine_topk, cosine_cells, variant_extra, rrf_fuse, anchor_rows, top_groups,
     )
 }
 
@@ -627,7 +648,10 @@ SELECT CASE WHEN value > 180 THEN 'timeout' WHEN code = 0 THEN 'ok' WHEN contain
     "scope_post_limit": catalogue_sql(_BM25, "SELECT chunk_key, score, row_number() OVER (ORDER BY lexical_rank) AS lexical_rank FROM lex WHERE lexical_rank <= 50 AND chunk_key IN (SELECT chunk_key FROM chunks WHERE label IN ('src1', 'src2'))"),
     "scope_pre_limit": catalogue_sql(_BM25, "SELECT chunk_key, score, row_number() OVER (ORDER BY score DESC, chunk_key) AS lexical_rank FROM bm WHERE chunk_key IN (SELECT chunk_key FROM chunks WHERE label IN ('src1', 'src2')) QUALIFY lexical_rank <= 50"),
     "cosine_topk": "SELECT lpad(vec_id::VARCHAR, 10, '0') AS chunk_key, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score, row_number() OVER (ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) DESC, vec_id) AS vector_rank FROM embeddings QUALIFY vector_rank <= 100",
+    "variant_extra": """SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN doc_id::VARCHAR END AS version, CASE WHEN doc_id % 5 = 1 THEN lang END AS lang, CASE WHEN doc_id % 5 = 1 THEN n_chars END AS size,
+  CASE WHEN doc_id % 5 = 3 THEN 1 END AS first FROM documents""",
     "rrf_fuse": catalogue_sql(_BM25 + VECTOR_CTE, "SELECT chunk_key, lexical_rank, vector_rank, round(rrf, 8) AS rrf, source_prior, score FROM cand"),
     "anchor_rows": catalogue_sql(_BM25 + VECTOR_CTE + ANCHOR_CTE, "SELECT chunk_key, overlap, tier, nth, score FROM anch"),
     "top_groups": catalogue_sql(_BM25 + VECTOR_CTE + ANCHOR_CTE, "SELECT rank, url, group_score, array_to_string(a, ',') AS anchors, low, high FROM topg"),
 }
+ORACLES["cosine_cells"] = ORACLES["cosine_topk"]

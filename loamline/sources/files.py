@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +48,17 @@ class Files:
     def read_text(self, path: str) -> str:
         return self.spark.read.text(path, wholetext=True).first()["value"]
 
-    def write_text(self, path: str, text: str) -> None:
-        """Replaces path by one rename, so readers see the old text or the new one."""
+    def read_bytes(self, path: str) -> bytes:
+        """A small file, read where the driver is; no job is run for it."""
+        p, fs = self._at(path)
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+
+    def _written(self, path: str, text: str, replace: bool) -> None:
+        """Writes text beside path and renames it into place."""
         new = f"{path}.{uuid.uuid4().hex}.tmp"
         p, fs = self._at(new)
         out = fs.create(p, True)
@@ -56,8 +66,26 @@ class Files:
         out.close()
         renames = getattr(self._fs, "Options$Rename")
         how = self.spark.sparkContext._gateway.new_array(renames, 1)
-        how[0] = renames.OVERWRITE
-        self._fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(p, self._fs.Path(path), how)
+        how[0] = renames.OVERWRITE if replace else renames.NONE
+        try:
+            self._fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(p, self._fs.Path(path), how)
+        except BaseException:
+            fs.delete(p, False)
+            raise
+
+    def write_text(self, path: str, text: str) -> None:
+        """Replaces path by one rename, so readers see the old text or the new one."""
+        self._written(path, text, True)
+
+    def put_new(self, path: str, text: str) -> bool:
+        """Puts a file where none is, whole, and says whether it did: false where one was there first."""
+        try:
+            self._written(path, text, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
 
 
 def read_notes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -73,8 +101,18 @@ def read_snapshot(spark: SparkSession, folder: str, source_url: str) -> DataFram
     return spark.read.text(f"{folder}/content.txt", wholetext=True).select(F.lit(0).cast("long").alias("page_index"), F.lit(source_url).alias("url"), F.col("value").alias("content"))
 
 
+def snapshot_facts(metadata: Column) -> Column:
+    """What a snapshot's metadata keeps under extra, as a variant; null where there is none or the text is no JSON."""
+    return F.try_variant_get(F.try_parse_json(metadata), "$.extra", "variant")
+
+
+def fact(variant: str, path: str, kind: str) -> Column:
+    """One value of a variant column as a kind of column; null where it isn't there or is of another kind."""
+    return F.try_variant_get(F.col(variant), path, kind)
+
+
 def snapshot_extra(metadata: Column, field: str) -> Column:
-    return F.get_json_object(metadata, f"$.extra.{field}")
+    return F.try_variant_get(F.try_parse_json(metadata), f"$.extra.{field}", "string")
 
 
 def heading_path_of(encoded: Column) -> Column:

@@ -10,9 +10,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.wordpiece import PADDING, WordPieces
 from .files import Files
 
-VOCABULARY, VECTORS = "vocab.txt", "vectors.npy"
+VOCABULARY, VECTORS, NETWORK = "vocab.txt", "vectors.npy", "model.onnx"
+#: Ids of a text that a sentence model reads, as its kind defines it.
+MAX_IDS = 512
 
 
 def file_hashes(spark: SparkSession, folder: str, names: Sequence[str]) -> DataFrame:
@@ -68,3 +71,47 @@ class VectorFiles:
                 mean = vectors[known].mean(axis=0)
                 out[i] = mean / (np.linalg.norm(mean) or 1)
         return out
+
+
+class SentenceModel:
+    """An embedder by pinned files: a word piece vocabulary and a transformer in ONNX format that gives a row for each id.
+
+    A text's vector is the mean of its ids' rows, of unit length. Like the models of this kind it reads the first
+    max_ids ids of a text; passages are cut into chunks before. Files are verified once and shipped to the workers by Spark; a
+    worker opens one session, of one thread, on first use.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, pins: dict[str, str], max_ids: int = MAX_IDS):
+        if set(pins) != {VOCABULARY, NETWORK}:
+            raise ValueError(f"pin {VOCABULARY} and {NETWORK}")
+        for path in verified(spark, folder, pins):
+            spark.sparkContext.addFile(path)
+        self.max_ids = max_ids
+        self._loaded = None
+
+    def __getstate__(self) -> dict:
+        return {"max_ids": self.max_ids, "_loaded": None}
+
+    def _model(self):
+        if self._loaded is None:
+            import onnxruntime
+
+            with open(SparkFiles.get(VOCABULARY), encoding="utf-8") as f:
+                pieces = WordPieces([w.rstrip("\n") for w in f])
+            options = onnxruntime.SessionOptions()
+            options.intra_op_num_threads = options.inter_op_num_threads = 1
+            self._loaded = pieces, onnxruntime.InferenceSession(SparkFiles.get(NETWORK), options, providers=["CPUExecutionProvider"])
+        return self._loaded
+
+    def embed(self, texts: Sequence[str]) -> np.ndarray:
+        pieces, session = self._model()
+        ids = [pieces.encode(t, self.max_ids) for t in texts]
+        width = max(map(len, ids), default=0)
+        given = np.full((len(ids), width), pieces.ids.get(PADDING, 0), np.int64)
+        mask = np.zeros((len(ids), width), np.int64)
+        for i, row in enumerate(ids):
+            given[i, : len(row)], mask[i, : len(row)] = row, 1
+        known = {"input_ids": given, "attention_mask": mask, "token_type_ids": np.zeros_like(given)}
+        rows = session.run(None, {i.name: known[i.name] for i in session.get_inputs()})[0].astype(np.float32)
+        mean = (rows * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1e-9)
+        return (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)).astype(np.float32)

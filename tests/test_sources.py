@@ -100,7 +100,7 @@ def test_made_site(spark):
     schema = ", ".join(f"{k} string" for k in case)
     got = {r["path"]: r["body"] for r in evaluation.bench_site(spark.createDataFrame([case], schema)).collect()}
     assert set(got) == {"my-lib/a/b.html", "my-lib/index.html", "my-lib/llms.txt"}
-    assert "<h1>x&lt;1&gt;</h1>" in got["my-lib/a/b.html"] and "a &amp; b</pre>" in got["my-lib/a/b.html"] and got["my-lib/llms.txt"].endswith("- [x<1>](a/b.html): ")
+    assert "<h2>x&lt;1&gt;</h2>" in got["my-lib/a/b.html"] and "a &amp; b</div>" in got["my-lib/a/b.html"] and got["my-lib/llms.txt"].endswith("- [x<1>](a/b.html): ")
     for path in ("/etc/x", "a/../../x"):
         with pytest.raises(Exception, match="leaves its site"):
             evaluation.bench_site(spark.createDataFrame([case | {"doc_path": path}], schema)).collect()
