@@ -139,7 +139,7 @@ def hard_negatives(
     n, asking, longest = table.agg(F.count("*"), F.count_if("asks"), F.coalesce(F.max(square), F.lit(0.0))).first()
     wanted = min(MOST_PIVOTS, max(4, -(-asking // pivot_anchors)))
     pivots = [r["v"] for r in table.select("v", F.xxhash64("row").alias("h")).orderBy("h").limit(wanted).collect()]  # MOST_PIVOTS at most
-    cells = Cells(np.array(pivots or [[0] * dim], np.int64).reshape(-1, dim), longest)
+    cells = Cells(np.array(pivots or [[0] * dim], np.int64).reshape(max(1, len(pivots)), dim), longest)
 
     kind = table.schema["label"].dataType.simpleString()
     columns = f"row long, id long, label {kind}, v array<long>"

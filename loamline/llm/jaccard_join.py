@@ -145,7 +145,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
             columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(prints[:, i]) for i in (0, 1)], pa.array([signatures(s, threshold) for s in sets], pa.list_(pa.int64())), *[pa.array(marks[:, i]) for i in range(SKETCH)], pa.array([long_sketch(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "fa", "fb", "sigs", *cells, "mark"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").try_cast("long").alias("doc"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc long, n long, fa long, fb long, sigs array<long>, " + ", ".join(f"{c} long" for c in cells) + ", mark binary")
 
 
@@ -214,7 +214,7 @@ def _sets(pairs: DataFrame, built: DataFrame | None, docs: DataFrame, id_col: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["rep", "set"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").try_cast("long").alias("rep"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     if n_wanted > broadcast_rows:
         bucket = F.pmod(F.xxhash64("rep"), F.lit(BROADCAST_ROWS)).alias("bucket")
         rows = rows.withColumn("bucket", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
@@ -355,7 +355,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     name = fresh(docs, "lm_id")
     gone, again = facts.filter("doc <> root").select(F.col("doc").alias(name)), facts.filter("rows > 1 AND doc = root").select(F.col("doc").alias(name))
     n_gone, n_again = gone.count(), again.count()
-    at = F.col(f"`{id_col}`").cast("long") == F.col(name)
+    at = F.col(f"`{id_col}`").try_cast("long") == F.col(name)
     stay = docs.join(maybe_broadcast(gone, n_gone, broadcast_rows), at, "left_anti")
     if not n_again:
         return stay

@@ -88,7 +88,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, seed: int) -
             curve = (hilbert_key(grid) << TIE_BITS) | tie.astype(np.int64)
             yield pa.RecordBatch.from_arrays([keys, pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([len(r) for r in rows], pa.int64()), pa.array(curve, pa.int64())], ["doc", "ids", "n", "curve"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").try_cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(encode, "doc long, ids binary, n long, curve long")
 
 

@@ -22,7 +22,7 @@ def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int, m
     """
     v, finite = F.col(f"`{vector_col}`"), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
     kept = rows.filter(F.forall(v, finite)).select(
-        F.col(f"`{id_col}`").cast("string").try_cast("long").alias("id"), F.transform(v, lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("v"), *[c.alias(k) for k, c in more.items()]
+        F.col(f"`{id_col}`").try_cast("long").alias("id"), F.transform(v, lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("v"), *[c.alias(k) for k, c in more.items()]
     )
     table = settled(kept.filter("id IS NOT NULL").withColumn("row", F.monotonically_increasing_id()))
     dim = table.agg(F.max(F.size("v"))).first()[0] or 0

@@ -111,6 +111,19 @@ def test_fit_on_nothing_to_learn_from(spark, fit):
         assert fit(texts, given) is not None
 
 
+def test_ids_that_are_text(spark):
+    """An id that is no number counts as null where ids are numbers, and stays as it is where they are not."""
+    base = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([("a1", base), ("7", base + " x"), ("8", "other"), (None, "y z"), ("1e3", None)], "doc_id string, text string")
+    pieces = packing.pack(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in pieces if r["start"] == 0) == ["7", "8", "None", "None", "None"]
+    joined = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(docs).collect()}
+    assert {r for r in joined if r[0] is not None} == {(7, 37, 7), (8, 1, 8)}
+    assert "8" in {r["doc_id"] for r in jaccard_join.deduplicated(docs).collect()}
+    assert {r["doc_id"] for r in exact_dedup.exact_dedup(docs).collect()} == {"a1", "7", "8", None, "1e3"}
+    assert {r["doc_id"] for r in line_dedup.line_dedup(docs.withColumn("source", F.lit("s"))).collect()} == {"a1", "7", "8", None, "1e3"}
+
+
 def test_repeated_id_links_all_its_texts(spark):
     text = lambda k: " ".join(f"{k}{i}" for i in range(50))
     rows = [(1, text("a")), (2, text("b")), (3, text("a")), (3, text("b")), (4, text("c")), (5, text("c") + " end"), (5, text("d")), (6, text("e"))]
