@@ -116,6 +116,7 @@ class Engine:
                 kept = head.withColumn("snapshot_id", F.lit(snapshot["snapshot_id"])).withColumn("kind", F.lit(row["kind"])).withColumn("label", F.lit(row["label"])).withColumn("batch", F.lit(0).cast("long"))
                 self.store.put_pages(kept)
                 indexed = self.store.index(kept) if index else None
+                snapshot["size_bytes"] = self.store.size(row["id"], snapshot["snapshot_id"])
         finally:
             self.files.delete(staged)
         return snapshot, changed, indexed
@@ -238,13 +239,15 @@ class Engine:
         return catalog.history(self.show(target), self.store.snapshots.read())
 
     def list(self, project_only: bool = False, kind: str | None = None) -> DataFrame:
-        """The catalog with the facts of current snapshots, size_bytes, and whether the project links each resource."""
-        rows = self.store.resources.read()
+        """The catalog with the facts of current snapshots, size_bytes of all of them as they were written, and whether the
+        project links each resource."""
+        root = self.store.root()
+        rows = root.table("resources")
         rows = rows if kind is None else rows.filter(F.col("kind") == kind)
         ids = [(r["id"],) for r in (self._manifest() or {"resources": []})["resources"]]
-        out = catalog.linked(catalog.listing(rows, self.store.snapshots.read()), self.spark.createDataFrame(ids, "id string"), project_only)
-        sizes = [(n.split("=", 1)[1], self.store.size(n.split("=", 1)[1])) for n in self.files.names(f"{self.store.home}/pages") if n.startswith("resource_id=")]
-        return out.join(self.spark.createDataFrame(sizes, "id string, size_bytes long"), "id", "left").orderBy("kind", "label", "id")
+        out = catalog.linked(catalog.listing(rows, root.table("snapshots")), self.spark.createDataFrame(ids, "id string"), project_only)
+        sizes = root.table("snapshots").groupBy(F.col("resource_id").alias("id")).agg(F.sum("size_bytes").alias("size_bytes"))
+        return out.join(sizes, "id", "left").orderBy("kind", "label", "id")
 
     def path(self, target: str) -> str:
         """Where a repository's pointer lies in the store; the engine keeps no checkouts itself."""

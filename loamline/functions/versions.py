@@ -18,6 +18,16 @@ def version_triple(x: Column) -> Column:
     return F.when(whole, F.struct(number(0).alias("major"), number(1).alias("minor"), number(2).alias("patch")))
 
 
+#: Fixed values of the standard of semantic versions: a number, and an identifier of a tail.
+NUMBER, IDENTIFIER = "(?:0|[1-9][0-9]*)", "[0-9A-Za-z-]+"
+
+
+def well_formed(x: Column) -> Column:
+    """Whether x is a semantic version: three numbers without leading zeros, then a pre-release and a build, each if any."""
+    tail = lambda sign: rf"(?:{sign}{IDENTIFIER}(?:\.{IDENTIFIER})*)?"
+    return x.rlike("^" + r"\.".join([NUMBER] * 3) + tail("-") + tail(r"\+") + r"\z")
+
+
 def version_order(a: Column, b: Column) -> Column:
     """older, same or newer: what a is to b; unknown where either is no version."""
     x, y = version_triple(a), version_triple(b)

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import canonical_url, in_llms_scope, in_scope, is_llms_txt, llms_candidates
+from .checkpoints import ensure_checkpoints
+
+
+class Seen:
+    """The URLs that a crawl has met, a level at a time, in a folder of the shared checkpoints: none is written twice."""
+
+    def __init__(self, urls: DataFrame):
+        ensure_checkpoints(urls.sparkSession)
+        self.spark = urls.sparkSession
+        self.path = f"{self.spark.sparkContext.getCheckpointDir()}/loamline-seen-{uuid.uuid4().hex}"
+        self.add(urls)
+
+    def add(self, urls: DataFrame) -> None:
+        urls.select("url").write.mode("append").parquet(self.path)
+
+    def without(self, urls: DataFrame) -> DataFrame:
+        """Those of urls that have not been met, each once."""
+        return urls.distinct().join(self.spark.read.schema("url string").parquet(self.path), "url", "left_anti")
 
 
 def bounded_bfs(nodes: DataFrame, edges: DataFrame, seed: DataFrame, max_pages: int) -> DataFrame:
@@ -18,8 +37,8 @@ def bounded_bfs(nodes: DataFrame, edges: DataFrame, seed: DataFrame, max_pages:
     cut from its lineage in the checkpoint folder; rows stay distributed but for the level's numbering, which the cap
     bounds.
     """
-    seen = seed.select("url").distinct()
-    frontier, fetched, level, count = seen, None, 0, 0
+    frontier, fetched, level, count = seed.select("url").distinct(), None, 0, 0
+    seen = Seen(frontier)
     while count < max_pages:
         room = max_pages - count
         batch = frontier.orderBy("url").limit(room) if frontier.count() > room else frontier
@@ -32,9 +51,9 @@ def bounded_bfs(nodes: DataFrame, edges: DataFrame, seed: DataFrame, max_pages:
         if not size:
             break
         count += size
-        found = edges.join(page.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
-        frontier = found.join(seen, "url", "left_anti").checkpoint()
-        seen = seen.unionByName(frontier).checkpoint()
+        found = edges.join(page.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url"))
+        frontier = seen.without(found).checkpoint()
+        seen.add(frontier)
         level += 1
     return fetched if fetched is not None else nodes.select("url", F.lit(0).alias("level"), F.lit(0).cast("long").alias("page_order")).limit(0)
 
@@ -64,7 +83,7 @@ def site(spark: SparkSession, seed: str, fetch: Callable[[DataFrame], DataFrame]
     first = spark.createDataFrame([] if at["own"] else [(at["seed"], "last")], "url string, place string")
     frontier = first if frontier is None else frontier.unionByName(first.join(frontier.select("url"), "url", "left_anti"))
     frontier = frontier.join(of(tried), "url", "left_anti").checkpoint()
-    seen = frontier.select("url").unionByName(of(tried)).checkpoint()
+    seen = Seen(frontier.select("url").unionByName(of(tried)))
     count = 0 if pages is None else 1
     while count < max_pages and not frontier.isEmpty():
         batch = frontier.orderBy("place", "url").limit(max_pages - count)
@@ -74,6 +93,6 @@ def site(spark: SparkSession, seed: str, fetch: Callable[[DataFrame], DataFrame]
         pages = level if pages is None else pages.unionByName(level)
         count += got.count()
         found = got.select(F.explode("links").alias("url")).select(canonical_url(F.col("url")).alias("url")).filter(in_scope(F.lit(at["seed"]), F.col("url")))
-        frontier = found.distinct().join(seen, "url", "left_anti").withColumn("place", F.col("url")).checkpoint()
-        seen = seen.unionByName(frontier.select("url")).checkpoint()
+        frontier = seen.without(found).withColumn("place", F.col("url")).checkpoint()
+        seen.add(frontier)
     return pages if pages is not None else spark.createDataFrame([], "page_index long, url string, content string")

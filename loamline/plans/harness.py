@@ -28,6 +28,10 @@ def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc_id", "recorded", versions.version_order(F.col("recorded"), F.lit(RUNNING)).alias("status"))
 
 
+def version_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _versions(spark, sf_dir).select("doc_id", versions.well_formed(F.col("recorded")).alias("well_formed"))
+
+
 def version_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     there, readable, recorded = F.col("doc_id") % 10 != 9, F.col("doc_id") % 10 != 8, F.col("recorded")
     return _versions(spark, sf_dir).select(
@@ -85,7 +89,7 @@ def case_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (version_compare, version_status, ingest_totals, first_failures, run_guard, discovery_fill, bench_site, case_libraries)
+    f.__name__: f for f in (version_compare, version_format, version_status, ingest_totals, first_failures, run_guard, discovery_fill, bench_site, case_libraries)
 }
 
 _VERSIONS = """WITH w AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 6 THEN (doc_id % 3)::VARCHAR || '.' || (doc_id % 12)::VARCHAR || '.' || CASE WHEN doc_id % 11 = 7 THEN 'x' ELSE (doc_id % 5)::VARCHAR END
@@ -105,6 +109,7 @@ _CASES = """WITH k AS (SELECT item_id, printf('case-%05d', item_id) AS id, 'Lib_
 
 ORACLES: dict[str, str] = {
     "version_compare": _VERSIONS + "SELECT doc_id, recorded, status FROM o",
+    "version_format": "SELECT doc_id, CASE WHEN doc_id % 7 <> 6 THEN doc_id % 11 <> 7 AND (doc_id % 4 < 2 OR doc_id % 13 <> 5) END AS well_formed FROM documents",
     "version_status": _VERSIONS
     + f"""SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'not_installed' WHEN doc_id % 10 = 8 THEN 'metadata_invalid' WHEN recorded IS NULL THEN 'metadata_missing' WHEN recorded = '{RUNNING}' THEN 'current'
   WHEN status = 'older' THEN 'outdated' ELSE 'version_mismatch' END AS installed,

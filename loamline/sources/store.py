@@ -20,7 +20,7 @@ from ..functions.text import index_tokens
 from ..operators import chunking, inverted
 from .files import RESOURCE, Files
 
-SNAPSHOT = "resource_id string, snapshot_id string, kind string, source_url string, content_hash string, fetched_at string, page_count long, extra string"
+SNAPSHOT = "resource_id string, snapshot_id string, kind string, source_url string, content_hash string, fetched_at string, page_count long, extra string, size_bytes long"
 PAGES = "kind string, label string, page_index long, url string, content string, resource_id string, snapshot_id string, batch long"
 #: Chunks and postings by partition; a generation is one indexing of a snapshot.
 CHUNKS = (
@@ -212,8 +212,9 @@ class Store:
     def snapshot_pages(self, resource_id: str, snapshot_id: str) -> DataFrame:
         return self.pages().filter((F.col("resource_id") == resource_id) & (F.col("snapshot_id") == snapshot_id))
 
-    def size(self, resource_id: str) -> int:
-        return sum(self.files.size(f"{self.home}/{name}/resource_id={resource_id}") for name in ("pages", "chunks", "postings"))
+    def size(self, resource_id: str, snapshot_id: str) -> int:
+        """Bytes of a snapshot's pages, chunks and postings."""
+        return sum(self.files.size(f"{self.home}/{name}/resource_id={resource_id}/snapshot_id={snapshot_id}") for name in ("pages", "chunks", "postings"))
 
     def remove(self, resource_id: str, prune: bool) -> dict[str, int]:
         """Deletes a resource's catalog rows and chunks, and with prune its pages; how many there were."""

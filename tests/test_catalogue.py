@@ -9,7 +9,7 @@ from loamline.plans import catalogue, harness, lifecycle
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLES = catalogue.QUERIES | lifecycle.QUERIES | harness.QUERIES, catalogue.ORACLES | lifecycle.ORACLES | harness.ORACLES
-CHOSEN = ["input_classify", "url_canonical", "html_to_text", "page_links", "crawl_bfs_capped", "md_sections", "snapshot_hash", "percentiles", "chunk_number", "bm25_phrase", "top_groups", *lifecycle.QUERIES, *harness.QUERIES]
+CHOSEN = ["input_classify", "url_canonical", "html_to_text", "html_damaged", "damaged_links", "page_links", "crawl_bfs_capped", "md_sections", "md_markup", "md_containers", "snapshot_hash", "percentiles", "chunk_number", "bm25_phrase", "bm25_postings", "cosine_cells", "variant_extra", "top_groups", *lifecycle.QUERIES, *harness.QUERIES]
 
 
 def plain(v):

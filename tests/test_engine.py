@@ -65,6 +65,22 @@ def test_relative_links_of_text_are_followed(spark):
     assert {r["content"] for r in got if r["url"] == "https://r.example/"} == {"Home\nstart\n"}
 
 
+SPELLED = {
+    "https://s.example/docs/llms.txt": "# S\n- [a](https://S.Example:443/docs/x/../a)\n- [evil](https://s.example:443@evil.example/docs/e)\n",
+    "https://s.example/docs/a": '<a href="HTTPS://s.example/docs/%2e/a#top">again</a><a href="b c">b</a><a href="https://s.example@evil.example/docs/f">f</a><a href="https:\\\\s.example\\docs\\b%20c?x">b</a>',
+    "https://s.example/docs": "<main>home",
+    "https://s.example/docs/b%20c": "<main>b",
+    "https://evil.example/docs/e": "stolen",
+    "https://evil.example/docs/f": "stolen",
+}
+
+
+def test_one_page_for_all_spellings_and_none_of_another_host(spark):
+    spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    got = site(spark, "https://S.EXAMPLE:443/docs", lambda urls: fetch.fetch_pages(urls, answers(SPELLED), 2)).collect()
+    assert {r["page_index"]: r["url"] for r in got} == {0: "https://s.example/docs/llms.txt", 1: "https://s.example/docs/a", 2: "https://s.example/docs", 3: "https://s.example/docs/b%20c"}
+
+
 def test_scope_of_folders(spark):
     rows = [("https://h/", "https://h/a", True), ("https://h/docs/", "https://h/docs/a", True), ("https://h/docs/", "https://h/docsa", False), ("https://h", "https://h/x/y", True), ("https://h/docs", "https://h:444/docs/a", False)]
     df = spark.createDataFrame(rows, "seed string, link string, want boolean")

@@ -1,10 +1,11 @@
 import sqlite3
+import time
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.functions import html, markdown, text, urls, versions
+from loamline.functions import html, markdown, text, url_parser, urls, versions
 from loamline.operators import catalog, chunking, crawl, retrieval
 
 
@@ -122,3 +123,58 @@ def test_version_order_edges(spark):
     rows = [("1.2.3", "1.2.3", "same"), ("1.9.0", "1.10.0", "older"), ("2.0.0-rc1", "1.9.9", "newer"), ("1.2", "1.2.0", "unknown"), ("1..2", "1.0.0", "unknown"), ("1.0.0\n", "1.0.0", "unknown"), ("", "1.0.0", "unknown"), (None, "1.0.0", "unknown"), ("18446744073709551615.0.0", "1.0.0", "newer"), ("1.0.0+b-c", "1.0.0", "same")]
     got = spark.createDataFrame(rows, "a string, b string, want string").withColumn("got", versions.version_order(F.col("a"), F.col("b"))).collect()
     assert [(r["a"], r["got"]) for r in got if r["got"] != r["want"]] == []
+
+
+def test_semantic_versions(spark):
+    rows = [("1.2.3", True), ("0.0.0", True), ("1.2.3-rc.1+b-2.x", True), ("1.2.3+b", True), ("01.2.3", False), ("1.2", False), ("1.2.3.4", False), ("1.2.3-", False), ("1.2.3+a..b", False), ("1.2.3\n", False), ("v1.2.3", False), (None, None)]
+    got = spark.createDataFrame(rows, "v string, want boolean").select("v", "want", versions.well_formed(F.col("v")).alias("got")).collect()
+    assert [(r["v"], r["got"]) for r in got if r["got"] != r["want"]] == []
+
+
+@pytest.mark.parametrize(
+    "text, base, want",
+    [
+        ("../b", "https://h/x/y/z?q", "https://h/x/b"),
+        ("?k", "https://h/x/y#f", "https://h/x/y"),
+        ("//o/p", "https://h/x", "https://o/p"),
+        ("http:rel", "http://h/a/b", "http://h/a/rel"),
+        ("https:rel", "http://h/a/b", "https://rel/"),
+        ("..", "https://h/a/b/c", "https://h/a/"),
+        ("a/%2e%2E/b/.%2e/c/%2e", "https://h/x/", "https://h/x/c/"),
+        ("x", "mailto:q", None),
+        ("mailto:a@b?x", None, "mailto:a@b"),
+        ("file:///tmp/../a.md", None, "file:///a.md"),
+        ("http://256.1.1.1/", None, None),
+        ("http://1.2.3.4.5/", None, None),
+        ("http://[::1]:80/", None, "http://[::1]/"),
+        ("http://a%2fb/", None, None),
+        ("http://h:99999/", None, None),
+        ("http://@h/", None, "http://h/"),
+        ("x:/a/./b", None, "x:/a/b"),
+        ("notes.md", None, None),
+        ("", "https://h/x?y", "https://h/x"),
+    ],
+)
+def test_urls_by_the_standard(text, base, want):
+    assert url_parser.absolute(text, base) == want
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("a\\\nb", "a b"), ("[b](u(v)w)", "b"), ("> quote\nlazy\n===", "quote lazy ==="), ("[a]: http://x", ""), ("# A\n1) one\n   - two\n     # deep", "A one two deep"),
+        ("***a** b*", "a b"), ("2*3", "2 * 3"), ("*a [b*](u)", "* a b *"), ("[a [b](u) c](v)", "[ a b c ] (v)"), ("a`` b ` c ``d", "a b ` c d"), ("x ~~~~c ~a~", "x ~~~~c a"), ("- [ ] task\n- [x] done", "task done"),
+        (">     code\n> x", "code x"), ("-\ttab\n\n\tpara", "tab para"), ("text\n2. no list", "text 2. no list"), ("foo\n<b>bar", "foo bar"), ("<!-- c\n\n c2 -->\nx", "x"), ("# a # b #", "a # b"), ("-\n\n  foo", "foo"),
+    ],
+)
+def test_plain_text_of_markdown(source, want):
+    assert markdown.plain_text(source) == want
+
+
+@pytest.mark.parametrize(
+    "source", ["*a " * 20_000, "[" * 20_000, "[a](b" * 8000, ">" * 3000 + "x", "*a _b " * 8000, "_a*" * 10_000, "<div>" * 20_000, '<a x="1" ' * 5000, "<!--" * 20_000, "<table>" * 3000]
+)
+def test_hostile_sources_take_no_long_time(source):
+    began = time.perf_counter()
+    markdown.plain_text(source), html.text_of(source), html.links_of(source)
+    assert time.perf_counter() - began < 20

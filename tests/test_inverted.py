@@ -34,13 +34,13 @@ def plain_scores(rows, phrases):
     mean = sum(len(t) for _, t in rows) / len(rows)
     count = lambda t, p: sum(t[i : i + len(p)] == p for i in range(len(t) - len(p) + 1))
     tf = {k: [count(t, p) for p in phrases] for k, t in rows}
+    dfs = [sum(1 for v in tf.values() if v[j]) for j in range(len(phrases))]
     out = {}
     for k, t in rows:
         score = 0.0
         for j, _ in enumerate(phrases):
-            df = sum(1 for v in tf.values() if v[j])
             if tf[k][j]:
-                raw = math.log((len(rows) - df + 0.5) / (df + 0.5))
+                raw = math.log((len(rows) - dfs[j] + 0.5) / (dfs[j] + 0.5))
                 score += max(raw, 1e-6) * tf[k][j] * 2.2 / (tf[k][j] + 1.2 * (0.25 + 0.75 * len(t) / mean))
         if any(tf[k]):
             out[k] = round(score, 6)
