@@ -118,7 +118,7 @@ def test_ids_that_are_text(spark):
     pieces = packing.pack(docs).collect()
     assert sorted(str(r["doc_id"]) for r in pieces if r["start"] == 0) == ["7", "8", "None", "None", "None"]
     joined = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(docs).collect()}
-    assert {r for r in joined if r[0] is not None} == {(7, 37, 7), (8, 1, 8)}
+    assert {r for r in joined if r[0] is not None} == {(7, 38, 7), (8, 1, 8)}
     assert "8" in {r["doc_id"] for r in jaccard_join.deduplicated(docs).collect()}
     assert {r["doc_id"] for r in exact_dedup.exact_dedup(docs).collect()} == {"a1", "7", "8", None, "1e3"}
     assert {r["doc_id"] for r in line_dedup.line_dedup(docs.withColumn("source", F.lit("s"))).collect()} == {"a1", "7", "8", None, "1e3"}
