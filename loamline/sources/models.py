@@ -6,7 +6,7 @@ import io
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark import SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,29 +34,36 @@ def verified(spark: SparkSession, folder: str, pins: dict[str, str]) -> list[str
     return [f"{folder.rstrip('/')}/{n}" for n in pins]
 
 
+def _lines(content: bytes) -> list[str]:
+    return content.decode("utf-8").removesuffix("\n").split("\n")
+
+
+def shipped(spark: SparkSession, folder: str, pins: dict[str, str]) -> Broadcast[dict[str, bytes]]:
+    """The verified contents of the pinned files by name, for workers to load; models that share names don't meet."""
+    rows = spark.read.format("binaryFile").load(verified(spark, folder, pins)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return spark.sparkContext.broadcast({r["name"]: bytes(r["content"]) for r in rows.collect()})  # one model, as pinned
+
+
 class VectorFiles:
     """An embedder by pinned files: a vocabulary, one word a line, and a matrix with a row of floats for each word.
 
     A text's vector is the mean of its words' rows, of unit length; zeros if it has no known word. Files are verified
-    once and shipped to the workers by Spark, which load them on first use.
+    once and broadcast to the workers, which load them on first use.
     """
 
     def __init__(self, spark: SparkSession, folder: str, pins: dict[str, str]):
         if set(pins) != {VOCABULARY, VECTORS}:
             raise ValueError(f"pin {VOCABULARY} and {VECTORS}")
-        for path in verified(spark, folder, pins):
-            spark.sparkContext.addFile(path)
+        self._files = shipped(spark, folder, pins)
         self._loaded: tuple[dict[str, int], np.ndarray] | None = None
 
     def __getstate__(self) -> dict:
-        return {"_loaded": None}
+        return {"_files": self._files, "_loaded": None}
 
     def _model(self) -> tuple[dict[str, int], np.ndarray]:
         if self._loaded is None:
-            with open(SparkFiles.get(VOCABULARY), encoding="utf-8") as f:
-                words = {w.rstrip("\n"): i for i, w in enumerate(f)}
-            with open(SparkFiles.get(VECTORS), "rb") as f:
-                vectors = np.load(io.BytesIO(f.read()), allow_pickle=False).astype(np.float32)
+            words = {w: i for i, w in enumerate(_lines(self._files.value[VOCABULARY]))}
+            vectors = np.load(io.BytesIO(self._files.value[VECTORS]), allow_pickle=False).astype(np.float32)
             if vectors.ndim != 2 or len(vectors) != len(words):
                 raise ValueError(f"{len(words)} words for vectors of shape {vectors.shape}")
             self._loaded = words, vectors
@@ -77,30 +84,26 @@ class SentenceModel:
     """An embedder by pinned files: a word piece vocabulary and a transformer in ONNX format that gives a row for each id.
 
     A text's vector is the mean of its ids' rows, of unit length. Like the models of this kind it reads the first
-    max_ids ids of a text; passages are cut into chunks before. Files are verified once and shipped to the workers by Spark; a
+    max_ids ids of a text; passages are cut into chunks before. Files are verified once and broadcast to the workers; a
     worker opens one session, of one thread, on first use.
     """
 
     def __init__(self, spark: SparkSession, folder: str, pins: dict[str, str], max_ids: int = MAX_IDS):
         if set(pins) != {VOCABULARY, NETWORK}:
             raise ValueError(f"pin {VOCABULARY} and {NETWORK}")
-        for path in verified(spark, folder, pins):
-            spark.sparkContext.addFile(path)
-        self.max_ids = max_ids
-        self._loaded = None
+        self.max_ids, self._files, self._loaded = max_ids, shipped(spark, folder, pins), None
 
     def __getstate__(self) -> dict:
-        return {"max_ids": self.max_ids, "_loaded": None}
+        return {"max_ids": self.max_ids, "_files": self._files, "_loaded": None}
 
     def _model(self):
         if self._loaded is None:
             import onnxruntime
 
-            with open(SparkFiles.get(VOCABULARY), encoding="utf-8") as f:
-                pieces = WordPieces([w.rstrip("\n") for w in f])
+            pieces = WordPieces(_lines(self._files.value[VOCABULARY]))
             options = onnxruntime.SessionOptions()
             options.intra_op_num_threads = options.inter_op_num_threads = 1
-            self._loaded = pieces, onnxruntime.InferenceSession(SparkFiles.get(NETWORK), options, providers=["CPUExecutionProvider"])
+            self._loaded = pieces, onnxruntime.InferenceSession(self._files.value[NETWORK], options, providers=["CPUExecutionProvider"])
         return self._loaded
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
