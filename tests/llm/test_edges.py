@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamline.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, toxicity
+from loamline.llm import exact_dedup, importance, jaccard_join, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, toxicity
 from loamline.llm.token_counts import count_tokens
 
 LLM = Path(corpus_pipeline.__file__).parent / "loamline" / "llm"
@@ -55,8 +55,9 @@ OPERATORS = {
     "mixed": lambda d: mixing.mixed(mixing.mix(d, carry=d.columns)),
     "with_counts": quality_rules.with_counts,
     "quality_rules": quality_rules.quality_rules,
+    "importance_resample": lambda d: importance.importance_resample(d, d, n=2),
 }
-ONE_ROW_EACH = ["quality", "toxicity", "jaccard_join", "line_dedup", "exact_dedup", "identify", "mix", "with_counts", "quality_rules", "count_tokens"]
+ONE_ROW_EACH = ["quality", "toxicity", "jaccard_join", "line_dedup", "exact_dedup", "identify", "mix", "with_counts", "quality_rules", "count_tokens", "importance_resample"]
 
 
 @pytest.mark.parametrize("name", OPERATORS)
