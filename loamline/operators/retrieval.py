@@ -44,14 +44,25 @@ def read_question(question: str, spark) -> tuple[list[str], list[list[str]]]:
 
 
 def phrase_counts(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """chunk_key, d, phrase and tf of every chunk (chunk_key, tokens) with a phrase; one pass over each row's tokens."""
+    """chunk_key, d, phrase and tf of every chunk (chunk_key, tokens) with a phrase.
+
+    One pass over each row's tokens keeps the few that are a phrase of one word; a longer phrase is looked for only in
+    rows that have all its words.
+    """
+    singles, several = [p[0] for p in phrases if len(p) == 1], [p for p in phrases if len(p) > 1]
 
     def count(phrase: list[str]) -> Column:
         later = lambda x, i: [(F.get("tokens", i + j) == w) for j, w in enumerate(phrase[1:], 1)]
-        return F.size(F.filter("tokens", lambda x, i: reduce(lambda p, q: p & q, later(x, i), x == phrase[0])))
-
-    every = F.array(*[F.struct(F.lit(" ".join(p)).alias("phrase"), count(p).alias("tf")) for p in phrases])
-    return tokens.select("chunk_key", F.size("tokens").alias("d"), F.inline(F.filter(every, lambda c: c.tf > 0)))
+        found = F.size(F.filter("tokens", lambda x, i: reduce(lambda p, q: p & q, later(x, i), x == phrase[0])))
+        return F.when(reduce(lambda p, q: p & q, [F.array_contains("tokens", w) for w in dict.fromkeys(phrase)]), found).otherwise(0)
+
+    kept = F.filter("tokens", lambda x: x.isin(singles)) if singles else F.array().cast("array<string>")
+    one = lambda w: F.size("kept") - F.size(F.array_remove("kept", w))
+    counts = {" ".join(p): F.col(f"several.c{k}") for k, p in enumerate(several)} | {w: one(w) for w in singles}
+    every = F.array(*[F.struct(F.lit(p).alias("phrase"), counts[p].alias("tf")) for p in map(" ".join, phrases)])
+    more = F.struct(F.lit(0).alias("none"), *[count(p).alias(f"c{k}") for k, p in enumerate(several)])
+    rows = tokens.select("chunk_key", F.size("tokens").alias("d"), kept.alias("kept"), more.alias("several"))
+    return rows.select("chunk_key", "d", F.inline(F.filter(every, lambda c: c.tf > 0)))
 
 
 def bm25_of(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:

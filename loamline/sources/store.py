@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.embedding import Embedder, passage_vectors
-from ..functions.text import index_tokens
 from ..operators import chunking, inverted
 from .files import RESOURCE, Files
 
@@ -192,7 +191,9 @@ class Store:
         chunks = chunking.page_chunks(pages.drop("batch"))
         search = chunking.search_content(F.col("label"), F.col("url"), F.col("heading_path"), F.col("plain_text"), F.col("content"))
         vector = passage_vectors(search, self.embedder) if self.embedder else F.lit(None).cast("array<float>")
-        rows = chunks.withColumn("tokens", index_tokens(search)).withColumn("n_tokens", F.size("tokens")).withColumn("embedding", vector).withColumn("generation", F.lit(generation))
+        packed = ~F.col("kind").eqNullSafe("notes")
+        tokens = chunking.search_tokens(F.col("label"), F.col("url"), F.col("heading_path"), F.col("plain_text"), F.col("content"), packed)
+        rows = chunks.withColumn("tokens", tokens).withColumn("n_tokens", F.size("tokens")).withColumn("embedding", vector).withColumn("generation", F.lit(generation))
         touched = pages.select(*keys).distinct().toArrow()  # the snapshots of one command or micro-batch
         self._write("chunks", rows, CHUNKS, {})
         ids = touched.column("resource_id").unique().to_pylist()
