@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, settled
-from .vectors import EXACT_DOUBLE_BITS, best, integer_vectors, matrix, score_bits
+from .vectors import EXACT_DOUBLE_BITS, bits_of, integer_vectors, largest, leaders, matrix
 
 K, SCALE = 5, 256
 #: Rows of a block of candidates and of a block of queries, on average.
@@ -32,39 +32,57 @@ class SortedLists:
     """The sorted lists of one block of candidates."""
 
     def __init__(self, values: np.ndarray):
-        self.values, self.exact = values, values.astype(float)
+        n = len(values)
+        self.values, self.exact, self.most = values, values.astype(float), largest(values)
         self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
         self.sorted = np.take_along_axis(self.exact.T, self.order, axis=1)
+        self.depths = np.unique(np.append(np.arange(0, n, max(1, -(-n // STEPS)))[1:], n))
+        self.tops, self.bottoms = self.sorted[:, n - self.depths], self.sorted[:, self.depths - 1]  # the places reached by then
+
+    def scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The exact scores of rows."""
+        if bits_of(largest(query), self.most, len(query)) <= EXACT_DOUBLE_BITS:
+            return (self.exact @ query.astype(float))[rows].astype(np.int64)
+        return self.values[rows] @ query
+
+    def _read(self, q: np.ndarray, begin: int, end: int, given: np.ndarray) -> np.ndarray:
+        """For each row the sum, over the lists that have it between two depths, of what it adds beyond given."""
+        n, total = len(self.values), np.zeros(len(self.values))
+        for of, at in ((np.flatnonzero(q > 0), slice(n - end, n - begin)), (np.flatnonzero(q < 0), slice(begin, end))):
+            if len(of):
+                total += np.bincount(self.order[of, at].ravel(), (q[of, None] * self.sorted[of, at] - given[of, None]).ravel(), n)
+        return total
 
     def search(self, query: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, int]:
         """The rows that may be among the k best of those with a score of floor at least (a few more may be in it), and
-        how many entries of the lists were read."""
+        how many entries of the lists were read.
+
+        A row's bounds are the sum of what all lists can still add, the least or the most, and of what the lists that have
+        been read as far as the row add beyond that. Where floor is given, the places reached tell the depth to read to.
+        """
         n, dim = self.values.shape
         q = query.astype(float)
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
         # where sums are beyond what doubles hold, bounds have some room
-        room = 0.0 if score_bits(query[None], self.values) <= EXACT_DOUBLE_BITS else 1e-9 * float(np.abs(q).sum() * np.abs(self.exact).max(initial=0))
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        ends = np.zeros(dim)  # the least that a list can add to a row
-        ends[up], ends[down] = q[up] * self.sorted[up, 0], q[down] * self.sorted[down, -1]
-        total, seen = np.zeros(n), np.zeros((n, dim), bool)
-        seen[:, q == 0] = True
-        depth, step = 0, max(1, -(-n // STEPS))
-        while depth < n:
-            to = min(n, depth + step)
-            for of, at in ((up, slice(n - to, n - depth)), (down, slice(depth, to))):
-                if len(of):
-                    rows = self.order[of, at]
-                    total += np.bincount(rows.ravel(), (q[of, None] * self.sorted[of, at]).ravel(), n)
-                    seen[rows, of[:, None]] = True
-            depth = to
-            reached = np.zeros(dim)  # the most that a list can add to a row not yet met in it
-            reached[up], reached[down] = q[up] * self.sorted[up, n - depth], q[down] * self.sorted[down, depth - 1]
-            known = floor
-            if known == -np.inf and k <= n:
-                known = np.partition(total + ~seen @ ends, n - k)[n - k]
-            if reached.sum() + room < known - room:  # no row outside can qualify
-                return np.flatnonzero(total + ~seen @ reached + room >= known - room), depth * (len(up) + len(down))
-        return np.arange(n), n * (len(up) + len(down))  # read to the end
+        room = 0.0 if bits_of(largest(q), self.most, dim) <= EXACT_DOUBLE_BITS else 1e-9 * float(np.abs(q).sum() * self.most)
+        reach = up @ self.tops + down @ self.bottoms  # the most that a row met in no list can have, by depth
+        stop, known = None, floor
+        if floor > -np.inf:
+            stop = next(iter(np.flatnonzero(reach + room < floor - room)), None)
+        elif k <= n:
+            ends = up * self.sorted[:, 0] + down * self.sorted[:, -1]  # the least that a list can add to a row
+            low, depth = np.full(n, ends.sum()), 0
+            for step, to in enumerate(self.depths):
+                low += self._read(q, depth, to, ends)
+                known, depth = np.partition(low, n - k)[n - k], to
+                if reach[step] + room < known - room:  # no row outside can qualify
+                    stop = step
+                    break
+        lists = np.count_nonzero(q)
+        if stop is None:  # read to the end
+            return np.arange(n), n * lists
+        most = reach[stop] + self._read(q, 0, self.depths[stop], up * self.tops[:, stop] + down * self.bottoms[:, stop])
+        return np.flatnonzero(most + room >= known - room), int(self.depths[stop]) * lists
 
 
 def top_k(rows: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -89,15 +107,19 @@ def top_k(rows: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id",
         floors = left.column("least").cast(pa.float64()).to_numpy(zero_copy_only=False)
         at, found, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if len(q) and len(v):
-            score_bits(q, v)
             lists, (held, times) = SortedLists(v), np.unique(ids, return_counts=True)
             place = np.minimum(np.searchsorted(held, own), len(held) - 1)
             copies = np.where(held[place] == own, times[place], 0)  # rows of a query's own id, which take places, too
             for i, query in enumerate(q):
                 floor = -np.inf if np.isnan(floors[i]) else floors[i]
                 near, _ = lists.search(query, k + int(copies[i]), floor)
-                exact = v[near] @ query
-                _, j = best(exact[None], ((ids[near] != own[i]) & (exact >= floor if floor > -np.inf else True))[None], ids[near], k)
+                exact = lists.scores(query, near)
+                fit = (ids[near] != own[i]) & (exact >= floor if floor > -np.inf else True)
+                near, exact = near[fit], exact[fit]
+                if len(near) > 8 * k:
+                    fit = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
+                    near, exact = near[fit], exact[fit]
+                j = leaders(np.zeros(len(near), np.int64), exact, ids[near], k)
                 at.append(np.full(len(j), i)), found.append(ids[near[j]]), scores.append(exact[j])
         at = np.concatenate(at)
         return pa.table({"query_row": left.column("query_row").to_numpy()[at], "query_id": own[at], "vec_id": np.concatenate(found), "score": np.concatenate(scores)})

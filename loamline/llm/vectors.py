@@ -35,15 +35,24 @@ def matrix(table: pa.Table, dim: int, column: str = "v") -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(table.num_rows, dim)
 
 
-def score_bits(a: np.ndarray, b: np.ndarray) -> float:
-    """A bound of the bits of any partial sum of an inner product of a row of a and one of b; above SCORE_BITS an error."""
-    most = lambda m: float(np.abs(m.astype(float)).max(initial=0))
-    bits = np.log2(max(1.0, most(a) * most(b) * max(1, a.shape[1])))
+def largest(a: np.ndarray) -> float:
+    """The largest magnitude of a component."""
+    return float(np.abs(a.astype(float)).max(initial=0))
+
+
+def bits_of(a: float, b: float, dim: int) -> float:
+    """A bound of the bits of any partial sum of an inner product of vectors with such components; above SCORE_BITS an error."""
+    bits = np.log2(max(1.0, a * b * max(1, dim)))
     if bits > SCORE_BITS:
         raise ValueError("inner products of these vectors may not fit in 64 bits; take a smaller scale")
     return float(bits)
 
 
+def score_bits(a: np.ndarray, b: np.ndarray) -> float:
+    """bits_of the rows of a and b."""
+    return bits_of(largest(a), largest(b), a.shape[1])
+
+
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All exact inner products of the rows of a and b, as int64."""
     if score_bits(a, b) <= EXACT_DOUBLE_BITS:  # then every partial sum is exact in doubles
@@ -60,7 +69,12 @@ def best(scores: np.ndarray, eligible: np.ndarray, ids: np.ndarray, k: int) -> t
     k = min(k, masked.shape[1])
     kth = np.partition(masked, masked.shape[1] - k, axis=1)[:, masked.shape[1] - k]
     i, j = np.nonzero((masked >= kth[:, None]) & (masked > least))  # k a row, and ties of the last
-    order = np.lexsort((ids[j], -masked[i, j], i))
-    i, j = i[order], j[order]
-    nth = np.arange(len(i)) - np.searchsorted(i, i, "left")
-    return i[nth < k], j[nth < k]
+    first = leaders(i, masked[i, j], ids[j], k)
+    return i[first], j[first]
+
+
+def leaders(of: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best entries of each value of of, the best first; ties go to the smaller id, then either way."""
+    order = np.lexsort((ids, -scores, of))
+    of = of[order]
+    return order[np.arange(len(of)) - np.searchsorted(of, of, "left") < k]

@@ -167,3 +167,19 @@ def test_ring_hashes_are_those_of_whole_runs():
     words = words_of("One, two-three ÄÖ four 5".encode())
     want = [zlib.crc32(b" ".join(words[i : j + 1])) for j in range(len(words)) for i in range(max(0, j - 3), j + 1)]
     assert list(ring_hashes(words, 4)) == want and list(ring_hashes(words, 1)) == [zlib.crc32(w) for w in words]
+
+
+def test_a_known_floor_reads_the_lists_once_and_bounds_are_tight():
+    rng = np.random.default_rng(9)
+    values = rng.integers(-300, 300, size=(500, 8))
+    lists, reads = SortedLists(values), []
+    plain = lists._read
+    lists._read = lambda q, begin, end, given: reads.append((begin, end)) or plain(q, begin, end, given)
+    for query in rng.integers(-50, 50, size=(20, 8)):
+        scores = values @ query
+        near, _ = lists.search(query, 5, float(np.sort(scores)[-5]))
+        assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(near)
+        assert lists.scores(query, near).tolist() == scores[near].tolist()
+    assert len(reads) <= 20 and all(begin == 0 for begin, _ in reads)
+    huge = SortedLists(values << 36)  # beyond what doubles hold
+    assert huge.scores(values[0], np.arange(500)).tolist() == ((values << 36) @ values[0]).tolist()
