@@ -4,13 +4,14 @@ Inner products become distances: a candidate x gets one more component, sqrt(M^2
 norm, an anchor a zero; then |q - x|^2 = |q|^2 + M^2 - 2 q.x, so the highest scores are the nearest neighbours.
 
 A bounded sample of candidates are the pivots; anchors and candidates belong to the cell of their nearest pivot. Anchors
-first meet their own cell's candidates, which gives each a bound; a cell's anchors have a range of distances to the pivot
-and a range of distances that they still need. A candidate is then copied to just those cells of anchors whose ranges its
-own distance to their pivot can meet by the triangle inequality, and every cell is joined exactly. This runs twice: for the
-positives, and for the windows below the positives' scores.
-
-A cell's anchors and the candidates it gets are dealt into blocks of bounded sizes, so a cell with a third of all rows is
-many tasks, each of which returns a few rows for each anchor.
+first meet their own cell's candidates, which gives each a bound, and so a range of distances that it still needs; a cell's
+candidates have a range of distances to the pivot. An anchor is then copied to just those other cells whose ranges its own
+distance to their pivot can meet by the triangle inequality, and every cell is joined exactly. Anchors travel, as they are
+the smaller side; a candidate is in its own cell alone. This runs twice: for the positives, and for the windows below the
+positives' scores.
+
+A cell's candidates and the anchors it gets are dealt into blocks of bounded sizes, so a cell with a third of all rows is
+many tasks, each of which holds SCORES scores at once and returns a few rows for each anchor.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, settled
-from .vectors import best, inner, integer_vectors, matrix
+from .vectors import best, inner, integer_vectors, leaders, matrix
 
 POSITIVES, NEGATIVES, LEAST, MOST, SCALE = 5, 3, 50, 95, 256
 #: Rows of a block of candidates and of a block of anchors, on average.
-BLOCK_ROWS, ANCHOR_ROWS = 4096, 1024
-#: A pivot for so many anchors, and never more than MOST_PIVOTS: a candidate is copied once to each cell it may serve.
+BLOCK_ROWS, ANCHOR_ROWS = 4096, 16_384
+#: Scores of a block of anchors and one of candidates that a task computes at once.
+SCORES = 1 << 20
+#: A pivot for so many anchors, and never more than MOST_PIVOTS.
 PIVOT_ANCHORS, MOST_PIVOTS, MOST_TASKS = 256, 256, 20_000
 
 
@@ -47,40 +50,42 @@ class Cells:
         return np.sqrt(np.maximum(square, 0))
 
 
-def _candidates_of(cells: Cells, dim: int, needs: list[tuple[int, float, float, float, float]] | None) -> Callable:
-    """For mapInArrow over row, id, label and v: the cells that a candidate goes to. needs: for each cell with anchors the
-    least and the largest distance of its anchors to the pivot, and the least and the largest distance to a candidate that
-    they need; a candidate's own cell is left out then. None: its own cell alone."""
+def _placed(cells: Cells, dim: int, anchors: bool) -> Callable:
+    """For mapInArrow over rows with v: the cell of the nearest pivot and the distance to it."""
 
     def run(batches):
         for b in batches:
-            table = pa.Table.from_batches([b])
-            d = cells.distances(matrix(table, dim), False)
-            home = d.argmin(1)
-            if needs is None:
-                i, c = np.arange(len(d)), home
-            else:
-                goes = np.zeros(d.shape, bool)
-                slack = 1e-5 * np.sqrt(cells.longest) + 1e-5  # far more than distances are rounded by
-                for cell, nearest, farthest, near, far in needs:
-                    at = d[:, cell]
-                    goes[:, cell] = (np.maximum(at - farthest, nearest - at) <= far + slack) & (at + farthest >= near - slack)
-                goes[np.arange(len(d)), home] = False
-                i, c = np.nonzero(goes)
-            yield pa.RecordBatch.from_arrays([*(x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in table.take(pa.array(i)).columns), pa.array(c, pa.int32())], [*b.schema.names, "cell"])
+            d = cells.distances(matrix(pa.Table.from_batches([b]), dim), anchors)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1) if len(d) else np.empty(0), pa.float64())], [*b.schema.names, "cell", "away"])
 
     return run
 
 
-def _anchor_cells(cells: Cells, dim: int) -> Callable:
+def _elsewhere(cells: Cells, dim: int, held: list[tuple[int, float, float]]) -> Callable:
+    """For mapInArrow over anchors with v, cell, near and far, the least and the largest distance to a candidate that each
+    needs: the other cells that may have one, as a list beside the anchor. held: for each cell with candidates the least and
+    the largest of their distances to the pivot."""
+    cell, nearest, farthest = (np.array([h[k] for h in held]) for k in range(3))
+    slack = 1e-5 * np.sqrt(cells.longest) + 1e-5  # far more than distances are rounded by
+
     def run(batches):
         for b in batches:
-            d = cells.distances(matrix(pa.Table.from_batches([b]), dim), True)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1) if len(d) else np.empty(0), pa.float64())], [*b.schema.names, "cell", "away"])
+            near, far = (b.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("near", "far"))
+            at = cells.distances(matrix(pa.Table.from_batches([b]), dim), True)[:, cell]
+            goes = (np.maximum(at - farthest, nearest - at) <= far + slack) & (at + farthest >= near - slack)
+            goes &= cell != b.column("cell").to_numpy()[:, None]
+            ends = np.append(0, np.cumsum(goes.sum(1))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(cell[np.nonzero(goes)[1]], pa.int32()))], [*b.schema.names, "cells"])
 
     return run
 
 
+def _slices(left: pa.Table, right: pa.Table) -> list[slice]:
+    """The rows of left in slices that have SCORES scores with right, at most; one row at least."""
+    step = max(1, SCORES // max(1, right.num_rows))
+    return [slice(i, i + step) for i in range(0, left.num_rows, step)] if right.num_rows else []
+
+
 def _result(left: pa.Table, right: pa.Table, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
     """parts: for the nth wanted thing of each anchor the rows of left and right that meet, and their scores."""
     cat = lambda k: np.concatenate([np.empty(0, np.int64), *[p[k] for p in parts]])
@@ -90,28 +95,52 @@ def _result(left: pa.Table, right: pa.Table, parts: list[tuple[int, np.ndarray,
 
 
 def _same_label(dim: int, k: int) -> Callable:
-    """The k best candidates of the anchors' label, for a group of one label."""
+    """The k best candidates of the anchors' label with a score of least at least, for a group of one label."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, scores = right.column("id").to_numpy(), inner(matrix(left, dim), matrix(right, dim))
-        i, j = best(scores, left.column("id").to_numpy()[:, None] != ids, ids, k)
-        return _result(left, right, [(0, i, j, scores[i, j])])
+        ids, own, least = right.column("id").to_numpy(), left.column("id").to_numpy(), left.column("least").to_numpy()
+        a, b, parts = matrix(left, dim), matrix(right, dim), []
+        for at in _slices(left, right):
+            scores = inner(a[at], b)
+            i, j = _best_of(scores, (own[at, None] != ids) & (scores >= least[at, None]), ids, k)
+            parts.append((0, i + at.start, j, scores[i, j]))
+        return _result(left, right, parts)
 
     return run
 
 
+def _best_of(scores: np.ndarray, eligible: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """best(), by sorting the eligible entries alone where they are few."""
+    if np.count_nonzero(eligible) > scores.size // 16:
+        return best(scores, eligible, ids, k)
+    i, j = np.nonzero(eligible)
+    first = leaders(i, scores[i, j], ids[j], k)
+    return i[first], j[first]
+
+
 def _windows(dim: int, wanted: int, k: int) -> Callable:
     """For each of the wanted windows of an anchor the k best candidates of other labels whose score is in it."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, scores = right.column("id").to_numpy(), inner(matrix(left, dim), matrix(right, dim))
+        ids, own = right.column("id").to_numpy(), left.column("id").to_numpy()
         codes = pa.concat_tables([left.select(["label"]), right.select(["label"])]).column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-        others = (codes[: len(scores), None] != codes[len(scores) :]) & (left.column("id").to_numpy()[:, None] != ids)
+        mine, theirs = codes[: left.num_rows], codes[left.num_rows :]
+        a, b, parts = matrix(left, dim), matrix(right, dim), []
         low, high = (matrix(left, wanted, c) for c in ("low", "high"))
-        parts = []
-        for w in range(wanted):
-            i, j = best(scores, others & (scores >= low[:, w, None]) & (scores <= high[:, w, None]), ids, k)
-            parts.append((w, i, j, scores[i, j]))
+        for at in _slices(left, right):
+            scores = inner(a[at], b)
+            some = (scores >= low[at].min(1)[:, None]) & (scores <= high[at].max(1)[:, None]) & (mine[at, None] != theirs) & (own[at, None] != ids)
+            if np.count_nonzero(some) > scores.size // 16:
+                for w in range(wanted):
+                    i, j = _best_of(scores, some & (scores >= low[at, w, None]) & (scores <= high[at, w, None]), ids, k)
+                    parts.append((w, i + at.start, j, scores[i, j]))
+                continue
+            i, j = np.nonzero(some)
+            s = scores[i, j]
+            for w in range(wanted):
+                fit = np.flatnonzero((s >= low[at][i, w]) & (s <= high[at][i, w]))
+                fit = fit[leaders(i[fit], s[fit], ids[j[fit]], k)]
+                parts.append((w, i[fit] + at.start, j[fit], s[fit]))
         return _result(left, right, parts)
 
     return run
@@ -143,47 +172,48 @@ def hard_negatives(
 
     kind = table.schema["label"].dataType.simpleString()
     columns = f"row long, id long, label {kind}, v array<long>"
-    seeking = table.filter("asks").select("row", "id", "label", "v")
-    asked = settled(seeking.mapInArrow(_anchor_cells(cells, dim), f"{columns}, cell int, away double").withColumn("square", square))
-    others = table.select("row", "id", "label", "v")
-    placed = lambda needs: others.mapInArrow(_candidates_of(cells, dim, needs), f"{columns}, cell int")
-    held = {r["cell"]: r for r in asked.groupBy("cell").agg(F.count("*").alias("n"), F.min("away").alias("nearest"), F.max("away").alias("farthest")).collect()}  # a row a pivot at most
-    near_by = {r["cell"]: r["n"] for r in placed(None).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    if not held:
+    placed = lambda rows, anchors: settled(rows.select("row", "id", "label", "v").mapInArrow(_placed(cells, dim, anchors), f"{columns}, cell int, away double"))
+    asked = placed(table.filter("asks"), True).withColumn("square", square)
+    others = placed(table, False)
+    held = others.groupBy("cell").agg(F.count("*").alias("n"), F.min("away").alias("nearest"), F.max("away").alias("farthest")).collect()  # a row a pivot at most
+    if not asking:
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     number = lambda of: F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for kv in of.items() for x in kv]), F.col("cell")), F.lit(1))
-    parts = {c: -(-r["n"] // anchor_rows) for c, r in held.items()}
+    blocks = {r["cell"]: -(-r["n"] // block_rows) for r in held}
+    at_home = {r["cell"]: -(-r["n"] // anchor_rows) for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # likewise
+    abroad = dict.fromkeys(blocks, -(-asking // anchor_rows))
 
-    def meet(left: DataFrame, right: DataFrame, blocks: dict[int, int], by: list[str], local: Callable) -> DataFrame:
-        """Joins the anchors of each cell with the candidates that have come to it, a block of each at a time."""
+    def meet(left: DataFrame, parts: dict[int, int], by: list[str], local: Callable) -> DataFrame:
+        """Joins the anchors that have come to each cell with its candidates, a block of each at a time."""
         keys = ["cell", "part", "block", *by]
         deal = lambda into: F.pmod(F.xxhash64("row"), into).cast("int")
         every = lambda of: F.explode(F.sequence(F.lit(0), number(of) - 1))
         left = left.withColumn("part", deal(number(parts))).withColumn("block", every(blocks))
-        right = right.filter(F.col("cell").isin(list(held))).withColumn("block", deal(number(blocks))).withColumn("part", every(parts))
-        tasks = max(partitions(spark), min(MOST_TASKS, sum(blocks.get(c, 1) * parts[c] for c in held)))
+        right = others.select("row", "id", "label", "v", "cell").filter(F.col("cell").isin(list(parts))).withColumn("block", deal(number(blocks))).withColumn("part", every(parts))
+        tasks = max(partitions(spark), min(MOST_TASKS, sum(blocks.get(c, 1) * n for c, n in parts.items())))
         left, right = (d.repartition(tasks, *keys).groupBy(*keys) for d in (left, right))
         return left.cogroup(right).applyInArrow(local, "row long, nth int, other long, score long")
 
-    at_home = {c: max(1, -(-near_by.get(c, 0) // block_rows)) for c in held}
-    abroad = {c: max(1, -(-n // block_rows)) for c in held}
-
-    def needs(ranges: DataFrame) -> list[tuple[int, float, float, float, float]]:
-        """ranges: row, low and high, the scores that an anchor still needs."""
-        to = lambda s: F.sqrt(F.greatest(F.col("square") + longest - 2 * F.col(s), F.lit(0.0)))
-        got = asked.join(ranges, "row").groupBy("cell").agg(F.min(to("high")).alias("near"), F.max(to("low")).alias("far")).collect()  # a row a pivot at most
-        return [(r["cell"], held[r["cell"]]["nearest"], held[r["cell"]]["farthest"], r["near"], r["far"]) for r in got]
+    def elsewhere(left: DataFrame, low: Column, high: Column) -> DataFrame:
+        """The anchors in left, each in the other cells that may have scores from low to high, what it still needs."""
+        to = lambda s: F.sqrt(F.greatest(F.col("square") + longest - 2 * s, F.lit(0.0)))
+        given = left.withColumn("near", to(high)).withColumn("far", to(low))
+        shape = ", ".join(f"`{c}` {t}" for c, t in given.dtypes)
+        gone = given.mapInArrow(_elsewhere(cells, dim, [(r["cell"], r["nearest"], r["farthest"]) for r in held]), f"{shape}, cells array<int>")
+        return gone.withColumn("cell", F.explode("cells")).drop("cells", "near", "far")
 
     def first(found: DataFrame, k: int) -> DataFrame:
         order = Window.partitionBy("row", "nth").orderBy(F.desc("score"), "other")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     # the positives: what an anchor has found at home bounds what it needs from elsewhere; scores have no upper end
-    ends = F.sqrt(F.col("square") * longest)
-    home = settled(meet(asked, placed(None), at_home, ["label"], _same_label(dim, positives)))
+    none = F.lit(int(np.iinfo(np.int64).min)).alias("least")
+    same = _same_label(dim, positives)
+    home = settled(meet(asked.select("*", none), at_home, ["label"], same))
     bound = home.groupBy("row").agg(F.when(F.count("*") >= positives, F.min("score")).alias("kth"))
-    ranges = asked.select("row", ends.alias("high")).join(bound, "row", "left").select("row", F.coalesce(F.col("kth").cast("double"), -F.col("high")).alias("low"), "high")
-    away = meet(asked, placed(needs(ranges)), abroad, ["label"], _same_label(dim, positives))
+    ends = F.sqrt(F.col("square") * longest)
+    bounded = asked.join(bound, "row", "left").withColumn("least", F.coalesce("kth", none))
+    away = meet(elsewhere(bounded, F.coalesce(F.col("kth").cast("double"), -ends), ends), abroad, ["label"], same)
     chosen = settled(first(home.unionByName(away), positives).withColumn("nth", F.col("rank") - 1).select("row", "nth", F.col("other").alias("positive_id"), F.col("score").alias("positive_score")))
 
     # the negatives: a window below each positive; one that is empty asks for nothing
@@ -199,10 +229,11 @@ def hard_negatives(
 
     integers = chosen.select("row", "nth", low.cast("long").alias("low"), high.cast("long").alias("high")).filter("low <= high")
     local = _windows(dim, positives, negatives)
-    home = settled(meet(windows(integers), placed(None), at_home, [], local))
+    home = settled(meet(windows(integers), at_home, [], local))
     bound = home.groupBy("row", "nth").agg(F.when(F.count("*") >= negatives, F.min("score")).alias("kth"))
     left = settled(integers.join(bound, ["row", "nth"], "left").select("row", "nth", F.greatest("low", F.coalesce("kth", "low")).alias("low"), "high"))
-    away = meet(windows(left), placed(needs(left.groupBy("row").agg(F.min("low").alias("low"), F.max("high").alias("high")))), abroad, [], local)
+    wide = left.groupBy("row").agg(F.min("low").cast("double").alias("least"), F.max("high").cast("double").alias("most"))
+    away = meet(elsewhere(windows(left).join(wide, "row"), F.col("least"), F.col("most")), abroad, [], local)
     found = first(home.unionByName(away), negatives).select("row", "nth", "rank", F.col("other").alias("negative_id"), F.col("score").alias("negative_score"))
     ids = asked.select("row", F.col("id").alias("anchor_id"))
     return found.join(chosen, ["row", "nth"]).join(ids, "row").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -183,3 +183,19 @@ def test_a_known_floor_reads_the_lists_once_and_bounds_are_tight():
     assert len(reads) <= 20 and all(begin == 0 for begin, _ in reads)
     huge = SortedLists(values << 36)  # beyond what doubles hold
     assert huge.scores(values[0], np.arange(500)).tolist() == ((values << 36) @ values[0]).tolist()
+
+
+def test_anchors_travel_and_no_task_holds_more_than_bounded_scores(spark, monkeypatch):
+    """A candidate is placed once, in its own cell; however many cells there are, its vector is not copied to them."""
+    from loamline.llm import hard_negatives as module
+
+    rows, seen = vectors(300), []
+    plain = module.settled
+    monkeypatch.setattr(module, "settled", lambda df: seen.append(plain(df)) or seen[-1])
+    got = hard_negatives(table(spark, rows), F.col("vec_id") % 10 == 0, pivot_anchors=1)
+    assert Counter(map(tuple, got.collect())) == plain_negatives(rows, lambda i: i % 10 == 0)
+    copies = [df.count() for df in seen if "v" in df.columns]
+    assert sum(copies) == len(rows) + sum(1 for r in rows if r[0] % 10 == 0)
+    left, right = (module.pa.table({"x": list(range(n))}) for n in (5000, 4096))
+    held = module._slices(left, right)
+    assert held[0].start == 0 and all((s.stop - s.start) * 4096 <= module.SCORES for s in held) and held[-1].stop >= 5000
