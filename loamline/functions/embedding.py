@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values of the embedding contract.
 PASSAGE, QUERY, BATCH = "passage: ", "query: ", 64
+#: Vectors or their bytes that a worker holds at once.
+PART = 1024
 OFF = ("0", "false", "off", "no")
 
 
@@ -45,37 +47,62 @@ def enabled(setting: str | None) -> bool:
     return setting not in OFF
 
 
+def vectors_of(texts: pa.Array, embedder: Embedder) -> pa.Array:
+    """list<float> of each passage; null for a null text. Vectors stay in arrays and never become Python lists."""
+    given = texts.drop_null().to_pylist()
+    made = embedder.embed([PASSAGE + t for t in given]).astype(np.float32) if given else np.zeros((0, 0), np.float32)
+    valid = texts.is_valid().to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(valid * made.shape[1])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(made.ravel()), mask=pa.array(~valid))
+
+
 def passage_vectors(text: Column, embedder: Embedder) -> Column:
-    """array<float> of each passage, BATCH passages at a time; null for a null text."""
+    """array<float> of each passage; null for a null text. A worker embeds BATCH passages and hands them on, whatever the size
+    of the batches that it gets."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            given = texts[texts.notna()]
-            made: list[list[float]] = []
-            for at in range(0, len(given), BATCH):
-                made += embedder.embed([PASSAGE + t for t in given.iloc[at : at + BATCH]]).astype(np.float32).tolist()
-            yield pd.Series(made, index=given.index, dtype=object).reindex(texts.index).where(texts.notna(), None)
+            for at in range(0, len(texts), BATCH):
+                yield vectors_of(texts.slice(at, BATCH), embedder)
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "array<float>")(text)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<float>")(text)
 
 
 def query_vector(question: str, embedder: Embedder) -> list[float]:
     return embedder.embed([QUERY + question])[0].astype(np.float32).tolist()
 
 
-def _pack(vectors: pd.Series) -> pd.Series:
-    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+def _pack(vectors: pa.Array) -> pa.Array:
+    flat = vectors.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False).astype("<f4")
+    ends = np.append(0, np.cumsum(vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    valid = vectors.is_valid().to_pylist()
+    return pa.array([flat[i:j].tobytes() if v else None for i, j, v in zip(ends, ends[1:], valid, strict=False)], pa.binary())
+
+
+def _unpack(blobs: pa.Array) -> pa.Array:
+    made = [None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4") for b in blobs.to_pylist()]
+    ends = np.append(0, np.cumsum([0 if m is None else len(m) for m in made])).astype(np.int32)
+    flat = np.concatenate([np.empty(0, "<f4"), *[m for m in made if m is not None]])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float32()), mask=blobs.is_null())
+
+
+def _in_parts(kind: str, local: Callable[[pa.Array], pa.Array], x: Column) -> Column:
+    """local over PART rows at a time."""
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            for at in range(0, len(values), PART):
+                yield local(values.slice(at, PART))
 
-def _unpack(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4").tolist())
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)(x)
 
 
 def to_bytes(vector: Column) -> Column:
     """Little-endian 32-bit floats, one after another."""
-    return F.pandas_udf(_pack, "binary")(vector)
+    return _in_parts("binary", _pack, vector)
 
 
 def from_bytes(blob: Column) -> Column:
-    return F.pandas_udf(_unpack, "array<float>")(blob)
+    return _in_parts("array<float>", _unpack, blob)
