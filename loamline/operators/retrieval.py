@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_lower, index_tokens, token_estimate, tokenize_query
 from ..functions.urls import is_llms_txt
 from .checkpoints import stored
-from .inverted import K1, LEAST_IDF, B, bm25_top, invert
+from .inverted import K1, LEAST_IDF, B, bm25_top
 
 #: Fixed values of the retrieval contract.
 TOP_K, BUDGET, RRF_K, PRIOR, ANCHORS, CONTEXT = 5, 20_000, 60, 0.002, 3, 2
@@ -43,42 +43,68 @@ def read_question(question: str, spark) -> tuple[list[str], list[list[str]]]:
     return list(got["t"]), _distinct(got["p"])
 
 
-def phrase_counts(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """chunk_key, d, phrase and tf of every chunk (chunk_key, tokens) with a phrase.
+def phrase_frequencies(rows: DataFrame, phrases: list[list[str]], head: str | None = None, times: int = 1) -> DataFrame:
+    """rows with d, the number of tokens, and tf, how often each phrase is among them, in the place of tokens.
 
-    One pass over each row's tokens keeps the few that are a phrase of one word; a longer phrase is looked for only in
-    rows that have all its words.
+    head: a column of tokens that come before; times: how often tokens come after each other (a packed chunk is searched
+    by its text twice). One pass over each row's tokens keeps the few that are a phrase's word; a longer phrase is looked
+    for only in rows that have all its words, where the repetition is written out, as it may begin in one and end in the next.
     """
-    singles, several = [p[0] for p in phrases if len(p) == 1], [p for p in phrases if len(p) > 1]
+    kept = [c for c in rows.columns if c not in ("tokens", head)]
+    words = sorted({w for p in phrases for w in p})
+    empty = F.array().cast("array<string>")
+    few = lambda a: F.filter(a, lambda x: x.isin(words)) if words else empty
+    before = F.col(head) if head else empty
+    d = (F.size(head) if head else F.lit(0)) + times * F.size("tokens")
+    once = rows.select(*kept, d.alias("d"), "tokens", before.alias("lm_head"), few("tokens").alias("lm_few"), (few(head) if head else empty).alias("lm_front"))
+    several = [p for p in phrases if len(p) > 1]
+    there = lambda p: reduce(lambda x, y: x & y, [F.array_contains("lm_few", w) | F.array_contains("lm_front", w) for w in dict.fromkeys(p)])
+    if several:
+        whole = F.concat("lm_head", F.flatten(F.array_repeat("tokens", times))) if head or times > 1 else F.col("tokens")
+        once = once.withColumn("lm_whole", F.when(reduce(lambda x, y: x | y, map(there, several)), whole))
 
     def count(phrase: list[str]) -> Column:
-        later = lambda x, i: [(F.get("tokens", i + j) == w) for j, w in enumerate(phrase[1:], 1)]
-        found = F.size(F.filter("tokens", lambda x, i: reduce(lambda p, q: p & q, later(x, i), x == phrase[0])))
-        return F.when(reduce(lambda p, q: p & q, [F.array_contains("tokens", w) for w in dict.fromkeys(phrase)]), found).otherwise(0)
-
-    kept = F.filter("tokens", lambda x: x.isin(singles)) if singles else F.array().cast("array<string>")
-    one = lambda w: F.size("kept") - F.size(F.array_remove("kept", w))
-    counts = {" ".join(p): F.col(f"several.c{k}") for k, p in enumerate(several)} | {w: one(w) for w in singles}
-    every = F.array(*[F.struct(F.lit(p).alias("phrase"), counts[p].alias("tf")) for p in map(" ".join, phrases)])
-    more = F.struct(F.lit(0).alias("none"), *[count(p).alias(f"c{k}") for k, p in enumerate(several)])
-    rows = tokens.select("chunk_key", F.size("tokens").alias("d"), kept.alias("kept"), more.alias("several"))
+        if len(phrase) == 1:
+            n = lambda a: F.size(a) - F.size(F.array_remove(a, phrase[0]))
+            return F.coalesce(n("lm_front") + times * n("lm_few"), F.lit(0))
+        later = lambda x, i: [(F.get("lm_whole", i + j) == w) for j, w in enumerate(phrase[1:], 1)]
+        found = F.size(F.filter("lm_whole", lambda x, i: reduce(lambda p, q: p & q, later(x, i), x == phrase[0])))
+        return F.when(there(phrase), found).otherwise(0)
+
+    return once.select(*kept, "d", F.array(*map(count, phrases)).cast("array<int>").alias("tf"))
+
+
+def phrase_counts(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """chunk_key, d, phrase and tf of every chunk (chunk_key, tokens) with a phrase."""
+    rows = phrase_frequencies(tokens.select("chunk_key", "tokens"), phrases)
+    every = F.array(*[F.struct(F.lit(" ".join(p)).alias("phrase"), F.get("tf", F.lit(i)).alias("tf")) for i, p in enumerate(phrases)])
     return rows.select("chunk_key", "d", F.inline(F.filter(every, lambda c: c.tf > 0)))
 
 
+def bm25_scores(counted: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """The rows of counted (d and tf, of every chunk of the index) that have a phrase, with their score for d and tf.
+
+    Frequencies and the mean length are one row; with it each chunk is scored where it is.
+    """
+    kept = [c for c in counted.columns if c not in ("d", "tf")]
+    if not phrases:
+        return counted.select(*kept, F.lit(0.0).alias("score")).limit(0)
+    tf = [F.get("tf", F.lit(i)) for i in range(len(phrases))]
+    stats = counted.agg(F.count("*").alias("n"), F.avg("d").alias("avgdl"), *[F.count_if(t > 0).alias(f"df{i}") for i, t in enumerate(tf)])
+    raw = [F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) for i in range(len(tf))]
+    weights = stats.select("avgdl", *[F.when(r > 0, r).otherwise(LEAST_IDF).alias(f"idf{i}") for i, r in enumerate(raw)])
+    long = K1 * (1 - B + B * F.col("d") / F.col("avgdl"))
+    parts = [F.col(f"idf{i}") * t * (K1 + 1) / (t + long) for i, t in enumerate(tf)]
+    found = counted.filter(F.exists("tf", lambda t: t > 0)).join(F.broadcast(weights))  # weights: one row
+    return found.select(*kept, F.round(reduce(lambda x, y: x + y, parts), 6).alias("score"))
+
+
 def bm25_of(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """chunk_key and score of every chunk with a phrase, over tokens (chunk_key, tokens) that have no stored index.
+    """The columns of tokens but itself, and score, of every chunk with a phrase, over chunks that have no stored index.
 
     The counts are written once; frequencies and scores both come from them.
     """
-    if not phrases:
-        return tokens.select("chunk_key", F.lit(0.0).alias("score")).limit(0)
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    tf = stored(phrase_counts(tokens, phrases))
-    df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.join(F.broadcast(stats)).withColumn("idf", F.when(raw > 0, raw).otherwise(LEAST_IDF)).select("phrase", "idf", "avgdl")  # stats: one row
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("d") / F.col("avgdl")))
-    return tf.join(F.broadcast(idf), "phrase").groupBy("chunk_key").agg(F.round(F.sum(part), 6).alias("score"))  # idf: a row for each phrase
+    return bm25_scores(stored(phrase_frequencies(tokens, phrases)), phrases)
 
 
 def lexical_hits(blocks: DataFrame, n: int, tokens: int, phrases: list[list[str]], limit: int, allowed: DataFrame | None = None) -> pa.Table:
@@ -234,7 +260,7 @@ def search(
 ) -> DataFrame:
     """Evidence rows for a question over indexed chunks (with tokens and, for a vector, embedding).
 
-    index: their blocks, and stats: the number of chunks and of their tokens; without them the chunks are inverted first.
+    index: their blocks, and stats: the number of chunks and of their tokens; without them the phrases are counted in the chunks.
     allowed: resource_id of what the question may reach. Vectors are scoped before they are ranked; lexical hits after
     the candidate limit, or before it with early. BM25 statistics are always those of the whole index.
 
@@ -242,22 +268,33 @@ def search(
     and the chosen groups (top_k), and names them to the scans that fetch their rows; the rest is lazy.
     """
     limit = candidate_limit(top_k)
+    reach = allowed.select("resource_id").distinct()
     if index is None or stats is None:
-        index = stored(invert(chunks))
-        got = chunks.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
-        stats = (got[0], got[1])
-    spark, reach = chunks.sparkSession, allowed.select("resource_id").distinct()
-    hits = lexical_hits(index, *stats, phrases, limit, reach if early else None)
+        scored = bm25_of(chunks.select("resource_id", "snapshot_id", "chunk_key", "tokens"), phrases)
+        scored = scored.join(reach, "resource_id", "left_semi") if early else scored
+        hits = scored.select("resource_id", "snapshot_id", "chunk_key", "score").orderBy(F.desc("score"), "chunk_key").limit(limit).toArrow()
+    else:
+        hits = lexical_hits(index, *stats, phrases, limit, reach if early else None)
     if not early:
         found = hits.column("resource_id").unique().to_pylist()
         ids = reach.filter(among("resource_id", found)).toArrow().column("resource_id")  # as many as hits, at most
         hits = hits.filter(pc.is_in(hits.column("resource_id"), value_set=ids.combine_chunks()))
-    lexical = numbered(hits, "lexical_rank")
-    of = {c: lexical.column(c).unique().to_pylist() for c in ("resource_id", "snapshot_id", "chunk_key")}
     near = None
     if vector is not None:
         reached = chunks.join(reach, "resource_id", "left_semi")
-        near, also = held(top(cosine_scores(reached.select("resource_id", "snapshot_id", "chunk_key", "embedding"), vector), limit, "vector_rank"))
+        near = top(cosine_scores(reached.select("resource_id", "snapshot_id", "chunk_key", "embedding"), vector), limit, "vector_rank")
+    return evidence_for(numbered(hits, "lexical_rank"), near, chunks, terms, top_k, budget, debug)
+
+
+def evidence_for(lexical: pa.Table, near: DataFrame | None, chunks: DataFrame, terms: list[str], top_k: int = TOP_K, budget: int = BUDGET, debug: bool = False) -> DataFrame:
+    """Evidence rows from the ranked hits of a question (their keys, score and lexical_rank or vector_rank).
+
+    chunks: every chunk of the documents that have a hit, and any others.
+    """
+    spark = chunks.sparkSession
+    of = {c: lexical.column(c).unique().to_pylist() for c in ("resource_id", "snapshot_id", "chunk_key")}
+    if near is not None:
+        near, also = held(near)
         of = {c: sorted({*of[c], *also[c]}) for c in of}
     named = reduce(lambda x, y: x & y, [among(c, v) for c, v in of.items()])  # the partitions that the keys are in, and the keys
     facts = chunks.select("chunk_key", "resource_id", "snapshot_id", "url", "label", "chunk_index", "heading_path", "plain_text").filter(named)

@@ -1,11 +1,15 @@
 """The steps that all retrieval queries share: their results, and that they pass over a chunk's tokens once."""
 
+import math
+import os
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from loamline.functions import text
-from loamline.operators import chunking, retrieval
+from loamline.operators import checkpoints, chunking, retrieval
+from loamline.plans import catalogue
 
 TEXTS = ["", " ", "a", "\u3000 a  b\t\u00a0", "x\n\ny  z \r\n", "\u2028\u1680a\u200ab\u205f", "Caf\u00e9 \u03a3\u03a3  \u03b1\u03a3\n\u0301e", "\x1c a \x1f", "one two", "  lone  spaces are kept "]
 
@@ -46,3 +50,65 @@ def test_phrases_are_counted_in_one_pass(spark):
     words = retrieval.phrase_counts(spark.createDataFrame(tokens, "chunk_key string, tokens array<string>"), [[f"w{i}"] for i in range(13)])
     plan = words._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("filter(tokens#") == 1  # not one pass for each phrase
+
+
+def test_phrases_are_counted_over_head_and_repeated_tokens(spark):
+    rows = [("a", ["x", "by"], ["nc", "x", "by"]), ("b", [], ["nc", "by"]), ("c", ["by"], []), ("d", ["q"], ["x"]), ("e", ["q"], ["q"])]
+    phrases = [["x"], ["by", "nc"], ["x", "x"], ["by"], ["x", "x", "x"]]
+    got = retrieval.phrase_frequencies(spark.createDataFrame(rows, "k string, head array<string>, tokens array<string>"), phrases, "head", 2)
+    assert got.columns == ["k", "d", "tf"]
+    whole = {k: h + t + t for k, h, t in rows}
+    want = {k: (len(w), [sum(w[i : i + len(p)] == p for i in range(len(w))) for p in phrases]) for k, w in whole.items()}
+    assert {r["k"]: (r["d"], r["tf"]) for r in got.collect()} == want
+
+
+def test_scores_of_chunks_equal_the_formula_and_need_a_phrase(spark):
+    rows = [("a", ["x", "y"]), ("b", ["x", "x", "z", "z"]), ("c", ["z"]), ("d", [])]
+    frame = spark.createDataFrame(rows, "chunk_key string, tokens array<string>")
+    got = {r["chunk_key"]: r["score"] for r in retrieval.bm25_of(frame, [["x"], ["y"], ["none"]]).collect()}
+    mean, idf = 7 / 4, {"x": retrieval.LEAST_IDF, "y": math.log(3.5 / 1.5)}
+    part = lambda w, tf, d: idf[w] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * d / mean))
+    assert got == {"a": round(part("x", 1, 2) + part("y", 1, 2), 6), "b": round(part("x", 2, 4), 6)}
+    assert retrieval.bm25_of(frame, []).count() == 0
+    assert retrieval.bm25_of(frame.limit(0), [["x"]]).count() == 0
+
+
+def test_pages_numbered_by_counts_equal_pages_numbered_whole(spark):
+    p = "p" * 1500
+    rows = [("r", "s", "l", i, f"u{i}", [None, "", p, f"{p}\n\n{p}\n\n{p}", "short"][i % 5]) for i in (*range(12), 5000, 9001)]
+    rows += [("q", "s", "l", 3, "v", f"{p}\n\n{p}")]
+    pages = spark.createDataFrame(rows, "resource_id string, snapshot_id string, label string, page_index long, url string, content string")
+    shown = ["chunk_key", "chunk_index", "url", "page_chunk", "content", "plain_text"]
+    want = sorted(tuple(r) for r in chunking.chunk_pages(pages).select(shown).collect())
+    cut = chunking.cut_pages(pages)
+    first = chunking.first_chunks(cut, "page_index")
+    some = pages.join(first, ["resource_id", "snapshot_id", "page_index"])
+    assert sorted(tuple(r) for r in chunking.chunk_pages(some, "first_chunk").select(shown).collect()) == want
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("size(")  # counted below: no chunk carries the others of its page
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("query", [catalogue.bm25_topk, catalogue.scope_pre_limit, catalogue.bm25_stats])
+def test_no_text_or_tokens_of_the_corpus_are_written(spark, monkeypatch, query):
+    """But the chunks of documents with a candidate, which bring the number of their first chunk."""
+    written = []
+
+    def stored(df):
+        written.append((set(df.columns), "first_chunk" in df._jdf.queryExecution().analyzed().toString()))
+        return checkpoints_stored(df)
+
+    checkpoints_stored = checkpoints.stored
+    for module in (checkpoints, chunking, retrieval, catalogue):
+        monkeypatch.setattr(module, "stored", stored)
+    query(spark, "/root/testdata/sf0.001").collect()
+    assert written
+    assert not [c for c, few in written if "tokens" in c or ("content" in c or "lm_chunks" in c) and not few]
+
+
+@pytest.mark.parametrize("limit", [0, 5])
+def test_few_rows_are_marked_for_broadcast_and_more_are_not(spark, limit):
+    few = checkpoints.stored_few(spark.range(3).select(F.col("id").alias("k")), limit)
+    joined = spark.range(10).select(F.col("id").alias("k")).join(few, "k", "left")
+    assert ("broadcast" in joined._jdf.queryExecution().analyzed().toString().lower()) == (limit == 5)
+    assert joined.count() == 10
