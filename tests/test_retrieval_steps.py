@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import text
 from loamline.operators import checkpoints, chunking, retrieval
-from loamline.plans import catalogue
+from loamline.plans import catalogue, lifecycle
 
 TEXTS = ["", " ", "a", "\u3000 a  b\t\u00a0", "x\n\ny  z \r\n", "\u2028\u1680a\u200ab\u205f", "Caf\u00e9 \u03a3\u03a3  \u03b1\u03a3\n\u0301e", "\x1c a \x1f", "one two", "  lone  spaces are kept "]
 
@@ -89,7 +89,7 @@ def test_pages_numbered_by_counts_equal_pages_numbered_whole(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-@pytest.mark.parametrize("query", [catalogue.bm25_topk, catalogue.scope_pre_limit, catalogue.bm25_stats])
+@pytest.mark.parametrize("query", [catalogue.bm25_topk, catalogue.scope_pre_limit, catalogue.bm25_stats, lifecycle.evidence_items])
 def test_no_text_or_tokens_of_the_corpus_are_written(spark, monkeypatch, query):
     """But the chunks of documents with a candidate, which bring the number of their first chunk."""
     written = []
