@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import phrases as phrase_search
 from ..functions.text import ascii_lower, index_tokens, token_estimate, tokenize_query
 from ..functions.urls import is_llms_txt
 from .checkpoints import stored
@@ -74,6 +75,19 @@ def phrase_frequencies(rows: DataFrame, phrases: list[list[str]], head: str | No
     return once.select(*kept, "d", F.array(*map(count, phrases)).cast("array<int>").alias("tf"))
 
 
+def text_frequencies(rows: DataFrame, phrases: list[list[str]], head: str, content: str, times: int = 1) -> DataFrame:
+    """phrase_frequencies of the index tokens of two columns of text, in their place.
+
+    Texts of common letters are counted as they are; tokens are made of the others alone.
+    """
+    kept = [c for c in rows.columns if c not in (head, content)]
+    counted = rows.withColumn("lm_counts", phrase_search.phrase_counts(F.col(head), F.col(content), phrases, times))
+    rest = lambda c: F.when(F.col("lm_counts").isNull(), index_tokens(F.col(c)))
+    others = counted.select(*kept, "lm_counts", rest(head).alias("lm_first_tokens"), rest(content).alias("tokens"))
+    both = phrase_frequencies(others, phrases, "lm_first_tokens", times)
+    return both.select(*kept, *[F.coalesce(f"lm_counts.{c}", c).alias(c) for c in ("d", "tf")])
+
+
 def phrase_counts(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """chunk_key, d, phrase and tf of every chunk (chunk_key, tokens) with a phrase."""
     rows = phrase_frequencies(tokens.select("chunk_key", "tokens"), phrases)

@@ -4,10 +4,12 @@ import math
 import os
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.functions import text
+from loamline.functions import phrases, text
 from loamline.operators import checkpoints, chunking, retrieval
 from loamline.plans import catalogue, lifecycle
 
@@ -62,6 +64,35 @@ def test_phrases_are_counted_over_head_and_repeated_tokens(spark):
     assert {r["k"]: (r["d"], r["tf"]) for r in got.collect()} == want
 
 
+def test_counts_of_texts_equal_those_of_their_tokens(spark):
+    odd = ["by-nc", "BY NC by", "by \u00c9t\u00e9 ETE ete", "\u00b5 \u03bc \u039c", "x\u00b2 \u00bd\u00aa x2", "\u00df ss", "\u0130 i\u0307 i", "by\u2019nc", "\u4e2d by nc", "b\x00y nc", "by\x85nc\xa0by\xadnc", "e\u0301te", "\U0001d44f by nc"]
+    rows = [(i, h, t) for h in ("src1\nhttp://h/by\n", "", None, "\u03a3 x") for i, t in enumerate([*TEXTS, *odd, "".join(map(chr, range(1, 256))), " ".join(map(chr, range(1, 256))), None])]
+    rows += [(1000 + i, "h", "nc x by " * (i % 7)) for i in range(300)]
+    given = spark.createDataFrame(rows, "k int, head string, text string").repartition(3)
+    broken = given.selectExpr("k", "head", "cast(concat(cast(text as binary), X'C320', cast(' by nc' as binary)) as string) AS text")
+    phrases = [["by"], ["by", "nc"], ["x"], ["ete"], ["\u03bc"], ["i"], ["\u4e2d"], ["x\u00b2"], ["\u00bd\u00aa"], ["x", "by", "nc"], ["none"], ["by", "by"]]
+    for table in (given, broken):
+        for some in (phrases, []):
+            tokens = table.select("k", text.index_tokens(F.col("head")).alias("head"), text.index_tokens(F.col("text")).alias("tokens"))
+            want = retrieval.phrase_frequencies(tokens, some, "head", 2)
+            got = retrieval.text_frequencies(table, some, "head", "text", 2)
+            assert got.dtypes == want.dtypes
+            assert Counter((r["k"], r["d"], tuple(r["tf"])) for r in got.collect()) == Counter((r["k"], r["d"], tuple(r["tf"])) for r in want.collect())
+
+
+def test_texts_of_latin_are_counted_without_tokens():
+    texts = pa.array(["The \u00e9t\u00e9", None, "\u4e2d the", "the the"])
+    got = phrases.frequencies(pa.array(["h"] * 4), texts, [["the"], ["the", "the"]], 2).to_pylist()
+    assert got == [{"d": 5, "tf": [2, 0]}, None, None, {"d": 5, "tf": [4, 3]}]
+
+
+def test_letters_are_those_of_the_index(spark):
+    rows = spark.createDataFrame([(i, chr(i)) for i in range(1, 256)], "i int, x string").select("i", text.index_tokens(F.col("x")).alias("t")).collect()
+    table, codes = phrases.letters()
+    back = {i: x for x, i in codes.items()}
+    assert {r["i"]: r["t"] for r in rows} == {i: [back[table[i]]] if table[i] else [] for i in range(1, 256)}
+
+
 def test_scores_of_chunks_equal_the_formula_and_need_a_phrase(spark):
     rows = [("a", ["x", "y"]), ("b", ["x", "x", "z", "z"]), ("c", ["z"]), ("d", [])]
     frame = spark.createDataFrame(rows, "chunk_key string, tokens array<string>")
