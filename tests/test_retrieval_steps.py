@@ -143,3 +143,22 @@ def test_few_rows_are_marked_for_broadcast_and_more_are_not(spark, limit):
     joined = spark.range(10).select(F.col("id").alias("k")).join(few, "k", "left")
     assert ("broadcast" in joined._jdf.queryExecution().analyzed().toString().lower()) == (limit == 5)
     assert joined.count() == 10
+
+
+def test_a_file_of_one_row_group_is_read_into_all_cores(spark, tmp_path):
+    """Cut into as many parts as there are cores, of which all but one are empty."""
+    n = 200_000
+    pq.write_table(pa.table({"k": range(n), "x": [f"{i * 7919:030d}" for i in range(n)]}), tmp_path / "one.parquet", compression="none")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        table = spark.read.parquet(str(tmp_path / "one.parquet"))
+        assert table.rdd.getNumPartitions() >= 4
+        sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert sizes(table) == [n]
+        even = sizes(checkpoints.spread(table, "k"))
+        assert sum(even) == n and len(even) >= 4 and max(even) < n / 3
+        assert checkpoints.spread(table.filter("k < 0"), "k").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    good = spark.range(0, 100, 1, 6)
+    assert checkpoints.spread(good, "id") is good  # what is even stays where it is
