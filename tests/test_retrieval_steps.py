@@ -162,3 +162,11 @@ def test_a_file_of_one_row_group_is_read_into_all_cores(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     good = spark.range(0, 100, 1, 6)
     assert checkpoints.spread(good, "id") is good  # what is even stays where it is
+
+
+@pytest.mark.parametrize("numbered", [chunking.cut_pages, lambda pages: chunking.chunk_pages(pages, "first")])
+def test_each_text_is_cut_once(spark, numbered):
+    """Not again to ask, before all else, whether it has chunks."""
+    pages = spark.createDataFrame([("r", "s", 0, "a")], "resource_id string, snapshot_id string, first int, content string")
+    plan = numbered(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
