@@ -17,6 +17,7 @@ from ..functions import phrases as phrase_search
 from ..functions.text import ascii_lower, index_tokens, token_estimate, tokenize_query
 from ..functions.urls import is_llms_txt
 from .checkpoints import stored
+from .chunking import cut_pages, pack_paragraphs, packed_texts
 from .inverted import K1, LEAST_IDF, B, bm25_top
 
 #: Fixed values of the retrieval contract.
@@ -82,12 +83,32 @@ def text_frequencies(rows: DataFrame, phrases: list[list[str]], head: str, conte
     """
     kept = [c for c in rows.columns if c not in (head, content)]
     counted = rows.withColumn("lm_counts", phrase_search.phrase_counts(F.col(head), F.col(content), phrases, times))
+    return _with_others(counted, kept, phrases, head, content, times)
+
+
+def _with_others(counted: DataFrame, kept: list[str], phrases: list[list[str]], head: str, content: str, times: int) -> DataFrame:
+    """kept, d and tf of counted: its lm_counts, or where that is null the counts of head and content."""
     rest = lambda c: F.when(F.col("lm_counts").isNull(), index_tokens(F.col(c)))
     others = counted.select(*kept, "lm_counts", rest(head).alias("lm_first_tokens"), rest(content).alias("tokens"))
     both = phrase_frequencies(others, phrases, "lm_first_tokens", times)
     return both.select(*kept, *[F.coalesce(f"lm_counts.{c}", c).alias(c) for c in ("d", "tf")])
 
 
+def page_frequencies(pages: DataFrame, phrases: list[list[str]], head: str, times: int = 1) -> DataFrame:
+    """text_frequencies of head and each packed chunk of content, with page_chunks and page_chunk (see chunking.cut_pages).
+
+    Whole texts go to the workers, which cut and count at once; chunks of uncommon letters alone come back as texts. What is no
+    UTF-8 is cut here.
+    """
+    kept = [c for c in pages.columns if c not in (head, "content")]
+    found = pages.withColumn("lm_found", phrase_search.chunk_counts(F.col(head), F.col("content"), phrases, times, packed_texts))
+    none = F.lit(None).cast(phrase_search.COUNTS).alias("counts")
+    left = F.transform(pack_paragraphs(F.when(F.col("lm_found").isNull(), F.col("content"))), lambda t: F.struct(none, t.alias("text")))
+    cut = cut_pages(found.select(*kept, head, F.coalesce("lm_found", left).alias("content")), F.col("content"))
+    counted = cut.select(*[c for c in cut.columns if c != "content"], F.col("content.counts").alias("lm_counts"), F.col("content.text").alias("content"))
+    return _with_others(counted, [*kept, "page_chunks", "page_chunk"], phrases, head, "content", times)
+
+
 def phrase_counts(tokens: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """chunk_key, d, phrase and tf of every chunk (chunk_key, tokens) with a phrase."""
     rows = phrase_frequencies(tokens.select("chunk_key", "tokens"), phrases)
@@ -152,7 +173,7 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     x, y = F.slice(a, 1, n), F.slice(b, 1, n)
     norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return F.when(norm == 0, F.lit(0.0)).otherwise(dot(x, y) / norm)
+    return F.transform(F.array(norm), lambda m: F.when(m == 0, F.lit(0.0)).otherwise(dot(x, y) / m))[0]  # so norms are worked out once
 
 
 def cosine_scores(vectors: DataFrame, query: list[float]) -> DataFrame:

@@ -170,3 +170,45 @@ def test_each_text_is_cut_once(spark, numbered):
     pages = spark.createDataFrame([("r", "s", 0, "a")], "resource_id string, snapshot_id string, first int, content string")
     plan = numbered(pages)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+PAGES = [
+    "", "\n\n", " \n\n\n\n\t", None, "by nc", "by\n\nnc", "\n\n\nby\n\n\n nc \u2003\n\n\x1cx\x1c", "\u00e9t\u00e9 " * 500 + "\n\nby nc\n\n" + "\u00e9" * 1200 + "\n\nx", "x" * 2398 + "\n\ny", "x" * 2397 + "\n\n",
+    "x" * 2395 + "\n\ny", "x" * 2394 + "\n\ny", "by " * 3000 + "\n\nnc", "\n\n".join(f"by nc {i}" * 9 for i in range(200)), "by nc\n\n" + "\u4e2d " * 900 + "\n\nby nc", "\u4e2d\n\nby", "\xa0\n\n\x85by\x85\n\nnc",
+]
+
+
+def test_texts_are_cut_by_workers_as_by_spark(spark):
+    given = spark.createDataFrame([(i, t) for i, t in enumerate(PAGES)], "i int, t string")
+    want = {r["i"]: r["c"] for r in given.select("i", chunking.pack_paragraphs(F.col("t")).alias("c")).collect()}
+    assert {i: None if t is None else chunking.packed_texts(t) for i, t in enumerate(PAGES)} == want
+
+
+def test_counts_of_whole_pages_equal_those_of_their_chunks(spark):
+    rows = [(i, h, t) for i, t in enumerate(PAGES) for h in ("src1\nhttp://h/by\n", None, "\u4e2d by")] + [(1000 + i, "h", f"x by nc {i}\n\n" * (i % 150)) for i in range(300)]
+    given = spark.createDataFrame(rows, "k int, head string, content string").repartition(3)
+    broken = given.selectExpr("k", "head", "cast(concat(cast(content as binary), X'C320', cast(' by nc' as binary)) as string) AS content")
+    for table in (given, broken, given.limit(0)):
+        for some in ([["by"], ["by", "nc"], ["nc", "x"], ["\u4e2d"], ["\u00e9t\u00e9"], ["ete"]], []):
+            want = retrieval.text_frequencies(chunking.cut_pages(table), some, "head", "content", 2)
+            got = retrieval.page_frequencies(table, some, "head", 2)
+            assert sorted(got.dtypes) == sorted(want.dtypes)
+            seen = lambda df: Counter((r["k"], r["page_chunks"], r["page_chunk"], r["d"], tuple(r["tf"])) for r in df.collect())
+            assert seen(got) == seen(want)
+
+
+def test_workers_hold_texts_by_bytes():
+    sizes = [10, phrases.PART_BYTES * 3, 0, phrases.PART_BYTES // 2, phrases.PART_BYTES // 2, None, 7]
+    texts = pa.array([None if n is None else "x" * n for n in [*sizes, *[1] * 5000]])
+    got = list(phrases.parts(texts))
+    assert [i for at, n in got for i in range(at, at + n)] == list(range(len(texts)))
+    assert got[0] == (0, 2) and all(sum(len(t or "") for t in texts.slice(at, n - 1).to_pylist()) < phrases.PART_BYTES for at, n in got)
+    assert not list(phrases.parts(texts.slice(0, 0))) and list(phrases.parts(texts.slice(4, 3))) == [(0, 3)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_texts_go_to_workers_whole(spark, monkeypatch):
+    """Their chunks are made there, and counted at once: Spark deals out counts."""
+    monkeypatch.setattr(catalogue, "stored", lambda df: df)
+    plan = catalogue.corpus_counts(spark, "/root/testdata/sf0.001", [["by"]])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("ArrowEvalPython")
