@@ -6,6 +6,7 @@ any other character gets null, and is left to index_tokens itself.
 
 from __future__ import annotations
 
+import codecs
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -54,15 +55,41 @@ def _texts(texts: pa.Array) -> list[str | None]:
         return [_text(t) for t in texts.cast(pa.binary()).to_pylist()]
 
 
-def _tokens(made: list[bytes | None], words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text of Latin-1 whether there is one, and where its tokens end among all; of each token its word's number, from
-    1 on, or 0."""
-    table, codes = letters()
+def _bounds(made: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of texts of Latin-1 in a row, where each token begins and ends among them, and where each text ends."""
     ends = np.cumsum([1, *[len(t or b"") + 1 for t in made]])[1:]
-    folded = np.frombuffer(b"\n".join([b"", *[t or b"" for t in made], b""]).translate(table), np.uint8)
+    folded = np.frombuffer(b"\n".join([b"", *[t or b"" for t in made], b""]).translate(letters()[0]), np.uint8)
     inside = folded != 0
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # both ends part tokens
-    begin, end = edges[::2], edges[1::2]
+    return folded, edges[::2], edges[1::2], ends
+
+
+def coded_tokens(texts: pa.Array, others: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """Index tokens, each distinct one held once; and of each text where its tokens begin among them, and how many they are.
+
+    others: lists with the tokens of texts that are not of Latin-1, null for those that are.
+    """
+    given = others.is_valid().to_numpy(zero_copy_only=False)
+    folded, begin, end, ends = _bounds([None if g else _latin(t) for t, g in zip(_texts(texts), given, strict=True)])
+    offsets = np.append(0, np.cumsum(end - begin)).astype(np.int32)
+    spelt = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(folded[folded != 0])]).dictionary_encode()
+    words = codecs.charmap_decode(b"\0".join(spelt.dictionary.to_pylist()), "strict", "\0" + "".join(letters()[1]))[0].split("\0") if len(begin) else []
+    both = pa.chunked_array([pa.DictionaryArray.from_arrays(spelt.indices, pa.array(words, pa.string())), others.flatten().dictionary_encode()])
+    size, more = np.diff(np.searchsorted(begin, ends), prepend=0), pc.list_value_length(others).fill_null(0).to_numpy()
+    at = np.where(given, len(begin) + np.cumsum(more) - more, np.cumsum(size) - size)
+    return both.unify_dictionaries().combine_chunks(), at, size + more
+
+
+def beyond_latin(text: Column) -> Column:
+    """Whether text has a character that is not of Latin-1."""
+    return text.rlike("[^\\x00-\\xFF]")
+
+
+def _tokens(made: list[bytes | None], words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text of Latin-1 whether there is one, and where its tokens end among all; of each token its word's number, from
+    1 on, or 0."""
+    codes = letters()[1]
+    folded, begin, end, ends = _bounds(made)
     of = np.zeros(len(begin), np.int16)
     spelt = {i: [codes.get(x) for x in word] for i, word in enumerate(words, 1)}
     spelt = {i: x for i, x in spelt.items() if None not in x}  # no text of Latin-1 has the others
@@ -162,6 +189,19 @@ def parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def chunk_texts(text: Column, cut: Callable[[str], list[str]]) -> Column:
+    """array<string>: the chunks that cut makes of a text; null for a text that is null or no UTF-8. A worker cuts PART_BYTES of
+    texts and hands their chunks on."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for at, n in parts(texts):
+                yield pa.array([None if t is None else cut(t) for t in _texts(texts.slice(at, n))], pa.list_(pa.string()))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<string>")(text)
+
+
 def chunk_counts(head: Column, text: Column, phrases: list[list[str]], times: int, cut: Callable[[str], list[str]]) -> Column:
     """array<struct<counts, text>>: see chunk_frequencies. A worker cuts PART_BYTES of texts and hands their counts on."""
 

@@ -21,14 +21,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.phrases import beyond_latin, coded_tokens
+from ..functions.text import index_tokens
+
 #: Fixed values of the retrieval contract.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Chunk numbers of a range.
 BLOCK = 256
+#: Chunks of a task that makes blocks of texts: what it sorts, first texts and then blocks, fits its memory.
+PART = 16_384
 #: Ranges that are scored first, to find what a chunk has to reach.
 FIRST_RANGES = 16
 RANGE = ["resource_id", "snapshot_id", "block"]
 BLOCKS = "resource_id string, snapshot_id string, block long, term string, n int, impacts array<struct<tf:int,d:int>>, at array<int>, tf array<int>, d array<int>, positions array<array<int>>"
+#: Parquet's second format codes integers as differences, in nested columns, too.
+DELTA = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
 
 
 def _largest(block: np.ndarray, tf: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -67,7 +74,7 @@ def invert_range(chunks: pa.Table) -> pa.Table:
     best = best[np.argsort(number[best], kind="stable")]
     impacts = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(number[best], minlength=len(first)))).astype(np.int32), pa.StructArray.from_arrays([pa.array(tf[best]), pa.array(d[best])], ["tf", "d"]))
     positions = pa.ListArray.from_arrays(blocks, pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(place, pa.int32())))
-    out = {c: pa.array([chunks.column(c)[0].as_py()] * len(first)) for c in RANGE}
+    out = {c: pa.array([chunks.column(c)[0].as_py()] * len(first), chunks.column(c).type) for c in RANGE}
     return pa.table(out | {"term": coded.dictionary.take(pa.array(term[first])), "n": pa.array(np.diff(blocks), pa.int32()), "impacts": impacts, "at": lists(index[of] - base), "tf": lists(tf), "d": lists(d), "positions": positions})
 
 
@@ -80,13 +87,55 @@ def invert(chunks: DataFrame) -> DataFrame:
     return rows.filter(F.size("tokens") > 0).groupBy(*RANGE).applyInArrow(invert_range, BLOCKS)
 
 
+def _text_range(chunks: pa.Table, times: int) -> pa.Table:
+    """invert_range of chunks with texts, and with the tokens of those texts that are not of Latin-1 (see invert_texts)."""
+    chunks = chunks.sort_by("chunk_index")
+    both = lambda *names: pa.concat_arrays([x for n in names for x in chunks.column(n).chunks])
+    coded, begin, size = coded_tokens(both("head", "content"), both("head_tokens", "tokens"))
+    begin, size = (np.stack([x[: len(chunks)], *[x[len(chunks) :]] * times], 1).ravel() for x in (begin, size))
+    ends = np.cumsum(size)
+    flat = coded.take(pa.array(np.arange(ends[-1]) + np.repeat(begin - ends + size, size)))
+    tokens = pa.ListArray.from_arrays(np.append(0, ends[times :: times + 1]).astype(np.int32), flat)
+    return invert_range(chunks.select([*RANGE, "chunk_index"]).append_column("tokens", tokens))
+
+
+def invert_texts(chunks: DataFrame, n: int, times: int = 1) -> DataFrame:
+    """invert of chunks (resource_id, snapshot_id, chunk_index, head, content) whose tokens are those of head and then times
+    those of content, neither null. n: about how many there are.
+
+    A text moves once, to its range, and becomes tokens there; neither its tokens nor its blocks move.
+    """
+    rows = chunks.select("resource_id", "snapshot_id", F.floor(F.col("chunk_index") / BLOCK).alias("block"), F.col("chunk_index").cast("long").alias("chunk_index"), "head", "content")
+    parts = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-n // PART))
+    there = rows.repartition(parts, *RANGE).sortWithinPartitions(*RANGE)  # so that groups need no sort of tokens
+    others = [F.when(beyond_latin(F.col(x)), index_tokens(F.col(x))).alias(name) for x, name in (("head", "head_tokens"), ("content", "tokens"))]
+
+    def run(part: pa.Table) -> pa.Table:
+        return _text_range(part, times)
+
+    return there.select(*there.columns, *others).groupBy(*RANGE).applyInArrow(run, BLOCKS)
+
+
+def stored_blocks(blocks: DataFrame, path: str) -> DataFrame:
+    """blocks written to path and read from there. Each file is in the order of terms, so a question reads the pages with its
+    terms, and of those the columns that it needs, most never positions."""
+    named = {f"parquet.enable.dictionary#{c}": "true" for c in RANGE}
+    blocks.sortWithinPartitions("term", *RANGE).write.options(**DELTA, **named, **{"parquet.page.row.count.limit": "4096"}, compression="zstd").parquet(path)
+    return blocks.sparkSession.read.schema(BLOCKS).parquet(path)
+
+
+def _named(words: list[str]) -> Column:
+    """Whether term is one of words. Of more than ten values in one test Parquet's filter sees the ends alone."""
+    return reduce(lambda x, y: x | y, [F.col("term").isin(words[i : i + 10]) for i in range(0, len(words), 10)], F.lit(False))
+
+
 def _phrase_blocks(blocks: DataFrame, phrase: list[str]) -> DataFrame:
     """The blocks of a phrase of several words, without positions: only ranges that have all its words are decoded.
 
     Blocks move once, by range; every later grouping is within a range.
     """
     words = sorted(set(phrase))
-    mine = blocks.filter(F.col("term").isin(words)).select(*RANGE, "term", "at", "d", "positions").repartition(*RANGE)
+    mine = blocks.filter(_named(words)).select(*RANGE, "term", "at", "d", "positions").repartition(*RANGE)
     whole = mine.withColumn("found", F.count("*").over(Window.partitionBy(*RANGE))).filter(F.col("found") == len(words))
     at = F.element_at(F.create_map(*[x for w in words for x in (F.lit(w), F.array(*[F.lit(j) for j, p in enumerate(phrase) if p == w]))]), F.col("term"))
     rows = whole.select(*RANGE, at.alias("places"), F.explode(F.arrays_zip("at", "d", "positions")).alias("p"))
@@ -125,7 +174,7 @@ def bm25_top(blocks: DataFrame, n: int, tokens: int, phrases: list[list[str]], l
     singles, several = [p[0] for p in phrases if len(p) == 1], [p for p in phrases if len(p) > 1]
     if not phrases or not n or limit <= 0:
         return Ranked(HIT.empty_table(), None, {})
-    lists = blocks.filter(F.col("term").isin(singles)).select(*RANGE, "term", "n", "impacts", "at", "tf", "d")
+    lists = blocks.filter(_named(singles)).select(*RANGE, "term", "n", "impacts", "at", "tf", "d")
     if several:
         lists = lists.unionByName(reduce(DataFrame.unionByName, [_phrase_blocks(blocks, p) for p in several])).persist()
     try:

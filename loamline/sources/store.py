@@ -32,8 +32,6 @@ STATS = "resource_id string, snapshot_id string, generation string, n long, toke
 CATALOG = {"resources": RESOURCE, "snapshots": SNAPSHOT, "stats": STATS}
 ROOTS, ATTEMPTS = "roots", 20
 DYNAMIC = {"partitionOverwriteMode": "dynamic"}
-#: Parquet's second format codes integers as differences, in nested columns, too.
-DELTA = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
 #: The version of the store's layout, which signed stores state.
 LAYOUT, SIGNATURE = "1.3.0", "store.json"
 
@@ -199,7 +197,7 @@ class Store:
         ids = touched.column("resource_id").unique().to_pylist()
         written = self.read("chunks", CHUNKS).filter(F.col("resource_id").isin(ids) & (F.col("generation") == generation))
         blocks = inverted.invert(written).withColumn("generation", F.lit(generation)).repartitionByRange(*keys, "term", "block").sortWithinPartitions(*keys, "term", "block")
-        self._write("postings", blocks, POSTINGS, DELTA)
+        self._write("postings", blocks, POSTINGS, inverted.DELTA)
         facts = written.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("n_tokens").cast("long").alias("tokens"))
         named = self.spark.createDataFrame(touched, "resource_id string, snapshot_id string")
         zero = F.lit(0).cast("long")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamline.engine import Engine
+from loamline.functions import text
 from loamline.operators import inverted, retrieval
 from loamline.operators.checkpoints import stored
 
@@ -95,6 +96,29 @@ def test_no_chunks(spark):
     assert none.count() == 0 and inverted.bm25_top(none, 0, 0, [["a"]], 5).best.num_rows == 0
 
 
+def test_texts_are_inverted_as_their_tokens(spark, tmp_path):
+    """Of Latin-1 and of other letters, without tokens, in several ranges, and as the index is stored."""
+    some = ["The cat, the \u00c9t\u00e9.", "", " \u00df\u00b5 x1 \u00bd", "\u4e2d\u6587 the", "\u03a3\u03af\u03c3\u03c5\u03c6\u03bf\u03c2 \u017fo e\u0301 \U0001d400 cat", "\u0130x I\u0307", "--"]
+    rows = [("ab"[i % 3 == 0], "s0", i, ["h/1 b", "", "\u03b1 h"][i % 3], some[i % 7]) for i in range(600)]
+    rows += [("c", "s0", i, "", "--") for i in range(3)]  # a range without a token
+    chunks = spark.createDataFrame(rows, "resource_id string, snapshot_id string, chunk_index long, head string, content string").repartition(3)
+    once = text.index_tokens(F.col("content"))
+    tokens = chunks.select("resource_id", "snapshot_id", "chunk_index", F.concat(text.index_tokens(F.col("head")), once, once).alias("tokens"))
+    shown = lambda df: sorted(str(r) for r in df.select(inverted.invert(tokens).columns).collect())
+    want, got = shown(inverted.invert(tokens)), inverted.invert_texts(chunks, len(rows), 2)
+    assert want and shown(got) == want
+    kept = inverted.stored_blocks(got, str(tmp_path / "blocks"))
+    assert shown(kept) == want
+    words = ["the", "cat", "\u4e2d\u6587", *[f"none{i}" for i in range(20)]]
+    assert shown(kept.filter(inverted._named(words))) == shown(got.filter(F.col("term").isin(words)))
+
+
+def test_texts_move_once_to_be_inverted(spark):
+    chunks = spark.createDataFrame([("a", "s0", 1, "h", "x")], "resource_id string, snapshot_id string, chunk_index long, head string, content string")
+    plan = inverted.invert_texts(chunks, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+
+
 def test_a_long_chunk_is_inverted_in_no_time():
     rng = random.Random(2)
     tokens = [f"w{rng.randrange(8000)}" for _ in range(16_000)]

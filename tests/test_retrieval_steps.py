@@ -137,6 +137,27 @@ def test_no_text_or_tokens_of_the_corpus_are_written(spark, monkeypatch, query):
     assert not [c for c, few in written if "tokens" in c or ("content" in c or "lm_chunks" in c) and not few]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_an_index_of_the_corpus_takes_little_disk(spark):
+    """Neither texts nor tokens are written, and no block as Spark's rows have it."""
+    at = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(at) for f in files)
+    before = size()
+    assert catalogue.bm25_postings(spark, "/root/testdata/sf0.01").count() == 500
+    assert 0 < size() - before < 4 * os.path.getsize("/root/testdata/sf0.01/documents.parquet")
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_numbers_come_to_the_texts(spark, limit):
+    """Up to a limit of rows; beyond, by a join that shuffles."""
+    ids = [None, -3, 0, 5, 255, 256, 1000, 7 << 40]
+    pages = spark.createDataFrame([(i, f"t{i}") for i in [*ids, 6, 257]], "doc_id long, content string")
+    first = spark.createDataFrame([("r", "s", i, 10 * n) for n, i in enumerate(ids)], "resource_id string, snapshot_id string, doc_id long, first_chunk long")
+    got = chunking.with_first(pages, first, "doc_id", limit)
+    assert sorted(tuple(r) for r in got.select("doc_id", "content", "first_chunk").collect()) == sorted((i, f"t{i}", 10 * n) for n, i in enumerate(ids) if i is not None)
+    assert ("broadcast" in got._jdf.queryExecution().analyzed().toString().lower()) == (limit == 100)
+
+
 @pytest.mark.parametrize("limit", [0, 5])
 def test_few_rows_are_marked_for_broadcast_and_more_are_not(spark, limit):
     few = checkpoints.stored_few(spark.range(3).select(F.col("id").alias("k")), limit)
@@ -184,6 +205,14 @@ def test_texts_are_cut_by_workers_as_by_spark(spark):
     assert {i: None if t is None else chunking.packed_texts(t) for i, t in enumerate(PAGES)} == want
 
 
+def test_chunks_of_workers_equal_those_of_spark(spark):
+    given = spark.createDataFrame([(t,) for t in PAGES], "t string")
+    broken = given.withColumn("t", F.expr("cast(concat(cast(t as binary), X'C320', cast(' by nc' as binary)) as string)"))
+    for table in (given, broken, given.limit(0)):
+        rows = table.select(chunking.worker_chunks(F.col("t")).alias("got"), chunking.pack_paragraphs(F.col("t")).alias("want"))
+        assert rows.filter(~F.col("got").eqNullSafe(F.col("want"))).count() == 0
+
+
 def test_counts_of_whole_pages_equal_those_of_their_chunks(spark):
     rows = [(i, h, t) for i, t in enumerate(PAGES) for h in ("src1\nhttp://h/by\n", None, "\u4e2d by")] + [(1000 + i, "h", f"x by nc {i}\n\n" * (i % 150)) for i in range(300)]
     given = spark.createDataFrame(rows, "k int, head string, content string").repartition(3)
