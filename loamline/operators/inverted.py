@@ -28,8 +28,8 @@ from ..functions.text import index_tokens
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Chunk numbers of a range.
 BLOCK = 256
-#: Chunks of a task that makes blocks of texts: what it sorts, first texts and then blocks, fits its memory.
-PART = 16_384
+#: Chunks of a task that makes blocks of texts, about: their blocks, some 150 MB as Spark's rows, are sorted without a spill.
+PART = 4096
 #: Ranges that are scored first, to find what a chunk has to reach.
 FIRST_RANGES = 16
 RANGE = ["resource_id", "snapshot_id", "block"]
@@ -120,7 +120,7 @@ def stored_blocks(blocks: DataFrame, path: str) -> DataFrame:
     """blocks written to path and read from there. Each file is in the order of terms, so a question reads the pages with its
     terms, and of those the columns that it needs, most never positions."""
     named = {f"parquet.enable.dictionary#{c}": "true" for c in RANGE}
-    blocks.sortWithinPartitions("term", *RANGE).write.options(**DELTA, **named, **{"parquet.page.row.count.limit": "4096"}, compression="zstd").parquet(path)
+    blocks.sortWithinPartitions("term", *RANGE).write.options(**DELTA, **named, **{"parquet.page.row.count.limit": "1024"}, compression="zstd").parquet(path)
     return blocks.sparkSession.read.schema(BLOCKS).parquet(path)
 
 
